@@ -1 +1,13 @@
-"""To be filled."""
+"""Image corruptions on 8 x 8 grey images made from the embeddings."""
+
+from pyspark.sql import functions as F
+
+from catalog import table
+
+
+def image_table(spark, sf):
+    """(vec_id, label, height, width, pixels): each embedding value maps to 0..255."""
+    pixel = lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (x.cast("double") + 0.5) * 255.0))).cast("int")
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.lit(8).alias("height"), F.lit(8).alias("width"),
+        F.transform("embedding", pixel).alias("pixels"))
