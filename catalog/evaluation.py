@@ -1 +1,284 @@
-"""To be filled."""
+"""Impact grids, schema evaluation, stress test and their summaries on the bulk-line task."""
+
+from functools import cache
+
+from pyspark.sql import functions as F
+
+from catalog import register, sql, table
+from catalog import grid_sql as g
+from catalog.metrics import (
+    PART_CLASS, PART_LINEAR, PART_SCORER, REVENUE, REVENUE_SCORER, bulk_lines, f1_sql, revenue_lines, sized_parts,
+)
+from catalog.samplers import LINE_SCORER, SEED
+from tarnish.operators.clean import fill_constant, fit_mean, fit_mode
+from tarnish.operators.corrupt import (
+    BrokenCharacters, CategoricalShift, GaussianNoise, MissingValues, Scaling, SwappedValues,
+)
+from tarnish.operators.schema import infer_schema
+from tarnish.operators.scoring import ChainedScorer
+from tarnish.plans import results, stress
+from tarnish.plans.evaluate import ImpactEvaluator, SchemaEvaluator, grid
+from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, split
+
+
+def bulk_task(spark, sf) -> Task:
+    key = sql.KEYS["lineitem"]
+    lines = bulk_lines(spark, sf).select(*key, "label", *g.FEATURES)
+    train, test = split(lines, key, 0.2, SEED)
+    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED)
+
+
+def rounded(df, *keys):
+    return df.select("scenario_id", "rep", *keys, F.round("baseline_score", 6).alias("baseline_score"),
+                     F.round("corrupted_score", 6).alias("corrupted_score"))
+
+
+@register("impact_single", g.impact([(0, "missing", "l_quantity", 0.05, "CAR", -999, None)], 3))
+def impact_single(spark, sf):
+    """Clean AUC against the AUC with 5 % of l_quantity set to -999."""
+    evaluator = ImpactEvaluator(bulk_task(spark, sf), LINE_SCORER)
+    return rounded(evaluator.evaluate([MissingValues("l_quantity", 0.05, na_value=-999)], 3))
+
+
+GRID = [(c, f, m) for c in ("l_quantity", "l_returnflag") for f in (0.99, 0.25, 0.01) for m in ("MCAR", "MAR", "MNAR")]
+GRID_ROWS = [(i, "missing", c, f, m, None, None) for i, (c, f, m) in enumerate(GRID)]
+
+
+def _grid():
+    return grid(MissingValues, ["l_quantity", "l_returnflag"], [0.99, 0.25, 0.01], ["MCAR", "MAR", "MNAR"])
+
+
+@register("impact_grid", g.impact(GRID_ROWS, 2))
+def impact_grid(spark, sf):
+    return rounded(ImpactEvaluator(bulk_task(spark, sf), LINE_SCORER).evaluate(_grid(), 2))
+
+
+MIXED = [
+    (0, "noise", "l_quantity", 0.4, "CAR", None, None), (1, "noise", "l_discount", 0.5, "NAR", None, None),
+    (2, "scaling", "l_quantity", 0.1, "AR", None, None), (3, "scaling", "l_tax", 0.3, "CAR", None, None),
+    (4, "swap", "l_discount", 0.5, "CAR", None, "l_quantity"), (5, "swap", "l_returnflag", 0.5, "NAR", None, "l_linestatus"),
+    (6, "shift", "l_returnflag", 0.8, "CAR", None, None), (7, "shift", "l_linestatus", 0.5, "AR", None, None),
+    (8, "encoding", "l_returnflag", 0.7, "CAR", None, None), (9, "missing", "l_linestatus", 1.0, "NAR", "", None),
+]
+
+
+def _mixed():
+    return [
+        GaussianNoise("l_quantity", 0.4), GaussianNoise("l_discount", 0.5, "NAR"),
+        Scaling("l_quantity", 0.1, "AR"), Scaling("l_tax", 0.3),
+        SwappedValues("l_discount", 0.5, swap_with="l_quantity"),
+        SwappedValues("l_returnflag", 0.5, "NAR", swap_with="l_linestatus"),
+        CategoricalShift("l_returnflag", 0.8), CategoricalShift("l_linestatus", 0.5, "AR"),
+        BrokenCharacters("l_returnflag", 0.7), MissingValues("l_linestatus", 1.0, "NAR", na_value=""),
+    ]
+
+
+@register("impact_mixed", g.impact(MIXED, 2))
+def impact_mixed(spark, sf):
+    """Every kind of tabular corruption in one job."""
+    return rounded(ImpactEvaluator(bulk_task(spark, sf), LINE_SCORER).evaluate(_mixed(), 2))
+
+
+IMPUTED = g.LOGIT.replace("c_l_returnflag", "coalesce(c_l_returnflag, (SELECT mode_flag FROM fills))").format(
+    q="(SELECT mean_q FROM fills)", d="0.05::DOUBLE", t="0.04::DOUBLE")
+FILLS = (", fills AS MATERIALIZED (SELECT avg(l_quantity) AS mean_q, (SELECT l_returnflag FROM train GROUP BY 1 "
+         "ORDER BY count(*) DESC, 1 LIMIT 1) AS mode_flag FROM train)")
+
+
+@register("impact_two_models", f"""
+SELECT *, 'raw' AS model_id FROM ({g.impact(GRID_ROWS, 1)}) a
+UNION ALL SELECT *, 'imputing' FROM ({g.impact(GRID_ROWS, 1, IMPUTED, FILLS)}) b""")
+def impact_two_models(spark, sf):
+    """The same damage scored by a raw model and by one behind mean and mode imputation."""
+    task = bulk_task(spark, sf)
+    imputers = (fit_mean(task.train, ["l_quantity"]), fit_mode(task.train, ["l_returnflag"]))
+    scorers = {"raw": LINE_SCORER, "imputing": ChainedScorer(LINE_SCORER, imputers)}
+    return rounded(ImpactEvaluator(task, LINE_SCORER).compare(scorers, _grid(), 1), "model_id")
+
+
+def _codes():
+    return F.array_join(F.transform("anomalies", lambda a: F.concat_ws(":", a["column"], a["code"])), ",").alias("codes")
+
+
+@register("schema_eval", f"""{g.flags(g.scenario_values(MIXED), 2)}
+SELECT scenario_id, rep, codes, codes <> '' AS anomaly_detected, round({g.base_score()}, 6) AS baseline_score,
+       round(auc, 6) AS corrupted_score FROM scen JOIN after USING (idx) JOIN verdict USING (idx)""")
+def schema_eval(spark, sf):
+    found = SchemaEvaluator(bulk_task(spark, sf), LINE_SCORER).evaluate(_mixed(), 2)
+    return rounded(found, _codes(), "anomaly_detected")
+
+
+STRESS_COUNT = 30
+STRESS = f"""{g.flags(g.random_spec(STRESS_COUNT), 1)},
+outcome AS (SELECT scenario_id, codes, {g.base_score()} AS b, auc AS c, codes <> '' AS found
+            FROM scen JOIN after USING (idx) JOIN verdict USING (idx)),
+judged AS (SELECT *, CASE WHEN found AND (b - c) / b > 0.03 THEN 'TP' WHEN found THEN 'FP'
+                          WHEN (b - c) / b > 0.03 THEN 'FN' ELSE 'TN' END AS status FROM outcome)"""
+
+
+def _stress(spark, sf):
+    task = bulk_task(spark, sf)
+    return stress.stress_test(task, LINE_SCORER, infer_schema(task.train, task.features), STRESS_COUNT, 0.03)
+
+
+@register("stress_test", f"""{STRESS}
+SELECT scenario_id, status, codes, round(b, 6) AS baseline_score, round(c, 6) AS corrupted_score FROM judged""")
+def stress_test(spark, sf):
+    return rounded(_stress(spark, sf), "status", _codes()).drop("rep")
+
+
+@register("stress_confusion", f"{STRESS} SELECT status, count(*) AS n FROM judged GROUP BY status")
+def stress_confusion(spark, sf):
+    return stress.status_counts(_stress(spark, sf))
+
+
+@register("random_scenarios", f"""WITH {g.damaged(g.random_spec(STRESS_COUNT), 1)}
+SELECT scenario_id, col AS "column", frac AS fraction, sum(hit::INT)::BIGINT AS rows_hit
+FROM x GROUP BY ALL""")
+def random_scenarios(spark, sf):
+    """Randomly drawn corruptions and how many test rows each one damages."""
+    task = bulk_task(spark, sf)
+    evaluator = ImpactEvaluator(task, LINE_SCORER)
+    prepared = evaluator.prepare(stress.random_corruptions(task, STRESS_COUNT, SEED), 1)
+    return evaluator.damage_counts(prepared).select("scenario_id", "column", "fraction", "rows_hit")
+
+
+# -- other task types ---------------------------------------------------------------------
+
+PART_TEST = f"(SELECT * EXCLUDE (hit) FROM ({sql.marked('part', 0.2, 'CAR', f'{SEED}/split')}) m WHERE hit)"
+
+
+def _rank_sql(source: str, order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}, {sql.draw('v', SEED, 'tie')}, k) - 1"
+
+
+@register("impact_multiclass", f"""
+WITH test AS MATERIALIZED (SELECT *, {PART_CLASS} AS y, {_rank_sql('', 'p_size')} AS rk, count(*) OVER () AS n FROM {PART_TEST} t),
+scen AS (SELECT unnest(range(3)) AS rep),
+x AS (SELECT rep, y, p_retailprice, CASE WHEN rk >= st AND rk < st + kk THEN p_size * CASE fac WHEN 0 THEN 10 WHEN 1 THEN 100 ELSE 1000 END
+             ELSE p_size END AS p_size FROM (SELECT *, floor(n * 0.3::DOUBLE) AS kk,
+        floor({sql.scalar(f"('{SEED}/0/' || rep)", 'start')} * (n - floor(n * 0.3::DOUBLE))) AS st,
+        CAST(floor(3 * {sql.scalar(f"('{SEED}/0/' || rep)", 'factor')}) AS INT) AS fac FROM test, scen) p),
+bad AS (SELECT rep, y, ({PART_LINEAR} > 19.0::DOUBLE)::INT + ({PART_LINEAR} > 36.0::DOUBLE)::INT AS g FROM x),
+good AS (SELECT y, ({PART_LINEAR} > 19.0::DOUBLE)::INT + ({PART_LINEAR} > 36.0::DOUBLE)::INT AS g FROM test)
+SELECT 0 AS scenario_id, rep, round((SELECT macro_f1 FROM ({f1_sql('good')}) b), 6) AS baseline_score,
+       round(macro_f1, 6) AS corrupted_score FROM ({f1_sql('bad', 'rep')}) q""")
+def impact_multiclass(spark, sf):
+    train, test = split(sized_parts(spark, sf), ["p_partkey"], 0.2, SEED)
+    task = Task(train, test, ["p_partkey"], "label", MULTICLASS, ["p_type", "p_brand"], ["p_size", "p_retailprice"], seed=SEED)
+    return rounded(ImpactEvaluator(task, PART_SCORER).evaluate([Scaling("p_size", 0.3, "NAR")], 3))
+
+
+LINE_TEST = f"(SELECT * EXCLUDE (hit) FROM ({sql.marked('lineitem', 0.2, 'CAR', f'{SEED}/split')}) m WHERE hit)"
+_GUESS = ("(1500.0::DOUBLE + 0.95::DOUBLE * coalesce({p}, 30000.0::DOUBLE) + -28000.0::DOUBLE * "
+          "coalesce(l_discount, 0.05::DOUBLE) + 27000.0::DOUBLE * coalesce(l_tax, 0.04::DOUBLE))")
+
+
+@register("impact_regression", f"""
+WITH test AS MATERIALIZED (SELECT *, {REVENUE} AS y, {_rank_sql('', 'l_extendedprice')} AS rk, count(*) OVER () AS n FROM {LINE_TEST} t),
+scen AS (SELECT unnest(range(3)) AS rep),
+x AS (SELECT *, CASE WHEN rk >= st AND rk < st + kk THEN NULL ELSE l_extendedprice END AS price
+      FROM (SELECT *, floor(n * 0.1::DOUBLE) AS kk,
+        floor({sql.scalar(f"('{SEED}/0/' || rep)", 'start')} * (n - floor(n * 0.1::DOUBLE))) AS st FROM test, scen) p)
+SELECT 0 AS scenario_id, rep, round((SELECT avg((y - {_GUESS.format(p='l_extendedprice')}) ^ 2) FROM test), 1) AS baseline_score,
+       round(avg((y - {_GUESS.format(p='price')}) ^ 2), 1) AS corrupted_score FROM x GROUP BY rep""")
+def impact_regression(spark, sf):
+    key = sql.KEYS["lineitem"]
+    train, test = split(revenue_lines(spark, sf), key, 0.2, SEED)
+    task = Task(train, test, key, "label", REGRESSION, [], ["l_extendedprice", "l_discount", "l_tax"], seed=SEED)
+    found = ImpactEvaluator(task, REVENUE_SCORER).evaluate([MissingValues("l_extendedprice", 0.1, "MNAR")], 3)
+    return found.select("scenario_id", "rep", F.round("baseline_score", 1).alias("baseline_score"),
+                        F.round("corrupted_score", 1).alias("corrupted_score"))
+
+
+@register("baseline_performance", f"WITH {g.damaged(g.scenario_values(MIXED), 1)} SELECT round({g.base_score()}, 6) AS value")
+def baseline_performance(spark, sf):
+    return bulk_task(spark, sf).performance(LINE_SCORER).select(F.round("value", 6).alias("value"))
+
+
+# -- summaries ----------------------------------------------------------------------------
+
+NOISY = [(i, "noise", "l_quantity", f, "CAR", None, None) for i, f in enumerate((0.1, 0.5))]
+NOISY_SQL = f"(WITH {g.damaged(g.scenario_values(NOISY), 5)}, after AS ({g.auc_sql('x', g.PLAIN, 'label', 'idx')}) " \
+            "SELECT scenario_id, rep, frac AS fraction, col, samp, auc AS score FROM after JOIN scen USING (idx))"
+
+
+def _noisy(spark, sf):
+    evaluator = ImpactEvaluator(bulk_task(spark, sf), LINE_SCORER)
+    return evaluator.evaluate([GaussianNoise("l_quantity", f) for f in (0.1, 0.5)], 5)
+
+
+@register("result_mean", f"SELECT scenario_id, fraction, round(avg(score), 6) AS mean_score FROM {NOISY_SQL} q GROUP BY ALL")
+def result_mean(spark, sf):
+    return results.mean_scores(_noisy(spark, sf)).select(
+        "scenario_id", "fraction", F.round("mean_score", 6).alias("mean_score"))
+
+
+@register("result_median", f"SELECT scenario_id, round(quantile_cont(score, 0.5), 6) AS median_score FROM {NOISY_SQL} q GROUP BY ALL")
+def result_median(spark, sf):
+    return results.median_scores(_noisy(spark, sf)).select("scenario_id", F.round("median_score", 6).alias("median_score"))
+
+
+@register("result_box", f"""
+WITH s AS (SELECT * FROM {NOISY_SQL} q0),
+q AS (SELECT scenario_id, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS q2, quantile_cont(score, 0.75) AS q3 FROM s GROUP BY ALL)
+SELECT scenario_id, round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) AS q3,
+       round(min(score) FILTER (score >= q1 - 1.5 * (q3 - q1) AND score <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
+       round(max(score) FILTER (score >= q1 - 1.5 * (q3 - q1) AND score <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high
+FROM s JOIN q USING (scenario_id) GROUP BY scenario_id, q1, q2, q3""")
+def result_box(spark, sf):
+    boxed = results.box_scores(_noisy(spark, sf))
+    numbers = ["q1", "median", "q3", "whisker_low", "whisker_high"]
+    return boxed.select("scenario_id", *[F.round(c, 6).alias(c) for c in numbers])
+
+
+@register("result_lookup", f"""SELECT rep, round(score, 6) AS corrupted_score FROM {NOISY_SQL} q
+WHERE col = 'l_quantity' AND fraction = 0.5 AND samp = 'CAR'""")
+def result_lookup(spark, sf):
+    found = results.find_result(_noisy(spark, sf), "l_quantity", 0.5, "CAR")
+    return found.select("rep", F.round("corrupted_score", 6).alias("corrupted_score"))
+
+
+@register("value_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def value_counts(spark, sf):
+    return results.value_counts(table(spark, sf, "orders"), "o_orderpriority")
+
+
+@register("sort_inspect", f"""
+SELECT p_partkey, p_size, CASE WHEN hit THEN NULL ELSE p_size END AS damaged
+FROM ({sql.marked('part', 0.5, 'NAR', f'{SEED}/damaged', 'p_size')}) m ORDER BY p_size""")
+def sort_inspect(spark, sf):
+    """Sorted by the damaged column, the hits form one contiguous run of values."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size")
+    return results.side_by_side(part, ["p_partkey"], {"damaged": MissingValues("p_size", 0.5, "MNAR")}, SEED).orderBy("p_size")
+
+
+@register("side_by_side", f"""
+SELECT p_partkey, p_brand, CASE WHEN a.hit THEN NULL ELSE p_brand END AS brand_mcar,
+       CASE WHEN b.hit THEN NULL ELSE p_brand END AS brand_mnar
+FROM (SELECT p_partkey, p_brand, hit FROM ({sql.marked('part', 0.5, 'CAR', f'{SEED}/brand_mcar')}) m) a
+JOIN (SELECT p_partkey, hit FROM ({sql.marked('part', 0.5, 'NAR', f'{SEED}/brand_mnar', 'p_brand')}) m) b USING (p_partkey)""")
+def side_by_side(spark, sf):
+    versions = {"brand_mcar": MissingValues("p_brand", 0.5), "brand_mnar": MissingValues("p_brand", 0.5, "MNAR")}
+    return results.side_by_side(table(spark, sf, "part").select("p_partkey", "p_brand"), ["p_partkey"], versions, SEED)
+
+
+@register("augment_tabular", f"""
+WITH ranked AS (SELECT *, count(*) OVER () AS n FROM ({sql.keyed('part')}) k1),
+parts AS (SELECT * FROM (VALUES (1), (2), (3)) p(severity)),
+pos AS (SELECT severity, ranked.*, row_number() OVER (PARTITION BY severity
+          ORDER BY {sql.u('v', sql.salt(f"('{SEED}/' || severity)", 'position'))}, k) - 1 AS pos FROM ranked, parts),
+draws AS (SELECT severity, draw, v AS dv, CAST(floor({sql.u('v', sql.salt(f"('{SEED}/' || severity)", 'boot'))} * n) AS BIGINT) AS pos
+          FROM (SELECT severity, draw, n, {sql.base('CAST(draw AS VARCHAR)')} AS v
+                FROM parts, (SELECT n, unnest(range(n // 2)) AS draw FROM (SELECT count(*) AS n FROM part) c) d) e),
+drawn AS (SELECT severity, draw, p_partkey, p_name, dv FROM draws JOIN pos USING (severity, pos))
+SELECT 0 AS severity, NULL::BIGINT AS draw, p_partkey, p_name FROM part
+UNION ALL SELECT severity, draw, p_partkey,
+  CASE WHEN {sql.u('dv', sql.salt(f"('{SEED}/' || severity)", 'coin'))} < severity * 0.2::DOUBLE
+       THEN translate(p_name, 'aAeEoOuU', 'áÁéÉớỚúÚ') ELSE p_name END FROM drawn""")
+def augment_tabular(spark, sf):
+    """Originals plus three resampled copies with more and more broken names."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    shares = {1: 0.2, 2: 0.4, 3: 0.6000000000000001}
+    return results.augment(part, ["p_partkey"], lambda s: BrokenCharacters("p_name", shares[s]),
+                           list(shares), part.count() // 2, SEED)

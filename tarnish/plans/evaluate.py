@@ -82,6 +82,11 @@ class ImpactEvaluator:
         parts = [self._result(prepared, s).withColumn("model_id", F.lit(name)) for name, s in scorers.items()]
         return reduce(DataFrame.unionByName, parts)
 
+    def damage_counts(self, p: Prepared) -> DataFrame:
+        """How many test rows each scenario damages."""
+        hits = self._damaged(p).groupBy(F.col("s.idx").alias("idx")).agg(F.count(F.lit(1)).alias("_n"))
+        return self._info(p).join(hits, "idx", "left").withColumn("rows_hit", F.coalesce("_n", F.lit(0))).drop("_n")
+
     def prepare(self, corruptions: Sequence[Corruption], repetitions: int) -> Prepared:
         task, schema = self.task, self.task.test.schema
         scenarios = []
