@@ -120,9 +120,8 @@ class Corruption:
         spread = None
         if self.needs_spread and rules.rules[0].mode:
             spread = column_spread(table.source, [self.column])[self.column]
-        s = json_literal(rules.rules[0].record() | parameters(self, seed, spread),
-                         f"struct<{rules.fields()},{PARAMETER_FIELDS}>")
-        marked = table.df.withColumn("_hit", rules.hit(s, [table.order(c) for c in rules.columns]))
+        s = json_literal(parameters(self, seed, spread), f"struct<{PARAMETER_FIELDS}>")
+        marked = table.df.withColumn("_hit", rules.hit_one())
         return rewrite(self, marked, s, table.source.columns, hit)
 
 
@@ -281,8 +280,8 @@ class CategoricalShift(Corruption):
             out = df
             return out.withColumn(hit, F.lit(False)) if hit else out
         rules = RowRules(table, [self.draw(seed, features)])
-        s = json_literal(rules.rules[0].record(), f"struct<{rules.fields()}>")
-        marked = table.df.withColumn("_hit", rules.hit(s, [table.order(c) for c in rules.columns]))
+        s = json_literal(parameters(self, seed, None), f"struct<{PARAMETER_FIELDS}>")
+        marked = table.df.withColumn("_hit", rules.hit_one())
         pairs = permutations(df, column, [(0, seed, self.derange)]).select(
             F.col("value").alias("_value"), F.col("target").alias("_target"))
         joined = marked.join(pairs, F.col(column) == F.col("_value"), "left")

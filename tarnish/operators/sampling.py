@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,6 +20,10 @@ MECHANISMS = {"CAR": CAR, "MCAR": CAR, "AR": AR, "MAR": AR, "NAR": NAR, "MNAR":
 
 NONE, ALL, DRAW, WINDOW = 0, 1, 2, 3
 
+# Below this many rows a table may sit in one file block, and a copy of its keys is cheap to hold.
+SMALL_TABLE = 5_000_000
+FEW_RULES = 8
+
 
 @dataclass(frozen=True)
 class Draw:
@@ -48,13 +53,6 @@ class Rule:
     lo: dict | None = None
     hi: dict | None = None
 
-    def record(self) -> dict:
-        out = {"mode": self.mode, "order": self.order,
-               "salt": self.salt.record() if self.salt else None, "bound": self.bound}
-        if self.order >= 0:
-            out |= {f"lo_{self.order}": self.lo, f"hi_{self.order}": self.hi}
-        return out
-
 
 def check_fraction(fraction: float) -> float:
     if not 0.0 <= fraction <= 1.0:
@@ -107,7 +105,7 @@ class RowRules:
 
     def __init__(self, table: KeyedTable, draws: list[Draw]):
         self.table = table
-        self.columns: list[str] = []
+        self.columns: list[str] = []  # columns that some rule orders by
         self.rules: list[Rule | None] = [None] * len(draws)
         self._by_draw: list[tuple[int, str, int]] = []
         self._by_rank: dict[str, list[tuple[int, int, int]]] = {}
@@ -139,23 +137,37 @@ class RowRules:
             self._by_rank.setdefault(d.order, []).append((i, first, first + k - 1))
 
     def _resolve(self) -> None:
-        table, n = self.table, self.table.rows if self._by_draw or self._by_rank else 0
-        if self._by_draw:
-            bounds = draw_bounds(
-                table.df.select("_k", "_v"),
-                [{"salt": Salt.of(seed, "row"), "need": k, "rows": n} for _, seed, k in self._by_draw])
-            for (i, seed, _), bound in zip(self._by_draw, bounds):
-                self.rules[i] = Rule(DRAW, salt=Salt.of(seed, "row"), bound=bound)
-        for column, spans in self._by_rank.items():
-            ends = self._ends(column, spans, n)
-            j = len(self.columns)
-            self.columns.append(column)
-            for (i, _, _), (lo, hi) in zip(spans, ends):
-                self.rules[i] = Rule(WINDOW, order=j, lo=lo, hi=hi)
-
-    def _ends(self, column: str, spans: list[tuple[int, int, int]], n: int) -> list[tuple[dict, dict]]:
+        """Find all bounds; the searches are independent jobs and run side by side."""
+        if not self._by_draw and not self._by_rank:
+            return
+        table, n = self.table, self.table.rows
+        self.columns = list(self._by_rank)
+        cached = None
+        if len(self._by_draw) + sum(map(len, self._by_rank.values())) > FEW_RULES and n < SMALL_TABLE:
+            # a small table is hashed once, spread over all cores, and kept for the searches
+            cached = table.df.select("_k", "_v", *self.columns).repartition(
+                table.df.sparkSession.sparkContext.defaultParallelism, "_k").persist()
+        data = table.df if cached is None else cached
+        plain = table.source if cached is None else cached
+        try:
+            with ThreadPoolExecutor(max_workers=8) as pool:
+                columns = {c: pool.submit(self._ends, c, spans, n, data, plain)
+                           for c, spans in self._by_rank.items()}
+                drawn = pool.submit(draw_bounds, data.select("_k", "_v"), [
+                    {"salt": Salt.of(seed, "row"), "need": k, "rows": n} for _, seed, k in self._by_draw])
+                for (i, seed, _), bound in zip(self._by_draw, drawn.result()):
+                    self.rules[i] = Rule(DRAW, salt=Salt.of(seed, "row"), bound=bound)
+                for j, (column, spans) in enumerate(self._by_rank.items()):
+                    for (i, _, _), (lo, hi) in zip(spans, columns[column].result()):
+                        self.rules[i] = Rule(WINDOW, order=j, lo=lo, hi=hi)
+        finally:
+            if cached is not None:
+                cached.unpersist()
+
+    def _ends(self, column: str, spans: list[tuple[int, int, int]], n: int, data: DataFrame,
+              plain: DataFrame) -> list[tuple[dict, dict]]:
         """First and last (value, tie draw, key) of each span; draws only where ties are cut."""
-        at = values_at_ranks(self.table.source, column, [r for s in spans for r in s[1:]], n)
+        at = values_at_ranks(plain, column, [r for s in spans for r in s[1:]], n)
         ends, cut = [], []
         for _, first, last in spans:
             lo, hi = at[first], at[last]
@@ -168,7 +180,7 @@ class RowRules:
             ends.append((lo_end, hi_end))
         if cut:
             bounds = draw_bounds(
-                self.table.df.select("_k", "_v", self.table.order(column).alias("o")),
+                data.select("_k", "_v", self.table.order(column).alias("o")),
                 [{"salt": self.table.tie, "need": need, "rows": ties, "o": end["o"]}
                  for end, need, ties in cut],
                 self.table.order_type(column))
@@ -177,38 +189,97 @@ class RowRules:
         return ends
 
     def fields(self) -> str:
-        """Field list (DDL) of the struct that carries one rule."""
+        """Field list (DDL) of the struct that carries one rule; bounds have one lane per type."""
         pair = "struct<u:double,k:string>"
         parts = ["mode:int", "order:int", f"salt:{SALT_TYPE}", f"bound:{pair}"]
-        for j, column in enumerate(self.columns):
-            end = f"struct<o:{self.table.order_type(column)},t:{pair}>"
-            parts += [f"lo_{j}:{end}", f"hi_{j}:{end}"]
+        for lane, kind in enumerate(self.lanes):
+            end = f"struct<o:{kind},t:{pair}>"
+            parts += [f"lo_{lane}:{end}", f"hi_{lane}:{end}"]
         return ",".join(parts)
 
-    def order_structs(self) -> list[Column]:
-        return [self.table.order(c).alias(f"_o{j}") for j, c in enumerate(self.columns)]
+    @cached_property
+    def _kinds(self) -> list[str]:
+        return [self.table.order_type(c) for c in self.columns]
 
-    def hit(self, s: Column, orders: list[Column]) -> Column:
-        """Is this row hit by the rule in struct column ``s``?"""
-        def drawn(salt: Salt) -> Column:
-            return F.struct(uniform(F.col("_v"), salt).alias("u"), F.col("_k").alias("k"))
+    @cached_property
+    def lanes(self) -> list[str]:
+        """Distinct types among the order columns."""
+        return sorted(set(self._kinds))
+
+    def record(self, i: int) -> dict:
+        rule = self.rules[i]
+        out = {"mode": rule.mode, "order": rule.order, "bound": rule.bound,
+               "salt": rule.salt.record() if rule.salt else None}
+        if rule.mode == WINDOW:
+            lane = self.lanes.index(self._kinds[rule.order])
+            out |= {f"lo_{lane}": rule.lo, f"hi_{lane}": rule.hi}
+        return out
 
-        tie = drawn(self.table.tie)
-        test = F.when(s["mode"] == ALL, F.lit(True))
-        test = test.when(s["mode"] == DRAW, drawn(Salt.field(s["salt"])) <= s["bound"])
-        for j, o in enumerate(orders):
-            lo, hi = s[f"lo_{j}"], s[f"hi_{j}"]
-            above = (o > lo["o"]) | ((o == lo["o"]) & (tie >= lo["t"]))
-            under = (o < hi["o"]) | ((o == hi["o"]) & (tie <= hi["t"]))
-            test = test.when((s["mode"] == WINDOW) & (s["order"] == j), above & under)
-        return test.otherwise(F.lit(False))
+    def row_columns(self) -> dict[str, Column]:
+        """What ``hit`` needs of a row, computed once before it is paired with rules."""
+        needed = {f"_o{j}": self.table.order(c) for j, c in enumerate(self.columns)}
+        if self.columns:
+            needed["_t"] = F.struct(uniform(F.col("_v"), self.table.tie).alias("u"), F.col("_k").alias("k"))
+        return needed
+
+    def hit(self, s: Column) -> Column:
+        """Is this row hit by the rule in struct column ``s``?  For rows paired with many rules."""
+        drawn = F.struct(uniform(F.col("_v"), Salt.field(s["salt"])).alias("u"), F.col("_k").alias("k"))
+        test = F.when(s["mode"] == ALL, F.lit(True)).when(s["mode"] == DRAW, drawn <= s["bound"])
+        for lane, kind in enumerate(self.lanes):
+            of_lane = [j for j, k in enumerate(self._kinds) if k == kind]
+            o = F.col(f"_o{of_lane[0]}")
+            for j in of_lane[1:]:
+                o = F.when(s["order"] == j, F.col(f"_o{j}")).otherwise(o)
+            at = F.struct(o.alias("o"), F.col("_t").alias("t"))
+            inside = (at >= s[f"lo_{lane}"]) & (at <= s[f"hi_{lane}"])
+            test = test.when(s["order"].isin(of_lane), inside)
+        return F.coalesce(test, F.lit(False))
+
+    def hit_one(self, i: int = 0) -> Column:
+        """The test for one known rule.
+
+        Written so that the row hash appears once: a filter on the result may be pushed
+        below the projection that computes the hash, which copies the hash to every place
+        that mentions it.  Hash and key are not computed at all where the value decides.
+        """
+        rule = self.rules[i]
+        if rule.mode in (NONE, ALL):
+            return F.lit(rule.mode == ALL)
+        if rule.mode == DRAW:
+            return _within(rule.salt, None, rule.bound)
+        o = self.table.order(self.columns[rule.order])
+        kind = self.table.order_type(self.columns[rule.order])
+        lo, hi = (json_literal(end["o"], kind) for end in (rule.lo, rule.hi))
+        low, high = (None if end["t"]["k"] is None else end["t"] for end in (rule.lo, rule.hi))
+        inside = (o >= lo) & (o <= hi)
+        if low is not None:
+            inside = inside & ((o > lo) | _within(self.table.tie, low, None))
+        if high is not None:
+            inside = inside & ((o < hi) | _within(self.table.tie, None, high))
+        return inside
+
+
+def _within(salt: Salt, low: dict | None, high: dict | None) -> Column:
+    """low <= (draw, key) <= high, with the draw bound to one name."""
+    def test(u: Column) -> Column:
+        checks = []
+        if low is not None:
+            edge = F.lit(low["u"])
+            checks.append((u > edge) | ((u == edge) & (F.col("_k") >= F.lit(low["k"]))))
+        if high is not None:
+            edge = F.lit(high["u"])
+            same = F.lit(False) if high["k"] is None else (u == edge) & (F.col("_k") <= F.lit(high["k"]))
+            checks.append((u < edge) | same)
+        return checks[0] if len(checks) == 1 else checks[0] & checks[1]
+
+    return F.exists(F.array(F.col("_v")), lambda v: F.exists(F.array(uniform(v, salt)), test))
 
 
 def mark(table: KeyedTable, draw: Draw, into: str = "_hit") -> DataFrame:
     """The table with a boolean column that says which rows are hit."""
     rules = RowRules(table, [draw])
-    one = json_literal(rules.rules[0].record(), f"struct<{rules.fields()}>")
-    return table.df.withColumn(into, rules.hit(one, [table.order(c) for c in rules.columns]))
+    return table.df.withColumn(into, rules.hit_one())
 
 
 def sample_rows(df: DataFrame, key: list[str], fraction: float, sampling: str = CAR, *,

@@ -24,16 +24,13 @@ from tarnish.operators.metrics import (
     confusion, macro_f1, macro_f1_of, score_histogram, shifted_auc, squared_error,
 )
 from tarnish.operators.ranks import json_literal
-from tarnish.operators.sampling import NONE, KeyedTable, RowRules
+from tarnish.operators.sampling import NONE, SMALL_TABLE, KeyedTable, RowRules
 from tarnish.operators.schema import (
     ANOMALY_DDL, Schema, anomaly_array, cell_flags, infer_schema, type_class,
 )
 from tarnish.operators.scoring import Scorer
 from tarnish.plans.task import Task
 
-# A test table below this size may sit in one file block; spread it before the row-by-record work.
-SMALL_TABLE = 5_000_000
-
 INFO_DDL = ("idx int, scenario_id int, rep int, corruption string, kind string, `column` string, "
             "fraction double, sampling string, scorable boolean, mismatch array<string>")
 
@@ -125,12 +122,11 @@ class ImpactEvaluator:
         paired with scenarios.
         """
         rules = p.rules
-        names = [f"_o{j}" for j in range(len(rules.columns))]
         groups: dict[tuple, int] = {}
         items = []
         for s in p.active:
             g = groups.setdefault(_rewrite_key(s.corruption), len(groups))
-            items.append(rules.rules[s.idx].record() | {"idx": s.idx, "g": g}
+            items.append(rules.record(s.idx) | {"idx": s.idx, "g": g}
                          | parameters(s.corruption, s.seed, p.spreads.get(s.corruption.column)))
         ddl = f"array<struct<idx:int,g:int,{rules.fields()},{PARAMETER_FIELDS}>>"
         rows = rules.table.df
@@ -138,9 +134,10 @@ class ImpactEvaluator:
             rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *rules.table.key)
         if scorer is not None:
             rows = scorer.score(rows, "_old")
-        rows = rows.withColumns({n: rules.table.order(c) for n, c in zip(names, rules.columns)})
+        needed = rules.row_columns()
+        rows = rows.withColumns(needed)
         spread = rows.withColumn("s", F.explode(json_literal(items, ddl)))
-        hit = spread.where(rules.hit(F.col("s"), [F.col(n) for n in names])).drop(*names)
+        hit = spread.where(rules.hit(F.col("s"))).drop(*needed)
         return self._with_targets(hit, p)
 
     def _with_targets(self, hit: DataFrame, p: Prepared) -> DataFrame:
