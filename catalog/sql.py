@@ -40,7 +40,7 @@ def u(v: str, salts: list[str], step: str | None = None) -> str:
     hi, lo = f"({v} >> 30)", f"({v} & {LOW_BITS})"
     a, b, c = salts
     if step is not None:
-        a = f"(({a} + ({step}) * {STEP_MULTIPLIER}) % {MODULUS})"
+        a = f"(({a} + ({step})::BIGINT * {STEP_MULTIPLIER}) % {MODULUS})"
     m1, m2, m3 = MULTIPLIERS
     x = f"((xor({hi}, {a}) * {m1} + {lo}) % {MODULUS})"
     y = f"((xor({x}, {b}) * {m2} + {hi}) % {MODULUS})"

@@ -11,6 +11,7 @@ from tarnish.operators.corrupt import is_number
 from tarnish.operators.metrics import METRICS, score_predictions, task_metric
 from tarnish.operators.sampling import random_split
 from tarnish.operators.scoring import Scorer
+from tarnish.session import cut_lineage
 
 BINARY, MULTICLASS, REGRESSION = "binary", "multiclass", "regression"
 
@@ -60,6 +61,14 @@ class Task:
     def test_rows(self) -> int:
         return self.test.count()
 
+    def checkpointed(self) -> "Task":
+        """The same task with train and test rows written once to the shared checkpoint folder.
+
+        An evaluation scans the test rows many times; without this every scan repeats the
+        work that made them (reading, splitting, labelling).
+        """
+        return replace(self, train=cut_lineage(self.train), test=cut_lineage(self.test))
+
     def performance(self, scorer: Scorer, into: str = "value") -> DataFrame:
         """The task's metric for a scorer on the clean test rows."""
         scored = scorer.score(self.test, "_score")
