@@ -1 +1,130 @@
-"""To be filled."""
+"""Feature columns and fitted baseline models."""
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from catalog import register, sql, table
+from catalog.evaluation import bulk_task
+from catalog.images import image_table
+from catalog.metrics import revenue_lines, sized_parts
+from catalog.samplers import LINE_LOGIT, LINE_SCORER, SEED
+from tarnish.operators import features
+from tarnish.operators.corrupt import MissingValues
+from tarnish.operators.image import ImageCorruption
+from tarnish.operators.models import fit_baseline, fit_image_baseline, fit_learned_imputer
+from tarnish.plans.evaluate import ImpactEvaluator
+from tarnish.plans.results import augment
+from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, image_style, split
+
+LINE_IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@register("one_hot", f"""
+SELECT {', '.join(LINE_IDS)}, (l_returnflag = 'A')::INT::DOUBLE AS flag_a, (l_returnflag = 'N')::INT::DOUBLE AS flag_n,
+       (l_returnflag = 'R')::INT::DOUBLE AS flag_r FROM lineitem""")
+def one_hot(spark, sf):
+    lines = table(spark, sf, "lineitem").select(*LINE_IDS, "l_returnflag")
+    hot = Pipeline(stages=features.one_hot_stages(["l_returnflag"])).fit(lines).transform(lines)
+    vector = vector_to_array("l_returnflag_hot")
+    return hot.select(*LINE_IDS, *[vector[i].alias(f"flag_{f}") for i, f in enumerate("anr")])
+
+
+@register("standardize", f"""
+SELECT {', '.join(LINE_IDS)}, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
+       round((l_tax - avg(l_tax) OVER ()) / stddev_pop(l_tax) OVER (), 6) AS l_tax FROM lineitem""")
+def standardize(spark, sf):
+    scaled = features.standardise(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
+    return scaled.select(*LINE_IDS, *[F.round(c, 6).alias(c) for c in ("l_quantity", "l_tax")])
+
+
+@register("cast_to_text", "SELECT p_partkey, p_size::VARCHAR AS p_size FROM part")
+def cast_to_text(spark, sf):
+    return features.cast_to_text(table(spark, sf, "part"), ["p_size"]).select("p_partkey", "p_size")
+
+
+@register("linear_scores", f"SELECT {', '.join(LINE_IDS)}, round({LINE_LOGIT}, 9) AS score FROM lineitem")
+def linear_scores(spark, sf):
+    return LINE_SCORER.score(table(spark, sf, "lineitem")).select(*LINE_IDS, F.round("score", 9).alias("score"))
+
+
+@register("text_features")
+def text_features(spark, sf):
+    """Hashed 1- to 3-gram vectors of whole documents."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    vectors = Pipeline(stages=features.hashed_text_stages("text", "vector")).fit(documents).transform(documents)
+    return vectors.select("doc_id", F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+
+
+def _report(spark, task, scorer):
+    """One row per grid setting with its cross-validated score, beside the test score."""
+    test = task.performance(scorer).first()[0]
+    rows = [(str(sorted(p.items())), float(s), p == scorer.best, float(test)) for p, s in scorer.cv_scores]
+    return spark.createDataFrame(rows, "setting string, cv_score double, chosen boolean, test_score double")
+
+
+@register("fit_binary")
+def fit_binary(spark, sf):
+    task = bulk_task(spark, sf)
+    return _report(spark, task, fit_baseline(task))
+
+
+@register("fit_multiclass")
+def fit_multiclass(spark, sf):
+    key = ["p_partkey"]
+    train, test = split(sized_parts(spark, sf), key, 0.2, SEED)
+    task = Task(train, test, key, "label", MULTICLASS, ["p_type"], ["p_size", "p_retailprice"], seed=SEED).check()
+    return _report(spark, task, fit_baseline(task))
+
+
+@register("fit_regression")
+def fit_regression(spark, sf):
+    key = sql.KEYS["lineitem"]
+    train, test = split(revenue_lines(spark, sf), key, 0.2, SEED)
+    task = Task(train, test, key, "label", REGRESSION, [], ["l_extendedprice", "l_discount", "l_tax"], seed=SEED)
+    return _report(spark, task, fit_baseline(task))
+
+
+def document_task(spark, sf) -> Task:
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = both.select("doc_id", "n_chars", "lang", "source", "text", F.col("quality").alias("label"))
+    train, test = split(rows, ["doc_id"], 0.2, SEED)
+    return Task(train, test, ["doc_id"], "label", BINARY, ["lang", "source"], ["n_chars"], ["text"], seed=SEED)
+
+
+@register("fit_text")
+def fit_text(spark, sf):
+    task = document_task(spark, sf)
+    return _report(spark, task, fit_baseline(task))
+
+
+@register("fit_image")
+def fit_image(spark, sf):
+    """Clean and damaged score of a pixel model, and of one trained on noisy copies as well."""
+    task = image_style(image_table(spark, sf), ["vec_id"], "label", 7, 9, seed=SEED)
+    plain = fit_image_baseline(task)
+    more = augment(task.train, ["vec_id"], lambda s: ImageCorruption(("gaussian_noise",), s), [1, 2, 3, 4, 5],
+                   task.train.count(), SEED)
+    hardened = fit_image_baseline(task, more)
+    noisy = ImageCorruption(("gaussian_noise",), 4, 0.5).transform(task.test, ["vec_id"], SEED)
+    rows = []
+    for name, scorer in (("plain", plain), ("augmented", hardened)):
+        for data, df in (("clean", task.test), ("noisy", noisy)):
+            value = task.score_predictions(scorer.score(df)).first()[0]
+            rows.append((name, data, None if value is None else float(value)))
+    return spark.createDataFrame(rows, "model string, data string, auc double")
+
+
+@register("impute_learned")
+def impute_learned(spark, sf):
+    part = MissingValues("p_type", 0.3).transform(table(spark, sf, "part"), ["p_partkey"], SEED)
+    imputer = fit_learned_imputer(part, "p_type", ["p_size", "p_retailprice"], ["p_brand"])
+    return imputer.transform(part).select("p_partkey", "p_type")
+
+
+@register("impact_fitted_model")
+def impact_fitted_model(spark, sf):
+    """Impact on a fitted model instead of fixed weights."""
+    task = bulk_task(spark, sf)
+    return ImpactEvaluator(task, fit_baseline(task)).evaluate(
+        [MissingValues("l_quantity", 0.5, na_value=-999), MissingValues("l_discount", 0.25, "MNAR")], 2)

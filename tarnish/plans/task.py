@@ -30,7 +30,7 @@ class Task:
     text: list[str] = field(default_factory=list)
     images: str | None = None
     seed: int = 0
-    classes: tuple | None = None
+    baseline: object = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         for df in (self.train, self.test):
@@ -78,7 +78,7 @@ class Task:
         return score_predictions(predictions, self.test, self.key, self.task_type, score, self.label, into)
 
     def with_train(self, train: DataFrame) -> "Task":
-        return replace(self, train=train)
+        return replace(self, train=train, baseline=None)
 
 
 def label_task_type(train: DataFrame, test: DataFrame, label: str, closed: bool | None = None) -> str | None:
