@@ -8,7 +8,7 @@ with one row per group and range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def score_histogram(df: DataFrame, score: str, label: str, by: list[str] = (), weight: Column | None = None) -> DataFrame:
@@ -116,11 +116,17 @@ def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
                         auc_value(F.col("b") + F.col("m"), p1, n1).alias("shifted_score"))
 
 
+def _class_text(df: DataFrame, column: str) -> Column:
+    """A class as text; numbers go through DOUBLE, so label 2 and prediction 2.0 are one class."""
+    number = isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType))
+    return (F.col(column).cast("double") if number else F.col(column)).cast("string")
+
+
 def confusion(df: DataFrame, prediction: str, label: str, by: list[str] = (), weight: Column | None = None) -> DataFrame:
     """(by.., label, prediction, n), missing values counted as their own class."""
     w = F.lit(1) if weight is None else weight
-    return df.groupBy(*by, F.col(label).cast("string").alias("label"),
-                      F.col(prediction).cast("string").alias("prediction")).agg(F.sum(w).cast("bigint").alias("n"))
+    return df.groupBy(*by, _class_text(df, label).alias("label"), _class_text(df, prediction).alias("prediction")).agg(
+        F.sum(w).cast("bigint").alias("n"))
 
 
 def macro_f1_of(counts: DataFrame, by: list[str] = (), into: str = "macro_f1") -> DataFrame:

@@ -81,21 +81,21 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed).persist()
     grid = learners(task.task_type, max_iter)
     try:
-        def one_fold(fold: int) -> list[float]:
-            fitted = _fit_all(rows.where(F.col("_fold") != fold), numerical, categorical, text, grid)
-            held = rows.where(F.col("_fold") == fold)
-            return [_cv_score(m, task.task_type, held) for m in fitted]
+        def one_fold(fold: int) -> list[float | None]:
+            parts = _fit_all(rows.where(F.col("_fold") != fold), numerical, categorical, text, grid)
+            return _held_out_scores(*parts, task.task_type, rows.where(F.col("_fold") == fold))
 
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
             by_fold = list(pool.map(one_fold, range(folds)))
         means = [_mean([f[i] for f in by_fold]) for i in range(len(grid))]
         order = max if METRICS[task.task_type][1] else min
         at = order(range(len(grid)), key=lambda i: means[i])
-        model = _fit_all(rows, numerical, categorical, text, [grid[at]])[0]
+        imputers, features, models = _fit_all(rows, numerical, categorical, text, [grid[at]])
     finally:
         rows.unpersist()
     scores = tuple((dict(p), s) for (p, _), s in zip(grid, means))
-    baseline = Baseline(model.scorer, model.imputers, grid[at][0], scores)
+    scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type)
+    baseline = Baseline(scorer, imputers, grid[at][0], scores)
     if own:
         task.baseline = baseline
     return baseline
@@ -107,28 +107,39 @@ def _mean(values: list[float | None]) -> float:
 
 
 def _fit_all(train: DataFrame, numerical: list[str], categorical: list[str], text: str | None,
-             grid: list[tuple[dict, Estimator]]) -> list[ChainedScorer]:
-    """Features once, then every learner on the same cached vectors."""
+             grid: list[tuple[dict, Estimator]]) -> tuple[tuple, PipelineModel, list]:
+    """Imputers and features once, then every learner on the same cached vectors."""
     imputers = _imputers(train, numerical, categorical, text)
-    filled = train
-    for imputer in imputers:
-        filled = imputer.transform(filled)
+    filled = _filled(train, imputers)
     features = feature_pipeline(numerical, categorical, text).fit(filled)
     vectors = features.transform(filled).select("features", "_label").persist()
     try:
-        fitted = []
-        for params, learner in grid:
-            model = learner.fit(vectors)
-            task_type = "regression" if "loss" in params else (
-                "binary" if learner.getFamily() == "binomial" else "multiclass")
-            fitted.append(ChainedScorer(ModelScorer(PipelineModel([features, model]), task_type), imputers))
-        return fitted
+        return imputers, features, [learner.fit(vectors) for _, learner in grid]
     finally:
         vectors.unpersist()
 
 
-def _cv_score(scorer: Scorer, task_type: str, held: DataFrame) -> float | None:
-    return task_metric(scorer.score(held, "_score"), task_type, "_score", "_label").first()[0]
+def _filled(df: DataFrame, imputers: tuple) -> DataFrame:
+    for imputer in imputers:
+        df = imputer.transform(df)
+    return df
+
+
+def _held_out_scores(imputers: tuple, features: PipelineModel, models: list, task_type: str,
+                     held: DataFrame) -> list[float | None]:
+    """The metric of every model on the held-out rows, all in one job."""
+    out = features.transform(_filled(held, imputers)).select("features", "_label")
+    cells = []
+    for i, model in enumerate(models):
+        names = {"predictionCol": f"_p{i}"}
+        if task_type != "regression":
+            names |= {"probabilityCol": f"_q{i}", "rawPredictionCol": f"_r{i}"}
+        out = model.copy({getattr(model, k): v for k, v in names.items()}).transform(out)
+        score = vector_to_array(f"_q{i}")[1] if task_type == "binary" else F.col(f"_p{i}")
+        cells.append(F.struct(F.lit(i).alias("setting"), score.alias("score")))
+    long = out.select("_label", F.explode(F.array(*cells)).alias("c")).select("_label", "c.setting", "c.score")
+    found = {r["setting"]: r["value"] for r in task_metric(long, task_type, "score", "_label", ["setting"]).collect()}
+    return [found.get(i) for i in range(len(models))]
 
 
 @dataclass(frozen=True)
@@ -198,5 +209,6 @@ def fit_learned_imputer(df: DataFrame, target: str, numerical: list[str] = (), c
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target)) - 1
     rows = known.select(*numerical, *categorical, index.cast("double").alias("_label"))
     learner = LogisticRegression(labelCol="_label", regParam=alpha, family="multinomial", maxIter=max_iter)
-    scorer = _fit_all(rows, list(numerical), list(categorical), None, [({"alpha": alpha}, learner)])[0]
-    return LearnedImputer(target, scorer, labels)
+    imputers, features, models = _fit_all(rows, list(numerical), list(categorical), None, [({}, learner)])
+    model = PipelineModel([features, models[0]])
+    return LearnedImputer(target, ChainedScorer(ModelScorer(model, "multiclass"), imputers), labels)
