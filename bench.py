@@ -45,7 +45,7 @@ def grid_60x10(spark, sf):
         "label", (F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "F", 60000).otherwise(0) > 270000).cast("int"))
     train, test = split(orders, ["o_orderkey"], 0.2, 7)
     task = Task(train, test, ["o_orderkey"], "label", BINARY, ["o_orderstatus", "o_orderpriority"],
-                ["o_totalprice", "month"], seed=7)
+                ["o_totalprice", "month"], seed=7).checkpointed(train=False)
     scorer = LinearScorer(-2.7, {"o_totalprice": (0.00001, 250000.0), "month": (0.01, 6.0)},
                           {"o_orderstatus": {"F": 0.6}, "o_orderpriority": {"1-URGENT": 0.05, "5-LOW": -0.05}})
     damage = grid(MissingValues, ["o_totalprice", "month", "o_orderstatus", "o_orderpriority"],

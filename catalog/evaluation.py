@@ -25,7 +25,7 @@ def bulk_task(spark, sf) -> Task:
     key = sql.KEYS["lineitem"]
     lines = bulk_lines(spark, sf).select(*key, "label", *g.FEATURES)
     train, test = split(lines, key, 0.2, SEED)
-    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED)
+    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED).checkpointed(train=False)
 
 
 def rounded(df, *keys):

@@ -86,7 +86,9 @@ class KeyedTable:
         if missing or not key:
             raise ValueError(f"key columns missing: {missing or 'none given'}")
         self.source, self.key, self.seed, self._rows = df, list(key), seed, rows
-        self.df = df.withColumn("_k", key_string(df, self.key)).withColumn("_v", row_base(F.col("_k")))
+        stored = "_k" in df.columns and "_v" in df.columns  # a checkpointed task carries them
+        self.df = df if stored else df.withColumn("_k", key_string(df, self.key)).withColumn(
+            "_v", row_base(F.col("_k")))
         self.tie = Salt.of(seed, "tie")
 
     @cached_property

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tarnish.operators.corrupt import is_number
 from tarnish.operators.metrics import METRICS, score_predictions, task_metric
-from tarnish.operators.sampling import random_split
+from tarnish.operators.sampling import KeyedTable, random_split
 from tarnish.operators.scoring import Scorer
 from tarnish.session import cut_lineage
 
@@ -61,13 +61,16 @@ class Task:
     def test_rows(self) -> int:
         return self.test.count()
 
-    def checkpointed(self) -> "Task":
-        """The same task with train and test rows written once to the shared checkpoint folder.
+    def checkpointed(self, train: bool = True) -> "Task":
+        """The same task with its rows written once to the shared checkpoint folder.
 
         An evaluation scans the test rows many times; without this every scan repeats the
-        work that made them (reading, splitting, labelling).
+        work that made them (reading, splitting, labelling) and hashes every row key.  Rows
+        are spread by key, so the files come out even after a split.
         """
-        return replace(self, train=cut_lineage(self.train), test=cut_lineage(self.test))
+        keyed = KeyedTable(self.test, self.key, self.seed, rows=0).df
+        test = cut_lineage(keyed.repartition(*self.key))
+        return replace(self, train=cut_lineage(self.train.repartition(*self.key)) if train else self.train, test=test)
 
     def performance(self, scorer: Scorer, into: str = "value") -> DataFrame:
         """The task's metric for a scorer on the clean test rows."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,27 @@ def local_session(name: str = "tarnish", cpus: str = "8", **settings: str) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (a
-    local test) a temporary one is used.
+    Only where that is unset, in a local test, a temporary folder stands in.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnish-checkpoint-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="tarnish-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back.
+
+    Later scans prune columns and push filters down, and a lost executor costs a re-read
+    instead of the work that made the rows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
