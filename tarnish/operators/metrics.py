@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tarnish.functions.concordance import SUMS_DDL, range_sums
+
 
 def score_histogram(df: DataFrame, score: str, label: str, by: list[str] = (), weight: Column | None = None) -> DataFrame:
     """(by.., x, pos, neg): how often each score occurs with label 1 and with label 0."""
@@ -68,36 +70,19 @@ def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
     ``clean`` is one score histogram, ``delta`` holds signed changes to it per group
     ``idx``.  The pair count is bilinear in positive and negative counts, so with clean
     counts P, N and changes dP, dN it moves by  (dP, N) + (P, dN) + (dP, dN).  Work and
-    shuffle grow with the changed rows, not with groups times rows.
+    shuffle grow with the changed rows, not with groups times rows.  Spark cuts and sorts the
+    rows by score; one pass over each range in Arrow batches adds them up.
     """
-    zero = F.lit(0).cast("bigint")
-    rows = clean.select(F.lit(None).cast("int").alias("idx"), "x", "pos", "neg",
-                        zero.alias("dp"), zero.alias("dn")).unionByName(
-        delta.select("idx", "x", zero.alias("pos"), zero.alias("neg"),
-                     F.col("pos").alias("dp"), F.col("neg").alias("dn")))
-    half, dp, dn = F.lit(0.5), F.col("dp").cast("double"), F.col("dn").cast("double")
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    upto = Window.partitionBy("_r").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy("_r", "x")
-    own_below = Window.partitionBy("_r", "idx").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    looked_up = (
-        _cut_by_score(rows)
-        # clean counts below each score plus half of those tied; delta rows only look up
-        .withColumn("_n", _running("neg", upto) - half * _running("neg", tied))
-        .withColumn("_p", _running("pos", upto) - half * _running("pos", tied))
-        .withColumn("_own", _running("dn", own_below))
-    )
-    ranges = looked_up.groupBy("_r", "idx").agg(
-        F.sum(pos).alias("P"), F.sum(neg).alias("N"), F.sum(dp).alias("dP"), F.sum(dn).alias("dN"),
-        F.sum(pos * F.col("_n")).alias("base"),
-        F.sum(dp * (F.col("_n") + F.col("_own") + half * dn) - dn * F.col("_p")).alias("moved"),
-    )
+    columns = ["x", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg")]
+    rows = clean.select(F.lit(-1).alias("idx"), *columns).unionByName(
+        delta.select(F.col("idx").cast("int").alias("idx"), *columns))
+    sorted_ranges = _cut_by_score(rows).select("_r", "idx", "x", "pos", "neg").sortWithinPartitions("x")
+    ranges = sorted_ranges.mapInArrow(range_sums(groups), SUMS_DDL)
     # every group gets a copy of the clean range totals: (ranges x groups) small rows
     everyone = F.sequence(F.lit(0), F.lit(groups - 1))
     sums = ["P", "N", "dP", "dN", "base", "moved"]
     dense = (
-        ranges.withColumn("idx", F.explode(F.when(F.col("idx").isNull(), everyone)
-                                           .otherwise(F.array("idx"))))
+        ranges.withColumn("idx", F.explode(F.when(F.col("idx") < 0, everyone).otherwise(F.array("idx"))))
         .groupBy("idx", "_r").agg(*[F.sum(c).alias(c) for c in sums])
     )
     before = Window.partitionBy("idx").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
