@@ -21,11 +21,11 @@ from tarnish.plans.evaluate import ImpactEvaluator, SchemaEvaluator, grid
 from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, split
 
 
-def bulk_task(spark, sf) -> Task:
+def bulk_task(spark, sf, store_train: bool = False) -> Task:
     key = sql.KEYS["lineitem"]
     lines = bulk_lines(spark, sf).select(*key, "label", *g.FEATURES)
     train, test = split(lines, key, 0.2, SEED)
-    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED).checkpointed(train=False)
+    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED).checkpointed(store_train)
 
 
 def rounded(df, *keys):
@@ -104,7 +104,7 @@ def _codes():
 SELECT scenario_id, rep, codes, codes <> '' AS anomaly_detected, round({g.base_score()}, 6) AS baseline_score,
        round(auc, 6) AS corrupted_score FROM scen JOIN after USING (idx) JOIN verdict USING (idx)""")
 def schema_eval(spark, sf):
-    found = SchemaEvaluator(bulk_task(spark, sf), LINE_SCORER).evaluate(_mixed(), 2)
+    found = SchemaEvaluator(bulk_task(spark, sf, store_train=True), LINE_SCORER).evaluate(_mixed(), 2)
     return rounded(found, _codes(), "anomaly_detected")
 
 
@@ -117,7 +117,7 @@ judged AS (SELECT *, CASE WHEN found AND (b - c) / b > 0.03 THEN 'TP' WHEN found
 
 
 def _stress(spark, sf):
-    task = bulk_task(spark, sf)
+    task = bulk_task(spark, sf, store_train=True)
     return stress.stress_test(task, LINE_SCORER, infer_schema(task.train, task.features), STRESS_COUNT, 0.03)
 
 

@@ -65,7 +65,7 @@ def _report(spark, task, scorer):
 
 @register("fit_binary")
 def fit_binary(spark, sf):
-    task = bulk_task(spark, sf)
+    task = bulk_task(spark, sf, store_train=True)
     return _report(spark, task, fit_baseline(task))
 
 
@@ -125,6 +125,6 @@ def impute_learned(spark, sf):
 @register("impact_fitted_model")
 def impact_fitted_model(spark, sf):
     """Impact on a fitted model instead of fixed weights."""
-    task = bulk_task(spark, sf)
+    task = bulk_task(spark, sf, store_train=True)
     return ImpactEvaluator(task, fit_baseline(task)).evaluate(
         [MissingValues("l_quantity", 0.5, na_value=-999), MissingValues("l_discount", 0.25, "MNAR")], 2)

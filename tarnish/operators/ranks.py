@@ -183,7 +183,10 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], n: int, *,
                 for _ in range(12):
                     if all(b.inside <= finish_rows or b.lo == b.hi is not None for b in brackets):
                         break
+                    wide = max(b.inside for b in brackets)
                     brackets = _refine(data, brackets, kind, sigmas)
+                    if max(b.inside for b in brackets) > 0.8 * wide:
+                        break  # a few heavy values fill the bracket; they fold into a few counts
             except LookupError:
                 continue
         found |= _read_off(data, brackets, kind)

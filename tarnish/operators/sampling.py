@@ -22,6 +22,7 @@ NONE, ALL, DRAW, WINDOW = 0, 1, 2, 3
 
 # Below this many rows a table may sit in one file block, and a copy of its keys is cheap to hold.
 SMALL_TABLE = 5_000_000
+FEW_ROWS = 100_000
 FEW_RULES = 8
 
 
@@ -144,13 +145,17 @@ class RowRules:
             return
         table, n = self.table, self.table.rows
         self.columns = list(self._by_rank)
-        cached = None
-        if len(self._by_draw) + sum(map(len, self._by_rank.values())) > FEW_RULES and n < SMALL_TABLE:
-            # a small table is hashed once, spread over all cores, and kept for the searches
-            cached = table.df.select("_k", "_v", *self.columns).repartition(
-                table.df.sparkSession.sparkContext.defaultParallelism, "_k").persist()
-        data = table.df if cached is None else cached
-        plain = table.source if cached is None else cached
+        data, plain, cached = table.df, table.source, None
+        many = len(self._by_draw) + sum(map(len, self._by_rank.values())) > FEW_RULES
+        if n < SMALL_TABLE and (many or n > FEW_ROWS and self._by_draw):
+            # a table this small may sit in one file block: hash it on all cores, and keep
+            # keys and order columns while there are many searches
+            needed = list(dict.fromkeys([*table.key, *[c for c in ("_k", "_v") if c in table.source.columns], *self.columns]))
+            cores = table.source.sparkSession.sparkContext.defaultParallelism
+            spread = table.source.select(*needed).repartition(cores, *table.key)
+            data = KeyedTable(spread, table.key, table.seed, rows=n).df
+            if many:
+                cached = plain = data = data.persist()
         try:
             with ThreadPoolExecutor(max_workers=8) as pool:
                 columns = {c: pool.submit(self._ends, c, spans, n, data, plain)

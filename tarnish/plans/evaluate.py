@@ -1,11 +1,11 @@
 """Impact of many corruptions on a scorer, and on a schema, in one job.
 
-The reference behaviour is a loop: corrupt a copy of the test data, score it, repeat.
-Here every (corruption, repetition) is one small record.  Each test row is tested against
-all records where it lies, and only the rows a record damages go on: they are rewritten,
-scored again, and turned into a signed change (minus the old score, plus the new one) of
-the clean result.  So the cost is one pass over the test rows plus work in proportion to
-the damaged rows, and the plan does not grow with the number of repetitions.
+The plain way is a loop: corrupt a copy of the test data, score it, repeat.  Here every
+(corruption, repetition) is one small record.  Each test row is tested against all records
+where it lies, and only the rows a record damages go on: they are rewritten, scored again,
+and turned into a signed change (minus the old score, plus the new one) of the clean
+result.  So the cost is one pass over the test rows plus work in proportion to the damaged
+rows, and the plan does not grow with the number of repetitions.
 """
 
 from __future__ import annotations
