@@ -32,7 +32,7 @@ def _profile_sql(name: str, source: str, numbers: dict[str, str], strings: list[
 
 
 def _profile(df, columns):
-    found = profile(df, columns, accuracy=200_000)
+    found = profile(df, columns, exact=True)
     return found.select(
         "column", "type", "present", "missing", "zeros", "min", "max", F.round("mean", 6).alias("mean"),
         F.round("std", 4).alias("std"), F.col("q50").alias("median"), "min_length", "max_length",

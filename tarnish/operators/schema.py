@@ -8,12 +8,15 @@ subtracted from the clean table's counts.
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tarnish.operators.clean import unpivot_text
 from tarnish.operators.corrupt import INTEGRAL
+from tarnish.operators.ranks import values_at_ranks
 
 # Fixed value: a string column with more distinct values than this has no closed domain.
 MAX_DOMAIN = 100
@@ -40,17 +43,39 @@ def missing(kind: T.DataType, col: Column) -> Column:
     return col.isNull()
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def exact_quartiles(df: DataFrame, columns: list[str]) -> dict[str, list[float | None]]:
+    """Quartiles of numeric columns as values that occur, found by distributed selection."""
+    parts = [F.count_if(~missing(df.schema[c].dataType, F.col(c))).alias(f"n{i}") for i, c in enumerate(columns)]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
+
+    def one(item: tuple[int, str]) -> list[float | None]:
+        present = counts[f"n{item[0]}"]
+        if not present:
+            return [None] * len(QUARTERS)
+        ranks = [max(0, math.ceil(q * present) - 1) for q in QUARTERS]
+        found = values_at_ranks(df, item[1], ranks, counts["rows"])
+        return [float(found[r]["v"]) for r in ranks]
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return dict(zip(columns, pool.map(one, enumerate(columns))))
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """One row of statistics per column.
 
     Numbers: count, missing, zeros, min, max, mean, standard deviation, quartiles.  Strings:
     distinct values, commonest value and its count, shortest, longest and mean length.  The
     numeric side is one aggregate without any shuffle of rows; the string side is one
-    shuffle of (column, value) counts for all columns together.
+    shuffle of (column, value) counts for all columns together.  Quartiles come from a
+    sketch, or, with ``exact``, from a few more scans of one column each.
     """
     columns = columns or df.columns
     fields = {c: df.schema[c].dataType for c in columns}
     numbers = [c for c in columns if type_class(fields[c]) in ("INT", "FLOAT")]
+    quartiles = exact_quartiles(df, numbers) if exact else {}
     strings = [c for c in columns if type_class(fields[c]) in ("STRING", "BOOLEAN")]
     parts: list[Column] = []
     for i, c in enumerate(columns):
@@ -60,7 +85,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
             x = F.when(~gone, F.col(c).cast("double"))
             parts += [F.count_if(x == 0).alias(f"z{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
                       F.avg(x).alias(f"avg{i}"), F.stddev_pop(x).alias(f"sd{i}"),
-                      F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}")]
+                      *([] if exact else [F.percentile_approx(x, list(QUARTERS), accuracy).alias(f"q{i}")])]
         elif c in strings:
             size = F.length(F.col(c).cast("string"))
             parts += [F.min(size).alias(f"lmin{i}"), F.max(size).alias(f"lmax{i}"), F.avg(size).alias(f"lavg{i}")]
@@ -69,6 +94,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
     def cell(i: int, name: str, none: Column, c: str, group: list[str]) -> Column:
         return F.col(f"{name}{i}") if c in group else none
 
+    def quartile(i: int, c: str, j: int) -> Column:
+        if c not in numbers:
+            return double
+        return F.lit(quartiles[c][j]).cast("double") if exact else F.col(f"q{i}")[j]
+
     rows = F.array(*[
         F.struct(
             F.lit(c).alias("column"), F.lit(type_class(fields[c])).alias("type"),
@@ -76,7 +106,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
             cell(i, "z", whole, c, numbers).alias("zeros"),
             cell(i, "lo", double, c, numbers).alias("min"), cell(i, "hi", double, c, numbers).alias("max"),
             cell(i, "avg", double, c, numbers).alias("mean"), cell(i, "sd", double, c, numbers).alias("std"),
-            *[(F.col(f"q{i}")[j] if c in numbers else double).alias(f"q{p}") for j, p in enumerate((25, 50, 75))],
+            *[quartile(i, c, j).alias(f"q{p}") for j, p in enumerate((25, 50, 75))],
             cell(i, "lmin", whole, c, strings).cast("bigint").alias("min_length"),
             cell(i, "lmax", whole, c, strings).cast("bigint").alias("max_length"),
             cell(i, "lavg", double, c, strings).alias("mean_length"),
