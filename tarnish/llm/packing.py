@@ -15,6 +15,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from tarnish.session import ship
 #: Documents that wait for a place, per task.
 POOL = 256
 #: Pieces in the tokenizer's memory, per Python worker.
-MEMORY = 400_000
+MEMORY = 1_000_000
+#: Documents that are tokenized together.
+ROWS = 128
 ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                  ("n_loss", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                  ("segment", pa.int64())])
@@ -65,22 +68,21 @@ class Tokens:
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        out = []
-        for pieces in self.splitter.split(text):
-            new = list(set(pieces).difference(self.known))
-            if new:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                    new = list(set(pieces))
-                for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[piece] = np.array(found.ids, "<u4").tobytes()
-            out.extend(map(self.known.__getitem__, pieces))
-        out.append(self.end)
-        return b"".join(out)
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; pieces new to the memory are encoded in one call."""
+        texts = [t or "" for t in texts]
+        plain = [not any(s in t for s in self.special) for t in texts]
+        split = [list(chain.from_iterable(self.splitter.split(t))) if p else None for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        new = list(set(chain.from_iterable(s for s in split if s)).difference(self.known))
+        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is None:
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            else:
+                yield b"".join(map(self.known.__getitem__, pieces)) + self.end
 
 
 class _Waiting:
@@ -200,10 +202,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, limits: Limits
     tokens = _TOKENS[path, end]
     packer = Packer(limits, TaskContext.get().partitionId() << 40)
     for batch in batches:
-        for doc_id, text, loss in zip(*batch.columns, strict=True):
-            packer.add(doc_id.as_py(), tokens.encode(text.as_py()), loss.as_py())
-            if len(packer.rows) >= 2000:
-                yield packer.batch()
+        for at in range(0, batch.num_rows, ROWS):
+            doc_ids, texts, losses = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+            for doc_id, ids, loss in zip(doc_ids, tokens.encode(texts), losses, strict=True):
+                packer.add(doc_id, ids, loss)
+            yield packer.batch()
     packer.finish()
     yield packer.batch()
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import packing, quality, secrets, simhash, sql
+from tarnish.llm import bpe, packing, quality, secrets, simhash, sql
 
 #: The tokenizer files, as this installation names them; operators take them as parameters.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    digests = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return bpe.decode(digests, RANKS, keep=False).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
