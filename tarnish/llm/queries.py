@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import bpe, packing, quality, secrets, simhash, sql
+from tarnish.llm import bpe, lm, packing, quality, secrets, simhash, sql
 
 #: The tokenizer files, as this installation names them; operators take them as parameters.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "segment", "n_loss")
 
 
+def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(_table(spark, folder, "documents"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
