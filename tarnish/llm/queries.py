@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import bpe, lm, packing, quality, secrets, simhash, sql
+from tarnish.llm import bpe, embeddings, lm, packing, preference, quality, secrets, simhash, sql, urls, warc
 
 #: The tokenizer files, as this installation names them; operators take them as parameters.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,21 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    out = preference.pairs(turns, preference.diverted(turns), "conv_id")
+    return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", preference.written(F.col("chosen_spans")).alias("chosen_spans"),
+                      preference.written(F.col("rejected_spans")).alias("rejected_spans"))
+
+
+def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(_table(spark, folder, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -55,9 +70,15 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = warc.new_folder(spark)
+    warc.write(_table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": sql.QUALITY}
+    return {"op4_preference": sql.PREFERENCE, "op5_urls": sql.URLS, "op9_quality": sql.QUALITY, "op10_warc": sql.WARC}

@@ -16,13 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarnish.llm.common import fresh, let
+from tarnish.llm.common import fresh, let, sums_before
 
 #: Share of random strings among the rejected candidates.
 RATE = 0.05
 MASK = "[SECRET]"
-#: Positions that are summed up one after the other; see ``_before``.
-BLOCK = 256
 #: p-values are binned by quarter powers of two, down to 2^-64.
 BINS = 256
 
@@ -49,25 +47,6 @@ LENGTHS = (27, 35, 47, 71, 127)
 SPAN = "struct<start:int,kind:int,stop:int>"
 
 
-def _before(sizes: Column) -> Column:
-    """For each element the sum of those before it; in blocks, so that long lists take no quadratic time."""
-    def running(xs: Column) -> Column:
-        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    def of(xs: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
-        parts = F.transform(starts, lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
-
-        def joined(ps: Column) -> Column:
-            sums = F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x))
-            return let(let(sums, running), lambda base: F.flatten(F.transform(
-                ps, lambda p, b: let(F.slice(running(p), 1, F.size(p)), lambda inner: F.transform(inner, lambda x: x + F.get(base, b))))))
-
-        return let(parts, joined)
-
-    return let(sizes, of)
-
-
 def matches(text: Column, pattern: str) -> Column:
     """(start, stop, found) of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -76,7 +55,7 @@ def matches(text: Column, pattern: str) -> Column:
     """
     def placed(found: Column, gaps: Column) -> Column:
         lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        return let(_before(lengths), lambda base: F.transform(found, lambda m, i: let(
+        return let(sums_before(lengths), lambda base: F.transform(found, lambda m, i: let(
             F.get(base, i) + F.length(F.get(gaps, i)), lambda at: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("found")))))
 
     empty = F.array().cast("array<struct<start:int,stop:int,found:string>>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnish.llm import quality as q
+from tarnish.llm import preference as f, quality as q, urls as u
 
 
 def _quoted(pattern: str) -> str:
@@ -40,3 +40,56 @@ SELECT doc_id, n_words::BIGINT AS n_words, all_chars::BIGINT AS word_chars, n_sy
        lost::BIGINT AS lost_chars
 FROM base
 """
+
+# Base 32 of the 160 bits of a SHA-1: 32 digits of five bits, from four pieces of 40 bits.
+WARC = """
+WITH body AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+dig AS (SELECT page_id, strlen(t) AS n, sha1(t) AS h FROM body),
+grp AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS last FROM dig)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((CAST('0x' || substr(h, (i // 8) * 10 + 1, 10) AS BIGINT)) >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM grp
+"""
+
+_FITS = " ".join(
+    f"WHEN (host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'"
+    for r in sorted(u.RULES, key=len, reverse=True))
+_SAYS = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in u.RULES.items())
+
+URLS = rf"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {_FITS} END AS rule FROM parts)
+SELECT page_id, host, path, rule,
+       CASE rule {_SAYS} ELSE CASE WHEN regexp_matches(host, {_quoted(u.MARKS)}) THEN 'block' ELSE 'allow' END END AS verdict
+FROM ruled
+"""
+
+_TURN = f"'{f.HEAD}' || replace(coalesce(role, 'unknown'), '<|', '< |') || '{f.MIDDLE}'".replace("\n", "' || chr(10) || '")
+_BODY = f"replace(coalesce(text, ''), '<|', '< |') || '{f.TAIL}'".replace("\n", "' || chr(10) || '")
+
+PREFERENCE = f"""
+WITH firsts AS (SELECT conv_id, min(turn) AS a FROM conversations WHERE role = '{f.ASSISTANT}' GROUP BY conv_id),
+after AS (SELECT c.conv_id - 1 AS conv_id, turn, role, text FROM conversations c JOIN firsts ON firsts.conv_id = c.conv_id - 1 WHERE turn >= a),
+rej AS (SELECT conv_id, turn, role, text FROM conversations JOIN firsts USING (conv_id) WHERE turn < a AND conv_id IN (SELECT conv_id FROM after)
+        UNION ALL SELECT * FROM after),
+cho AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IN (SELECT conv_id FROM rej)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS k,
+                {_TURN} AS head, {_BODY} AS body
+         FROM (SELECT 'c' AS side, * FROM cho UNION ALL SELECT 'r' AS side, * FROM rej)),
+same AS (SELECT c.conv_id, c.k, r.k IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS eq
+         FROM (SELECT * FROM turns WHERE side = 'c') c LEFT JOIN (SELECT * FROM turns WHERE side = 'r') r ON r.conv_id = c.conv_id AND r.k = c.k),
+cut AS (SELECT conv_id, coalesce(min(k) FILTER (WHERE NOT eq) - 1, max(k)) AS n FROM same WHERE conv_id IN (SELECT conv_id FROM rej) GROUP BY conv_id),
+spans AS (SELECT turns.*, n, sum(len(head) + len(body)) OVER (PARTITION BY side, conv_id, k > n ORDER BY k) AS stop FROM turns JOIN cut USING (conv_id))
+SELECT conv_id, any_value(n)::INT AS n_prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 'c' AND k <= n), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 'c' AND k > n), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 'r' AND k > n), '') AS rejected,
+       coalesce(string_agg((stop - len(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY k) FILTER (WHERE side = 'c' AND k > n AND role = '{f.ASSISTANT}'), '') AS chosen_spans,
+       coalesce(string_agg((stop - len(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY k) FILTER (WHERE side = 'r' AND k > n AND role = '{f.ASSISTANT}'), '') AS rejected_spans
+FROM spans GROUP BY conv_id
+"""
