@@ -35,12 +35,12 @@ from tarnish.session import cut_lineage, ship
 MASS = 2.0
 ORDER = 2
 #: Bytes of text in a block, and n-grams that a shard adds up, about.
-BLOCK = 4 << 20
-SHARD = 3_000_000
+BLOCK = 2 << 20
+SHARD = 2_000_000
 
 BLOCKS_DDL = "block long, doc_ids binary, no_id binary, held_out binary, sizes binary, texts binary, grams long, train_tokens long, train_docs long"
 COUNTS_DDL = "shard int, block long, level int, hashes binary, counts binary"
-TOTALS_DDL = "block long, level int, hashes binary, counts binary, types long"
+TOTALS_DDL = "block long, shard int, level int, short binary, counts binary, types long"
 SCORES_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 _START, _END = 0, 1  # token numbers of the start, which is only a context, and of the end
@@ -146,40 +146,57 @@ def _from_low(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _dealt(grams: dict, shards: int) -> list[tuple[int, np.ndarray]]:
+    """The grams of each shard, in the order of their low bits; the same whenever a block is read."""
+    shard = (grams["hash"] >> np.uint64(48)) % np.uint64(shards)
+    by = np.lexsort((grams["hash"] & _LOW, shard))
+    ends = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
+    return [(s, by[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+
+
 def _counts(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
     """A row per shard and level of each block: n-grams by the low bits of their hashes, and own counts."""
     for batch in batches:
         for row in batch.to_pylist():
             for level, grams in enumerate(Block(row, order).levels):
-                shard = (grams["hash"] >> np.uint64(48)) % np.uint64(shards)
-                by = np.lexsort((grams["hash"] & _LOW, shard))
-                ends = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
-                rows = [(s, by[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+                rows = _dealt(grams, shards)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _ in rows], pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()),
                     pa.array([level] * len(rows), pa.int32()), pa.array([_low_bytes(grams["hash"][k]) for _, k in rows], pa.binary()),
                     pa.array([grams["own"][k].astype("<u4").tobytes() for _, k in rows], pa.binary())], _names(COUNTS_DDL))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, so that the high ones, nearly all zero, take no room."""
+    return zlib.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _totals(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a shard, for the blocks whose own counts fall short; and its number of trained words."""
-    out, types = [], 0
+    """Totals of a shard, for the blocks whose own counts fall short; and its number of trained words.
+
+    A block knows its grams of the shard in order, so it gets a bit for each (``short``: whether
+    others add to it) and the totals of those.
+    """
+    out, types, shard = [], 0, int(group["shard"].iloc[0])
     for level, rows in group.groupby("level"):
         hashes = [_from_low(h) for h in rows["hashes"]]
-        sizes = np.array([len(h) for h in hashes])
+        ends = np.cumsum([len(h) for h in hashes])
         own = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"]]).astype(np.int64)
         kinds, at = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(at, own, len(kinds)).astype(np.int64)
         if level == 0:
             types = int((total > 0).sum())
-        more = total[at] != own
-        ends = np.cumsum(sizes)
-        for block, h, a, b in zip(rows["block"], hashes, ends - sizes, ends):
-            mine = more[a:b]
-            if mine.any():
-                out.append((block, level, _low_bytes(h[mine]), total[at[a:b][mine]].astype("<i8").tobytes(), 0))
-    out.append((None, 0, b"", b"", types))
-    return pd.DataFrame(out, columns=["block", "level", "hashes", "counts", "types"]).astype({"block": "Int64"})
+        total = total[at]
+        for block, a, b in zip(rows["block"], [0, *ends[:-1]], ends):
+            short = total[a:b] != own[a:b]
+            if short.any():
+                out.append((block, shard, level, np.packbits(short).tobytes(), _packed(total[a:b][short]), 0))
+    out.append((None, shard, 0, b"", b"", types))
+    return pd.DataFrame(out, columns=_names(TOTALS_DDL)).astype({"block": "Int64"})
 
 
 class Automaton:
@@ -228,15 +245,16 @@ class Automaton:
         return total
 
 
-def _score(blocks: pd.DataFrame, added: pd.DataFrame, order: int, mass: float, n: int, v: int) -> pd.DataFrame:
+def _score(blocks: pd.DataFrame, added: pd.DataFrame, order: int, mass: float, n: int, v: int, shards: int) -> pd.DataFrame:
     block = Block(blocks.iloc[0], order)
+    more = {(r.shard, r.level): (r.short, r.counts) for r in added.itertuples()}
     totals = []
     for level, grams in enumerate(block.levels):
-        total, low = grams["own"].copy(), grams["hash"] & _LOW
-        by = np.argsort(low)
-        mine = added[added["level"] == level]
-        for hashes, counts in zip(mine["hashes"], mine["counts"], strict=True):
-            total[by[np.searchsorted(low, _from_low(hashes), sorter=by)]] = np.frombuffer(counts, "<i8")
+        total = grams["own"].copy()
+        for shard, mine in _dealt(grams, shards):
+            if (shard, level) in more:
+                short, counts = more[shard, level]
+                total[mine[np.unpackbits(np.frombuffer(short, np.uint8), count=len(mine)).astype(bool)]] = _unpacked(counts)
         totals.append(total)
     machine = Automaton(block.levels, totals, n, v, mass)
     tokens = block.levels[0]["at"]
@@ -265,7 +283,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     counts = blocks.mapInArrow(partial(_counts, order=order, shards=shards), COUNTS_DDL)
     totals = cut_lineage(counts.repartition(shards, "shard").groupBy("shard").applyInPandas(_totals, TOTALS_DDL))
     kinds = totals.agg(F.sum("types")).first()[0] or 0
-    run = partial(_score, order=order, mass=mass, n=n or 0, v=kinds - (1 if trained else 0))  # the start is no word
+    run = partial(_score, order=order, mass=mass, n=n or 0, v=kinds - (1 if trained else 0), shards=shards)  # the start is no word
 
     def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(left, right)
