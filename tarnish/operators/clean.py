@@ -26,8 +26,9 @@ class Imputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({
-            c: F.coalesce(_present(df, c), F.lit(v).cast(df.schema[c].dataType) if not isinstance(v, float)
-                          else F.lit(v)) for c, v in self.fills.items() if v is not None
+            c: F.coalesce(_present(df, c).cast("double"), F.lit(v)) if isinstance(v, float)
+            else F.coalesce(_present(df, c), F.lit(v).cast(df.schema[c].dataType))
+            for c, v in self.fills.items() if v is not None
         })
 
 
@@ -90,10 +91,10 @@ class ConditionalMode:
     def transform(self, df: DataFrame) -> DataFrame:
         known = self.table.select(*[F.col(c).alias(f"_in_{c}") for c in self.inputs], F.col("_mode"))
         match = [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in self.inputs]
-        condition = F.col(self.target).isNull()
+        condition = _present(df, self.target).isNull()
         for m in match:
             condition = condition & m
-        filled = F.coalesce(F.col(self.target), F.col("_mode"), F.lit(self.fallback))
+        filled = F.coalesce(_present(df, self.target), F.col("_mode"), F.lit(self.fallback))
         return df.join(known, condition, "left").select(
             *[filled.alias(c) if c == self.target else F.col(c) for c in df.columns])
 
@@ -101,7 +102,7 @@ class ConditionalMode:
 def fit_conditional_mode(df: DataFrame, target: str, inputs: list[str]) -> ConditionalMode:
     """Count (inputs, target) pairs, then keep the largest count and smallest value per inputs."""
     counts = (
-        df.where(F.col(target).isNotNull()).groupBy(*inputs, target).agg(F.count(F.lit(1)).alias("n"))
+        df.where(_present(df, target).isNotNull()).groupBy(*inputs, target).agg(F.count(F.lit(1)).alias("n"))
     )
     best = F.min(F.struct(-F.col("n"), F.col(target).alias("value")))
     table = counts.groupBy(*inputs).agg(best.alias("_best")).select(*inputs, F.col("_best.value").alias("_mode"))

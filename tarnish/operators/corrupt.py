@@ -222,8 +222,10 @@ class MissingByConfidence(MissingValues):
             scored = scored.drop("_score")
         else:
             ranked = self.scorer.score(self.predict_on, "_score")
-            ranked = ranked.select(*key, self.scorer.confidence("_score").alias("_confidence"))
-            scored = df.join(ranked, key, "left")
+            ranked = ranked.select(*key, self.scorer.confidence("_score").alias("_confidence"), F.lit(True).alias("_known"))
+            absent = F.raise_error(F.lit("predict_on lacks a row of the table")).cast("double")
+            scored = df.join(ranked, key, "left").withColumn(
+                "_confidence", F.when(F.col("_known"), F.col("_confidence")).otherwise(absent)).drop("_known")
         keyed = KeyedTable(scored, key, seed)
         out = MissingValues._transform(self, keyed, seed, features, hit)
         return out.select(*df.columns, *([hit] if hit else []))

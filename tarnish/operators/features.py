@@ -20,13 +20,16 @@ def cast_to_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def standardise(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population standard deviation of the training rows; constants become 0."""
+    """(x - mean) / population standard deviation of the training rows; constants become 0.
+
+    NaN is a missing cell: it takes no part in the fit and becomes NULL.
+    """
     source = df if train is None else train
-    parts = [e for c in columns for e in (F.avg(F.col(c).cast("double")).alias(f"a_{c}"),
-                                          F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}"))]
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    parts = [e for c in columns for e in (F.avg(known[c]).alias(f"a_{c}"), F.stddev_pop(known[c]).alias(f"s_{c}"))]
     fitted = source.agg(*parts).first()
     return df.withColumns({
-        c: (F.col(c).cast("double") - F.lit(fitted[f"a_{c}"])) / F.lit(fitted[f"s_{c}"] or 1.0) for c in columns})
+        c: (known[c] - F.lit(fitted[f"a_{c}"])) / F.lit(fitted[f"s_{c}"] or 1.0) for c in columns})
 
 
 def one_hot_stages(columns: list[str], suffix: str = "_hot") -> list:
@@ -51,7 +54,7 @@ def hashed_text_stages(column: str, into: str, dimensions: int = TEXT_DIMENSIONS
     ]
 
 
-def feature_pipeline(numerical: list[str], categorical: list[str], text: str | None = None,
+def feature_pipeline(numerical: list[str], categorical: list[str], text: list[str] | None = None,
                      into: str = "features") -> Pipeline:
     """Scaled numbers, one-hot categories and hashed text side by side."""
     stages, parts = [], []
@@ -62,9 +65,9 @@ def feature_pipeline(numerical: list[str], categorical: list[str], text: str | N
     if categorical:
         stages += one_hot_stages(categorical)
         parts += [f"{c}_hot" for c in categorical]
-    if text:
-        stages += hashed_text_stages(text, "_text_vector")
-        parts.append("_text_vector")
+    for column in text or ():
+        stages += hashed_text_stages(column, f"{column}_text_vector")
+        parts.append(f"{column}_text_vector")
     if not parts:
         raise ValueError("no feature columns")
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=into)])

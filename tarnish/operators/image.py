@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tarnish.functions import pixels as px
 from tarnish.functions.rand import Salt, normal
 from tarnish.operators.sampling import Draw, KeyedTable, RowRules, check_fraction
+from tarnish.session import ship
 
 EXPRESSIONS = ("gaussian_noise", "contrast", "brightness")
 
@@ -106,6 +107,7 @@ class ImageCorruption:
             for f in df.schema.fields])
         ready = marked.select(*df.columns, "_hit", "_v")
         salt = Salt.of(seed, "image").a
+        ship(df.sparkSession)
         return ready.mapInPandas(_batches(self.kinds, self.severity, salt, self.column), out)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tarnish.functions.concordance import SUMS_DDL, range_sums
+from tarnish.session import ship
 
 
 def score_histogram(df: DataFrame, score: str, label: str, by: list[str] = (), weight: Column | None = None) -> DataFrame:
@@ -77,6 +78,7 @@ def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
     rows = clean.select(F.lit(-1).alias("idx"), *columns).unionByName(
         delta.select(F.col("idx").cast("int").alias("idx"), *columns))
     sorted_ranges = _cut_by_score(rows).select("_r", "idx", "x", "pos", "neg").sortWithinPartitions("x")
+    ship(clean.sparkSession)
     ranges = sorted_ranges.mapInArrow(range_sums(groups), SUMS_DDL)
     # every group gets a copy of the clean range totals: (ranges x groups) small rows
     everyone = F.sequence(F.lit(0), F.lit(groups - 1))
@@ -168,6 +170,13 @@ def task_metric(df: DataFrame, task_type: str, score: str, label: str, by: list[
 
 def score_predictions(predictions: DataFrame, labels: DataFrame, key: list[str], task_type: str,
                       score: str = "score", label: str = "label", into: str = "value") -> DataFrame:
-    """Score predictions made elsewhere against the true labels, matched by key."""
-    both = labels.select(*key, label).join(predictions.select(*key, score), key)
+    """Score predictions made elsewhere against the true labels, matched by key.
+
+    Every label needs one prediction: a missing, repeated or NULL one raises.
+    """
+    per_key = predictions.groupBy(*key).agg(F.first(score).alias(score), F.count(F.lit(1)).alias("_n"))
+    both = labels.select(*key, label).join(per_key, key, "left")
+    missing, repeated = both.agg(F.count_if(F.col(score).isNull()), F.count_if(F.col("_n") > 1)).first()
+    if missing or repeated:
+        raise ValueError(f"{missing} labels without a prediction, {repeated} with several")
     return task_metric(both, task_type, score, label, into=into)

@@ -48,14 +48,14 @@ def with_folds(df: DataFrame, key: list[str], folds: int, seed: object) -> DataF
     return df.withColumn("_fold", F.floor(draw * folds).cast("int"))
 
 
-def _imputers(df: DataFrame, numerical: list[str], categorical: list[str], text: str | None) -> tuple:
+def _imputers(df: DataFrame, numerical: list[str], categorical: list[str], text: list[str]) -> tuple:
     found = []
     if numerical:
         found.append(fit_mean(df, numerical))
     if categorical:
         found.append(fit_mode(df, categorical))
     if text:
-        found.append(fill_constant({text: ""}))
+        found.append(fill_constant(dict.fromkeys(text, "")))
     return tuple(found)
 
 
@@ -76,8 +76,8 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         raise ValueError(f"training rows need the label column {task.label!r}")
     numerical = task.numerical if numerical is None else numerical
     categorical = task.categorical if categorical is None else categorical
-    text = task.text[-1] if task.text else None
-    keep = [*task.key, *numerical, *categorical, *([text] if text else []), F.col(task.label).cast("double").alias("_label")]
+    text = list(task.text)
+    keep = [*task.key, *numerical, *categorical, *text, F.col(task.label).cast("double").alias("_label")]
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed).persist()
     grid = learners(task.task_type, max_iter)
     try:
@@ -106,7 +106,7 @@ def _mean(values: list[float | None]) -> float:
     return sum(known) / len(known) if known else float("nan")
 
 
-def _fit_all(train: DataFrame, numerical: list[str], categorical: list[str], text: str | None,
+def _fit_all(train: DataFrame, numerical: list[str], categorical: list[str], text: list[str],
              grid: list[tuple[dict, Estimator]]) -> tuple[tuple, PipelineModel, list]:
     """Imputers and features once, then every learner on the same cached vectors."""
     imputers = _imputers(train, numerical, categorical, text)

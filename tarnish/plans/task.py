@@ -104,12 +104,15 @@ def label_task_type(train: DataFrame, test: DataFrame, label: str, closed: bool
 
 
 def infer_roles(df: DataFrame, exclude: list[str] = (), max_categories: int = 100) -> tuple[list[str], list[str], list[str]]:
-    """(categorical, numerical, text) columns by type; strings split by distinct estimate."""
+    """(categorical, numerical, text) columns by type.
+
+    A string column is categorical up to ``max_categories`` distinct values, counted exactly.
+    """
     fields = [f for f in df.schema.fields if f.name not in exclude]
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     distinct = {}
     if strings:
-        distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in strings]).first().asDict()
+        distinct = df.agg(*[F.count_distinct(c).alias(c) for c in strings]).first().asDict()
     categorical = [c for c in strings if distinct[c] <= max_categories]
     numerical = [f.name for f in fields if is_number(f.dataType)]
     return categorical, numerical, [c for c in strings if c not in categorical]
