@@ -1,24 +1,26 @@
 """Impact grids, schema evaluation, stress test and their summaries on the bulk-line task."""
 
-from functools import cache
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
 from catalog import register, sql, table
 from catalog import grid_sql as g
+from catalog.images import IMAGES, image_table
 from catalog.metrics import (
     PART_CLASS, PART_LINEAR, PART_SCORER, REVENUE, REVENUE_SCORER, bulk_lines, f1_sql, revenue_lines, sized_parts,
 )
 from catalog.samplers import LINE_SCORER, SEED
 from tarnish.operators.clean import fill_constant, fit_mean, fit_mode
 from tarnish.operators.corrupt import (
-    BrokenCharacters, CategoricalShift, GaussianNoise, MissingValues, Scaling, SwappedValues,
+    BrokenCharacters, CategoricalShift, CustomCorruption, GaussianNoise, MissingValues, Scaling, SwappedValues,
 )
+from tarnish.operators.image import ImageCorruption
 from tarnish.operators.schema import infer_schema
-from tarnish.operators.scoring import ChainedScorer
+from tarnish.operators.scoring import ChainedScorer, LinearScorer, Scorer
 from tarnish.plans import results, stress
 from tarnish.plans.evaluate import ImpactEvaluator, SchemaEvaluator, grid
-from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, split
+from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, image_style, split
 
 
 def bulk_task(spark, sf, store_train: bool = False) -> Task:
@@ -40,6 +42,114 @@ def impact_single(spark, sf):
     return rounded(evaluator.evaluate([MissingValues("l_quantity", 0.05, na_value=-999)], 3))
 
 
+@register("impact_text_label", g.impact([(0, "missing", "l_quantity", 0.05, "CAR", -999, None)], 2))
+def impact_text_label(spark, sf):
+    """The same task with classes named by texts."""
+    task = bulk_task(spark, sf)
+
+    def named(df):
+        return df.withColumn("label", F.when(F.col("label") == 1, "bulk").otherwise("small"))
+
+    task = replace(task, train=named(task.train), test=named(task.test), positive="bulk")
+    return rounded(ImpactEvaluator(task, LINE_SCORER).evaluate([MissingValues("l_quantity", 0.05, na_value=-999)], 2))
+
+
+class _Refusing(Scorer):
+    """Scores as another does, but gives rows without a quantity no score."""
+
+    def score(self, df, into="score"):
+        return LINE_SCORER.score(df, into).withColumn(into, F.when(F.col("l_quantity").isNotNull(), F.col(into)))
+
+
+HOLES = [(0, "missing", "l_quantity", 0.05, "CAR", None, None), (1, "missing", "l_tax", 0.05, "CAR", None, None),
+         (2, "missing", "l_quantity", 0.0, "CAR", None, None)]
+
+
+@register("impact_null_score", f"""WITH {g.damaged(g.scenario_values(HOLES), 2)},
+after AS ({g.auc_sql('x', g.PLAIN, 'label', 'idx')}),
+gaps AS (SELECT idx, count(*) - count(c_l_quantity) AS n FROM x GROUP BY idx)
+SELECT scenario_id, rep, round({g.base_score()}, 6) AS baseline_score, CASE WHEN n = 0 THEN round(auc, 6) END AS corrupted_score
+FROM after JOIN scen USING (idx) JOIN gaps USING (idx)""")
+def impact_null_score(spark, sf):
+    """A row without a score leaves its scenario without one."""
+    holes = [MissingValues("l_quantity", 0.05), MissingValues("l_tax", 0.05), MissingValues("l_quantity", 0.0)]
+    return rounded(ImpactEvaluator(bulk_task(spark, sf), _Refusing()).evaluate(holes, 2))
+
+
+def _halved(df, above):
+    return df.withColumn("l_quantity", F.when(F.col("l_discount") > above, F.col("l_quantity") / 2).otherwise(F.col("l_quantity")))
+
+
+HALVED = g.PLAIN.replace("c_l_quantity", "(CASE WHEN c_l_discount > {d} THEN c_l_quantity / 2 ELSE c_l_quantity END)")
+
+
+def _halved_sql(above: str) -> str:
+    old = HALVED.replace("{d}", above)
+    for f in g.FEATURES:
+        old = old.replace(f"c_{f}", f)
+    return f"(SELECT round(auc, 6) FROM ({g.auc_sql('test', old, 'label')}) h)"
+
+
+@register("impact_custom", f"""WITH {g.damaged(g.scenario_values(HOLES[1:2]), 1)}
+SELECT scenario_id, round({g.base_score()}, 6) AS baseline_score, CASE scenario_id WHEN 0 THEN {_halved_sql('0.05::DOUBLE')}
+       ELSE {_halved_sql('0.02::DOUBLE')} END AS corrupted_score, corruption
+FROM (SELECT unnest([0, 2]) AS scenario_id, unnest(['{{"above": 0.05, "corruption": "halved"}}', '{{"above": 0.02, "corruption": "halved"}}']) AS corruption) c
+UNION ALL SELECT 1, round({g.base_score()}, 6), round(auc, 6),
+       '{{"column": "l_tax", "corruption": "MissingValues", "fraction": 0.05, "na_value": null, "sampling": "CAR", "widen": false}}'
+FROM (SELECT '{SEED}/1/0' AS seed, count(*) AS n FROM test) s,
+     ({g.auc_sql(f"(SELECT label, l_quantity AS c_l_quantity, l_discount AS c_l_discount, l_returnflag AS c_l_returnflag, l_linestatus AS c_l_linestatus, CASE WHEN row_number() OVER (ORDER BY {sql.draw('v', f'{SEED}/1/0', 'row')}, k) - 1 < floor(n * 0.05::DOUBLE) THEN NULL ELSE l_tax END AS c_l_tax FROM test)", g.PLAIN, 'label')}) a""")
+def impact_custom(spark, sf):
+    """A user's own transformations beside one of the library, described in the result."""
+    own = [CustomCorruption("halved", _halved, {"above": a}) for a in (0.05, 0.02)]
+    found = ImpactEvaluator(bulk_task(spark, sf), LINE_SCORER).evaluate([own[0], MissingValues("l_tax", 0.05), own[1]], 1)
+    return rounded(found, "corruption").drop("rep")
+
+
+@dataclass(frozen=True)
+class _PixelScorer(Scorer):
+    """A fixed linear model over the pixels, in whole numbers."""
+
+    def score(self, df, into="score"):
+        total = F.aggregate(F.transform("pixels", lambda x, i: x * (i * 37 % 11 - 5)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return df.withColumn(into, total.cast("double"))
+
+
+IMAGE_KINDS, IMAGE_FRACTIONS = ("gaussian_noise", "contrast", "brightness"), (0.01, 0.25, 0.5, 0.99)
+_PIXEL_SUM = "list_sum(list_transform(pixels, lambda x, i: x * ((i - 1) * 37 % 11 - 5)))::DOUBLE"
+
+
+def _image_grid_sql() -> str:
+    salts = ", ".join(f"{s} AS {name}{i}" for name, tag in (("c", "coin"), ("p", "z1"), ("q", "z2"))
+                      for i, s in enumerate(sql.salt("seed", tag)))
+    unit = "(x::DOUBLE / 255.0::DOUBLE)"
+    noise = sql.normal("v", ["p0", "p1", "p2"], ["q0", "q1", "q2"], "i")
+    cell = (f"CASE WHEN NOT hit THEN x ELSE CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE kind "
+            f"WHEN 'gaussian_noise' THEN {unit} + 0.26::DOUBLE * {noise} WHEN 'contrast' THEN ({unit} - m) * 0.1::DOUBLE + m "
+            f"ELSE {unit} + 0.4::DOUBLE END)) * 255.0::DOUBLE) AS INT) END")
+    kinds = ", ".join(sql.quoted(k) for k in IMAGE_KINDS)
+    return f"""
+WITH test AS MATERIALIZED (SELECT vec_id, CASE WHEN label = 9 THEN 1 ELSE 0 END AS label, pixels, v,
+       list_sum(pixels)::DOUBLE / 64 / 255.0::DOUBLE AS m
+     FROM ({sql.marked('embeddings', 0.2, 'CAR', f'{SEED}/split', source=f'(SELECT * FROM {IMAGES} im WHERE label IN (7, 9))')}) t WHERE hit),
+scen AS (SELECT *, {salts} FROM (SELECT *, '{SEED}/' || scenario_id || '/' || rep AS seed FROM (
+  SELECT kind, frac::DOUBLE AS frac, rep, (k * {len(IMAGE_FRACTIONS)} + f)::INT AS scenario_id
+  FROM (SELECT unnest([{kinds}]) AS kind, unnest(range({len(IMAGE_KINDS)})) AS k) a,
+       (SELECT unnest([{', '.join(map(str, IMAGE_FRACTIONS))}]) AS frac, unnest(range({len(IMAGE_FRACTIONS)})) AS f) b,
+       (SELECT unnest(range(3))::INT AS rep) r) s0) s1),
+px AS (SELECT *, {sql.u('v', ['c0', 'c1', 'c2'])} < frac AS hit, unnest(pixels) AS x, unnest(range(64)) AS i FROM test, scen),
+after AS (SELECT scenario_id, rep, vec_id, any_value(label) AS label, sum({cell} * (i * 37 % 11 - 5))::DOUBLE AS s FROM px GROUP BY ALL)
+SELECT scenario_id, rep, round((SELECT auc FROM ({g.auc_sql('test', _PIXEL_SUM, 'label')}) b), 6) AS baseline_score,
+       round(auc, 6) AS corrupted_score FROM ({g.auc_sql('after', 's', 'label', 'scenario_id, rep')}) q"""
+
+
+@register("impact_image_grid", _image_grid_sql())
+def impact_image_grid(spark, sf):
+    """Noise, contrast and brightness at severity 4 on growing shares of the images."""
+    task = image_style(image_table(spark, sf), ["vec_id"], "label", 7, 9, seed=SEED)
+    damage = [ImageCorruption((k,), 4, f) for k in IMAGE_KINDS for f in IMAGE_FRACTIONS]
+    return rounded(ImpactEvaluator(task, _PixelScorer()).evaluate(damage, 3))
+
+
 GRID = [(c, f, m) for c in ("l_quantity", "l_returnflag") for f in (0.99, 0.25, 0.01) for m in ("MCAR", "MAR", "MNAR")]
 GRID_ROWS = [(i, "missing", c, f, m, None, None) for i, (c, f, m) in enumerate(GRID)]
 
@@ -143,6 +253,29 @@ def random_scenarios(spark, sf):
     return evaluator.damage_counts(prepared).select("scenario_id", "column", "fraction", "rows_hit")
 
 
+SIZE_SCORER = LinearScorer(0.0, {}, {"p_size": {s: (s * 13 % 17) / 16 for s in range(1, 51)}})
+_SIZE_WEIGHT = "coalesce((try_cast({c} AS INT) * 13 % 17) / 16.0::DOUBLE, 0.0::DOUBLE)"
+
+
+@register("stress_number_category", f"""
+WITH sp AS MATERIALIZED (SELECT *, p_size::VARCHAR AS size, CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END AS label
+                         FROM ({sql.marked('part', 0.2, 'CAR', f'{SEED}/split')}) m),
+test AS MATERIALIZED (SELECT * EXCLUDE (hit), count(*) OVER () AS n FROM sp WHERE hit),
+x AS (SELECT 0 AS scenario_id, label, CASE WHEN row_number() OVER (ORDER BY {sql.draw('v', f'{SEED}/0/0', 'row')}, k) - 1 < floor(n * 0.4::DOUBLE)
+        THEN '' ELSE size END AS c FROM test
+      UNION ALL SELECT 1, label, size FROM test)
+SELECT scenario_id, scenario_id = 0 AS anomaly_detected, round((SELECT auc FROM ({g.auc_sql('test', _SIZE_WEIGHT.format(c='size'), 'label')}) b), 6) AS baseline_score,
+       round(auc, 6) AS corrupted_score FROM ({g.auc_sql('x', _SIZE_WEIGHT.format(c='c'), 'label', 'scenario_id')}) q""")
+def stress_number_category(spark, sf):
+    """Whole numbers as categories: an empty text is damage, broken letters change no digit."""
+    parts = table(spark, sf, "part").withColumn("label", (F.col("p_retailprice") > 1000).cast("int"))
+    train, test = split(parts, ["p_partkey"], 0.2, SEED)
+    task = Task(train, test, ["p_partkey"], "label", BINARY, ["p_size"], [], seed=SEED)
+    domain = infer_schema(task.train.unionByName(task.test), task.features)
+    damage = [MissingValues("p_size", 0.4, na_value=""), BrokenCharacters("p_size", 0.7)]
+    return rounded(ImpactEvaluator(task, SIZE_SCORER, domain).evaluate(damage, 1), "anomaly_detected").drop("rep")
+
+
 # -- other task types ---------------------------------------------------------------------
 
 PART_TEST = f"(SELECT * EXCLUDE (hit) FROM ({sql.marked('part', 0.2, 'CAR', f'{SEED}/split')}) m WHERE hit)"

@@ -40,6 +40,14 @@ def auc_ties(spark, sf):
     return metrics.roc_auc(lines, "score", "label", ["l_returnflag"]).withColumn("auc", F.round("auc", 9))
 
 
+@register("auc_text_label", "SELECT l_returnflag, round(auc, 9) AS auc FROM ("
+          f"{auc_sql('lineitem', LINE_LOGIT, chr(40) + 'l_linestatus = ' + sql.quoted('F') + ')::INT', 'l_returnflag')}) q")
+def auc_text_label(spark, sf):
+    """Classes are texts; the positive one is named."""
+    scored = LINE_SCORER.score(table(spark, sf, "lineitem"))
+    return metrics.roc_auc(scored, "score", "l_linestatus", ["l_returnflag"], positive="F").withColumn("auc", F.round("auc", 9))
+
+
 PART_SCORER = CutScorer(LinearScorer(0.0, {"p_size": (1.0, 25.0), "p_retailprice": (0.002, 1000.0)}), (19.0, 36.0))
 PART_LINEAR = "(0.0::DOUBLE + 1.0::DOUBLE * p_size::DOUBLE + 0.002::DOUBLE * p_retailprice)"
 PART_CLASS = "CASE WHEN p_size > 33 THEN 2 WHEN p_size > 16 THEN 1 ELSE 0 END"
@@ -69,6 +77,20 @@ def macro_f1(spark, sf):
     return metrics.macro_f1(scored, "score", "label").select(F.round("macro_f1", 9).alias("macro_f1"))
 
 
+SIZES = ("small", "middle", "large")
+_NAMES = "['small', 'middle', 'large']"
+
+
+@register("macro_f1_text_label", f"""
+WITH x AS (SELECT {_NAMES}[({PART_CLASS}) + 1] AS y, {_NAMES}[{PART_GUESS} + 1] AS g FROM part)
+SELECT round(macro_f1, 9) AS macro_f1 FROM ({f1_sql('x')}) q""")
+def macro_f1_text_label(spark, sf):
+    names = F.array(*[F.lit(s) for s in SIZES])
+    scored = PART_SCORER.score(sized_parts(spark, sf)).withColumns(
+        {"label": F.get(names, F.col("label")), "score": F.get(names, F.col("score"))})
+    return metrics.macro_f1(scored, "score", "label").select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
 REVENUE = "(l_extendedprice * (1 - l_discount) * (1 + l_tax))"
 REVENUE_SCORER = LinearScorer(1500.0, {"l_extendedprice": (0.95, 30000.0), "l_discount": (-28000.0, 0.05),
                                        "l_tax": (27000.0, 0.04)})

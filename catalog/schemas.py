@@ -9,11 +9,11 @@ from catalog.samplers import SEED
 from tarnish.operators.corrupt import BrokenCharacters, MissingValues, Scaling
 from tarnish.operators.schema import infer_schema, profile, validate, value_histogram
 
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 ORDER_STRINGS = ["o_orderstatus", "o_orderpriority"]
 
 
-def _profile_sql(name: str, source: str, numbers: dict[str, str], strings: list[str]) -> str:
+def _profile_sql(name: str, source: str, numbers: dict[str, str], strings: list[str], times: list[str] = ()) -> str:
     parts = []
     for c, kind in numbers.items():
         x = f"{c}::DOUBLE"
@@ -28,6 +28,12 @@ def _profile_sql(name: str, source: str, numbers: dict[str, str], strings: list[
         parts.append(
             f"SELECT '{c}', 'STRING', count({c}), count(*) - count({c}), NULL, NULL, NULL, NULL, NULL, NULL, min(length({c})), "
             f"max(length({c})), round(avg(length({c})), 6), count(DISTINCT {c}), (SELECT {c} {top}, (SELECT count(*) {top} FROM {source}")
+    for c in times:
+        text = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+        top = f"FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+        parts.append(
+            f"SELECT '{c}', 'TIME', count({c}), count(*) - count({c}), NULL, epoch(min({c}))::DOUBLE, epoch(max({c}))::DOUBLE, "
+            f"NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT {c}), (SELECT {text} {top}, (SELECT count(*) {top} FROM {source}")
     return " UNION ALL ".join(parts)
 
 
@@ -39,17 +45,20 @@ def _profile(df, columns):
         F.round("mean_length", 6).alias("mean_length"), "distinct", "top_value", "top_count")
 
 
-@register("profile", _profile_sql("orders", "orders", {"o_orderkey": "INT", "o_custkey": "INT", "o_totalprice": "FLOAT"}, ORDER_STRINGS))
+@register("profile", _profile_sql("orders", "orders", {"o_orderkey": "INT", "o_custkey": "INT", "o_totalprice": "FLOAT"}, ORDER_STRINGS,
+                                  ["o_orderdate"]))
 def profile_orders(spark, sf):
-    return _profile(table(spark, sf, "orders"), ORDER_COLUMNS)
+    orders = table(spark, sf, "orders")
+    return _profile(orders, orders.columns)
 
 
 @register("profile_lineitem", _profile_sql(
-    "lineitem", "lineitem", {"l_linenumber": "INT", "l_quantity": "FLOAT", "l_extendedprice": "FLOAT", "l_discount": "FLOAT",
-                             "l_tax": "FLOAT"}, ["l_returnflag", "l_linestatus"]))
+    "lineitem", "lineitem", {"l_orderkey": "INT", "l_partkey": "INT", "l_suppkey": "INT", "l_linenumber": "INT",
+                             "l_quantity": "FLOAT", "l_extendedprice": "FLOAT", "l_discount": "FLOAT", "l_tax": "FLOAT"},
+    ["l_returnflag", "l_linestatus"], ["l_shipdate"]))
 def profile_lineitem(spark, sf):
-    return _profile(table(spark, sf, "lineitem"), [
-        "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
+    lines = table(spark, sf, "lineitem")
+    return _profile(lines, lines.columns)
 
 
 @register("value_histogram", """

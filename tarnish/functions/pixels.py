@@ -21,8 +21,8 @@ SNOW = ((0.1, 0.3, 0.5, 10, 4, 0.8), (0.2, 0.3, 0.5, 12, 4, 0.7), (0.55, 0.3, 0.
         (0.55, 0.3, 0.85, 12, 8, 0.65), (0.55, 0.3, 0.85, 12, 12, 0.55))
 
 
-def generators(bases: np.ndarray, salt: int) -> list[np.random.Generator]:
-    return [np.random.Generator(np.random.PCG64([int(b), salt])) for b in bases]
+def generators(bases: np.ndarray, streams: np.ndarray) -> list[np.random.Generator]:
+    return [np.random.Generator(np.random.PCG64([int(b), int(s)])) for b, s in zip(bases, streams)]
 
 
 def _gaussian_1d(sigma: float) -> np.ndarray:

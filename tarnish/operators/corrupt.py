@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tarnish.functions.rand import SALT_TYPE, Salt, normal, row_base, scalar_uniform, uniform
 from tarnish.operators.ranks import dense_positions, json_literal
 from tarnish.operators.sampling import AR, CAR, Draw, KeyedTable, RowRules, check_fraction, driver_column, mechanism
+from tarnish.session import cut_lineage
 
 # The eight letters a wrong encoding breaks, and what they turn into.
 BROKEN_FROM = "aAeEoOuU"
@@ -29,7 +31,7 @@ SCALE_FACTORS = (10, 100, 1000)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 # Fields every scenario struct carries for the value expressions.
-PARAMETER_FIELDS = f"factor:double,n1:{SALT_TYPE},n2:{SALT_TYPE}"
+PARAMETER_FIELDS = f"factor:double,n1:{SALT_TYPE},n2:{SALT_TYPE},stream:bigint"
 
 
 def is_number(kind: T.DataType) -> bool:
@@ -49,6 +51,8 @@ def wider(a: T.DataType, b: T.DataType) -> T.DataType:
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         both_whole = isinstance(a, INTEGRAL) and isinstance(b, INTEGRAL)
         return T.LongType() if both_whole else T.DoubleType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider(a.elementType, b.elementType))
     return T.StringType()
 
 
@@ -60,6 +64,8 @@ class Corruption:
 
     # set by subclasses that must know the spread of the column first
     needs_spread = False
+    # tags of the two draws behind a normal deviate
+    salts = ("n1", "n2")
 
     def __post_init__(self) -> None:
         check_fraction(self.fraction)
@@ -126,8 +132,8 @@ class Corruption:
 
 
 def parameters(c: Corruption, seed: str, spread: float | None) -> dict:
-    return {"factor": c.factor(seed, spread),
-            "n1": Salt.of(seed, "n1").record(), "n2": Salt.of(seed, "n2").record()}
+    return {"factor": c.factor(seed, spread), "stream": Salt.of(seed, "image").a,
+            **{name: Salt.of(seed, tag).record() for name, tag in zip(("n1", "n2"), c.salts)}}
 
 
 def column_spread(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -278,7 +284,7 @@ class CategoricalShift(Corruption):
     def _transform(self, table: KeyedTable, seed: str, features: list[str], hit: str | None) -> DataFrame:
         df, column = table.source, self.column
         if is_number(df.schema[column].dataType):
-            print("CategoricalShift works on categorical columns only; table left unchanged")
+            warnings.warn(f"{column!r} is not categorical; table left unchanged", stacklevel=2)
             out = df
             return out.withColumn(hit, F.lit(False)) if hit else out
         rules = RowRules(table, [self.draw(seed, features)])
@@ -286,10 +292,45 @@ class CategoricalShift(Corruption):
         marked = table.df.withColumn("_hit", rules.hit_one())
         pairs = permutations(df, column, [(0, seed, self.derange)]).select(
             F.col("value").alias("_value"), F.col("target").alias("_target"))
-        joined = marked.join(pairs, F.col(column) == F.col("_value"), "left")
+        joined = with_target(marked, pairs, F.when(F.col("_hit"), F.col(column)), F.col("_k"))
         return rewrite(self, joined, s, df.columns, hit)
 
 
+# Text of a permutation that may be broadcast, in bytes; larger ones are joined with salted keys.
+BROADCAST_BYTES = 8 << 20
+SALTS = 16
+
+
+def with_target(rows: DataFrame, pairs: DataFrame, wanted: Column, spread: Column,
+                on: list[tuple[Column, str]] = ()) -> DataFrame:
+    """Add ``_target``, the partner of each wanted category; rows that want none keep their place.
+
+    The pairs are broadcast when their exact size is within a bound.  Otherwise every pair is
+    copied once per salt, so a hot category is spread over that many tasks, and rows that
+    want no partner get keys of their own.
+    """
+    pairs = cut_lineage(pairs)
+    size = F.sum(F.octet_length("_value") + F.octet_length("_target") + 32)
+    small = (pairs.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+    rows = rows.withColumn("_wanted", wanted)
+    same = [mine == F.col(theirs) for mine, theirs in on]
+    if small:
+        return rows.join(F.broadcast(pairs), _all([F.col("_wanted") == F.col("_value"), *same]), "left").drop("_wanted", "_value")
+    lane = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = pairs.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    apart = rows.withColumns({"_lane": F.when(F.col("_wanted").isNull(), -1 - F.abs(F.hash(spread)).cast("bigint")).otherwise(lane),
+                              "_wanted": F.coalesce("_wanted", F.lit(""))})
+    joined = apart.join(copies, _all([F.col("_wanted") == F.col("_value"), F.col("_lane") == F.col("_salt"), *same]), "left")
+    return joined.drop("_wanted", "_value", "_lane", "_salt")
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out & test
+    return out
+
+
 def permutations(df: DataFrame, column: str, seeds: list[tuple[int, str, bool]]) -> DataFrame:
     """(id, value, target): one random permutation of the column's values per seed.
 
@@ -378,7 +419,10 @@ class BrokenCharacters(Corruption):
 
 @dataclass(frozen=True)
 class CustomCorruption:
-    """A user's own corruption: any function from DataFrame to DataFrame."""
+    """A user's own corruption: any function from DataFrame to DataFrame.
+
+    In an evaluation it gets the whole test table and must keep its rows, key and label.
+    """
 
     name: str
     function: Callable[..., DataFrame]

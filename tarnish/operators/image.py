@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.functions import pixels as px
 from tarnish.functions.rand import Salt, normal
-from tarnish.operators.sampling import Draw, KeyedTable, RowRules, check_fraction
+from tarnish.operators.sampling import CAR, Draw, KeyedTable, RowRules, check_fraction
 from tarnish.session import ship
 
 EXPRESSIONS = ("gaussian_noise", "contrast", "brightness")
@@ -31,10 +31,9 @@ def _unit(x: Column) -> Column:
     return x.cast("double") / F.lit(255.0)
 
 
-def _expression(kind: str, severity: int, pixels: Column, seed: str) -> Column:
+def _expression(kind: str, severity: int, pixels: Column, one: Salt, two: Salt) -> Column:
     if kind == "gaussian_noise":
         sigma = F.lit(px.NOISE_SIGMA[severity - 1])
-        one, two = Salt.of(seed, "z1"), Salt.of(seed, "z2")
         return F.transform(pixels, lambda x, i: _byte(_unit(x) + sigma * normal(F.col("_v"), one, two, i)))
     if kind == "brightness":
         return F.transform(pixels, lambda x: _byte(_unit(x) + F.lit(px.BRIGHTNESS[severity - 1])))
@@ -47,8 +46,11 @@ def _expression(kind: str, severity: int, pixels: Column, seed: str) -> Column:
     return F.element_at(per_image, 1)
 
 
-def _batches(kinds: tuple[str, ...], severity: int, salt: int, column: str):
-    """mapInPandas function: apply kernels to the marked images of every batch."""
+def _batches(kinds: tuple[str, ...], severity: int, column: str):
+    """mapInPandas function: apply kernels to the marked images of every batch.
+
+    ``_v`` is the hash of an image's key and ``_stream`` the number of its draws.
+    """
     import numpy as np
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,13 +62,13 @@ def _batches(kinds: tuple[str, ...], severity: int, salt: int, column: str):
             for size in {s for s, h in zip(sizes, hit) if h}:
                 at = [i for i, s in enumerate(sizes) if hit[i] and s == size]
                 stack = np.stack([np.asarray(cells[i], dtype=float) for i in at]).reshape(-1, *map(int, size)) / 255.0
-                rngs = px.generators(frame["_v"].to_numpy()[at], salt)
+                rngs = px.generators(frame["_v"].to_numpy()[at], frame["_stream"].to_numpy()[at])
                 for kind in kinds:
                     stack = np.clip(px.KERNELS[kind](stack, severity, rngs), 0, 1)
                 flat = (stack * 255).astype(np.int32).reshape(len(at), -1)
                 for i, image in zip(at, flat):
                     cells[i] = image
-            yield frame.drop(columns=["_hit", "_v"]).assign(**{column: cells})
+            yield frame.drop(columns=["_hit", "_v", "_stream"]).assign(**{column: cells})
 
     return apply
 
@@ -88,6 +90,56 @@ class ImageCorruption:
         if self.severity not in range(1, 6):
             raise ValueError("severity must be 1..5")
 
+    # -- what the evaluator asks, as of any corruption --------------------------------
+
+    sampling = CAR
+    needs_spread = False
+    salts = ("z1", "z2")
+
+    @property
+    def by_expression(self) -> bool:
+        return all(k in EXPRESSIONS for k in self.kinds)
+
+    def draw(self, seed: str, features: list[str]) -> Draw:
+        return Draw(seed, "COIN", self.fraction)
+
+    def bind(self, features: list[str], seed: object) -> "ImageCorruption":
+        return self
+
+    def affected(self) -> list[str]:
+        return [self.column]
+
+    def types(self, schema: T.StructType) -> dict[str, T.DataType]:
+        return {self.column: T.ArrayType(T.IntegerType())}
+
+    def factor(self, seed: str, spread: float | None) -> float | None:
+        return None
+
+    def values(self, schema: T.StructType, s: Column) -> dict[str, Column]:
+        """New pixels as an expression; nothing for kernels that run in batches."""
+        if not self.by_expression:
+            return {}
+        return {self.column: self._cells(Salt.field(s["n1"]), Salt.field(s["n2"]))}
+
+    def _cells(self, one: Salt, two: Salt) -> Column:
+        cells = F.col(self.column)
+        for kind in self.kinds:
+            cells = _expression(kind, self.severity, cells, one, two)
+        return cells
+
+    def in_batches(self, marked: DataFrame, columns: list[str]) -> DataFrame:
+        """The given columns, with the kernels applied where ``_hit``; needs ``_v`` and ``_stream``."""
+        ready = marked.select(*columns, "_hit", "_v", "_stream")
+        out = T.StructType([
+            T.StructField(f.name, T.ArrayType(T.IntegerType()) if f.name == self.column else f.dataType)
+            for f in ready.schema.fields[:len(columns)]])
+        ship(marked.sparkSession)
+        return ready.mapInPandas(_batches(self.kinds, self.severity, self.column), out)
+
+    def spec(self) -> dict:
+        return {"column": self.column, "fraction": self.fraction, "kinds": "+".join(self.kinds),
+                "severity": self.severity}
+
     def describe(self) -> str:
         return json.dumps({"corruption": "ImageCorruption", "fraction": self.fraction,
                            "kinds": list(self.kinds), "severity": self.severity}, sort_keys=True)
@@ -97,18 +149,10 @@ class ImageCorruption:
         table = KeyedTable(df, key, seed, rows=0)
         hit = RowRules(table, [Draw(seed, "COIN", self.fraction)]).hit_one()
         marked = table.df.withColumn("_hit", hit)
-        if all(k in EXPRESSIONS for k in self.kinds):
-            cells = F.col(self.column)
-            for kind in self.kinds:
-                cells = _expression(kind, self.severity, cells, seed)
+        if self.by_expression:
+            cells = self._cells(*(Salt.of(seed, tag) for tag in self.salts))
             return marked.withColumn(self.column, F.when(F.col("_hit"), cells).otherwise(F.col(self.column))).select(df.columns)
-        out = T.StructType([
-            T.StructField(f.name, T.ArrayType(T.IntegerType()) if f.name == self.column else f.dataType)
-            for f in df.schema.fields])
-        ready = marked.select(*df.columns, "_hit", "_v")
-        salt = Salt.of(seed, "image").a
-        ship(df.sparkSession)
-        return ready.mapInPandas(_batches(self.kinds, self.severity, salt, self.column), out)
+        return self.in_batches(marked.withColumn("_stream", F.lit(Salt.of(seed, "image").a).cast("bigint")), df.columns)
 
 
 def normalise(df: DataFrame, column: str = "pixels", into: str = "unit_pixels") -> DataFrame:

@@ -14,12 +14,24 @@ from tarnish.functions.concordance import SUMS_DDL, range_sums
 from tarnish.session import ship
 
 
-def score_histogram(df: DataFrame, score: str, label: str, by: list[str] = (), weight: Column | None = None) -> DataFrame:
-    """(by.., x, pos, neg): how often each score occurs with label 1 and with label 0."""
+def is_positive(df: DataFrame, label: str, positive: object = 1) -> Column:
+    """Is the label the positive class?  Booleans count as 0 and 1; text labels compare as text."""
+    kind = df.schema[label].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(label) == F.lit(str(positive))
+    return F.col(label).cast("double") == F.lit(float(positive))
+
+
+def score_histogram(df: DataFrame, score: str, label: str, by: list[str] = (), weight: Column | None = None,
+                    positive: object = 1) -> DataFrame:
+    """(by.., x, pos, neg): how often each score occurs with the positive label and with the other.
+
+    Missing scores are counted under x NULL.
+    """
     w = F.lit(1) if weight is None else weight
-    positive = F.col(label).cast("int") == 1
+    positive = is_positive(df, label, positive)
     return (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        df.where(F.col(label).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("x"))
         .agg(F.sum(F.when(positive, w).otherwise(0)).cast("bigint").alias("pos"),
              F.sum(F.when(positive, 0).otherwise(w)).cast("bigint").alias("neg"))
@@ -37,19 +49,23 @@ def _running(column: str, window) -> Column:
 
 
 def concordance(hist: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by.., pairs, pos, neg): pairs = sum over pos of (neg below + half of neg tied)."""
+    """(by.., pairs, pos, neg, blank): pairs = sum over pos of (neg below + half of neg tied).
+
+    ``blank`` counts the labels without a score.
+    """
     by = list(by)
     cut = _cut_by_score(hist)
     below = Window.partitionBy(*by, "_r").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     ranges = (
         cut.withColumn("_pairs", pos * (_running("neg", below) + neg * F.lit(0.5)))
-        .groupBy(*by, "_r").agg(F.sum("_pairs").alias("pairs"), F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
+        .groupBy(*by, "_r").agg(F.sum("_pairs").alias("pairs"), F.sum(pos).alias("pos"), F.sum(neg).alias("neg"),
+                                F.sum(F.when(F.col("x").isNull(), pos + neg).otherwise(0.0)).alias("blank"))
     )
     earlier = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranges.withColumn("pairs", F.col("pairs") + F.col("pos") * _running("neg", earlier))
-        .groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("pairs", "pos", "neg", "blank")])
     )
 
 
@@ -58,16 +74,20 @@ def auc_value(pairs: Column, pos: Column, neg: Column) -> Column:
     return F.when((pos > 0) & (neg > 0), pairs / (pos * neg))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: list[str] = (), into: str = "auc") -> DataFrame:
-    """Exact area under the ROC curve of each group."""
+def roc_auc(df: DataFrame, score: str, label: str, by: list[str] = (), into: str = "auc",
+            positive: object = 1) -> DataFrame:
+    """Exact area under the ROC curve of each group; NULL where a labelled row has no score."""
     by = list(by)
-    sums = concordance(score_histogram(df, score, label, by), by)
-    return sums.select(*by, auc_value(F.col("pairs"), F.col("pos"), F.col("neg")).alias(into))
+    sums = concordance(score_histogram(df, score, label, by, positive=positive), by)
+    area = auc_value(F.col("pairs"), F.col("pos"), F.col("neg"))
+    return sums.select(*by, F.when(F.col("blank") == 0, area).alias(into))
 
 
-def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
+def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int, labelled: int | None = None) -> DataFrame:
     """(idx, clean_score, shifted_score) for groups 0 .. ``groups`` - 1.
 
+    With ``labelled``, the number of rows with a label, a side that does not score them all is NULL.
+
     ``clean`` is one score histogram, ``delta`` holds signed changes to it per group
     ``idx``.  The pair count is bilinear in positive and negative counts, so with clean
     counts P, N and changes dP, dN it moves by  (dP, N) + (P, dN) + (dP, dN).  Work and
@@ -76,7 +96,7 @@ def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
     """
     columns = ["x", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg")]
     rows = clean.select(F.lit(-1).alias("idx"), *columns).unionByName(
-        delta.select(F.col("idx").cast("int").alias("idx"), *columns))
+        delta.select(F.col("idx").cast("int").alias("idx"), *columns)).where(F.col("x").isNotNull())
     sorted_ranges = _cut_by_score(rows).select("_r", "idx", "x", "pos", "neg").sortWithinPartitions("x")
     ship(clean.sparkSession)
     ranges = sorted_ranges.mapInArrow(range_sums(groups), SUMS_DDL)
@@ -99,8 +119,13 @@ def shifted_auc(clean: DataFrame, delta: DataFrame, groups: int) -> DataFrame:
                             F.sum("dP").alias("dP"), F.sum("dN").alias("dN"))
     )
     p1, n1 = F.col("P") + F.col("dP"), F.col("N") + F.col("dN")
-    return total.select("idx", auc_value(F.col("b"), F.col("P"), F.col("N")).alias("clean_score"),
-                        auc_value(F.col("b") + F.col("m"), p1, n1).alias("shifted_score"))
+
+    def area(pairs: Column, pos: Column, neg: Column) -> Column:
+        value = auc_value(pairs, pos, neg)
+        return value if labelled is None else F.when(pos + neg == float(labelled), value)
+
+    return total.select("idx", area(F.col("b"), F.col("P"), F.col("N")).alias("clean_score"),
+                        area(F.col("b") + F.col("m"), p1, n1).alias("shifted_score"))
 
 
 def _class_text(df: DataFrame, column: str) -> Column:
@@ -149,12 +174,23 @@ def absolute_error(prediction: str, label: str) -> Column:
     return F.abs(F.col(label).cast("double") - F.col(prediction).cast("double"))
 
 
+def unscored(prediction: str, label: str) -> Column:
+    """A labelled row without a prediction."""
+    return F.col(prediction).isNull() & F.col(label).isNotNull()
+
+
+def _mean_error(error: Column, prediction: str, label: str) -> Column:
+    return F.when(F.count_if(unscored(prediction, label)) == 0, F.avg(error))
+
+
 def mse(df: DataFrame, prediction: str, label: str, by: list[str] = (), into: str = "mse") -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(squared_error(prediction, label)).alias(into))
+    """NULL where a labelled row has no prediction."""
+    return df.groupBy(*by).agg(_mean_error(squared_error(prediction, label), prediction, label).alias(into))
 
 
 def mae(df: DataFrame, prediction: str, label: str, by: list[str] = (), into: str = "mae") -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(absolute_error(prediction, label)).alias(into))
+    """NULL where a labelled row has no prediction."""
+    return df.groupBy(*by).agg(_mean_error(absolute_error(prediction, label), prediction, label).alias(into))
 
 
 # Metric of each task type and whether a larger value is better.
@@ -162,14 +198,16 @@ METRICS = {"binary": ("roc_auc", True), "multiclass": ("macro_f1", True), "regre
 
 
 def task_metric(df: DataFrame, task_type: str, score: str, label: str, by: list[str] = (),
-                into: str = "value") -> DataFrame:
+                into: str = "value", positive: object = 1) -> DataFrame:
     """The metric that belongs to a task type."""
-    function = {"binary": roc_auc, "multiclass": macro_f1, "regression": mse}[task_type]
-    return function(df, score, label, by, into)
+    if task_type == "binary":
+        return roc_auc(df, score, label, by, into, positive)
+    return {"multiclass": macro_f1, "regression": mse}[task_type](df, score, label, by, into)
 
 
 def score_predictions(predictions: DataFrame, labels: DataFrame, key: list[str], task_type: str,
-                      score: str = "score", label: str = "label", into: str = "value") -> DataFrame:
+                      score: str = "score", label: str = "label", into: str = "value",
+                      positive: object = 1) -> DataFrame:
     """Score predictions made elsewhere against the true labels, matched by key.
 
     Every label needs one prediction: a missing, repeated or NULL one raises.
@@ -179,4 +217,4 @@ def score_predictions(predictions: DataFrame, labels: DataFrame, key: list[str],
     missing, repeated = both.agg(F.count_if(F.col(score).isNull()), F.count_if(F.col("_n") > 1)).first()
     if missing or repeated:
         raise ValueError(f"{missing} labels without a prediction, {repeated} with several")
-    return task_metric(both, task_type, score, label, into=into)
+    return task_metric(both, task_type, score, label, into=into, positive=positive)

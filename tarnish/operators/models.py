@@ -77,7 +77,10 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     numerical = task.numerical if numerical is None else numerical
     categorical = task.categorical if categorical is None else categorical
     text = list(task.text)
-    keep = [*task.key, *numerical, *categorical, *text, F.col(task.label).cast("double").alias("_label")]
+    classes, position = class_positions(rows, task.label, task.task_type, task.positive_class)
+    if own:
+        task.check()
+    keep = [*task.key, *numerical, *categorical, *text, position.alias("_label")]
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed).persist()
     grid = learners(task.task_type, max_iter)
     try:
@@ -88,19 +91,38 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
             by_fold = list(pool.map(one_fold, range(folds)))
         means = [_mean([f[i] for f in by_fold]) for i in range(len(grid))]
+        scored = [i for i in range(len(grid)) if means[i] == means[i]]
+        if not scored:
+            raise ValueError("no fold gives a score: too few rows, or a class is absent")
         order = max if METRICS[task.task_type][1] else min
-        at = order(range(len(grid)), key=lambda i: means[i])
+        at = order(scored, key=lambda i: means[i])
         imputers, features, models = _fit_all(rows, numerical, categorical, text, [grid[at]])
     finally:
         rows.unpersist()
     scores = tuple((dict(p), s) for (p, _), s in zip(grid, means))
-    scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type)
+    scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type, classes)
     baseline = Baseline(scorer, imputers, grid[at][0], scores)
     if own:
         task.baseline = baseline
     return baseline
 
 
+def class_positions(rows: DataFrame, label: str, task_type: str,
+                    positive: object = None) -> tuple[tuple[str, ...] | None, Column]:
+    """(classes, position of a row's class); numbers stand for themselves.
+
+    Text classes are learnt from the given rows and sorted; the positive one of two comes last.
+    """
+    if task_type == "regression" or not isinstance(rows.schema[label].dataType, T.StringType):
+        return None, F.col(label).cast("double")
+    known = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    classes = sorted(r[label] for r in known.collect())
+    if task_type == "binary":
+        classes.sort(key=lambda c: (c == positive, c))
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    return tuple(classes), F.when(position >= 0, position.cast("double"))
+
+
 def _mean(values: list[float | None]) -> float:
     known = [v for v in values if v is not None]
     return sum(known) / len(known) if known else float("nan")
@@ -163,8 +185,9 @@ def fit_image_baseline(task, train: DataFrame | None = None, *, hidden: int = 32
     own = train is None
     if own and task.baseline is not None:
         return task.baseline
-    rows = (task.train if own else train).select(
-        pixel_vector(task.images).alias("features"), F.col(task.label).cast("double").alias("_label")).persist()
+    rows = task.train if own else train
+    _, position = class_positions(rows, task.label, task.task_type, task.positive_class)
+    rows = rows.select(pixel_vector(task.images).alias("features"), position.alias("_label")).persist()
     try:
         width = rows.select(F.max(F.size(vector_to_array("features")))).first()[0]
         learner = MultilayerPerceptronClassifier(layers=[width, hidden, 2], labelCol="_label", maxIter=max_iter,

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
+from tarnish.functions.rand import micros
 from tarnish.operators.clean import unpivot_text
 from tarnish.operators.corrupt import INTEGRAL
 from tarnish.operators.ranks import values_at_ranks
@@ -66,7 +67,8 @@ def exact_quartiles(df: DataFrame, columns: list[str]) -> dict[str, list[float |
 def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """One row of statistics per column.
 
-    Numbers: count, missing, zeros, min, max, mean, standard deviation, quartiles.  Strings:
+    Numbers: count, missing, zeros, min, max, mean, standard deviation, quartiles.  Dates and
+    timestamps: min and max in seconds since 1970, distinct values and the commonest.  Strings:
     distinct values, commonest value and its count, shortest, longest and mean length.  The
     numeric side is one aggregate without any shuffle of rows; the string side is one
     shuffle of (column, value) counts for all columns together.  Quartiles come from a
@@ -77,6 +79,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
     numbers = [c for c in columns if type_class(fields[c]) in ("INT", "FLOAT")]
     quartiles = exact_quartiles(df, numbers) if exact else {}
     strings = [c for c in columns if type_class(fields[c]) in ("STRING", "BOOLEAN")]
+    times = [c for c in columns if type_class(fields[c]) == "TIME"]
     parts: list[Column] = []
     for i, c in enumerate(columns):
         gone = missing(fields[c], F.col(c))
@@ -86,6 +89,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
             parts += [F.count_if(x == 0).alias(f"z{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
                       F.avg(x).alias(f"avg{i}"), F.stddev_pop(x).alias(f"sd{i}"),
                       *([] if exact else [F.percentile_approx(x, list(QUARTERS), accuracy).alias(f"q{i}")])]
+        elif c in times:
+            at = micros(c, fields[c]) / F.lit(1e6)
+            parts += [F.min(at).alias(f"lo{i}"), F.max(at).alias(f"hi{i}")]
         elif c in strings:
             size = F.length(F.col(c).cast("string"))
             parts += [F.min(size).alias(f"lmin{i}"), F.max(size).alias(f"lmax{i}"), F.avg(size).alias(f"lavg{i}")]
@@ -104,7 +110,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
             F.lit(c).alias("column"), F.lit(type_class(fields[c])).alias("type"),
             F.col(f"n{i}").alias("present"), F.col(f"m{i}").alias("missing"),
             cell(i, "z", whole, c, numbers).alias("zeros"),
-            cell(i, "lo", double, c, numbers).alias("min"), cell(i, "hi", double, c, numbers).alias("max"),
+            cell(i, "lo", double, c, numbers + times).alias("min"), cell(i, "hi", double, c, numbers + times).alias("max"),
             cell(i, "avg", double, c, numbers).alias("mean"), cell(i, "sd", double, c, numbers).alias("std"),
             *[quartile(i, c, j).alias(f"q{p}") for j, p in enumerate((25, 50, 75))],
             cell(i, "lmin", whole, c, strings).cast("bigint").alias("min_length"),
@@ -112,11 +118,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
             cell(i, "lavg", double, c, strings).alias("mean_length"),
         ) for i, c in enumerate(columns)])
     scalars = df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
-    if not strings:
+    if not strings + times:
         return scalars.withColumns({"distinct": whole, "top_value": F.lit(None).cast("string"), "top_count": whole})
     top = F.min(F.struct((-F.col("n")).alias("m"), F.col("value").alias("value")))
     heads = (
-        value_histogram(df, strings).groupBy("column")
+        value_histogram(df, strings + times).groupBy("column")
         .agg(F.count(F.lit(1)).alias("distinct"), top.alias("_top"))
         .select("column", "distinct", F.col("_top.value").alias("top_value"), (-F.col("_top.m")).alias("top_count"))
     )

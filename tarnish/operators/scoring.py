@@ -8,6 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def class_text(value: object) -> str:
+    """A category as Spark writes it."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 class Scorer:
     """``score`` adds one column and leaves the others alone; it must look at one row only."""
 
@@ -42,7 +47,7 @@ class LinearScorer(Scorer):
         for name, weights in self.categorical.items():
             case = F.lit(0.0)
             for i, (value, weight) in enumerate(weights.items()):
-                test = F.col(name) == F.lit(value)
+                test = F.col(name).cast("string") == F.lit(class_text(value))
                 case = F.when(test, F.lit(float(weight))) if i == 0 else case.when(test, F.lit(float(weight)))
             total = total + (case.otherwise(F.lit(0.0)) if weights else case)
         return total
@@ -72,14 +77,20 @@ class CutScorer(Scorer):
 
 @dataclass(frozen=True)
 class ModelScorer(Scorer):
-    """A fitted MLlib pipeline: probability of class 1, predicted class or predicted value."""
+    """A fitted MLlib pipeline: probability of class 1, predicted class or predicted value.
+
+    ``classes`` names the classes of a model that was fitted on their positions.
+    """
 
     model: object
     task_type: str = "binary"
+    classes: tuple[str, ...] | None = None
 
     def score(self, df: DataFrame, into: str = "score") -> DataFrame:
         out = self.model.transform(df)
         value = vector_to_array("probability")[1] if self.task_type == "binary" else F.col("prediction")
+        if self.classes is not None and self.task_type == "multiclass":
+            value = F.get(F.array(*[F.lit(c) for c in self.classes]), F.col("prediction").cast("int"))
         return out.select(*df.columns, value.alias(into))
 
 

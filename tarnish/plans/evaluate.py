@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tarnish.operators.corrupt import (
     PARAMETER_FIELDS, CategoricalShift, Corruption, MissingByConfidence, column_spread, is_number,
-    parameters, permutations, wider,
+    parameters, permutations, wider, with_target,
 )
+from tarnish.operators.image import ImageCorruption
 from tarnish.operators.metrics import (
-    confusion, macro_f1, macro_f1_of, score_histogram, shifted_auc, squared_error,
+    confusion, macro_f1, macro_f1_of, score_histogram, shifted_auc, squared_error, task_metric, unscored,
 )
 from tarnish.operators.ranks import json_literal
-from tarnish.operators.sampling import NONE, SMALL_TABLE, KeyedTable, RowRules
+from tarnish.operators.sampling import NONE, KeyedTable, RowRules
 from tarnish.operators.schema import (
-    ANOMALY_DDL, Schema, anomaly_array, cell_flags, infer_schema, type_class,
+    ANOMALY_DDL, Schema, anomaly_array, cell_flags, infer_schema, type_class, validate,
 )
 from tarnish.operators.scoring import Scorer
 from tarnish.plans.task import Task
@@ -69,14 +70,34 @@ class ImpactEvaluator:
     # -- public -----------------------------------------------------------------------
 
     def evaluate(self, corruptions: Sequence[Corruption], repetitions: int = 10) -> DataFrame:
-        """One row per corruption and repetition with the clean and the damaged score."""
-        return self._result(self.prepare(corruptions, repetitions), self.scorer)
+        """One row per corruption and repetition with the clean and the damaged score.
+
+        Corruptions that say which rows they hit and what the cells become (all of this
+        library, images included) share one job.  Any other object with ``transform(df,
+        key, seed)`` is applied to the whole test table, one scan per repetition.  A score
+        is NULL where the scorer gives a labelled row none.
+        """
+        return self._scored(*self._split(corruptions), repetitions, {None: self.scorer})
 
     def compare(self, scorers: dict[str, Scorer], corruptions: Sequence[Corruption],
                 repetitions: int = 10) -> DataFrame:
         """The same damaged rows scored by several models, told apart by ``model_id``."""
-        prepared = self.prepare(corruptions, repetitions)
-        parts = [self._result(prepared, s).withColumn("model_id", F.lit(name)) for name, s in scorers.items()]
+        return self._scored(*self._split(corruptions), repetitions, scorers)
+
+    def _split(self, corruptions: Sequence) -> tuple[dict[int, Corruption], dict[int, object]]:
+        """Corruptions by number: those described by rules, and the user's own transformations."""
+        ruled = {i: c for i, c in enumerate(corruptions) if _has_rules(c)}
+        return ruled, {i: c for i, c in enumerate(corruptions) if i not in ruled}
+
+    def _scored(self, ruled: dict, own: dict, repetitions: int, scorers: dict) -> DataFrame:
+        prepared = self.prepare(ruled, repetitions) if ruled else None
+        parts = []
+        for name, scorer in scorers.items():
+            found = [self._result(prepared, scorer)] if ruled else []
+            found += [self._transformed(own, repetitions, scorer)] if own else []
+            parts += [df if name is None else df.withColumn("model_id", F.lit(name)) for df in found]
+        if not parts:
+            raise ValueError("no corruption given")
         return reduce(DataFrame.unionByName, parts)
 
     def damage_counts(self, p: Prepared) -> DataFrame:
@@ -84,26 +105,26 @@ class ImpactEvaluator:
         hits = self._damaged(p).groupBy(F.col("s.idx").alias("idx")).agg(F.count(F.lit(1)).alias("_n"))
         return self._info(p).join(hits, "idx", "left").withColumn("rows_hit", F.coalesce("_n", F.lit(0))).drop("_n")
 
-    def prepare(self, corruptions: Sequence[Corruption], repetitions: int) -> Prepared:
+    def prepare(self, corruptions: Sequence[Corruption] | dict[int, Corruption], repetitions: int) -> Prepared:
         task, schema = self.task, self.task.test.schema
         scenarios = []
-        for sid, c in enumerate(corruptions):
+        for sid, c in corruptions.items() if isinstance(corruptions, dict) else enumerate(corruptions):
             bound = c.bind(task.features, f"{task.seed}/{sid}")
             absent = [x for x in bound.affected() if x not in task.features]
             if absent:
                 raise ValueError(f"not a feature of the task: {absent}")
             scenarios += [Scenario(len(scenarios) + r, sid, r, f"{task.seed}/{sid}/{r}", bound)
                           for r in range(repetitions)]
+        table = self._table([s.corruption for s in scenarios])
+        rules = RowRules(table, [s.corruption.draw(s.seed, task.features) for s in scenarios])
         kinds: dict[str, T.DataType] = {}
         scorable = []
         for s in scenarios:
             after = s.corruption.types(schema)
             fits = all(is_number(k) == is_number(schema[c].dataType) for c, k in after.items())
-            scorable.append(fits)
+            scorable.append(fits or rules.rules[s.idx].mode == NONE)
             for c, k in after.items() if fits else ():
                 kinds[c] = wider(kinds.get(c, schema[c].dataType), k)
-        table = self._table([s.corruption for s in scenarios])
-        rules = RowRules(table, [s.corruption.draw(s.seed, task.features) for s in scenarios])
         noisy = sorted({s.corruption.column for s in scenarios if s.corruption.needs_spread})
         return Prepared(scenarios, rules, column_spread(task.test, noisy), kinds, scorable)
 
@@ -130,8 +151,6 @@ class ImpactEvaluator:
                          | parameters(s.corruption, s.seed, p.spreads.get(s.corruption.column)))
         ddl = f"array<struct<idx:int,g:int,{rules.fields()},{PARAMETER_FIELDS}>>"
         rows = rules.table.df
-        if rules.table.rows < SMALL_TABLE:
-            rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *rules.table.key)
         if scorer is not None:
             rows = scorer.score(rows, "_old")
         needed = rules.row_columns()
@@ -155,17 +174,68 @@ class ImpactEvaluator:
             wanted = F.when(test, F.col(column)) if wanted is None else wanted.when(test, F.col(column))
         table = reduce(DataFrame.unionByName, pairs).select(
             F.col("id").alias("_id"), F.col("value").alias("_value"), F.col("target").alias("_target"))
-        # rows of other corruptions get a key of their own, so they spread instead of piling up on NULL
-        key = F.coalesce(wanted, F.concat(F.lit("\0"), F.col("_k")))
-        return hit.withColumn("_wanted", key).join(
-            table, (F.col("s.idx") == F.col("_id")) & (F.col("_wanted") == F.col("_value")), "left")
+        return with_target(hit, table, wanted, F.col("_k"), [(F.col("s.idx"), "_id")]).drop("_id")
 
     def _rewritten(self, p: Prepared, scorer: Scorer) -> DataFrame:
         """Damaged rows with their new cells, all read from the old row at once."""
         new = _new_cells(p, self.task.test.schema)
-        others = [F.col(c) for c in self.task.test.columns if c not in new]
-        return self._damaged(p, scorer).select(
-            F.col("s.idx").alias("idx"), *others, *[e.alias(c) for c, e in new.items()], "_old")
+        names = ["idx", *self.task.test.columns, "_old"]
+        cells = [F.col("s.idx").alias("idx"), *[new[c].alias(c) if c in new else F.col(c) for c in names[1:]]]
+        batched: dict[tuple, ImageCorruption] = {
+            _rewrite_key(s.corruption): s.corruption for s in p.active if _in_batches(s.corruption)}
+        if not batched:
+            return self._damaged(p, scorer).select(*cells)
+        parts, damaged = [], self._damaged(p, scorer)
+        of = {k: [s.idx for s in p.active if _rewrite_key(s.corruption) == k] for k in batched}
+        rest = [s.idx for s in p.active if not _in_batches(s.corruption)]
+        if rest:
+            parts.append(damaged.where(F.col("s.idx").isin(rest)).select(*cells))
+        for key, c in batched.items():
+            hit = damaged.where(F.col("s.idx").isin(of[key])).withColumns(
+                {"idx": F.col("s.idx"), "_hit": F.lit(True), "_stream": F.col("s.stream")})
+            # a checkpointed task has ``_v`` among its columns already
+            plain = [n for n in names if n not in ("_v", "_k")]
+            done = c.in_batches(hit, plain)
+            parts.append(done.select(*[F.col(n) if n in plain else F.lit(None).cast(hit.schema[n].dataType).alias(n)
+                                       for n in names]))
+        return reduce(DataFrame.unionByName, parts)
+
+    # -- the user's own transformations -----------------------------------------------
+
+    def _transformed(self, own: dict[int, object], repetitions: int, scorer: Scorer) -> DataFrame:
+        task = self.task
+        columns = [c for c in task.test.columns if c not in ("_k", "_v")]
+        test = task.test.select(*columns)
+        runs = [(sid * repetitions + r, sid, r, c) for sid, c in own.items() for r in range(repetitions)]
+        scored, seen, rows = [], [], []
+        for idx, sid, rep, c in runs:
+            damaged = c.transform(test, task.key, f"{task.seed}/{sid}/{rep}")
+            absent = [n for n in (*task.key, task.label) if n not in damaged.columns]
+            if absent:
+                raise ValueError(f"{c!r} drops the columns {absent}")
+            scored.append(scorer.score(damaged, "_score").select(F.lit(idx).alias("idx"), task.label, "_score"))
+            if self.schema is not None:
+                found = validate(damaged.select(*[n for n in damaged.columns if n in task.features or n not in columns]),
+                                 self.schema)
+                seen.append(found.select(F.lit(idx).alias("idx"), F.struct("column", "code", "observed", "expected").alias("a")))
+            name = c.describe() if hasattr(c, "describe") else type(c).__name__
+            rows.append(Row(idx, sid, rep, name, type(c).__name__, getattr(c, "column", None),
+                            getattr(c, "fraction", None), getattr(c, "sampling", None), True, []))
+        info = test.sparkSession.createDataFrame(rows, INFO_DDL)
+        whole = reduce(DataFrame.unionByName, scored)
+        scores = task_metric(whole, task.task_type, "_score", task.label, ["idx"], "corrupted_score", task.positive_class)
+        counts = whole.groupBy("idx").agg(F.count(F.lit(1)).alias("_n"))
+        wrong = F.raise_error(F.lit("a corruption changed the number of test rows")).cast("double")
+        out = info.join(scores, "idx", "left").join(counts, "idx", "left").withColumn(
+            "corrupted_score", F.when(F.coalesce("_n", F.lit(0)) == task.test_rows, F.col("corrupted_score")).otherwise(wrong))
+        out = out.withColumn("baseline_score", F.lit(task.performance(scorer).first()[0]).cast("double"))
+        names = [*RESULT, "baseline_score", "corrupted_score"]
+        if self.schema is None:
+            return out.select(*names)
+        found = reduce(DataFrame.unionByName, seen).groupBy("idx").agg(F.sort_array(F.collect_list("a")).alias("anomalies"))
+        none = F.array().cast(found.schema["anomalies"].dataType)
+        out = out.join(found, "idx", "left").withColumn("anomalies", F.coalesce("anomalies", none))
+        return out.select(*names, (F.size("anomalies") > 0).alias("anomaly_detected"), "anomalies")
 
     def _result(self, p: Prepared, scorer: Scorer) -> DataFrame:
         info = self._info(p)
@@ -177,7 +247,7 @@ class ImpactEvaluator:
             measured = info.select("idx", F.lit(clean).cast("double").alias("baseline_score"),
                                    F.lit(clean).cast("double").alias("corrupted_score"))
         out = info.join(measured, "idx", "left")
-        columns = ["scenario_id", "rep", "corruption", "kind", "column", "fraction", "sampling", "baseline_score",
+        columns = [*RESULT, "baseline_score",
                    F.when(F.col("scorable"), F.col("corrupted_score")).alias("corrupted_score")]
         if self.schema is None:
             return out.select(*columns)
@@ -211,10 +281,11 @@ class ImpactEvaluator:
             "idx", self.task.label, F.col("e.x").alias("_score"), F.col("e.w").alias("_w"))
 
     def _auc(self, p: Prepared, scorer: Scorer) -> DataFrame:
-        label = self.task.label
-        clean = score_histogram(scorer.score(self.task.test, "_score"), "_score", label)
-        delta = score_histogram(self._signed(p, scorer), "_score", label, ["idx"], F.col("_w"))
-        return shifted_auc(clean, delta, len(p.scenarios)).select(
+        label, positive = self.task.label, self.task.positive_class
+        clean = score_histogram(scorer.score(self.task.test, "_score"), "_score", label, positive=positive)
+        delta = score_histogram(self._signed(p, scorer), "_score", label, ["idx"], F.col("_w"), positive)
+        labelled = self.task.test.agg(F.count(label)).first()[0]
+        return shifted_auc(clean, delta, len(p.scenarios), labelled).select(
             "idx", F.col("clean_score").alias("baseline_score"), F.col("shifted_score").alias("corrupted_score"))
 
     def _f1(self, p: Prepared, scorer: Scorer) -> DataFrame:
@@ -233,14 +304,20 @@ class ImpactEvaluator:
     def _error(self, p: Prepared, scorer: Scorer) -> DataFrame:
         label = self.task.label
         clean = scorer.score(self.task.test, "_score").agg(
-            F.sum(squared_error("_score", label)).alias("total"), F.count(label).alias("n")).first()
+            F.sum(squared_error("_score", label)).alias("total"), F.count(label).alias("n"),
+            F.count_if(unscored("_score", label)).alias("blank")).first()
         change = self._both_scores(p, scorer).groupBy("idx").agg(
-            F.sum(squared_error("_new", label) - squared_error("_old", label)).alias("change"))
+            F.sum(F.coalesce(squared_error("_new", label), F.lit(0.0))
+                  - F.coalesce(squared_error("_old", label), F.lit(0.0))).alias("change"),
+            (F.count_if(unscored("_new", label)) - F.count_if(unscored("_old", label))).alias("blank"))
         every = self.task.test.sparkSession.range(len(p.scenarios)).select(F.col("id").cast("int").alias("idx"))
         moved = every.join(change, "idx", "left")
         total, n = F.lit(clean["total"]), F.lit(float(clean["n"]))
-        return moved.select("idx", (total / n).alias("baseline_score"),
-                            ((total + F.coalesce("change", F.lit(0.0))) / n).alias("corrupted_score"))
+        blank = F.lit(clean["blank"])
+        return moved.select(
+            "idx", F.when(blank == 0, total / n).alias("baseline_score"),
+            F.when(blank + F.coalesce("blank", F.lit(0)) == 0, (total + F.coalesce("change", F.lit(0.0))) / n)
+            .alias("corrupted_score"))
 
     # -- schema anomalies from signed changes -----------------------------------------
 
@@ -248,6 +325,7 @@ class ImpactEvaluator:
         test, schema = self.task.test, self.schema
         known = [e for e in schema.expectations if e.column in test.columns]
         fixed = [(e.column, "MISSING_COLUMN", 0.0, 1.0) for e in schema.expectations if e.column not in test.columns]
+        fixed += [(c, "NEW_COLUMN", 1.0, 0.0) for c in self.task.features if c not in schema]
         clean = test.agg(F.count(F.lit(1)).alias("rows"), *[
             F.count_if(flag).alias(f"{name}{i}") for i, e in enumerate(known)
             for name, flag in cell_flags(e, test.schema[e.column].dataType, F.col(e.column)).items()
@@ -282,6 +360,21 @@ class ImpactEvaluator:
         return rows.groupBy("idx").agg(*[F.sum(n).cast("bigint").alias(n) for n in after])
 
 
+# Columns that say what a row of the result is about.
+RESULT = ["scenario_id", "rep", "corruption", "kind", "column", "fraction", "sampling"]
+
+
+def _has_rules(c: object) -> bool:
+    """Does the corruption describe its rows and cells, or has it a transformation of its own?"""
+    if isinstance(c, ImageCorruption):
+        return True
+    return isinstance(c, Corruption) and type(c).transform is Corruption.transform
+
+
+def _in_batches(c: object) -> bool:
+    return isinstance(c, ImageCorruption) and not c.by_expression
+
+
 def _rewrite_key(c: Corruption) -> tuple:
     """Corruptions that differ only in which rows they hit share one rewriting branch."""
     left_out = ("fraction", "sampling", "most_confident", "compat", "derange")

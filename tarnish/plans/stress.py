@@ -78,7 +78,7 @@ def stress_test(task: Task, scorer: Scorer, schema: Schema, count: int, threshol
 
     The schema has to accept the clean test data first.
     """
-    if has_anomaly(validate(task.test.select(*[e.column for e in schema.expectations]), schema)):
+    if has_anomaly(validate(task.test.select(*task.features), schema)):
         raise ValueError("the schema does not accept the clean test data")
     corruptions = random_corruptions(task, count, task.seed if seed is None else seed)
     results = ImpactEvaluator(task, scorer, schema).evaluate(corruptions, 1)

@@ -18,7 +18,11 @@ BINARY, MULTICLASS, REGRESSION = "binary", "multiclass", "regression"
 
 @dataclass
 class Task:
-    """Labels live in a column of the same table, so rows and labels cannot drift apart."""
+    """Labels live in a column of the same table, so rows and labels cannot drift apart.
+
+    Categories are text, whatever their type in the given tables.  ``positive`` names the
+    positive one of two classes; by default it is 1, or the last of two text classes.
+    """
 
     train: DataFrame
     test: DataFrame
@@ -30,6 +34,7 @@ class Task:
     text: list[str] = field(default_factory=list)
     images: str | None = None
     seed: int = 0
+    positive: object = None
     baseline: object = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -40,6 +45,10 @@ class Task:
                 raise ValueError(f"columns not in the table: {absent}")
         if self.task_type not in METRICS:
             raise ValueError(f"unknown task type {self.task_type!r}")
+        if self.task_type == REGRESSION and not all(
+                isinstance(df.schema[self.label].dataType, T.NumericType) for df in (self.train, self.test)):
+            raise ValueError("a regression needs numeric labels")
+        self.train, self.test = (categories_as_text(df, self.categorical) for df in (self.train, self.test))
 
     @property
     def features(self) -> list[str]:
@@ -57,6 +66,14 @@ class Task:
             raise ValueError(f"labels look like {found}, the task is declared {self.task_type}")
         return self
 
+    @cached_property
+    def positive_class(self) -> object:
+        if self.positive is not None:
+            return self.positive
+        if self.task_type != BINARY or not isinstance(self.train.schema[self.label].dataType, T.StringType):
+            return 1
+        return self.train.agg(F.max(self.label)).first()[0]
+
     @cached_property
     def test_rows(self) -> int:
         return self.test.count()
@@ -75,15 +92,27 @@ class Task:
     def performance(self, scorer: Scorer, into: str = "value") -> DataFrame:
         """The task's metric for a scorer on the clean test rows."""
         scored = scorer.score(self.test, "_score")
-        return task_metric(scored, self.task_type, "_score", self.label, into=into)
+        return task_metric(scored, self.task_type, "_score", self.label, into=into, positive=self.positive_class)
+
+    def baseline_performance(self, into: str = "value") -> DataFrame:
+        """The metric of the task's own baseline, which must have been fitted."""
+        if self.baseline is None:
+            raise ValueError("fit the baseline first")
+        return self.performance(self.baseline, into)
 
     def score_predictions(self, predictions: DataFrame, score: str = "score", into: str = "value") -> DataFrame:
-        return score_predictions(predictions, self.test, self.key, self.task_type, score, self.label, into)
+        return score_predictions(predictions, self.test, self.key, self.task_type, score, self.label, into,
+                                 self.positive_class)
 
     def with_train(self, train: DataFrame) -> "Task":
         return replace(self, train=train, baseline=None)
 
 
+def categories_as_text(df: DataFrame, categorical: list[str]) -> DataFrame:
+    other = [c for c in categorical if not isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: F.col(c).cast("string") for c in other}) if other else df
+
+
 def label_task_type(train: DataFrame, test: DataFrame, label: str, closed: bool | None = None) -> str | None:
     """Task type that the labels allow.
 
