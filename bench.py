@@ -22,7 +22,7 @@ from tarnish.operators.schema import profile
 from tarnish.operators.scoring import LinearScorer
 from tarnish.plans.evaluate import ImpactEvaluator, grid
 from tarnish.plans.results import mean_scores
-from tarnish.plans.task import BINARY, Task, split
+from tarnish.plans.task import BINARY, Task, image_style, split
 from tarnish.session import local_session
 
 
@@ -54,7 +54,11 @@ def grid_60x10(spark, sf):
 
 
 def profile_lineitem(spark, sf):
-    return profile(table(spark, sf, "lineitem").drop("l_shipdate"))
+    return profile(table(spark, sf, "lineitem"))
+
+
+def profile_exact(spark, sf):
+    return profile(table(spark, sf, "lineitem"), exact=True)
 
 
 def broken_text(spark, sf):
@@ -66,6 +70,16 @@ def image_noise(spark, sf):
     return ImageCorruption(("gaussian_noise",), 4, 1.0).transform(image_table(spark, sf), ["vec_id"], 7)
 
 
+def image_grid_7x10x2(spark, sf):
+    """7 fractions x 10 repetitions x 3 kinds, scored by two models."""
+    from catalog.evaluation import IMAGE_KINDS, PixelScorer
+    from catalog.images import image_table
+    task = image_style(image_table(spark, sf), ["vec_id"], "label", 7, 9, seed=7).checkpointed(train=False)
+    damage = [ImageCorruption((k,), 4, f) for k in IMAGE_KINDS for f in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.99)]
+    scorers = {"one": PixelScorer(37), "two": PixelScorer(53)}
+    return ImpactEvaluator(task, PixelScorer(37)).compare(scorers, damage, 10)
+
+
 HEADLINE = {
     "mark_car_lineitem": mark_car,
     "mark_nar_lineitem": mark_nar,
@@ -73,6 +87,8 @@ HEADLINE = {
     "stress_test_lineitem": load_all()["stress_test"].run,
     "impact_single_lineitem": load_all()["impact_single"].run,
     "profile_lineitem": profile_lineitem,
+    "profile_exact_lineitem": profile_exact,
+    "impact_image_grid_embeddings": image_grid_7x10x2,
     "broken_characters_documents": broken_text,
     "image_noise_embeddings": image_noise,
 }

@@ -33,6 +33,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load_all() -> dict[str, Query]:
     from catalog import (  # noqa: F401  (importing fills the registry)
-        cleaning, corruptions, evaluation, images, metrics, models, preparation, samplers, schemas,
+        cleaning, corruptions, evaluation, files, images, metrics, models, preparation, samplers, schemas,
     )
     return REGISTRY

@@ -106,11 +106,13 @@ def impact_custom(spark, sf):
 
 
 @dataclass(frozen=True)
-class _PixelScorer(Scorer):
+class PixelScorer(Scorer):
     """A fixed linear model over the pixels, in whole numbers."""
 
+    step: int = 37
+
     def score(self, df, into="score"):
-        total = F.aggregate(F.transform("pixels", lambda x, i: x * (i * 37 % 11 - 5)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        total = F.aggregate(F.transform("pixels", lambda x, i: x * (i * self.step % 11 - 5)), F.lit(0).cast("bigint"), lambda a, x: a + x)
         return df.withColumn(into, total.cast("double"))
 
 
@@ -147,7 +149,7 @@ def impact_image_grid(spark, sf):
     """Noise, contrast and brightness at severity 4 on growing shares of the images."""
     task = image_style(image_table(spark, sf), ["vec_id"], "label", 7, 9, seed=SEED)
     damage = [ImageCorruption((k,), 4, f) for k in IMAGE_KINDS for f in IMAGE_FRACTIONS]
-    return rounded(ImpactEvaluator(task, _PixelScorer()).evaluate(damage, 3))
+    return rounded(ImpactEvaluator(task, PixelScorer()).evaluate(damage, 3))
 
 
 GRID = [(c, f, m) for c in ("l_quantity", "l_returnflag") for f in (0.99, 0.25, 0.01) for m in ("MCAR", "MAR", "MNAR")]

@@ -1,6 +1,7 @@
 """Feature columns and fitted baseline models."""
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -48,12 +49,27 @@ def linear_scores(spark, sf):
     return LINE_SCORER.score(table(spark, sf, "lineitem")).select(*LINE_IDS, F.round("score", 9).alias("score"))
 
 
-@register("text_features")
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{2,}')"
+
+
+@register("text_features", f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                            list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS terms, count(*) AS distinct_terms, max(n) AS commonest, sum(n * length(term))::BIGINT AS letters,
+       min(term) AS first_term, max(term) AS last_term
+FROM c GROUP BY doc_id""")
 def text_features(spark, sf):
-    """Hashed 1- to 3-gram vectors of whole documents."""
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    vectors = Pipeline(stages=features.hashed_text_stages("text", "vector")).fit(documents).transform(documents)
-    return vectors.select("doc_id", F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+    """Words and 2- and 3-grams of whole documents, as they go into the hashed vector."""
+    documents = table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
+    stages = [s for s in features.hashed_text_stages("text", "vector") if not isinstance(s, (HashingTF, Normalizer))]
+    terms = Pipeline(stages=stages).fit(documents).transform(documents)
+    counts = terms.select("doc_id", F.explode("text_terms").alias("term")).groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("doc_id").agg(
+        F.sum("n").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"), F.max("n").alias("commonest"),
+        F.sum(F.col("n") * F.length("term")).alias("letters"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
 def _report(spark, task, scorer):

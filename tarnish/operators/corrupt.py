@@ -122,13 +122,23 @@ class Corruption:
         return bound._transform(KeyedTable(df, key, seed), str(seed), features, hit)
 
     def _transform(self, table: KeyedTable, seed: str, features: list[str], hit: str | None) -> DataFrame:
+        test, s = self._resolved(table, seed, features)
+        return rewrite(self, table.df.withColumn("_hit", test), s, table.source.columns, hit)
+
+    def _resolved(self, table: KeyedTable, seed: str, features: list[str]) -> tuple[Column, Column]:
+        """The test that says which rows are hit, and the parameters of one application."""
         rules = RowRules(table, [self.draw(seed, features)])
         spread = None
         if self.needs_spread and rules.rules[0].mode:
             spread = column_spread(table.source, [self.column])[self.column]
-        s = json_literal(parameters(self, seed, spread), f"struct<{PARAMETER_FIELDS}>")
-        marked = table.df.withColumn("_hit", rules.hit_one())
-        return rewrite(self, marked, s, table.source.columns, hit)
+        return rules.hit_one(), json_literal(parameters(self, seed, spread), f"struct<{PARAMETER_FIELDS}>")
+
+    def cell(self, table: KeyedTable, seed: str, features: list[str]) -> Column:
+        """The damaged version of the column, over the rows of ``table.df``."""
+        test, s = self._resolved(table, seed, features)
+        schema = table.df.schema
+        new, kind = self.values(schema, s)[self.column], self.types(schema)[self.column]
+        return F.when(test, new.cast(kind)).otherwise(F.col(self.column).cast(kind))
 
 
 def parameters(c: Corruption, seed: str, spread: float | None) -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 # Size of the hashed text vector and the longest word sequence in it.
 TEXT_DIMENSIONS = 10_000
 MAX_NGRAM = 3
-WORD = r"\b\w\w+\b"
+WORD = r"(?U)\b\w\w+\b"
 
 
 def cast_to_text(df: DataFrame, columns: list[str]) -> DataFrame:

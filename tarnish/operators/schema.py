@@ -19,7 +19,7 @@ from tarnish.operators.clean import unpivot_text
 from tarnish.operators.corrupt import INTEGRAL
 from tarnish.operators.ranks import values_at_ranks
 
-# Fixed value: a string column with more distinct values than this has no closed domain.
+# Default of ``max_domain``: a string column with more distinct values has no closed domain.
 MAX_DOMAIN = 100
 
 ANOMALY_CODES = ("MISSING_COLUMN", "NEW_COLUMN", "TYPE_MISMATCH", "PRESENCE_BELOW_MIN",
@@ -146,6 +146,7 @@ class Expectation:
     min_domain_mass: float = 1.0
     min: float | None = None
     max: float | None = None
+    note: str | None = None
 
 
 @dataclass(frozen=True)
@@ -167,17 +168,18 @@ class Schema:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         ddl = ("column string, type string, min_fraction double, domain array<string>, "
-               "min_domain_mass double, min double, max double")
+               "min_domain_mass double, min double, max double, note string")
         return spark.createDataFrame(
             [Row(e.column, e.type, e.min_fraction, list(e.domain) if e.domain is not None else None,
-                 e.min_domain_mass, e.min, e.max) for e in self.expectations], ddl)
+                 e.min_domain_mass, e.min, e.max, e.note) for e in self.expectations], ddl)
 
 
 def infer_schema(df: DataFrame, columns: list[str] | None = None, max_domain: int = MAX_DOMAIN) -> Schema:
     """Type, required presence and, for strings with few values, the closed domain.
 
-    A cheap distinct estimate first decides which columns can have a domain at all, so
-    columns with many values are never grouped.
+    ``max_domain`` is the largest number of distinct values a closed domain may have, counted
+    exactly; a string column beyond it has none, and its ``note`` says so.  Only columns whose
+    estimated number is over twice the limit are not counted.
     """
     columns = columns or df.columns
     fields = {c: df.schema[c].dataType for c in columns}
@@ -193,7 +195,8 @@ def infer_schema(df: DataFrame, columns: list[str] | None = None, max_domain: in
                   .where(F.size("v") <= max_domain).collect()):
             domains[r["column"]] = tuple(sorted(r["v"]))
     return Schema(tuple(
-        Expectation(c, type_class(fields[c]), 1.0 if row[f"m{i}"] == 0 else 0.0, domains.get(c))
+        Expectation(c, type_class(fields[c]), 1.0 if row[f"m{i}"] == 0 else 0.0, domains.get(c),
+                    note=f"no domain: over {max_domain} values" if c in strings and c not in domains and row[f"d{i}"] else None)
         for i, c in enumerate(columns)))
 
 

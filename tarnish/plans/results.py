@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tarnish.operators.sampling import bootstrap
+from tarnish.operators.corrupt import Corruption
+from tarnish.operators.sampling import KeyedTable, bootstrap
 
 SCENARIO = ["scenario_id", "corruption", "kind", "column", "fraction", "sampling"]
 
@@ -47,14 +48,23 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def side_by_side(df: DataFrame, key: list[str], corruptions: dict[str, object], seed: object = 0) -> DataFrame:
     """The table with one extra column per corrupted version of a column.
 
-    Each version is computed from the original table and attached by key.
+    Each version is computed from the original table.  Corruptions that look at one row only
+    are added side by side in one projection; any other is attached by key.
     """
     features = [c for c in df.columns if c not in key]
-    out = df
+    hashed = KeyedTable(df, key, seed)
+    versions, out = {}, hashed.df
     for name, c in corruptions.items():
-        damaged = c.transform(df, key, f"{seed}/{name}", features=features)
-        out = out.join(damaged.select(*key, F.col(c.column).alias(name)), key)
-    return out
+        if isinstance(c, Corruption) and type(c)._transform is Corruption._transform:
+            own = f"{seed}/{name}"
+            table = KeyedTable(hashed.df, key, own, rows=hashed.rows)
+            versions[name] = c.bind(features, own).cell(table, own, features)
+    out = out.withColumns(versions) if versions else out
+    for name, c in corruptions.items():
+        if name not in versions:
+            damaged = c.transform(df, key, f"{seed}/{name}", features=features)
+            out = out.join(damaged.select(*key, F.col(c.column).alias(name)), key)
+    return out.select(*df.columns, *corruptions)
 
 
 def augment(df: DataFrame, key: list[str], make_corruption, severities: list[int], sample: int, seed: object = 0) -> DataFrame:
