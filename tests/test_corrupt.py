@@ -60,9 +60,10 @@ def test_shift_keeps_the_domain(toy):
     assert all(a != rows(moved, "B")[i] for i, a in rows(toy, "B").items())
 
 
-def test_shift_edges(spark, toy, capsys):
-    same = CategoricalShift("A", 0.5).transform(toy, ["id"])
-    assert rows(same, "A") == rows(toy, "A") and "categorical" in capsys.readouterr().out
+def test_shift_edges(spark, toy):
+    with pytest.warns(UserWarning, match="categorical"):
+        same = CategoricalShift("A", 0.5).transform(toy, ["id"])
+    assert rows(same, "A") == rows(toy, "A")
     gaps = toy.withColumn("B", F.when(F.col("id") % 4 > 0, F.col("B")))
     out = CategoricalShift("B", 1.0).transform(gaps, ["id"])
     assert out.where("B is null").count() == 5
