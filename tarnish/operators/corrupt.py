@@ -328,7 +328,7 @@ def with_target(rows: DataFrame, pairs: DataFrame, wanted: Column, spread: Colum
         return rows.join(F.broadcast(pairs), _all([F.col("_wanted") == F.col("_value"), *same]), "left").drop("_wanted", "_value")
     lane = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = pairs.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    apart = rows.withColumns({"_lane": F.when(F.col("_wanted").isNull(), -1 - F.abs(F.hash(spread)).cast("bigint")).otherwise(lane),
+    apart = rows.withColumns({"_lane": F.when(F.col("_wanted").isNull(), -1 - F.abs(F.hash(spread).cast("bigint"))).otherwise(lane),
                               "_wanted": F.coalesce("_wanted", F.lit(""))})
     joined = apart.join(copies, _all([F.col("_wanted") == F.col("_value"), F.col("_lane") == F.col("_salt"), *same]), "left")
     return joined.drop("_wanted", "_value", "_lane", "_salt")

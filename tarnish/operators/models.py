@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tarnish.functions.rand import Salt, key_string, row_base, uniform
 from tarnish.operators.clean import fill_constant, fit_mean, fit_mode
 from tarnish.operators.features import feature_pipeline
-from tarnish.operators.metrics import METRICS, task_metric
+from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
 
 # Strengths of the L2 penalty and the losses tried for regression.
@@ -25,10 +25,14 @@ FOLDS = 5
 
 @dataclass(frozen=True)
 class Baseline(ChainedScorer):
-    """A fitted baseline: imputers, features and learner, with its cross-validation scores."""
+    """A fitted baseline: imputers, features and learner, with its cross-validation scores.
+
+    For a regression ``cv_absolute`` holds the mean absolute errors beside the squared ones.
+    """
 
     best: dict = field(default_factory=dict)
     cv_scores: tuple = ()
+    cv_absolute: tuple = ()
 
 
 def learners(task_type: str, max_iter: int) -> list[tuple[dict, Estimator]]:
@@ -84,13 +88,13 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed).persist()
     grid = learners(task.task_type, max_iter)
     try:
-        def one_fold(fold: int) -> list[float | None]:
+        def one_fold(fold: int) -> list[tuple]:
             parts = _fit_all(rows.where(F.col("_fold") != fold), numerical, categorical, text, grid)
             return _held_out_scores(*parts, task.task_type, rows.where(F.col("_fold") == fold))
 
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
             by_fold = list(pool.map(one_fold, range(folds)))
-        means = [_mean([f[i] for f in by_fold]) for i in range(len(grid))]
+        means, absolute = ([_mean([f[i][side] for f in by_fold]) for i in range(len(grid))] for side in (0, 1))
         scored = [i for i in range(len(grid)) if means[i] == means[i]]
         if not scored:
             raise ValueError("no fold gives a score: too few rows, or a class is absent")
@@ -101,7 +105,8 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         rows.unpersist()
     scores = tuple((dict(p), s) for (p, _), s in zip(grid, means))
     scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type, classes)
-    baseline = Baseline(scorer, imputers, grid[at][0], scores)
+    also = tuple((dict(p), s) for (p, _), s in zip(grid, absolute)) if task.task_type == "regression" else ()
+    baseline = Baseline(scorer, imputers, grid[at][0], scores, also)
     if own:
         task.baseline = baseline
     return baseline
@@ -148,8 +153,8 @@ def _filled(df: DataFrame, imputers: tuple) -> DataFrame:
 
 
 def _held_out_scores(imputers: tuple, features: PipelineModel, models: list, task_type: str,
-                     held: DataFrame) -> list[float | None]:
-    """The metric of every model on the held-out rows, all in one job."""
+                     held: DataFrame) -> list[tuple]:
+    """(metric, mean absolute error of a regression) of every model on the held-out rows, all in one job."""
     out = features.transform(_filled(held, imputers)).select("features", "_label")
     cells = []
     for i, model in enumerate(models):
@@ -160,8 +165,13 @@ def _held_out_scores(imputers: tuple, features: PipelineModel, models: list, tas
         score = vector_to_array(f"_q{i}")[1] if task_type == "binary" else F.col(f"_p{i}")
         cells.append(F.struct(F.lit(i).alias("setting"), score.alias("score")))
     long = out.select("_label", F.explode(F.array(*cells)).alias("c")).select("_label", "c.setting", "c.score")
-    found = {r["setting"]: r["value"] for r in task_metric(long, task_type, "score", "_label", ["setting"]).collect()}
-    return [found.get(i) for i in range(len(models))]
+    if task_type == "regression":
+        measured = long.groupBy("setting").agg(F.avg(squared_error("score", "_label")).alias("value"),
+                                               F.avg(absolute_error("score", "_label")).alias("absolute"))
+    else:
+        measured = task_metric(long, task_type, "score", "_label", ["setting"]).withColumn("absolute", F.lit(None))
+    found = {r["setting"]: (r["value"], r["absolute"]) for r in measured.collect()}
+    return [found.get(i, (None, None)) for i in range(len(models))]
 
 
 @dataclass(frozen=True)

@@ -143,3 +143,10 @@ def test_dates_in_the_profile(spark):
     found = {r["column"]: r for r in profile(df).collect()}
     assert found["d"]["min"] == 1704153600.0 and found["t"]["max"] == 1704153601.0
     assert found["d"]["distinct"] == 1 and found["t"]["missing"] == 1
+
+
+def test_regression_grid_keeps_both_errors(spark):
+    task = number_task(spark, "id * 37 % 101 / 5.0", "regression")
+    model = fit_baseline(task, folds=2, max_iter=20)
+    assert len(model.cv_absolute) == len(model.cv_scores) == 8
+    assert all(0 <= a <= math.sqrt(s) + 1e-9 for (_, a), (_, s) in zip(model.cv_absolute, model.cv_scores))
