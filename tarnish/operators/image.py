@@ -61,12 +61,11 @@ def _batches(kinds: tuple[str, ...], severity: int, column: str):
             # images of one size go through a kernel together
             for size in {s for s, h in zip(sizes, hit) if h}:
                 at = [i for i, s in enumerate(sizes) if hit[i] and s == size]
-                stack = np.stack([np.asarray(cells[i], dtype=float) for i in at]).reshape(-1, *map(int, size)) / 255.0
+                stack = np.stack([np.asarray(cells[i], dtype=float) for i in at]).reshape(-1, *map(int, size))
                 rngs = px.generators(frame["_v"].to_numpy()[at], frame["_stream"].to_numpy()[at])
-                for kind in kinds:
-                    stack = np.clip(px.KERNELS[kind](stack, severity, rngs), 0, 1)
-                flat = (stack * 255).astype(np.int32).reshape(len(at), -1)
-                for i, image in zip(at, flat):
+                for kind in kinds:  # every kernel leaves whole bytes to the next
+                    stack = (np.clip(px.KERNELS[kind](stack / 255.0, severity, rngs), 0, 1) * 255).astype(np.int32)
+                for i, image in zip(at, stack.reshape(len(at), -1)):
                     cells[i] = image
             yield frame.drop(columns=["_hit", "_v", "_stream"]).assign(**{column: cells})
 
