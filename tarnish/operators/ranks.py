@@ -169,11 +169,8 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], n: int, *,
         # keep the driver's sample small in bytes, not only in rows, for long texts
         width = data.agg(F.avg(F.length("o.v"))).first()[0] or 0
         sample_rows = int(min(sample_rows, max(500, SAMPLE_TEXT / max(width, 1))))
-    if n <= sample_rows:
-        grouped = data.groupBy("o").agg(F.count(F.lit(1)).alias("c")).collect()
-        return _walk(sorted(grouped, key=lambda r: (r["o"]["z"], r["o"]["v"])), wanted)
     kind = kind.simpleString()
-    sample = _in_order(data.sample(False, sample_rows / n, 1).collect())
+    sample = _in_order(data.sample(False, min(1.0, sample_rows / n), 1).collect())
     found: dict[int, dict] = {}
     for sigmas in (5.0, 20.0, None):
         brackets = [_Bracket(r, float(n)) for r in wanted if r not in found]
@@ -195,15 +192,6 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], n: int, *,
     raise ValueError("the table changed between two scans")
 
 
-def _walk(grouped: list[Row], wanted: list[int]) -> dict[int, dict]:
-    found, upto, todo = {}, 0, list(wanted)
-    for r in grouped:
-        while todo and todo[0] < upto + r["c"]:
-            found[todo.pop(0)] = _at(r, upto)
-        upto += r["c"]
-    return found
-
-
 def draw_bounds(data: DataFrame, requests: list[dict], value_type: str | None = None) -> list[dict]:
     """For each request the ``need``-th smallest (draw, key), so ``<=`` marks exactly that many.
 

@@ -64,15 +64,15 @@ def exact_quartiles(df: DataFrame, columns: list[str]) -> dict[str, list[float |
         return dict(zip(columns, pool.map(one, enumerate(columns))))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, exact: bool = True) -> DataFrame:
     """One row of statistics per column.
 
     Numbers: count, missing, zeros, min, max, mean, standard deviation, quartiles.  Dates and
     timestamps: min and max in seconds since 1970, distinct values and the commonest.  Strings:
     distinct values, commonest value and its count, shortest, longest and mean length.  The
     numeric side is one aggregate without any shuffle of rows; the string side is one
-    shuffle of (column, value) counts for all columns together.  Quartiles come from a
-    sketch, or, with ``exact``, from a few more scans of one column each.
+    shuffle of (column, value) counts for all columns together.  Quartiles come from a few
+    more scans of one column each, or, without ``exact``, from a sketch of this ``accuracy``.
     """
     columns = columns or df.columns
     fields = {c: df.schema[c].dataType for c in columns}

@@ -31,6 +31,7 @@ from tarnish.operators.schema import (
 )
 from tarnish.operators.scoring import Scorer
 from tarnish.plans.task import Task
+from tarnish.session import cut_lineage
 
 INFO_DDL = ("idx int, scenario_id int, rep int, corruption string, kind string, `column` string, "
             "fraction double, sampling string, scorable boolean, mismatch array<string>")
@@ -90,10 +91,10 @@ class ImpactEvaluator:
         return ruled, {i: c for i, c in enumerate(corruptions) if i not in ruled}
 
     def _scored(self, ruled: dict, own: dict, repetitions: int, scorers: dict) -> DataFrame:
-        prepared = self.prepare(ruled, repetitions) if ruled else None
+        results = self._results(self.prepare(ruled, repetitions), list(scorers.values())) if ruled else []
         parts = []
-        for name, scorer in scorers.items():
-            found = [self._result(prepared, scorer)] if ruled else []
+        for i, (name, scorer) in enumerate(scorers.items()):
+            found = results[i:i + 1]
             found += [self._transformed(own, repetitions, scorer)] if own else []
             parts += [df if name is None else df.withColumn("model_id", F.lit(name)) for df in found]
         if not parts:
@@ -136,10 +137,10 @@ class ImpactEvaluator:
             test = self.scorer.score(test, "_s").withColumn("_confidence", self.scorer.confidence("_s")).drop("_s")
         return KeyedTable(test, task.key, task.seed, rows=task.test_rows)
 
-    def _damaged(self, p: Prepared, scorer: Scorer | None = None) -> DataFrame:
+    def _damaged(self, p: Prepared, scorers: Sequence[Scorer] = ()) -> DataFrame:
         """The rows hit by each scenario, still with their old cells; ``s`` is the scenario.
 
-        Given a scorer, a row also carries its clean score, computed once before it is
+        A row also carries the clean score of each given scorer, computed once before it is
         paired with scenarios.
         """
         rules = p.rules
@@ -151,8 +152,8 @@ class ImpactEvaluator:
                          | parameters(s.corruption, s.seed, p.spreads.get(s.corruption.column)))
         ddl = f"array<struct<idx:int,g:int,{rules.fields()},{PARAMETER_FIELDS}>>"
         rows = rules.table.df
-        if scorer is not None:
-            rows = scorer.score(rows, "_old")
+        for i, scorer in enumerate(scorers):
+            rows = scorer.score(rows, f"_old{i}")
         needed = rules.row_columns()
         rows = rows.withColumns(needed)
         spread = rows.withColumn("s", F.explode(json_literal(items, ddl)))
@@ -176,16 +177,20 @@ class ImpactEvaluator:
             F.col("id").alias("_id"), F.col("value").alias("_value"), F.col("target").alias("_target"))
         return with_target(hit, table, wanted, F.col("_k"), [(F.col("s.idx"), "_id")]).drop("_id")
 
-    def _rewritten(self, p: Prepared, scorer: Scorer) -> DataFrame:
-        """Damaged rows with their new cells, all read from the old row at once."""
+    def _rewritten(self, p: Prepared, scorers: Sequence[Scorer], moves: dict[str, Column]) -> DataFrame:
+        """Damaged rows with their new cells, all read from the old row at once.
+
+        ``moves`` are expressions over the old row that go along.
+        """
         new = _new_cells(p, self.task.test.schema)
-        names = ["idx", *self.task.test.columns, "_old"]
-        cells = [F.col("s.idx").alias("idx"), *[new[c].alias(c) if c in new else F.col(c) for c in names[1:]]]
+        names = ["idx", *self.task.test.columns, *[f"_old{i}" for i in range(len(scorers))]]
+        cells = [F.col("s.idx").alias("idx"), *[new[c].alias(c) if c in new else F.col(c) for c in names[1:]],
+                 *[e.alias(n) for n, e in moves.items()]]
         batched: dict[tuple, ImageCorruption] = {
             _rewrite_key(s.corruption): s.corruption for s in p.active if _in_batches(s.corruption)}
         if not batched:
-            return self._damaged(p, scorer).select(*cells)
-        parts, damaged = [], self._damaged(p, scorer)
+            return self._damaged(p, scorers).select(*cells)
+        parts, damaged = [], self._damaged(p, scorers)
         of = {k: [s.idx for s in p.active if _rewrite_key(s.corruption) == k] for k in batched}
         rest = [s.idx for s in p.active if not _in_batches(s.corruption)]
         if rest:
@@ -197,7 +202,7 @@ class ImpactEvaluator:
             plain = [n for n in names if n not in ("_v", "_k")]
             done = c.in_batches(hit, plain)
             parts.append(done.select(*[F.col(n) if n in plain else F.lit(None).cast(hit.schema[n].dataType).alias(n)
-                                       for n in names]))
+                                       for n in names], *[F.lit(0).alias(n) for n in moves]))
         return reduce(DataFrame.unionByName, parts)
 
     # -- the user's own transformations -----------------------------------------------
@@ -237,22 +242,30 @@ class ImpactEvaluator:
         out = out.join(found, "idx", "left").withColumn("anomalies", F.coalesce("anomalies", none))
         return out.select(*names, (F.size("anomalies") > 0).alias("anomaly_detected"), "anomalies")
 
-    def _result(self, p: Prepared, scorer: Scorer) -> DataFrame:
-        info = self._info(p)
+    def _results(self, p: Prepared, scorers: list[Scorer]) -> list[DataFrame]:
+        """One result per scorer, all from the same damaged rows."""
+        info, task = self._info(p), self.task
+        changes, moves = None, {}
         if p.active:
-            measured = {"binary": self._auc, "multiclass": self._f1, "regression": self._error}[
-                self.task.task_type](p, scorer)
-        else:
-            clean = self.task.performance(scorer, "baseline_score").first()[0]
-            measured = info.select("idx", F.lit(clean).cast("double").alias("baseline_score"),
-                                   F.lit(clean).cast("double").alias("corrupted_score"))
-        out = info.join(measured, "idx", "left")
+            moves = self._flag_moves(p) if self.schema is not None else {}
+            changes = self._changes(p, scorers, moves)
+        if self.schema is not None:
+            info = self._anomalies(p, info, changes, moves)
         columns = [*RESULT, "baseline_score",
                    F.when(F.col("scorable"), F.col("corrupted_score")).alias("corrupted_score")]
-        if self.schema is None:
-            return out.select(*columns)
-        out = self._anomalies(p, out)
-        return out.select(*columns, (F.size("anomalies") > 0).alias("anomaly_detected"), "anomalies")
+        if self.schema is not None:
+            columns += [(F.size("anomalies") > 0).alias("anomaly_detected"), F.col("anomalies")]
+        metric = {"binary": self._auc, "multiclass": self._f1, "regression": self._error}[task.task_type]
+        results = []
+        for i, scorer in enumerate(scorers):
+            if changes is not None:
+                both = changes.select("idx", task.label, F.col(f"_old{i}").alias("_old"), F.col(f"_new{i}").alias("_new"))
+                measured = metric(p, scorer, both)
+            else:
+                clean = F.lit(task.performance(scorer, "baseline_score").first()[0]).cast("double")
+                measured = info.select("idx", clean.alias("baseline_score"), clean.alias("corrupted_score"))
+            results.append(info.join(measured, "idx", "left").select(*columns))
+        return results
 
     def _info(self, p: Prepared) -> DataFrame:
         rows = []
@@ -268,32 +281,40 @@ class ImpactEvaluator:
 
     # -- metrics from signed changes --------------------------------------------------
 
-    def _both_scores(self, p: Prepared, scorer: Scorer) -> DataFrame:
-        """(idx, label, old score, new score) of every damaged row."""
-        return scorer.score(self._rewritten(p, scorer), "_new").select("idx", self.task.label, "_old", "_new")
+    def _changes(self, p: Prepared, scorers: list[Scorer], moves: dict[str, Column]) -> DataFrame:
+        """(idx, label, old and new score by each scorer, moved flags) of every damaged row.
 
-    def _signed(self, p: Prepared, scorer: Scorer) -> DataFrame:
+        Where more than one result is read off, these narrow rows are written once.
+        """
+        rows = self._rewritten(p, scorers, moves)
+        for i, scorer in enumerate(scorers):
+            rows = scorer.score(rows, f"_new{i}")
+        scores = [f"_{side}{i}" for i in range(len(scorers)) for side in ("old", "new")]
+        rows = rows.select("idx", self.task.label, *scores, *moves)
+        return cut_lineage(rows) if len(scorers) > 1 or moves else rows
+
+    def _signed(self, both: DataFrame) -> DataFrame:
         """Each changed score twice: the old one with -1 and the new one with +1."""
-        both = self._both_scores(p, scorer).where(~F.col("_old").eqNullSafe(F.col("_new")))
+        both = both.where(~F.col("_old").eqNullSafe(F.col("_new")))
         sides = F.array(F.struct(F.col("_old").alias("x"), F.lit(-1).alias("w")),
                         F.struct(F.col("_new").alias("x"), F.lit(1).alias("w")))
         return both.withColumn("e", F.explode(sides)).select(
             "idx", self.task.label, F.col("e.x").alias("_score"), F.col("e.w").alias("_w"))
 
-    def _auc(self, p: Prepared, scorer: Scorer) -> DataFrame:
+    def _auc(self, p: Prepared, scorer: Scorer, both: DataFrame) -> DataFrame:
         label, positive = self.task.label, self.task.positive_class
         clean = score_histogram(scorer.score(self.task.test, "_score"), "_score", label, positive=positive)
-        delta = score_histogram(self._signed(p, scorer), "_score", label, ["idx"], F.col("_w"), positive)
+        delta = score_histogram(self._signed(both), "_score", label, ["idx"], F.col("_w"), positive)
         labelled = self.task.test.agg(F.count(label)).first()[0]
         return shifted_auc(clean, delta, len(p.scenarios), labelled).select(
             "idx", F.col("clean_score").alias("baseline_score"), F.col("shifted_score").alias("corrupted_score"))
 
-    def _f1(self, p: Prepared, scorer: Scorer) -> DataFrame:
+    def _f1(self, p: Prepared, scorer: Scorer, both: DataFrame) -> DataFrame:
         label = self.task.label
         scored = scorer.score(self.task.test, "_score")
         everyone = F.sequence(F.lit(0), F.lit(len(p.scenarios) - 1))
         clean = confusion(scored, "_score", label)
-        delta = confusion(self._signed(p, scorer), "_score", label, ["idx"], F.col("_w"))
+        delta = confusion(self._signed(both), "_score", label, ["idx"], F.col("_w"))
         counts = (
             clean.withColumn("idx", F.explode(everyone)).unionByName(delta)
             .groupBy("idx", "label", "prediction").agg(F.sum("n").alias("n"))
@@ -301,12 +322,12 @@ class ImpactEvaluator:
         base = macro_f1(scored, "_score", label).first()[0]
         return macro_f1_of(counts, ["idx"], "corrupted_score").withColumn("baseline_score", F.lit(base))
 
-    def _error(self, p: Prepared, scorer: Scorer) -> DataFrame:
+    def _error(self, p: Prepared, scorer: Scorer, both: DataFrame) -> DataFrame:
         label = self.task.label
         clean = scorer.score(self.task.test, "_score").agg(
             F.sum(squared_error("_score", label)).alias("total"), F.count(label).alias("n"),
             F.count_if(unscored("_score", label)).alias("blank")).first()
-        change = self._both_scores(p, scorer).groupBy("idx").agg(
+        change = both.groupBy("idx").agg(
             F.sum(F.coalesce(squared_error("_new", label), F.lit(0.0))
                   - F.coalesce(squared_error("_old", label), F.lit(0.0))).alias("change"),
             (F.count_if(unscored("_new", label)) - F.count_if(unscored("_old", label))).alias("blank"))
@@ -321,25 +342,28 @@ class ImpactEvaluator:
 
     # -- schema anomalies from signed changes -----------------------------------------
 
-    def _anomalies(self, p: Prepared, out: DataFrame) -> DataFrame:
+    def _known(self) -> list:
+        return [e for e in self.schema.expectations if e.column in self.task.test.columns]
+
+    def _anomalies(self, p: Prepared, out: DataFrame, changes: DataFrame | None, moves: dict[str, Column]) -> DataFrame:
         test, schema = self.task.test, self.schema
-        known = [e for e in schema.expectations if e.column in test.columns]
+        known = self._known()
         fixed = [(e.column, "MISSING_COLUMN", 0.0, 1.0) for e in schema.expectations if e.column not in test.columns]
         fixed += [(c, "NEW_COLUMN", 1.0, 0.0) for c in self.task.features if c not in schema]
         clean = test.agg(F.count(F.lit(1)).alias("rows"), *[
             F.count_if(flag).alias(f"{name}{i}") for i, e in enumerate(known)
             for name, flag in cell_flags(e, test.schema[e.column].dataType, F.col(e.column)).items()
         ]).first()
-        changed = {e.column: i for i, e in enumerate(known) if e.column in p.kinds}
-        if changed and p.active:
-            out = out.join(self._flag_changes(p, known, changed), "idx", "left")
+        if moves:
+            moved = changes.groupBy("idx").agg(*[F.sum(n).cast("bigint").alias(n) for n in moves])
+            out = out.join(moved, "idx", "left")
         arrays = [json_literal([dict(zip(("column", "code", "observed", "expected"), f)) for f in fixed],
                                f"array<struct<{ANOMALY_DDL.replace(' ', ':').replace(',:', ',')}>>")]
         for i, e in enumerate(known):
             counts = []
             for name in ("gone", "odd", "far"):
                 count = F.lit(clean[f"{name}{i}"]).cast("bigint")
-                if e.column in changed and p.active:
+                if f"_{name}{i}" in moves:
                     count = count + F.coalesce(F.col(f"_{name}{i}"), F.lit(0))
                 counts.append(count)
             same = F.lit(type_class(test.schema[e.column].dataType) == e.type)
@@ -347,17 +371,18 @@ class ImpactEvaluator:
             arrays.append(anomaly_array(e, F.lit(clean["rows"]).cast("bigint"), *counts, same))
         return out.withColumn("anomalies", F.flatten(F.array(*arrays)))
 
-    def _flag_changes(self, p: Prepared, known: list, changed: dict[str, int]) -> DataFrame:
-        """Per scenario, how the counts of missing, odd and far cells move.  Needs no scoring."""
-        before, after = self.task.test.schema, {}
+    def _flag_moves(self, p: Prepared) -> dict[str, Column]:
+        """How a damaged row moves the counts of missing, odd and far cells of its columns."""
+        before, moves = self.task.test.schema, {}
         new = _new_cells(p, before)
-        for column, i in changed.items():
-            old_flags = cell_flags(known[i], before[column].dataType, F.col(column))
-            new_flags = cell_flags(known[i], p.kinds[column], new[column])
+        for i, e in enumerate(self._known()):
+            if e.column not in new:
+                continue
+            old_flags = cell_flags(e, before[e.column].dataType, F.col(e.column))
+            new_flags = cell_flags(e, p.kinds[e.column], new[e.column])
             for name in old_flags:
-                after[f"_{name}{i}"] = new_flags[name].cast("int") - old_flags[name].cast("int")
-        rows = self._damaged(p).select(F.col("s.idx").alias("idx"), *[e.alias(n) for n, e in after.items()])
-        return rows.groupBy("idx").agg(*[F.sum(n).cast("bigint").alias(n) for n in after])
+                moves[f"_{name}{i}"] = new_flags[name].cast("int") - old_flags[name].cast("int")
+        return moves
 
 
 # Columns that say what a row of the result is about.
