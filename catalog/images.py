@@ -92,9 +92,23 @@ def img_motion(spark, sf):
     return _corrupt(spark, sf, "motion_blur")
 
 
-@register("img_defocus")
+# Severity 4: a disk of radius 8 on a grid of reach 10, softened by a Gaussian of sigma 0.5 that
+# is mirrored at the grid's border; then the weight of each source pixel of a mirrored 8 x 8 image.
+DEFOCUS = f"""
+WITH side AS (SELECT unnest(range(-10, 11))::INT AS v),
+soft AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * (d / 0.5) * (d / 0.5)) AS w FROM (SELECT unnest(range(-2, 3))::INT AS d) q) q),
+near AS (SELECT v, w, CASE WHEN abs(v + d) > 10 THEN 20 - abs(v + d) ELSE abs(v + d) END AS at FROM side, soft),
+disk AS (SELECT y.v AS y, x.v AS x, sum(y.w * x.w * (y.at * y.at + x.at * x.at <= 64)::INT) AS w FROM near y, near x GROUP BY ALL),
+place AS (SELECT r, v, CASE WHEN m < 8 THEN m ELSE 14 - m END AS at FROM (SELECT r, v, (r + v + 28) % 14 AS m FROM (SELECT unnest(range(8))::INT AS r) q, side) q),
+weight AS (SELECT a.r * 8 + b.r AS i, a.at * 8 + b.at AS src, sum(w) / (SELECT sum(w) FROM disk) AS w
+           FROM disk JOIN place a ON a.v = y JOIN place b ON b.v = x GROUP BY ALL)
+SELECT vec_id, i, CASE WHEN any_value(hit) THEN {_byte('sum(w * pixels[src + 1]::DOUBLE / 255.0::DOUBLE)')} ELSE any_value(pixels[i + 1]) END AS x
+FROM ({sql.marked('embeddings', 0.5, 'COIN', SEED, source=IMAGES)}) k, weight GROUP BY vec_id, i"""
+
+
+@register("img_defocus", DEFOCUS)
 def img_defocus(spark, sf):
-    return _corrupt(spark, sf, "defocus_blur")
+    return _long(_corrupt(spark, sf, "defocus_blur"))
 
 
 @register("img_fog")

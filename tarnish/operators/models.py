@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.functions.rand import Salt, key_string, row_base, uniform
-from tarnish.operators.clean import fill_constant, fit_mean, fit_mode
+from tarnish.operators.clean import ConditionalMode, fill_constant, fit_conditional_mode, fit_mean, fit_mode
 from tarnish.operators.features import feature_pipeline
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
@@ -230,14 +230,19 @@ class LearnedImputer:
 
 
 def fit_learned_imputer(df: DataFrame, target: str, numerical: list[str] = (), categorical: list[str] = (),
-                        *, alpha: float = 0.001, max_iter: int = 50, max_classes: int = 1_000) -> LearnedImputer:
-    """Multinomial regression of one categorical column on others; NULL targets are left out."""
+                        *, alpha: float = 0.001, max_iter: int = 50, max_classes: int = 1_000) -> LearnedImputer | ConditionalMode:
+    """Multinomial regression of one categorical column on others; NULL targets are left out.
+
+    The regression has a row of weights per class, so ``max_classes`` bounds it; a target with
+    more values is filled with the commonest value among rows that agree on the categorical
+    inputs (without any, on the numerical ones).
+    """
     if not isinstance(df.schema[target].dataType, T.StringType):
         raise ValueError("the learned imputer fills string columns")
     known = df.where(F.col(target).isNotNull())
     found = known.groupBy(target).agg(F.count(F.lit(1)).alias("n")).orderBy(target).limit(max_classes + 1).collect()
     if len(found) > max_classes:
-        raise ValueError(f"{target!r} has more than {max_classes} values; use the conditional mode instead")
+        return fit_conditional_mode(df, target, list(categorical or numerical))
     labels = tuple(r[target] for r in found)
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target)) - 1
     rows = known.select(*numerical, *categorical, index.cast("double").alias("_label"))
