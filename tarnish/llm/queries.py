@@ -36,13 +36,21 @@ def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
 
 
-def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
-    turns = _table(spark, folder, "conversations")
-    out = preference.pairs(turns, preference.diverted(turns), "conv_id")
+def _written_pairs(out: DataFrame) -> DataFrame:
     return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", preference.written(F.col("chosen_spans")).alias("chosen_spans"),
                       preference.written(F.col("rejected_spans")).alias("rejected_spans"))
 
 
+def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return _written_pairs(preference.pairs(turns, preference.diverted(turns), "conv_id"))
+
+
+def op4_preference_all(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return _written_pairs(preference.pairs(turns, preference.diverted_all(turns), "conv_id", whole=True))
+
+
 def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
