@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed kinds, and strings that pass a battery of randomness tests.
 
 A candidate is a long run of encoding characters with letters and digits.  Its encoding is
-inferred as the smallest alphabet that holds it.  Under the hypothesis that its symbols are
+inferred as the smallest alphabet that holds it.  A run with both '+' or '/' and '-' or '_' is in
+none; its parts between the former, and those between the latter, are candidates in its place.  Under the hypothesis that its symbols are
 independent and uniform over that alphabet, three p-values are computed: chi-squared of the
 symbol counts, runs above and below the middle of the alphabet, serial correlation of neighbours.
 Three times the least is the candidate's p-value.
@@ -29,6 +30,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts of a run that no alphabet holds whole: as in base64url, and as in base64.
+PARTS = (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets by name, the smallest that fits counts; with the shortest candidate that has enough symbols to judge.
 ALPHABETS = {
@@ -145,8 +148,21 @@ def _battery(found: Column) -> Column:
     return F.filter(each, lambda t: t["p"].isNotNull())
 
 
+def _pieces(found: Column) -> Column:
+    """The runs that one alphabet can hold, and the parts of the others; parts of the two kinds may overlap."""
+    def part(m: Column, body: Column, p: Column) -> Column:
+        stop = F.when(p["stop"] == F.length(body), m["stop"]).otherwise(m["start"] + p["stop"])  # the last keeps its padding
+        return F.struct((m["start"] + p["start"]).alias("start"), stop.alias("stop"), p["found"].alias("found"))
+
+    def split(m: Column, body: Column) -> Column:
+        parts = F.concat(*[F.transform(matches(body, pattern), lambda p: part(m, body, p)) for pattern in PARTS])
+        return F.when(body.rlike("[+/]") & body.rlike("[_-]"), F.array_distinct(parts)).otherwise(F.array(m))
+
+    return F.flatten(F.transform(found, lambda m: let(F.regexp_replace(m["found"], "=+$", ""), lambda body: split(m, body))))
+
+
 def candidates(text: Column) -> Column:
-    return _battery(matches(text, CANDIDATE))
+    return let(_pieces(matches(text, CANDIDATE)), _battery)
 
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[int, int], float]:
@@ -180,7 +196,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, stop), kinds numbered as in ``KINDS``.
 
     ``spans`` holds the base spans and the candidates taken for random that no base span
-    touches, by start and kind.  A NULL text has none.  The thresholds need one pass over all
+    touches, by start and kind; parts of one run may overlap.  A NULL text has none.  The thresholds need one pass over all
     texts before.  Columns of ``docs`` with these names are replaced.
     """
     limits = thresholds(docs, text, rate)

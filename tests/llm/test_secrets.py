@@ -55,6 +55,27 @@ def test_battery_tells_random_from_text(spark):
     assert hit.get("path", 0) <= 9 and hit.get("run", 0) == 0
 
 
+def test_tokens_in_paths_and_beside_other_marks(spark):
+    """Runs that no alphabet holds whole: base64url tokens in paths, base64 keys behind '-' or '_'."""
+    rng = random.Random(6)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [("https://example.org/reset/", "-_", "?next=1"), ("/v1/keys/sk_live_", "-_", " "), ("id_", "+/", "== "), ("run-", "+/", "é")]
+    rows, at = [], {}
+    for i in range(400):
+        before, marks, after = forms[i % 4]
+        token = "".join(rng.choices(base62 + marks, k=40)) + "a" + marks + "7Z"
+        rows.append((i, f"é see {before}{token}{after}"))
+        at[i] = (6 + len(before), 6 + len(before) + len(token))
+    for i in range(400):
+        slug = "-".join(rng.choice(["index", "assets", "images", "news", "article", "about"]) for _ in range(rng.randint(4, 9)))
+        rows.append((1000 + i, f"see /news/{slug}-2024/page for more"))
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [any(s.start <= a and s.stop >= b for s in got[i]) for i, (a, b) in at.items()]
+    assert sum(held) >= 360 and all(sum(held[k::4]) >= 85 for k in range(4))
+    assert all(s.stop == at[i][1] + 2 for i in range(2, 400, 4) for s in got[i] if s.start <= at[i][0] and s.stop >= at[i][1])
+    assert sum(bool(got[1000 + i]) for i in range(400)) <= 12
+
+
 def test_step_up_rule():
     assert secrets.step_up({0: 90, 40: 10}, 0.05) == 2.0**-10
     assert secrets.step_up({0: 10}, 0.05) == 0.0
