@@ -100,10 +100,11 @@ def _index(batches: Iterator[pa.RecordBatch], sample: list, count: int, k: int,
             pivots = nearest(points[dim], unit(vectors), k)
             ordered = np.sort(pivots, axis=1)
             keep = max(1, ordered.shape[1] - shared + 1)
+            start = int(_mixed(0, np.array([dim]))[0])  # lists of vectors of different length share no key
             raw, described = [v.tobytes() for v in vectors], [p.tobytes() for p in pivots]
             for j in range(keep):
                 path = [p.tobytes() for p in ordered[:, j]]
-                yield _listed(_mixed(int(dim), ordered[:, j]), path, c[rows], n[rows], raw, described)
+                yield _listed(_mixed(start, ordered[:, j]), path, c[rows], n[rows], raw, described)
 
 
 def _bits(pivots: np.ndarray, size: int) -> np.ndarray:

@@ -87,3 +87,20 @@ def test_edge_rows(spark):
                           *[(str(i), 0, str(i), True) for i in (6, 7, 8, 9, 10, 11)], ("12", 1 + 0, "12", True), ("13", 1, "12", False),
                           ("None", 0, "None", True), ("15", 0, "15", True)])
     assert embeddings.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """Some hundred vectors of each length: their lists must not meet under one key."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim in (64, 128):
+        for _ in range(150):
+            v = rng.normal(size=dim)
+            rows += [v, near(rng, v, 0.99)]
+    rows = [(i, np.asarray(v, np.float32).tolist()) for i, v in enumerate(rows)]
+    expected, total = plain(rows)
+    frame = spark.createDataFrame([(i, v, "", 0) for i, v in rows], DDL)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect()}
+    assert total >= 600 and np.mean([got[i] == expected[i] for i in expected]) >= 0.97
+    keys = [embeddings._mixed(int(embeddings._mixed(0, np.array([dim]))[0]), np.arange(embeddings.PIVOTS)) for dim in (2, 3, 64, 128, 384, 768)]
+    assert len(np.unique(np.concatenate(keys))) == 6 * embeddings.PIVOTS
