@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import bpe, embeddings, lm, packing, preference, quality, secrets, simhash, sql, urls, warc
+from tarnish.llm import bpe, embeddings, exact, lexical, lm, merkle, packing, preference, quality, secrets, simhash, sql, urls, warc
 
 #: The tokenizer files, as this installation names them; operators take them as parameters.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,9 +84,29 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build(_table(spark, folder, "documents")), _table(spark, folder, "benchmark"), k=10)
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_digest(*values[:3], F.col("n_chars") + 1, values[4]))
+    proved = merkle.prove(docs, merkle.leaf_digest(*values), "lang", "doc_id", [F.col("doc_id"), tampered.alias("tampered")])
+    again = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    marked = exact.mark(_table(spark, folder, "documents").select("doc_id", "text"), digests=lambda body: {"text_sha256": F.sha2(body, 256)})
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference": sql.PREFERENCE, "op5_urls": sql.URLS, "op9_quality": sql.QUALITY, "op10_warc": sql.WARC}
+    return {"op4_preference": sql.PREFERENCE, "op5_urls": sql.URLS, "op9_quality": sql.QUALITY, "op10_warc": sql.WARC,
+            "op11_lexical": sql.LEXICAL, "op12_merkle": sql.MERKLE, "op13_exact": sql.EXACT}

@@ -93,3 +93,73 @@ SELECT conv_id, any_value(n)::INT AS n_prompt_turns,
        coalesce(string_agg((stop - len(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY k) FILTER (WHERE side = 'r' AND k > n AND role = '{f.ASSISTANT}'), '') AS rejected_spans
 FROM spans GROUP BY conv_id
 """
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM})"
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+ns AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+st AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM ns),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, st GROUP BY t),
+q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ts FROM benchmark),
+qt AS (SELECT DISTINCT q, item_id, unnest(ts) AS t FROM q),
+scored AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+                  sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+           FROM qt JOIN w USING (t) JOIN tf USING (t) JOIN ns USING (r), st GROUP BY q, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+EXACT = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY body)::BIGINT AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(body) AS text_sha256
+FROM n WINDOW best AS (PARTITION BY body ORDER BY size DESC, doc_id NULLS LAST)
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    names = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in names) + ")"
+
+
+# CRC-32 of the decimal digits, bit by bit with the reversed polynomial.
+_CRC = ("xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), "
+        "lambda c, x: list_reduce([xor(c, x)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))")
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Tables of a tree with groups ``g``: nodes of every level, and each leaf's path so far and fold."""
+    parts = [f"{name}n0 AS MATERIALIZED (SELECT g, i, n, h FROM {leaves})",
+             f"{name}p0 AS MATERIALIZED (SELECT id, g, i, n, '' AS proof, fold FROM {leaves})"]
+    for k in range(levels):
+        parts.append(
+            f"{name}n{k + 1} AS MATERIALIZED (SELECT g, i // 2 AS i, (any_value(n) + 1) // 2 AS n, "
+            f"CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}n{k} GROUP BY g, i // 2)")
+        parts.append(
+            f"{name}p{k + 1} AS MATERIALIZED (SELECT p.id, p.g, p.i // 2 AS i, (p.n + 1) // 2 AS n, proof || coalesce(s.h, '') AS proof, "
+            f"CASE WHEN p.n = 1 THEN fold WHEN p.i % 2 = 1 THEN sha256(coalesce(s.h, '') || fold) ELSE sha256(fold || coalesce(s.h, '')) END AS fold "
+            f"FROM {name}p{k} p LEFT JOIN {name}n{k} s ON s.g = p.g AND s.i = xor(p.i, 1))")
+    return ",\n".join(parts)
+
+
+#: Levels of the trees of the SQL: 2 to this power leaves of a group, and groups.
+_DEEP, _WIDE = 24, 10
+
+MERKLE = f"""
+WITH leaves AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf,
+                       CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS bad FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n,
+                  leaf AS h, coalesce(bad, leaf) AS fold FROM leaves),
+{_tree('a', 'placed', _DEEP)},
+tops AS MATERIALIZED (SELECT g AS id, 0 AS g, row_number() OVER (ORDER BY g::BLOB) - 1 AS i, count(*) OVER () AS n, h, h AS fold FROM an{_DEEP}),
+{_tree('b', 'tops', _WIDE)},
+lower_paths AS MATERIALIZED (SELECT l.id, l.proof, l.fold, tops.i, tops.n, l.g AS top, tops.h AS subroot FROM ap{_DEEP} l JOIN tops ON tops.id = l.g),
+both_paths AS MATERIALIZED (SELECT l.id, l.subroot, l.proof || u.proof AS proof, l.fold, l.i, l.n, 0 AS g FROM lower_paths l JOIN bp{_WIDE} u ON u.id = l.top),
+{_tree('c', '(SELECT id, g, i, n, fold, subroot AS h FROM both_paths)', _WIDE).replace('cn0 AS MATERIALIZED (SELECT g, i, n, h FROM (SELECT id, g, i, n, fold, subroot AS h FROM both_paths))', 'cn0 AS MATERIALIZED (SELECT g, i, n, h FROM tops)')}
+SELECT placed.doc_id, placed.leaf, subroot, bn{_WIDE}.h AS root, sha256(both_paths.proof) AS proof_sha256, cp{_WIDE}.fold AS folded_root,
+       cp{_WIDE}.fold = bn{_WIDE}.h AS verified
+FROM placed JOIN both_paths USING (id) JOIN cp{_WIDE} USING (id), bn{_WIDE}
+"""
