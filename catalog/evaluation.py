@@ -8,12 +8,12 @@ from catalog import register, sql, table
 from catalog import grid_sql as g
 from catalog.images import IMAGES, image_table
 from catalog.metrics import (
-    PART_CLASS, PART_LINEAR, PART_SCORER, REVENUE, REVENUE_SCORER, bulk_lines, f1_sql, revenue_lines, sized_parts,
+    BULK, PART_CLASS, PART_LINEAR, PART_SCORER, REVENUE, REVENUE_SCORER, bulk_lines, f1_sql, revenue_lines, sized_parts,
 )
-from catalog.samplers import LINE_SCORER, SEED
+from catalog.samplers import LINE_LOGIT, LINE_SCORER, SEED
 from tarnish.operators.clean import fill_constant, fit_mean, fit_mode
 from tarnish.operators.corrupt import (
-    BrokenCharacters, CategoricalShift, CustomCorruption, GaussianNoise, MissingValues, Scaling, SwappedValues,
+    BrokenCharacters, CategoricalShift, CustomCorruption, GaussianNoise, MissingByConfidence, MissingValues, Scaling, SwappedValues,
 )
 from tarnish.operators.image import ImageCorruption
 from tarnish.operators.schema import infer_schema
@@ -105,6 +105,38 @@ def impact_custom(spark, sf):
     return rounded(found, "corruption").drop("rep")
 
 
+FLAG_SCORER = LinearScorer(-0.4, {"l_discount": (9.0, 0.05), "l_tax": (-6.0, 0.04)}, {"l_linestatus": {"F": 0.3, "O": -0.3}})
+_FLAG_LOGIT = ("(-0.4::DOUBLE + 9.0::DOUBLE * coalesce(l_discount, 0.05::DOUBLE) + -6.0::DOUBLE * coalesce(l_tax, 0.04::DOUBLE)"
+               " + CASE WHEN l_linestatus = 'F' THEN 0.3::DOUBLE WHEN l_linestatus = 'O' THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END)")
+_OTHER_LOGIT = LINE_LOGIT.replace("l_quantity", "(60 - l_quantity)")
+
+
+def _confidence_sql() -> str:
+    parts = []
+    for sid, (logit, test) in enumerate([(LINE_LOGIT, "rk >= n - kk"), (_FLAG_LOGIT, "rk >= n - kk"), (_FLAG_LOGIT, "rk < kk"),
+                                         (_OTHER_LOGIT, "rk >= n - kk"), (LINE_LOGIT, "rk < kk")]):
+        kept = ", ".join(f"{f} AS c_{f}" for f in g.FEATURES if f != "l_quantity")
+        parts.append(f"SELECT {sid} AS scenario_id, label, CASE WHEN {test} THEN NULL ELSE l_quantity END AS c_l_quantity, {kept} FROM ("
+                     f"SELECT *, row_number() OVER (ORDER BY abs({logit}), {sql.draw('v', SEED, 'tie')}, k) - 1 AS rk, count(*) OVER () AS n, "
+                     f"floor(count(*) OVER () * 0.3::DOUBLE) AS kk FROM test) r{sid}")
+    return f"""WITH test AS MATERIALIZED (SELECT * EXCLUDE (hit), {BULK} AS label FROM ({sql.marked('lineitem', 0.2, 'CAR', g.SPLIT)}) m WHERE hit),
+x AS MATERIALIZED ({' UNION ALL '.join(parts)})
+SELECT scenario_id, round({g.base_score()}, 6) AS baseline_score, round(auc, 6) AS corrupted_score
+FROM ({g.auc_sql('x', g.PLAIN, 'label', 'scenario_id')}) a"""
+
+
+@register("impact_confidence", _confidence_sql())
+def impact_confidence(spark, sf):
+    """Rows that a corruption's own scorer is sure of, one on another version of the rows, in one job."""
+    task = bulk_task(spark, sf)
+    other = task.test.withColumn("l_quantity", 60 - F.col("l_quantity"))
+    damage = [MissingByConfidence("l_quantity", 0.3), MissingByConfidence("l_quantity", 0.3, scorer=FLAG_SCORER),
+              MissingByConfidence("l_quantity", 0.3, scorer=FLAG_SCORER, most_confident=False),
+              MissingByConfidence("l_quantity", 0.3, scorer=LINE_SCORER, predict_on=other),
+              MissingByConfidence("l_quantity", 0.3, scorer=LINE_SCORER, most_confident=False)]
+    return rounded(ImpactEvaluator(task, LINE_SCORER).evaluate(damage, 1)).drop("rep")
+
+
 @dataclass(frozen=True)
 class PixelScorer(Scorer):
     """A fixed linear model over the pixels, in whole numbers."""

@@ -212,9 +212,10 @@ class MissingByConfidence(MissingValues):
     compat: bool = False
     scorer: object = field(default=None, compare=False)
     predict_on: object = field(default=None, compare=False)
+    lane: str = field(default="_confidence", compare=False)  # the column that ranks the rows
 
     def draw(self, seed: str, features: list[str]) -> Draw:
-        return Draw(seed, "RANKS", self.fraction, "_confidence", span=self.span)
+        return Draw(seed, "RANKS", self.fraction, self.lane, span=self.span)
 
     def span(self, n: int) -> tuple[int, int]:
         """First position and number of positions by ascending confidence."""
@@ -234,19 +235,22 @@ class MissingByConfidence(MissingValues):
             raise ValueError("a scorer is needed to rank rows by confidence")
         df, key = table.source, table.key
         if self.predict_on is None:
-            scored = self.scorer.score(df, "_score").withColumn("_confidence", self.scorer.confidence("_score"))
-            scored = scored.drop("_score")
+            scored = self.scorer.score(df, "_score").withColumn(self.lane, self.scorer.confidence("_score")).drop("_score")
         else:
-            ranked = self.scorer.score(self.predict_on, "_score")
-            ranked = ranked.select(*key, self.scorer.confidence("_score").alias("_confidence"), F.lit(True).alias("_known"))
-            absent = F.raise_error(F.lit("predict_on lacks a row of the table")).cast("double")
-            scored = df.join(ranked, key, "left").withColumn(
-                "_confidence", F.when(F.col("_known"), F.col("_confidence")).otherwise(absent)).drop("_known")
+            scored = join_confidence(df, self.scorer, self.predict_on, key, self.lane)
         keyed = KeyedTable(scored, key, seed)
         out = MissingValues._transform(self, keyed, seed, features, hit)
         return out.select(*df.columns, *([hit] if hit else []))
 
 
+def join_confidence(df: DataFrame, scorer: object, predict_on: DataFrame, key: list[str], into: str) -> DataFrame:
+    """How sure the scorer is of the row with the same key in ``predict_on``; one it lacks fails the job."""
+    ranked = scorer.score(predict_on, "_score")
+    ranked = ranked.select(*key, scorer.confidence("_score").alias(into), F.lit(True).alias("_known"))
+    absent = F.raise_error(F.lit("predict_on lacks a row of the table")).cast("double")
+    return df.join(ranked, key, "left").withColumn(into, F.when(F.col("_known"), F.col(into)).otherwise(absent)).drop("_known")
+
+
 @dataclass(frozen=True)
 class SwappedValues(Corruption):
     """Exchange the cells of two columns; the partner is drawn once when not given.

@@ -1,12 +1,11 @@
 """Exact order statistics and dense positions without a global sort in one task.
 
-``values_at_ranks`` finds the values that stand at given positions of a column's order.  A
-small sorted sample brackets each position, one scan counts what lies below the bracket
-and keeps only the values inside it, and the wanted value is read off a running count over
-those few.  Only the bracket is shuffled, and the answer is exact whatever the sample was:
-a position that misses its bracket is searched again in a wider one.
+``positions`` finds the values that stand at given positions of the order of any number of
+columns in two scans.  The first makes a summary that brackets every position for certain; the
+second counts what lies between the brackets' ends and keeps only values inside one.  Those
+few are cut by order, and the wanted value is read off a running count within one piece.
 
-``draw_bounds`` does the same for uniform draws, whose bracket is known without a sample;
+``draw_bounds`` does the same for uniform draws, whose bracket is known without a summary;
 it settles rows chosen completely at random and rows that tie on a value.
 
 Once the boundaries are known, "the k rows from position start on" is a comparison against
@@ -15,17 +14,22 @@ two constants, evaluated where each row already is.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from tarnish.functions.rand import SALT_TYPE, Salt, micros, uniform
+from tarnish.operators.summary import ENTRIES, arrow_kinds, summaries
+from tarnish.session import cut_lineage
 
-SAMPLE_ROWS = 20_000
-SAMPLE_TEXT = 4_000_000
-FINISH_ROWS = 1_000_000
 POSITION_BUCKET_ROWS = 500_000
 
 
@@ -59,137 +63,134 @@ def order_struct(df: DataFrame, name: str) -> Column:
 
 
 @dataclass(frozen=True)
-class _Bracket:
-    rank: int
-    inside: float
-    lo: dict | None = None
-    hi: dict | None = None
-
-
-def _in_order(rows: list[Row]) -> list[dict]:
-    return sorted((r["o"].asDict() for r in rows), key=lambda o: (o["z"], o["v"]))
-
-
-def _tighten(bracket: _Bracket, sample: list[dict], share: float, sigmas: float) -> _Bracket:
-    """Shrink a bracket around the sample position that estimates the rank inside it."""
-    m = len(sample)
-    if m < 2:
-        return bracket
-    at, spread = share * m, sigmas * math.sqrt(m * share * (1 - share)) + 2
-    lo, hi = math.floor(at - spread), math.ceil(at + spread)
-    return replace(
-        bracket,
-        lo=sample[lo] if lo >= 0 else bracket.lo,
-        hi=sample[hi] if hi < m else bracket.hi,
-        inside=bracket.inside * (min(hi, m) - max(lo, 0)) / m,
-    )
-
-
-def _up_to_bracket(data: DataFrame, brackets: list[_Bracket], kind: str, **extra) -> DataFrame:
-    items = [{"id": i, "lo": b.lo, "hi": b.hi, **{k: v[i] for k, v in extra.items()}}
-             for i, b in enumerate(brackets)]
-    ddl = f"array<struct<id:int,lo:{kind},hi:{kind}{''.join(f',{k}:double' for k in extra)}>>"
-    s = data.withColumn("s", F.explode(json_literal(items, ddl)))
-    return s.where(F.col("s.hi").isNull() | (F.col("o") <= F.col("s.hi")))
-
-
-def _reached() -> Column:
-    return F.col("s.lo").isNull() | (F.col("o") >= F.col("s.lo"))
-
-
-def _refine(data: DataFrame, brackets: list[_Bracket], kind: str, sigmas: float) -> list[_Bracket]:
-    """One round for very large tables: count every bracket exactly, sample inside it."""
-    counted = {
-        r["id"]: r for r in _up_to_bracket(data, brackets, kind)
-        .groupBy(F.col("s.id").alias("id"))
-        .agg(F.count_if(~_reached()).alias("below"), F.count_if(_reached()).alias("inside"))
-        .collect()
-    }
-    below, inside = [], []
-    for i, b in enumerate(brackets):
-        lower, within = (counted[i]["below"], counted[i]["inside"]) if i in counted else (0, 0)
-        below.append(lower)
-        inside.append(within)
-        if not lower <= b.rank < lower + within:
-            raise LookupError("bracket missed its rank")
-    per = max(1_000, 200_000 // len(brackets))
-    rows = (
-        _up_to_bracket(data, brackets, kind, p=[min(1.0, per / c) for c in inside])
-        .where(_reached() & (F.rand(1) < F.col("s.p")))
-        .select(F.col("s.id").alias("id"), "o").collect()
-    )
-    samples: dict[int, list[Row]] = {}
-    for r in rows:
-        samples.setdefault(r["id"], []).append(r)
-    return [
-        _tighten(replace(b, inside=float(inside[i])), _in_order(samples.get(i, [])),
-                 (b.rank - below[i]) / inside[i], sigmas)
-        for i, b in enumerate(brackets)
-    ]
-
-
-def _read_off(data: DataFrame, brackets: list[_Bracket], kind: str) -> dict[int, dict]:
-    """Scan once; what lies below a bracket folds into one counter before the shuffle."""
-    counts = (
-        _up_to_bracket(data, brackets, kind)
-        .groupBy(F.col("s.id").alias("id"), F.when(_reached(), F.col("o")).alias("o"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    running = F.sum("c").over(Window.partitionBy("id").orderBy(F.col("o").asc_nulls_first()))
-    rank = F.get(json_literal([b.rank for b in brackets], "array<bigint>"), F.col("id"))
-    found = (
-        counts.withColumn("upto", running)
-        .where(F.col("o").isNotNull() & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank))
-        .select("id", "o", "c", "upto").collect()
-    )
-    return {brackets[r["id"]].rank: _at(r, r["upto"] - r["c"]) for r in found}
+class _Cuts:
+    """The ends of a column's brackets, ascending, and which gaps between them lie in a bracket.
 
+    Place 2i + 1 is the i-th end itself, place 2i the gap before it.
+    """
 
-def _at(row: Row, below: int) -> dict:
-    return {**row["o"].asDict(), "below": below, "ties": row["c"]}
+    ends: list
+    inside: np.ndarray
+
+    @staticmethod
+    def of(brackets: list[tuple]) -> "_Cuts":
+        ends = sorted({end for bracket in brackets for end in bracket})
+        at = {end: i for i, end in enumerate(ends)}
+        inside = np.zeros(2 * len(ends) + 1, bool)
+        for lo, hi in brackets:
+            inside[2 * at[lo] + 2:2 * at[hi] + 1:2] = True
+        return _Cuts(ends, inside)
+
+
+def _place(batches: Iterator[pa.RecordBatch], cuts: list[_Cuts | None], lanes: list[int], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """(j, p, value, n): a task's rows by place; only those in a bracket's gaps with their value."""
+    counts = [np.zeros(0 if c is None else len(c.inside), np.int64) for c in cuts]
+    names = ["j", "p", *[f"v{i}" for i in range(len(kinds))], "n"]
+
+    def rows(j: int, places: np.ndarray, values: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+        blank = [pa.nulls(len(n), k) for k in kinds]
+        if values is not None:
+            blank[lanes[j]] = values
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), j), pa.int32()), pa.array(places, pa.int32()), *blank, pa.array(n, pa.int64())], names)
+
+    for batch in batches:
+        for j, cut in enumerate(cuts):
+            if cut is None:
+                continue
+            tally = pc.value_counts(batch.column(j).cast(kinds[lanes[j]]).drop_null())
+            distinct, n = tally.field(0), tally.field(1).to_numpy(zero_copy_only=False)
+            plain = distinct.to_numpy(zero_copy_only=False)
+            ends = np.array(cut.ends, dtype=plain.dtype) if plain.dtype != object else cut.ends
+            upto = np.array([bisect.bisect_right(ends, v) for v in plain]) if plain.dtype == object else np.searchsorted(ends, plain, "right")
+            if not len(plain):
+                continue
+            hit = np.zeros(len(plain), bool)
+            some = np.flatnonzero(upto)
+            hit[some] = [ends[i] == v for i, v in zip(upto[some] - 1, plain[some])] if plain.dtype == object else ends[upto[some] - 1] == plain[some]
+            places = 2 * upto - hit
+            keep = cut.inside[places]
+            np.add.at(counts[j], places[~keep], n[~keep])
+            if keep.any():
+                yield rows(j, places[keep], distinct.filter(pa.array(keep)), n[keep])
+    for j, count in enumerate(counts):
+        met = np.flatnonzero(count)
+        if len(met):
+            yield rows(j, met, None, count[met])
+
+
+def _located(cells: DataFrame, order: list[str], targets: dict[int, list[int]]) -> list[Row]:
+    """The cells at given positions of the running count ``n`` of each id in the given order.
+
+    Spark cuts the cells by order; counts per piece tell the pieces that hold a target, and
+    only there, within one piece, is a running count made.  A row has ``rank`` and ``below``.
+    """
+    pieces = cut_lineage(cells.repartitionByRange("id", *order).withColumn("_r", F.spark_partition_id()))
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in pieces.groupBy("id", "_r").agg(F.sum("n").alias("n")).collect():
+        sizes.setdefault(r["id"], []).append((r["_r"], r["n"]))
+    wanted: dict[tuple[int, int], dict] = {}
+    for i, ranks in targets.items():
+        parts = sorted(sizes.get(i, []))
+        upto = np.cumsum([n for _, n in parts])
+        for rank in ranks:
+            k = int(np.searchsorted(upto, rank, "right"))
+            if k < len(parts):
+                found = wanted.setdefault((i, parts[k][0]), {"id": i, "_r": parts[k][0], "base": int(upto[k] - parts[k][1]), "ranks": []})
+                found["ranks"].append(rank)
+    if not wanted:
+        return []
+    marked = cells.sparkSession.createDataFrame([Row(**w) for w in wanted.values()], "id int, _r int, base bigint, ranks array<bigint>")
+    window = Window.partitionBy("id", "_r").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    upto = F.col("base") + F.sum("n").over(window)
+    near = pieces.join(F.broadcast(marked), ["id", "_r"]).withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+    here = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto")))
+    return near.withColumn("rank", F.explode(here)).drop("ranks", "base", "_r").collect()
 
 
-def values_at_ranks(df: DataFrame, column: str, ranks: list[int], n: int, *,
-                    sample_rows: int | None = None, finish_rows: int | None = None) -> dict[int, dict]:
-    """The value at each 0-based position of ``column`` in ascending order, missing last.
+def positions(df: DataFrame, wanted: dict[str, list[int]], entries: int | None = None) -> dict[str, dict[int, dict]]:
+    """The values at 0-based positions of several columns, each in ascending order, missing last.
 
     Each answer holds the value ``v``, its missing flag ``z``, how many rows come before
-    its first occurrence (``below``) and how many rows share it (``ties``).  Only this one
-    column is read.
+    its first occurrence (``below``) and how many rows share it (``ties``).  Two scans of these
+    columns answer everything: one summarises them, the other counts.
     """
-    sample_rows, finish_rows = sample_rows or SAMPLE_ROWS, finish_rows or FINISH_ROWS
-    wanted = sorted(set(ranks))
-    if not wanted:
-        return {}
-    if wanted[0] < 0 or wanted[-1] >= n:
-        raise ValueError(f"rank outside 0..{n - 1}")
-    data = df.select(order_struct(df, column).alias("o"))
-    kind = data.schema["o"].dataType
-    if isinstance(kind["v"].dataType, T.StringType) and n > 500:
-        # keep the driver's sample small in bytes, not only in rows, for long texts
-        width = data.agg(F.avg(F.length("o.v"))).first()[0] or 0
-        sample_rows = int(min(sample_rows, max(500, SAMPLE_TEXT / max(width, 1))))
-    kind = kind.simpleString()
-    sample = _in_order(data.sample(False, min(1.0, sample_rows / n), 1).collect())
-    found: dict[int, dict] = {}
-    for sigmas in (5.0, 20.0, None):
-        brackets = [_Bracket(r, float(n)) for r in wanted if r not in found]
-        if sigmas:
-            brackets = [_tighten(b, sample, b.rank / n, sigmas) for b in brackets]
-            try:
-                for _ in range(12):
-                    if all(b.inside <= finish_rows or b.lo == b.hi is not None for b in brackets):
-                        break
-                    wide = max(b.inside for b in brackets)
-                    brackets = _refine(data, brackets, kind, sigmas)
-                    if max(b.inside for b in brackets) > 0.8 * wide:
-                        break  # a few heavy values fill the bracket; they fold into a few counts
-            except LookupError:
-                continue
-        found |= _read_off(data, brackets, kind)
-        if len(found) == len(wanted):
-            return found
-    raise ValueError("the table changed between two scans")
+    columns = [c for c, ranks in wanted.items() if ranks]
+    if not columns:
+        return {c: {} for c in wanted}
+    values = df.select(*[order_value(df, c).alias(f"c{j}") for j, c in enumerate(columns)])
+    names = [f.dataType.simpleString() for f in values.schema.fields]
+    kinds = sorted(set(names))
+    lanes = [kinds.index(n) for n in names]
+    known = summaries(values, kinds, lanes, entries or ENTRIES)
+    out: dict[str, dict[int, dict]] = {c: {} for c in wanted}
+    cuts: list[_Cuts | None] = []
+    for c, (rows, blank, summary) in zip(columns, known):
+        ranks = sorted(set(wanted[c]))
+        if ranks[0] < 0 or ranks[-1] >= rows:
+            raise ValueError(f"rank outside 0..{rows - 1}")
+        out[c] = {r: {"z": 1, "v": None, "below": rows - blank, "ties": blank} for r in ranks if r >= rows - blank}
+        inner = [r for r in ranks if r < rows - blank]
+        cuts.append(_Cuts.of([summary.bracket(r) for r in inner]) if inner else None)
+    if not any(cuts):
+        return out
+    lane_ddl = "".join(f", v{i} {k}" for i, k in enumerate(kinds))
+    placed = values.mapInArrow(partial(_place, cuts=cuts, lanes=lanes, kinds=arrow_kinds(kinds)), f"j int, p int{lane_ddl}, n bigint")
+    lane_names = [f"v{i}" for i in range(len(kinds))]
+    cells = placed.groupBy(F.col("j").alias("id"), "p", *lane_names).agg(F.sum("n").alias("n"))
+    targets = {j: [r for r in sorted(set(wanted[c])) if r not in out[c]] for j, c in enumerate(columns)}
+    for row in _located(cells, ["p", *lane_names], targets):
+        c, cut, lane = columns[row["id"]], cuts[row["id"]], lanes[row["id"]]
+        value = cut.ends[row["p"] // 2] if row["p"] % 2 else row[f"v{lane}"]
+        value = value.item() if isinstance(value, np.generic) else value
+        out[c][row["rank"]] = {"z": 0, "v": value, "below": row["below"], "ties": row["n"]}
+    if any(len(out[c]) != len(set(wanted[c])) for c in columns):
+        raise ValueError("the table changed between two scans")
+    return out
+
+
+def values_at_ranks(df: DataFrame, column: str, ranks: list[int], entries: int | None = None) -> dict[int, dict]:
+    """``positions`` of one column."""
+    return positions(df, {column: list(ranks)}, entries)[column]
 
 
 def draw_bounds(data: DataFrame, requests: list[dict], value_type: str | None = None) -> list[dict]:
@@ -202,7 +203,7 @@ def draw_bounds(data: DataFrame, requests: list[dict], value_type: str | None =
     """
     found: dict[int, dict] = {}
     todo = list(range(len(requests)))
-    ddl = f"array<struct<id:int,need:bigint,lo:double,hi:double,salt:{SALT_TYPE}" + (
+    ddl = f"array<struct<id:int,lo:double,hi:double,salt:{SALT_TYPE}" + (
         f",o:{value_type}>>" if value_type else ">>")
     for sigmas in (6.0, 40.0, math.inf):
         if not todo:
@@ -212,31 +213,26 @@ def draw_bounds(data: DataFrame, requests: list[dict], value_type: str | None =
             r = requests[i]
             q = r["need"] / r["rows"]
             spread = 10 / r["rows"] + (sigmas * math.sqrt(q * (1 - q) / r["rows"]) if q < 1 else 0.0)
-            item = {"id": i, "need": r["need"], "salt": r["salt"].record(),
+            item = {"id": i, "salt": r["salt"].record(),
                     "lo": max(0.0, q - spread) if math.isfinite(spread) else 0.0,
                     "hi": min(1.0, q + spread) if math.isfinite(spread) else 1.0}
             items.append(item | ({"o": r["o"]} if value_type else {}))
         spread_out = data.withColumn("s", F.explode(json_literal(items, ddl)))
         if value_type:
             spread_out = spread_out.where(F.col("o") == F.col("s.o"))
-        counts = (
+        inside = F.col("u") >= F.col("s.lo")
+        cells = (
             spread_out.withColumn("u", uniform(F.col("_v"), Salt.field(F.col("s.salt"))))
             .where(F.col("u") <= F.col("s.hi"))
-            .groupBy(F.col("s.id").alias("id"), F.col("s.need").alias("need"),
-                     F.when(F.col("u") >= F.col("s.lo"), F.struct("u", F.col("_k").alias("k"))).alias("at"))
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        running = F.sum("c").over(Window.partitionBy("id").orderBy(F.col("at").asc_nulls_first()))
-        rows = (
-            counts.withColumn("upto", running)
-            .where(F.col("at").isNotNull() & (F.col("upto") >= F.col("need"))
-                   & (F.col("upto") - F.col("c") < F.col("need")))
-            .select("id", "at", "c").collect()
+            .groupBy(F.col("s.id").alias("id"), F.when(inside, F.col("u")).alias("u"), F.when(inside, F.col("_k")).alias("k"))
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-        for r in rows:
-            if r["c"] != 1:
+        for r in _located(cells, ["u", "k"], {i: [requests[i]["need"] - 1] for i in todo}):
+            if r["u"] is None:
+                continue  # below the bracket
+            if r["n"] != 1:
                 raise ValueError("the row key is not unique")
-            found[r["id"]] = r["at"].asDict()
+            found[r["id"]] = {"u": r["u"], "k": r["k"]}
         todo = [i for i in todo if i not in found]
     if todo:
         raise ValueError("the table changed between two scans")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarnish.functions.rand import (
     SALT_TYPE, Salt, key_string, row_base, scalar_uniform, uniform,
 )
-from tarnish.operators.ranks import dense_positions, draw_bounds, json_literal, order_struct, values_at_ranks
+from tarnish.operators.ranks import dense_positions, draw_bounds, json_literal, order_struct, positions
+from tarnish.operators.stabbing import PAIR, StabbingIndex
 
 # Accepted mechanism names; the M names are synonyms.
 CAR, AR, NAR = "CAR", "AR", "NAR"
@@ -135,94 +136,62 @@ class RowRules:
             self._by_rank.setdefault(d.order, []).append((i, first, first + k - 1))
 
     def _resolve(self) -> None:
-        """Find all bounds; the searches are independent jobs and run side by side."""
+        """Find all bounds: two scans for the ranks of all columns, one for all draws, then one for all ties."""
         if not self._by_draw and not self._by_rank:
             return
         table, n = self.table, self.table.rows
         self.columns = list(self._by_rank)
         data, plain = table.df, table.source
-        with ThreadPoolExecutor(max_workers=8) as pool:
-            columns = {c: pool.submit(self._ends, c, spans, n, data, plain)
-                       for c, spans in self._by_rank.items()}
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            ranked = pool.submit(positions, plain, {c: [r for s in spans for r in s[1:]] for c, spans in self._by_rank.items()})
             drawn = pool.submit(draw_bounds, data.select("_k", "_v"), [
                 {"salt": Salt.of(seed, "row"), "need": k, "rows": n} for _, seed, k in self._by_draw])
             for (i, seed, _), bound in zip(self._by_draw, drawn.result()):
                 self.rules[i] = Rule(DRAW, salt=Salt.of(seed, "row"), bound=bound)
-            for j, (column, spans) in enumerate(self._by_rank.items()):
-                for (i, _, _), (lo, hi) in zip(spans, columns[column].result()):
-                    self.rules[i] = Rule(WINDOW, order=j, lo=lo, hi=hi)
+            self._windows(ranked.result(), data)
 
-    def _ends(self, column: str, spans: list[tuple[int, int, int]], n: int, data: DataFrame,
-              plain: DataFrame) -> list[tuple[dict, dict]]:
+    def _windows(self, at: dict[str, dict[int, dict]], data: DataFrame) -> None:
         """First and last (value, tie draw, key) of each span; draws only where ties are cut."""
-        at = values_at_ranks(plain, column, [r for s in spans for r in s[1:]], n)
-        ends, cut = [], []
-        for _, first, last in spans:
-            lo, hi = at[first], at[last]
-            lo_end = {"o": {"z": lo["z"], "v": lo["v"]}, "t": {"u": -1.0, "k": None}}
-            hi_end = {"o": {"z": hi["z"], "v": hi["v"]}, "t": {"u": 2.0, "k": None}}
-            if first > lo["below"]:
-                cut.append((lo_end, first - lo["below"] + 1, lo["ties"]))
-            if last < hi["below"] + hi["ties"] - 1:
-                cut.append((hi_end, last - hi["below"] + 1, hi["ties"]))
-            ends.append((lo_end, hi_end))
-        if cut:
-            bounds = draw_bounds(
-                data.select("_k", "_v", self.table.order(column).alias("o")),
-                [{"salt": self.table.tie, "need": need, "rows": ties, "o": end["o"]}
-                 for end, need, ties in cut],
-                self.table.order_type(column))
-            for (end, _, _), bound in zip(cut, bounds):
-                end["t"] = bound
-        return ends
-
-    def fields(self) -> str:
-        """Field list (DDL) of the struct that carries one rule; bounds have one lane per type."""
-        pair = "struct<u:double,k:string>"
-        parts = ["mode:int", "order:int", f"salt:{SALT_TYPE}", f"bound:{pair}"]
-        for lane, kind in enumerate(self.lanes):
-            end = f"struct<o:{kind},t:{pair}>"
-            parts += [f"lo_{lane}:{end}", f"hi_{lane}:{end}"]
-        return ",".join(parts)
-
-    @cached_property
-    def _kinds(self) -> list[str]:
-        return [self.table.order_type(c) for c in self.columns]
-
-    @cached_property
-    def lanes(self) -> list[str]:
-        """Distinct types among the order columns."""
-        return sorted(set(self._kinds))
-
-    def record(self, i: int) -> dict:
-        rule = self.rules[i]
-        out = {"mode": rule.mode, "order": rule.order, "bound": rule.bound,
-               "salt": rule.salt.record() if rule.salt else None}
-        if rule.mode == WINDOW:
-            lane = self.lanes.index(self._kinds[rule.order])
-            out |= {f"lo_{lane}": rule.lo, f"hi_{lane}": rule.hi}
-        return out
-
-    def row_columns(self) -> dict[str, Column]:
-        """What ``hit`` needs of a row, computed once before it is paired with rules."""
-        needed = {f"_o{j}": self.table.order(c) for j, c in enumerate(self.columns)}
-        if self.columns:
-            needed["_t"] = F.struct(uniform(F.col("_v"), self.table.tie).alias("u"), F.col("_k").alias("k"))
-        return needed
-
-    def hit(self, s: Column) -> Column:
-        """Is this row hit by the rule in struct column ``s``?  For rows paired with many rules."""
-        drawn = F.struct(uniform(F.col("_v"), Salt.field(s["salt"])).alias("u"), F.col("_k").alias("k"))
-        test = F.when(s["mode"] == ALL, F.lit(True)).when(s["mode"] == DRAW, drawn <= s["bound"])
-        for lane, kind in enumerate(self.lanes):
-            of_lane = [j for j, k in enumerate(self._kinds) if k == kind]
-            o = F.col(f"_o{of_lane[0]}")
-            for j in of_lane[1:]:
-                o = F.when(s["order"] == j, F.col(f"_o{j}")).otherwise(o)
-            at = F.struct(o.alias("o"), F.col("_t").alias("t"))
-            inside = (at >= s[f"lo_{lane}"]) & (at <= s[f"hi_{lane}"])
-            test = test.when(s["order"].isin(of_lane), inside)
-        return F.coalesce(test, F.lit(False))
+        for j, (column, spans) in enumerate(self._by_rank.items()):
+            cut = []
+            for i, first, last in spans:
+                lo, hi = at[column][first], at[column][last]
+                lo_end = {"o": {"z": lo["z"], "v": lo["v"]}, "t": {"u": -1.0, "k": None}}
+                hi_end = {"o": {"z": hi["z"], "v": hi["v"]}, "t": {"u": 2.0, "k": None}}
+                if first > lo["below"]:
+                    cut.append((lo_end, first - lo["below"] + 1, lo["ties"]))
+                if last < hi["below"] + hi["ties"] - 1:
+                    cut.append((hi_end, last - hi["below"] + 1, hi["ties"]))
+                self.rules[i] = Rule(WINDOW, order=j, lo=lo_end, hi=hi_end)
+            if cut:
+                bounds = draw_bounds(
+                    data.select("_k", "_v", self.table.order(column).alias("o")),
+                    [{"salt": self.table.tie, "need": need, "rows": ties, "o": end["o"]} for end, need, ties in cut],
+                    self.table.order_type(column))
+                for (end, _, _), bound in zip(cut, bounds):
+                    end["t"] = bound
+
+    def hits(self, only: set[int] | None = None) -> Column:
+        """The numbers of all rules that hit a row (of ``only`` these, where given), each once.
+
+        A row looks up the windows that hold it; of the draws it makes each, as they are
+        independent.  Nothing is paired with rules that do not hit.
+        """
+        chosen = [(i, r) for i, r in enumerate(self.rules) if only is None or i in only]
+        parts = [F.array(*[F.lit(i) for i, r in chosen if r.mode == ALL]).cast("array<int>")]
+        draws = [{"i": i, "salt": r.salt.record(), "bound": r.bound} for i, r in chosen if r.mode == DRAW]
+        if draws:
+            def drawn(d: Column) -> Column:
+                return F.struct(uniform(F.col("_v"), Salt.field(d["salt"])).alias("u"), F.col("_k").alias("k")) <= d["bound"]
+            every = json_literal(draws, f"array<struct<i:int,salt:{SALT_TYPE},bound:{PAIR}>>")
+            parts.append(F.transform(F.filter(every, drawn), lambda d: d["i"]))
+        tie = F.struct(uniform(F.col("_v"), self.table.tie).alias("u"), F.col("_k").alias("k"))
+        for j, column in enumerate(self.columns):
+            windows = [(i, r.lo, r.hi) for i, r in chosen if r.mode == WINDOW and r.order == j]
+            if windows:
+                index = StabbingIndex(windows, self.table.order_type(column))
+                parts.append(index.found(self.table.order(column), tie))
+        return F.concat(*parts)
 
     def hit_one(self, i: int = 0) -> Column:
         """The test for one known rule.

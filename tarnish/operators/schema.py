@@ -9,7 +9,6 @@ subtracted from the clean table's counts.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from tarnish.functions.rand import micros
 from tarnish.operators.clean import unpivot_text
 from tarnish.operators.corrupt import INTEGRAL
-from tarnish.operators.ranks import values_at_ranks
+from tarnish.operators.ranks import positions
 
 # Default of ``max_domain``: a string column with more distinct values has no closed domain.
 MAX_DOMAIN = 100
@@ -48,20 +47,12 @@ QUARTERS = (0.25, 0.5, 0.75)
 
 
 def exact_quartiles(df: DataFrame, columns: list[str]) -> dict[str, list[float | None]]:
-    """Quartiles of numeric columns as values that occur, found by distributed selection."""
+    """Quartiles of numeric columns as values that occur; three scans for all of them."""
     parts = [F.count_if(~missing(df.schema[c].dataType, F.col(c))).alias(f"n{i}") for i, c in enumerate(columns)]
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
-
-    def one(item: tuple[int, str]) -> list[float | None]:
-        present = counts[f"n{item[0]}"]
-        if not present:
-            return [None] * len(QUARTERS)
-        ranks = [max(0, math.ceil(q * present) - 1) for q in QUARTERS]
-        found = values_at_ranks(df, item[1], ranks, counts["rows"])
-        return [float(found[r]["v"]) for r in ranks]
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        return dict(zip(columns, pool.map(one, enumerate(columns))))
+    ranks = {c: [max(0, math.ceil(q * counts[f"n{i}"]) - 1) for q in QUARTERS] for i, c in enumerate(columns) if counts[f"n{i}"]}
+    found = positions(df, ranks)
+    return {c: [float(found[c][r]["v"]) for r in ranks[c]] if c in ranks else [None] * len(QUARTERS) for c in columns}
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000, exact: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Impact of many corruptions on a scorer, and on a schema, in one job.
 
 The plain way is a loop: corrupt a copy of the test data, score it, repeat.  Here every
-(corruption, repetition) is one small record.  Each test row is tested against all records
-where it lies, and only the rows a record damages go on: they are rewritten, scored again,
+(corruption, repetition) is one small record.  Each test row looks up the records that hit
+it where it lies, and is copied for these alone: the copies are rewritten, scored again,
 and turned into a signed change (minus the old score, plus the new one) of the clean
 result.  So the cost is one pass over the test rows plus work in proportion to the damaged
 rows, and the plan does not grow with the number of repetitions.
@@ -11,14 +11,14 @@ rows, and the plan does not grow with the number of repetitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tarnish.operators.corrupt import (
     PARAMETER_FIELDS, CategoricalShift, Corruption, MissingByConfidence, column_spread, is_number,
-    parameters, permutations, wider, with_target,
+    join_confidence, parameters, permutations, wider, with_target,
 )
 from tarnish.operators.image import ImageCorruption
 from tarnish.operators.metrics import (
@@ -62,6 +62,42 @@ class Prepared:
                 if self.scorable[s.idx] and self.rules.rules[s.idx].mode != NONE]
 
 
+class ConfidenceLanes:
+    """A column per scorer, and per table it predicts on, that ranks the test rows by confidence.
+
+    A corruption without a scorer takes the evaluator's.  The predicted table holds another
+    version of the test rows; it is joined by key once.
+    """
+
+    def __init__(self, task: Task, scorer: Scorer):
+        self.task, self.scorer = task, scorer
+        self.pairs: list[tuple[Scorer, DataFrame | None]] = []
+
+    def assign(self, c: Corruption) -> Corruption:
+        if not isinstance(c, MissingByConfidence):
+            return c
+        pair = (c.scorer or self.scorer, c.predict_on)
+        known = [i for i, p in enumerate(self.pairs) if p[0] is pair[0] and p[1] is pair[1]]
+        if not known:
+            self.pairs.append(pair)
+        return replace(c, lane=f"_confidence{known[0] if known else len(self.pairs) - 1}")
+
+    def ranked(self) -> DataFrame:
+        """The test rows with all lanes; the rows of a predicted table must be those of the test."""
+        task, out = self.task, self.task.test
+        for i, (scorer, other) in enumerate(self.pairs):
+            lane = f"_confidence{i}"
+            if other is None:
+                out = scorer.score(out, "_s").withColumn(lane, scorer.confidence("_s")).drop("_s")
+            else:
+                out = join_confidence(out, scorer, other, task.key, lane)
+        if any(other is not None for _, other in self.pairs):
+            out = cut_lineage(out)
+            if out.count() != task.test_rows:
+                raise ValueError("predict_on repeats a key")
+        return out
+
+
 class ImpactEvaluator:
     """Scores a grid of corruptions, each repeated with fresh draws."""
 
@@ -108,15 +144,15 @@ class ImpactEvaluator:
 
     def prepare(self, corruptions: Sequence[Corruption] | dict[int, Corruption], repetitions: int) -> Prepared:
         task, schema = self.task, self.task.test.schema
-        scenarios = []
+        scenarios, lanes = [], ConfidenceLanes(task, self.scorer)
         for sid, c in corruptions.items() if isinstance(corruptions, dict) else enumerate(corruptions):
-            bound = c.bind(task.features, f"{task.seed}/{sid}")
+            bound = lanes.assign(c.bind(task.features, f"{task.seed}/{sid}"))
             absent = [x for x in bound.affected() if x not in task.features]
             if absent:
                 raise ValueError(f"not a feature of the task: {absent}")
             scenarios += [Scenario(len(scenarios) + r, sid, r, f"{task.seed}/{sid}/{r}", bound)
                           for r in range(repetitions)]
-        table = self._table([s.corruption for s in scenarios])
+        table = KeyedTable(lanes.ranked(), task.key, task.seed, rows=task.test_rows)
         rules = RowRules(table, [s.corruption.draw(s.seed, task.features) for s in scenarios])
         kinds: dict[str, T.DataType] = {}
         scorable = []
@@ -131,33 +167,23 @@ class ImpactEvaluator:
 
     # -- the batched job --------------------------------------------------------------
 
-    def _table(self, corruptions: list[Corruption]) -> KeyedTable:
-        task, test = self.task, self.task.test
-        if any(isinstance(c, MissingByConfidence) for c in corruptions):
-            test = self.scorer.score(test, "_s").withColumn("_confidence", self.scorer.confidence("_s")).drop("_s")
-        return KeyedTable(test, task.key, task.seed, rows=task.test_rows)
-
     def _damaged(self, p: Prepared, scorers: Sequence[Scorer] = ()) -> DataFrame:
         """The rows hit by each scenario, still with their old cells; ``s`` is the scenario.
 
         A row also carries the clean score of each given scorer, computed once before it is
         paired with scenarios.
         """
-        rules = p.rules
         groups: dict[tuple, int] = {}
-        items = []
+        records: list[dict | None] = [None] * len(p.scenarios)
         for s in p.active:
             g = groups.setdefault(_rewrite_key(s.corruption), len(groups))
-            items.append(rules.record(s.idx) | {"idx": s.idx, "g": g}
-                         | parameters(s.corruption, s.seed, p.spreads.get(s.corruption.column)))
-        ddl = f"array<struct<idx:int,g:int,{rules.fields()},{PARAMETER_FIELDS}>>"
-        rows = rules.table.df
+            records[s.idx] = {"idx": s.idx, "g": g} | parameters(s.corruption, s.seed, p.spreads.get(s.corruption.column))
+        rows = p.rules.table.df
         for i, scorer in enumerate(scorers):
             rows = scorer.score(rows, f"_old{i}")
-        needed = rules.row_columns()
-        rows = rows.withColumns(needed)
-        spread = rows.withColumn("s", F.explode(json_literal(items, ddl)))
-        hit = spread.where(rules.hit(F.col("s"))).drop(*needed)
+        hit = rows.withColumn("_i", F.explode(p.rules.hits({s.idx for s in p.active})))
+        of = json_literal(records, f"array<struct<idx:int,g:int,{PARAMETER_FIELDS}>>")
+        hit = hit.withColumn("s", F.get(of, "_i")).drop("_i")
         return self._with_targets(hit, p)
 
     def _with_targets(self, hit: DataFrame, p: Prepared) -> DataFrame:
