@@ -24,13 +24,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from tarnish.functions.rand import SALT_TYPE, Salt, micros, uniform
 from tarnish.operators.summary import ENTRIES, arrow_kinds, summaries
 from tarnish.session import cut_lineage
 
-POSITION_BUCKET_ROWS = 500_000
+POSITION_BUCKET_ROWS = PIECE_ROWS = 500_000
 
 
 def json_literal(value: object, ddl: str) -> Column:
@@ -38,6 +38,12 @@ def json_literal(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, default=str)), ddl)
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A small table from the driver as one literal; it takes no Python worker to read it."""
+    kind = T.ArrayType(T.StructType.fromDDL(ddl))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows, default=str)), kind)))
+
+
 def order_value(df: DataFrame, name: str) -> Column:
     """The column in a form that can be collected and compared again without loss."""
     kind, col = df.schema[name].dataType, F.col(name)
@@ -118,28 +124,33 @@ def _place(batches: Iterator[pa.RecordBatch], cuts: list[_Cuts | None], lanes: l
             yield rows(j, met, None, count[met])
 
 
-def _located(cells: DataFrame, order: list[str], targets: dict[int, list[int]]) -> list[Row]:
+def _located(cells: DataFrame, order: list[str], targets: dict[int, list[int]], bound: float) -> list[Row]:
     """The cells at given positions of the running count ``n`` of each id in the given order.
 
-    Spark cuts the cells by order; counts per piece tell the pieces that hold a target, and
-    only there, within one piece, is a running count made.  A row has ``rank`` and ``below``.
+    ``bound`` says how many cells an id has, about.  Up to ``PIECE_ROWS`` they are one piece;
+    else Spark cuts them by order, and counts per piece tell the pieces that hold a target.
+    Only there, within one piece, a running count is made.  A row has ``rank`` and ``below``.
     """
-    pieces = cut_lineage(cells.repartitionByRange("id", *order).withColumn("_r", F.spark_partition_id()))
-    sizes: dict[int, list[tuple[int, int]]] = {}
-    for r in pieces.groupBy("id", "_r").agg(F.sum("n").alias("n")).collect():
-        sizes.setdefault(r["id"], []).append((r["_r"], r["n"]))
     wanted: dict[tuple[int, int], dict] = {}
-    for i, ranks in targets.items():
-        parts = sorted(sizes.get(i, []))
-        upto = np.cumsum([n for _, n in parts])
-        for rank in ranks:
-            k = int(np.searchsorted(upto, rank, "right"))
-            if k < len(parts):
-                found = wanted.setdefault((i, parts[k][0]), {"id": i, "_r": parts[k][0], "base": int(upto[k] - parts[k][1]), "ranks": []})
-                found["ranks"].append(rank)
+    if bound <= PIECE_ROWS:
+        pieces = cells.withColumn("_r", F.lit(0))
+        wanted = {(i, 0): {"id": i, "_r": 0, "base": 0, "ranks": ranks} for i, ranks in targets.items() if ranks}
+    else:
+        pieces = cut_lineage(cells.repartitionByRange("id", *order).withColumn("_r", F.spark_partition_id()))
+        sizes: dict[int, list[tuple[int, int]]] = {}
+        for r in pieces.groupBy("id", "_r").agg(F.sum("n").alias("n")).collect():
+            sizes.setdefault(r["id"], []).append((r["_r"], r["n"]))
+        for i, ranks in targets.items():
+            parts = sorted(sizes.get(i, []))
+            upto = np.cumsum([n for _, n in parts])
+            for rank in ranks:
+                k = int(np.searchsorted(upto, rank, "right"))
+                if k < len(parts):
+                    found = wanted.setdefault((i, parts[k][0]), {"id": i, "_r": parts[k][0], "base": int(upto[k] - parts[k][1]), "ranks": []})
+                    found["ranks"].append(rank)
     if not wanted:
         return []
-    marked = cells.sparkSession.createDataFrame([Row(**w) for w in wanted.values()], "id int, _r int, base bigint, ranks array<bigint>")
+    marked = literal_rows(cells.sparkSession, list(wanted.values()), "id int, _r int, base bigint, ranks array<bigint>")
     window = Window.partitionBy("id", "_r").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     upto = F.col("base") + F.sum("n").over(window)
     near = pieces.join(F.broadcast(marked), ["id", "_r"]).withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
@@ -164,6 +175,7 @@ def positions(df: DataFrame, wanted: dict[str, list[int]], entries: int | None =
     known = summaries(values, kinds, lanes, entries or ENTRIES)
     out: dict[str, dict[int, dict]] = {c: {} for c in wanted}
     cuts: list[_Cuts | None] = []
+    bound = 0
     for c, (rows, blank, summary) in zip(columns, known):
         ranks = sorted(set(wanted[c]))
         if ranks[0] < 0 or ranks[-1] >= rows:
@@ -171,6 +183,7 @@ def positions(df: DataFrame, wanted: dict[str, list[int]], entries: int | None =
         out[c] = {r: {"z": 1, "v": None, "below": rows - blank, "ties": blank} for r in ranks if r >= rows - blank}
         inner = [r for r in ranks if r < rows - blank]
         cuts.append(_Cuts.of([summary.bracket(r) for r in inner]) if inner else None)
+        bound = max([bound, sum(summary.within(*summary.bracket(r)) for r in inner) + 2 * len(inner)])
     if not any(cuts):
         return out
     lane_ddl = "".join(f", v{i} {k}" for i, k in enumerate(kinds))
@@ -178,7 +191,7 @@ def positions(df: DataFrame, wanted: dict[str, list[int]], entries: int | None =
     lane_names = [f"v{i}" for i in range(len(kinds))]
     cells = placed.groupBy(F.col("j").alias("id"), "p", *lane_names).agg(F.sum("n").alias("n"))
     targets = {j: [r for r in sorted(set(wanted[c])) if r not in out[c]] for j, c in enumerate(columns)}
-    for row in _located(cells, ["p", *lane_names], targets):
+    for row in _located(cells, ["p", *lane_names], targets, bound):
         c, cut, lane = columns[row["id"]], cuts[row["id"]], lanes[row["id"]]
         value = cut.ends[row["p"] // 2] if row["p"] % 2 else row[f"v{lane}"]
         value = value.item() if isinstance(value, np.generic) else value
@@ -227,7 +240,8 @@ def draw_bounds(data: DataFrame, requests: list[dict], value_type: str | None =
             .groupBy(F.col("s.id").alias("id"), F.when(inside, F.col("u")).alias("u"), F.when(inside, F.col("_k")).alias("k"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        for r in _located(cells, ["u", "k"], {i: [requests[i]["need"] - 1] for i in todo}):
+        bound = max(requests[i]["rows"] * (item["hi"] - item["lo"]) for i, item in zip(todo, items))
+        for r in _located(cells, ["u", "k"], {i: [requests[i]["need"] - 1] for i in todo}, bound):
             if r["u"] is None:
                 continue  # below the bracket
             if r["n"] != 1:

@@ -152,46 +152,59 @@ class RowRules:
 
     def _windows(self, at: dict[str, dict[int, dict]], data: DataFrame) -> None:
         """First and last (value, tie draw, key) of each span; draws only where ties are cut."""
+        cut: dict[str, list[tuple[dict, int, int]]] = {}
         for j, (column, spans) in enumerate(self._by_rank.items()):
-            cut = []
             for i, first, last in spans:
                 lo, hi = at[column][first], at[column][last]
                 lo_end = {"o": {"z": lo["z"], "v": lo["v"]}, "t": {"u": -1.0, "k": None}}
                 hi_end = {"o": {"z": hi["z"], "v": hi["v"]}, "t": {"u": 2.0, "k": None}}
                 if first > lo["below"]:
-                    cut.append((lo_end, first - lo["below"] + 1, lo["ties"]))
+                    cut.setdefault(column, []).append((lo_end, first - lo["below"] + 1, lo["ties"]))
                 if last < hi["below"] + hi["ties"] - 1:
-                    cut.append((hi_end, last - hi["below"] + 1, hi["ties"]))
+                    cut.setdefault(column, []).append((hi_end, last - hi["below"] + 1, hi["ties"]))
                 self.rules[i] = Rule(WINDOW, order=j, lo=lo_end, hi=hi_end)
-            if cut:
-                bounds = draw_bounds(
-                    data.select("_k", "_v", self.table.order(column).alias("o")),
-                    [{"salt": self.table.tie, "need": need, "rows": ties, "o": end["o"]} for end, need, ties in cut],
-                    self.table.order_type(column))
-                for (end, _, _), bound in zip(cut, bounds):
-                    end["t"] = bound
-
-    def hits(self, only: set[int] | None = None) -> Column:
-        """The numbers of all rules that hit a row (of ``only`` these, where given), each once.
-
-        A row looks up the windows that hold it; of the draws it makes each, as they are
-        independent.  Nothing is paired with rules that do not hit.
+
+        def settle(column: str) -> None:
+            bounds = draw_bounds(
+                data.select("_k", "_v", self.table.order(column).alias("o")),
+                [{"salt": self.table.tie, "need": need, "rows": ties, "o": end["o"]} for end, need, ties in cut[column]],
+                self.table.order_type(column))
+            for (end, _, _), bound in zip(cut[column], bounds):
+                end["t"] = bound
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(settle, cut))
+
+    def paired(self, rows: DataFrame, into: str, only: set[int]) -> DataFrame:
+        """Each row of the table once for every rule of ``only`` that hits it; ``into`` is the rule's number.
+
+        A row looks up the windows that hold it and is copied for these alone.  Draws are
+        independent, so each has to be made; that happens in generated code, on the way.
         """
-        chosen = [(i, r) for i, r in enumerate(self.rules) if only is None or i in only]
-        parts = [F.array(*[F.lit(i) for i, r in chosen if r.mode == ALL]).cast("array<int>")]
-        draws = [{"i": i, "salt": r.salt.record(), "bound": r.bound} for i, r in chosen if r.mode == DRAW]
-        if draws:
-            def drawn(d: Column) -> Column:
-                return F.struct(uniform(F.col("_v"), Salt.field(d["salt"])).alias("u"), F.col("_k").alias("k")) <= d["bound"]
-            every = json_literal(draws, f"array<struct<i:int,salt:{SALT_TYPE},bound:{PAIR}>>")
-            parts.append(F.transform(F.filter(every, drawn), lambda d: d["i"]))
+        chosen = [(i, self.rules[i]) for i in sorted(only)]
+        free = [i for i, r in chosen if r.mode in (ALL, DRAW)]
+        parts = [F.array(*[F.lit(i) for i in free]).cast("array<int>")]
         tie = F.struct(uniform(F.col("_v"), self.table.tie).alias("u"), F.col("_k").alias("k"))
         for j, column in enumerate(self.columns):
             windows = [(i, r.lo, r.hi) for i, r in chosen if r.mode == WINDOW and r.order == j]
             if windows:
                 index = StabbingIndex(windows, self.table.order_type(column))
                 parts.append(index.found(self.table.order(column), tie))
-        return F.concat(*parts)
+        # the list is a column of its own, so that what follows the copying is generated code; without
+        # the outer form the optimizer would compute it a second time, to drop empty ones
+        out = rows.withColumn("_list", F.concat(*parts)).withColumn(into, F.explode_outer("_list")).drop("_list")
+        out = out.where(F.col(into).isNotNull())
+        if not any(r.mode == DRAW for _, r in chosen):
+            return out
+        records: list[dict | None] = [None] * len(self.rules)
+        for i, r in chosen:
+            if r.mode == DRAW:
+                records[i] = {"salt": r.salt.record(), "bound": r.bound}
+        draw = F.get(json_literal(records, f"array<struct<salt:{SALT_TYPE},bound:{PAIR}>>"), F.col(into))
+        u = uniform(F.col("_v"), Salt.field(draw["salt"]))
+        bound = draw["bound"]
+        inside = (u <= bound["u"]) & ((u < bound["u"]) | (F.col("_k") <= bound["k"]))
+        return out.where(draw.isNull() | F.coalesce(inside, F.lit(False)))
 
     def hit_one(self, i: int = 0) -> Column:
         """The test for one known rule.

@@ -45,10 +45,9 @@ class StabbingIndex:
                 self.notes[stop].append(i)
             first, stop = first >> 1, stop >> 1
 
-    def interval(self, o: Column, t: Column) -> Column:
-        """How many cuts lie at or before the value; cuts after an end lie beyond the value itself."""
+    def interval(self, here: Column) -> Column:
+        """How many cuts lie at or before ``here``; the cut after an end lies beyond the end itself."""
         cuts = json_literal(self.cuts, f"array<struct<o:{self.kind},t:{PAIR},s:int>>")
-        here = F.struct(o.alias("o"), t.alias("t"), F.lit(0).alias("s"))
         steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(self.cuts).bit_length()))])
         return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= here, n + step).otherwise(n))
 
@@ -56,6 +55,8 @@ class StabbingIndex:
         """The ids of all windows that hold the value."""
         notes = json_literal(self.notes, "array<array<int>>")
         levels = F.array(*[F.lit(d) for d in range(self.size.bit_length())])
-        leaf = F.array(self.interval(o, t) + self.size)  # computed once: the variable of the outer lambda holds it
+        # the variables of the outer lambdas hold what would be computed again for every step and level
+        here = F.array(F.struct(o.alias("o"), t.alias("t"), F.lit(0).alias("s")))
+        leaf = F.transform(here, lambda x: self.interval(x) + self.size)
         return F.flatten(F.flatten(F.transform(leaf, lambda n: F.transform(
             levels, lambda d: F.get(notes, F.call_function("shiftright", n, d))))))

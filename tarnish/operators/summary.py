@@ -74,6 +74,10 @@ class Summary:
         lo = self.values[np.searchsorted(self.lt, rank, "right") - 1]
         return lo, self.values[np.searchsorted(self.le, rank + 1, "left")]
 
+    def within(self, lo: object, hi: object) -> int:
+        """At most so many values lie strictly between two entries."""
+        return max(0, int(self.lt[np.searchsorted(self.values, hi)] - self.le[np.searchsorted(self.values, lo)]))
+
 
 def _entries(ordered: pa.Array, entries: int) -> int:
     if not pa.types.is_string(ordered.type) and not pa.types.is_large_string(ordered.type):

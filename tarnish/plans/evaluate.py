@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.operators.corrupt import (
     PARAMETER_FIELDS, CategoricalShift, Corruption, MissingByConfidence, column_spread, is_number,
@@ -24,7 +24,7 @@ from tarnish.operators.image import ImageCorruption
 from tarnish.operators.metrics import (
     confusion, macro_f1, macro_f1_of, score_histogram, shifted_auc, squared_error, task_metric, unscored,
 )
-from tarnish.operators.ranks import json_literal
+from tarnish.operators.ranks import json_literal, literal_rows
 from tarnish.operators.sampling import NONE, KeyedTable, RowRules
 from tarnish.operators.schema import (
     ANOMALY_DDL, Schema, anomaly_array, cell_flags, infer_schema, type_class, validate,
@@ -181,7 +181,7 @@ class ImpactEvaluator:
         rows = p.rules.table.df
         for i, scorer in enumerate(scorers):
             rows = scorer.score(rows, f"_old{i}")
-        hit = rows.withColumn("_i", F.explode(p.rules.hits({s.idx for s in p.active})))
+        hit = p.rules.paired(rows, "_i", {s.idx for s in p.active})
         of = json_literal(records, f"array<struct<idx:int,g:int,{PARAMETER_FIELDS}>>")
         hit = hit.withColumn("s", F.get(of, "_i")).drop("_i")
         return self._with_targets(hit, p)
@@ -250,9 +250,8 @@ class ImpactEvaluator:
                                  self.schema)
                 seen.append(found.select(F.lit(idx).alias("idx"), F.struct("column", "code", "observed", "expected").alias("a")))
             name = c.describe() if hasattr(c, "describe") else type(c).__name__
-            rows.append(Row(idx, sid, rep, name, type(c).__name__, getattr(c, "column", None),
-                            getattr(c, "fraction", None), getattr(c, "sampling", None), True, []))
-        info = test.sparkSession.createDataFrame(rows, INFO_DDL)
+            rows.append(_info_row(idx, sid, rep, name, c, True, []))
+        info = literal_rows(test.sparkSession, rows, INFO_DDL)
         whole = reduce(DataFrame.unionByName, scored)
         scores = task_metric(whole, task.task_type, "_score", task.label, ["idx"], "corrupted_score", task.positive_class)
         counts = whole.groupBy("idx").agg(F.count(F.lit(1)).alias("_n"))
@@ -301,9 +300,8 @@ class ImpactEvaluator:
                 after = c.types(self.task.test.schema)
                 changed = [n for n, k in after.items()
                            if type_class(k) != type_class(self.task.test.schema[n].dataType)]
-            rows.append(Row(s.idx, s.scenario_id, s.rep, c.describe(), type(c).__name__, c.column,
-                            float(c.fraction), c.sampling, p.scorable[s.idx], changed))
-        return self.task.test.sparkSession.createDataFrame(rows, INFO_DDL)
+            rows.append(_info_row(s.idx, s.scenario_id, s.rep, c.describe(), c, p.scorable[s.idx], changed))
+        return literal_rows(self.task.test.sparkSession, rows, INFO_DDL)
 
     # -- metrics from signed changes --------------------------------------------------
 
@@ -415,6 +413,12 @@ class ImpactEvaluator:
 RESULT = ["scenario_id", "rep", "corruption", "kind", "column", "fraction", "sampling"]
 
 
+def _info_row(idx: int, sid: int, rep: int, text: str, c: object, scorable: bool, mismatch: list[str]) -> dict:
+    about = {name: getattr(c, name, None) for name in ("column", "fraction", "sampling")}
+    return {"idx": idx, "scenario_id": sid, "rep": rep, "corruption": text, "kind": type(c).__name__, **about,
+            "scorable": scorable, "mismatch": mismatch}
+
+
 def _has_rules(c: object) -> bool:
     """Does the corruption describe its rows and cells, or has it a transformation of its own?"""
     if isinstance(c, ImageCorruption):

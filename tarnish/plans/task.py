@@ -83,10 +83,14 @@ class Task:
 
         An evaluation scans the test rows many times; without this every scan repeats the
         work that made them (reading, splitting, labelling) and hashes every row key.  Rows
-        are spread by key, so the files come out even after a split.
+        are spread by key, so the files come out even after a split; test rows into as many
+        files as the session's shuffles have parts, however few bytes they are, since an
+        evaluation makes many rows of each.
         """
         keyed = KeyedTable(self.test, self.key, self.seed, rows=0).df
-        test = cut_lineage(keyed.repartition(*self.key))
+        spark = self.test.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        test = cut_lineage(keyed.repartition(parts, *self.key))
         return replace(self, train=cut_lineage(self.train.repartition(*self.key)) if train else self.train, test=test)
 
     def performance(self, scorer: Scorer, into: str = "value") -> DataFrame:

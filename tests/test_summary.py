@@ -56,7 +56,9 @@ def mixed(spark, n=3000, parts=7):
     return spark.createDataFrame(rows, "id long, n long, x double, s string, d decimal(12,2), b boolean").repartitionByRange(parts, "id")
 
 
-def test_all_columns_at_once_equal_sorting(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [500_000, 10])
+def test_all_columns_at_once_equal_sorting(spark, monkeypatch, piece):
+    monkeypatch.setattr(ranks, "PIECE_ROWS", piece)
     df = mixed(spark)
     scans = []
     real = ranks.summaries
@@ -87,10 +89,10 @@ def test_empty_and_blank_columns(spark):
         positions(df, {"w": [2]})
 
 
-def test_positions_are_read_off_within_pieces(spark):
-    """No window over all rows of a bracket: each is partitioned by a range of the order as well."""
+@pytest.mark.parametrize("bound", [1000, 10**9])
+def test_positions_are_read_off_within_pieces(spark, bound):
     cells = spark.range(1000).select(F.lit(0).alias("id"), (F.col("id") * 7 % 1000).alias("v"), F.lit(2).cast("long").alias("n"))
-    rows = ranks._located(cells, ["v"], {0: [0, 1, 2, 999, 1999], 1: [5]})
+    rows = ranks._located(cells, ["v"], {0: [0, 1, 2, 999, 1999], 1: [5]}, bound)
     assert sorted((r["rank"], r["v"], r["below"]) for r in rows) == [(0, 0, 0), (1, 0, 0), (2, 1, 2), (999, 499, 998), (1999, 999, 1998)]
 
 
