@@ -42,14 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back; ``options`` are the writer's.
 
     Later scans prune columns and push filters down, and a lost executor costs a re-read
     instead of the work that made the rows.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
