@@ -28,15 +28,17 @@ from tarnish.llm.common import LOWER, UPPER
 from tarnish.session import cut_lineage, ship
 
 #: Signature bits that a term sets, signature bits for each term at most held, and bits of a block.
-HASHES, BITS_PER_TERM, BLOCK_BITS = 3, 8, 1 << 20
+HASHES, BITS_PER_TERM, BLOCK_BITS = 3, 8, 1 << 19
 #: Documents of a block, at most.
-BLOCK_DOCS = 512
+BLOCK_DOCS = 128
+#: Writer options: blocks are large rows, and a reader holds a row group at once.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
 #: Items, and distinct terms, of queries that are searched for together (a longer item alone).
 ITEMS, TERMS = 512, 2048
 #: Documents that are scored exactly before the threshold is looked at again.
 CHUNK = 32
 #: Terms whose hash a Python worker keeps, and the longest one kept.
-KNOWN, LONGEST = 500_000, 64
+KNOWN, LONGEST = 200_000, 64
 
 INDEX_DDL = ("docs int, bits int, n_terms long, slices binary, ids array<long>, lengths binary, tops binary, "
              "starts binary, terms binary, counts binary")
@@ -143,7 +145,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t"))
-    return cut_lineage(rows.mapInArrow(_index, INDEX_DDL))
+    return cut_lineage(rows.mapInArrow(_index, INDEX_DDL), **ROW_GROUPS)
 
 
 # -- search -----------------------------------------------------------------------------
@@ -193,7 +195,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, items: list, picks: list[
         matrix[q, pick] = weights[pick]
     slack = 1 + (len(wanted) + 1) * 2.0**-22  # more than single precision loses
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             _search_block(row, best, picks, wanted, weights, matrix, slack, n_docs, n_terms)
     rows = [(q, items[q], i, s) for q, b in enumerate(best) for i, s in zip(b.ids, b.scores.tolist(), strict=True)]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
