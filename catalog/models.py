@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from catalog import register, sql, table
 from catalog.evaluation import bulk_task
 from catalog.images import image_table
-from catalog.metrics import revenue_lines, sized_parts
+from catalog.metrics import REVENUE, revenue_lines, sized_parts
 from catalog.samplers import LINE_LOGIT, LINE_SCORER, SEED
 from tarnish.operators import features
 from tarnish.operators.corrupt import MissingValues
 from tarnish.operators.image import ImageCorruption
-from tarnish.operators.models import fit_baseline, fit_image_baseline, fit_learned_imputer
+from tarnish.operators.linear import design_of, fit_ridge
+from tarnish.operators.models import fit_baseline, fit_image_baseline, fit_learned_imputer, with_folds
+from tarnish.operators.ranks import literal_rows
 from tarnish.plans.evaluate import ImpactEvaluator
 from tarnish.plans.results import augment
 from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, image_style, split
@@ -101,6 +103,51 @@ def fit_regression(spark, sf):
     return _report(spark, task, fit_baseline(task))
 
 
+_X = ["l_extendedprice", "l_discount", "l_tax"]
+_RIDGE_ALPHA = 0.01
+
+
+def _ridge_sql() -> str:
+    """Normal equations of three scaled numbers, solved by determinants."""
+    train = sql.marked("lineitem", 0.2, "CAR", f"{SEED}/split")
+    pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
+    stats = [f"avg({REVENUE}) AS my", *[f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}, covar_pop({c}, {REVENUE}) AS cy{i}" for i, c in enumerate(_X)],
+             *[f"covar_pop({_X[i]}, {_X[j]}) AS c{i}{j}" for i, j in pairs]]
+    a = f"(1.0::DOUBLE + {_RIDGE_ALPHA}::DOUBLE)"
+    cells = ", ".join([*[f"cy{i} / s{i} AS b{i}" for i in range(3)], *[f"c{i}{j} / (s{i} * s{j}) AS r{i}{j}" for i, j in pairs]])
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    matrix = [[a if i == j else f"r{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    solved = [f"{det([[f'b{i}' if j == k else matrix[i][j] for j in range(3)] for i in range(3)])} / {det(matrix)} AS w{k}" for k in range(3)]
+    error = f"{REVENUE} - my" + "".join(f" - w{i} * ({c} - m{i}) / s{i}" for i, c in enumerate(_X))
+    return f"""
+WITH tr AS MATERIALIZED (SELECT *, floor({sql.draw('v', SEED, 'fold')} * 5)::INT AS fold FROM ({train}) m WHERE NOT hit),
+st AS (SELECT f.fold, {', '.join(stats)} FROM (SELECT unnest(range(-1, 5))::INT AS fold) f JOIN tr ON tr.fold <> f.fold GROUP BY f.fold),
+eq AS (SELECT *, {cells} FROM st), fit AS (SELECT *, {', '.join(solved)} FROM eq),
+err AS (SELECT fit.fold, avg(({error}) * ({error})) AS mse FROM fit JOIN tr ON tr.fold = fit.fold GROUP BY fit.fold)
+SELECT fit.fold, round(w0, 5) AS w_price, round(w1, 5) AS w_discount, round(w2, 5) AS w_tax, round(my, 5) AS intercept, round(mse, 3) AS held_out_mse
+FROM fit LEFT JOIN err ON err.fold = fit.fold"""
+
+
+@register("fit_ridge_folds", _ridge_sql())
+def fit_ridge_folds(spark, sf):
+    """Weights and held-out error of the squared-error baseline without each fold, and on all rows (-1)."""
+    key = sql.KEYS["lineitem"]
+    train, test = split(revenue_lines(spark, sf), key, 0.2, SEED)
+    task = Task(train, test, key, "label", REGRESSION, [], _X, seed=SEED)
+    rows = with_folds(task.train.select(*key, *_X, F.col("label").alias("_label")), key, 5, SEED)
+    design = design_of(rows, _X, [])
+    without, whole, errors = fit_ridge(rows, design, 5, (_RIDGE_ALPHA,))
+    found = [(fold, *[fits[0].weights[c] for c in _X], fits[0].intercept, e[0]) for fold, fits, e in zip(range(5), without, errors)]
+    found.append((-1, *[whole[0].weights[c] for c in _X], whole[0].intercept, None))
+    names = ["fold", "w_price", "w_discount", "w_tax", "intercept", "held_out_mse"]
+    out = literal_rows(spark, [dict(zip(names, r)) for r in found], "fold int, w_price double, w_discount double, w_tax double, intercept double, held_out_mse double")
+    return out.select("fold", *[F.round(c, 5).alias(c) for c in names[1:5]], F.round("held_out_mse", 3).alias("held_out_mse"))
+
+
 def document_task(spark, sf) -> Task:
     both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     rows = both.select("doc_id", "n_chars", "lang", "source", "text", F.col("quality").alias("label"))

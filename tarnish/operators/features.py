@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import (
-    HashingTF, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer,
+    HashingTF, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer,
     VectorAssembler,
 )
 from pyspark.sql import DataFrame, functions as F
@@ -54,14 +54,27 @@ def hashed_text_stages(column: str, into: str, dimensions: int = TEXT_DIMENSIONS
     ]
 
 
+class PopulationScaler(Estimator):
+    """Numbers minus their mean by their population deviation; fitted, it is one SQL projection."""
+
+    def __init__(self, columns: list[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        parts = [e for i, c in enumerate(self.columns) for e in (F.avg(F.col(c).cast("double")).alias(f"a{i}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}"))]
+        fitted = dataset.agg(*parts).first()
+        cells = [f"(CAST(`{c}` AS DOUBLE) - ({fitted[f'a{i}'] or 0.0!r}D)) / {fitted[f's{i}'] or 1.0!r}D AS `{c}_scaled`" for i, c in enumerate(self.columns)]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
+
+
 def feature_pipeline(numerical: list[str], categorical: list[str], text: list[str] | None = None,
                      into: str = "features") -> Pipeline:
     """Scaled numbers, one-hot categories and hashed text side by side."""
     stages, parts = [], []
     if numerical:
-        stages += [VectorAssembler(inputCols=numerical, outputCol="_numbers", handleInvalid="keep"),
-                   StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)]
-        parts.append("_scaled")
+        stages.append(PopulationScaler(numerical))
+        parts += [f"{c}_scaled" for c in numerical]
     if categorical:
         stages += one_hot_stages(categorical)
         parts += [f"{c}_hot" for c in categorical]
@@ -70,4 +83,4 @@ def feature_pipeline(numerical: list[str], categorical: list[str], text: list[st
         parts.append(f"{column}_text_vector")
     if not parts:
         raise ValueError("no feature columns")
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=into)])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=into, handleInvalid="keep")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tarnish.functions.rand import Salt, key_string, row_base, uniform
 from tarnish.operators.clean import ConditionalMode, fill_constant, fit_conditional_mode, fit_mean, fit_mode
 from tarnish.operators.features import feature_pipeline
+from tarnish.operators.linear import Design, design_of, fit_ridge
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
 
@@ -39,7 +41,7 @@ def learners(task_type: str, max_iter: int) -> list[tuple[dict, Estimator]]:
     """One learner per grid setting."""
     if task_type == "regression":
         return [({"loss": loss, "alpha": a},
-                 LinearRegression(labelCol="_label", regParam=a, loss=loss, maxIter=max_iter))
+                 LinearRegression(labelCol="_label", regParam=a, loss=loss, standardization=False, maxIter=max_iter))
                 for loss in REGRESSION_LOSSES for a in ALPHAS]
     family = "binomial" if task_type == "binary" else "multinomial"
     return [({"alpha": a}, LogisticRegression(labelCol="_label", regParam=a, elasticNetParam=0.0, family=family,
@@ -85,8 +87,17 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     if own:
         task.check()
     keep = [*task.key, *numerical, *categorical, *text, position.alias("_label")]
-    rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed).persist()
+    rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed)
+    if text or not numerical + categorical:
+        design = None
+    else:
+        design = design_of(rows, numerical, categorical) if task.task_type == "regression" else None
     grid = learners(task.task_type, max_iter)
+    tried = []  # (setting, score, mean absolute error, how to get the model)
+    if design is not None:
+        tried = _squares(rows, design, folds)
+        grid = [(p, learner) for p, learner in grid if p["loss"] != "squaredError"]
+    rows = rows.persist()
     try:
         def one_fold(fold: int) -> list[tuple]:
             parts = _fit_all(rows.where(F.col("_fold") != fold), numerical, categorical, text, grid)
@@ -94,24 +105,45 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
 
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
             by_fold = list(pool.map(one_fold, range(folds)))
-        means, absolute = ([_mean([f[i][side] for f in by_fold]) for i in range(len(grid))] for side in (0, 1))
-        scored = [i for i in range(len(grid)) if means[i] == means[i]]
+        for i, (setting, learner) in enumerate(grid):
+            score, absolute = (_mean([f[i][side] for f in by_fold]) for side in (0, 1))
+            tried.append((setting, score, absolute, learner))
+        scored = [t for t in tried if t[1] == t[1]]
         if not scored:
             raise ValueError("no fold gives a score: too few rows, or a class is absent")
         order = max if METRICS[task.task_type][1] else min
-        at = order(scored, key=lambda i: means[i])
-        imputers, features, models = _fit_all(rows, numerical, categorical, text, [grid[at]])
+        best = order(scored, key=lambda t: t[1])
+        if isinstance(best[3], ChainedScorer):
+            scorer, imputers = best[3].scorer, best[3].imputers
+        else:
+            imputers, features, models = _fit_all(rows, numerical, categorical, text, [(best[0], best[3])])
+            scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type, classes)
     finally:
         rows.unpersist()
-    scores = tuple((dict(p), s) for (p, _), s in zip(grid, means))
-    scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type, classes)
-    also = tuple((dict(p), s) for (p, _), s in zip(grid, absolute)) if task.task_type == "regression" else ()
-    baseline = Baseline(scorer, imputers, grid[at][0], scores, also)
+    scores = tuple((dict(t[0]), t[1]) for t in tried)
+    also = tuple((dict(t[0]), t[2]) for t in tried) if task.task_type == "regression" else ()
+    baseline = Baseline(scorer, imputers, best[0], scores, also)
     if own:
         task.baseline = baseline
     return baseline
 
 
+def _squares(rows: DataFrame, design: Design, folds: int) -> list[tuple]:
+    """The squared-error settings from sums alone; one more scan measures absolute errors of all folds."""
+    without, whole, errors = fit_ridge(rows, design, folds, ALPHAS)
+    parts = []
+    for fold, fits in enumerate(without):
+        held = rows.where(F.col("_fold") == fold)
+        for i, fit in enumerate(fits):
+            held = fit.scorer().score(held, f"_p{i}")
+        if fits:
+            parts.append(held.select(F.lit(fold).alias("fold"), "_label", *[f"_p{i}" for i in range(len(ALPHAS))]))
+    both = reduce(DataFrame.unionByName, parts)
+    found = both.groupBy("fold").agg(*[F.avg(absolute_error(f"_p{i}", "_label")).alias(f"e{i}") for i in range(len(ALPHAS))]).collect()
+    return [({"loss": "squaredError", "alpha": a}, _mean([e[i] for e in errors]), _mean([r[f"e{i}"] for r in found]), whole[i].scorer())
+            for i, a in enumerate(ALPHAS)]
+
+
 def class_positions(rows: DataFrame, label: str, task_type: str,
                     positive: object = None) -> tuple[tuple[str, ...] | None, Column]:
     """(classes, position of a row's class); numbers stand for themselves.
