@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import register, sql, table
 from catalog.samplers import SEED
 from tarnish.operators.corrupt import MissingValues, numeric_columns
+from tarnish.operators.ranks import literal_rows
 from tarnish.plans import task as tasks
 
 
@@ -75,6 +76,23 @@ def infer_roles(spark, sf):
     return spark.createDataFrame(rows, "column string, role string")
 
 
+_LIMITS = (24, 25, 26, 149, 150)
+
+
+@register("infer_roles_limits", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {n} AS max_categories, c AS \"column\", CASE WHEN d <= {n} THEN 'categorical' ELSE 'text' END AS role FROM "
+    f"(SELECT 'p_brand' AS c, count(DISTINCT p_brand) AS d FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part "
+    f"UNION ALL SELECT 'p_name', count(DISTINCT p_name) FROM part) x{n}" for n in _LIMITS) + ") y")
+def infer_roles_limits(spark, sf):
+    """Roles of a ready-made task's columns around the limit of categories that the caller names."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", (F.col("p_size") > 25).cast("int").alias("label"))
+    rows = []
+    for n in _LIMITS:
+        made = tasks.labelled_table(part, ["p_partkey"], "label", "binary", max_categories=n, seed=SEED)
+        rows += [{"max_categories": n, "column": c, "role": r} for r, cs in (("categorical", made.categorical), ("text", made.text)) for c in cs]
+    return literal_rows(spark, rows, "max_categories int, column string, role string")
+
+
 @register("task_type", """
 SELECT 'lineitem' AS task, CASE WHEN a = b AND a = 2 THEN 'binary' WHEN a = b AND a > 2 THEN 'multiclass' END AS task_type
 FROM (SELECT count(DISTINCT l_linestatus) FILTER (l_orderkey % 2 = 0) AS a,

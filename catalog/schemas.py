@@ -52,6 +52,14 @@ def profile_orders(spark, sf):
     return _profile(orders, orders.columns)
 
 
+@register("profile_texts", _profile_sql("documents", "documents", {"n_chars": "INT"}, ["text", "lang", "source"])
+          + " UNION ALL " + _profile_sql("pages", "pages", {}, ["url", "html"]))
+def profile_texts(spark, sf):
+    """Columns of long texts; only hashes of them are shuffled."""
+    documents, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    return _profile(documents, ["n_chars", "text", "lang", "source"]).unionByName(_profile(pages, ["url", "html"]))
+
+
 @register("profile_lineitem", _profile_sql(
     "lineitem", "lineitem", {"l_orderkey": "INT", "l_partkey": "INT", "l_suppkey": "INT", "l_linenumber": "INT",
                              "l_quantity": "FLOAT", "l_extendedprice": "FLOAT", "l_discount": "FLOAT", "l_tax": "FLOAT"},

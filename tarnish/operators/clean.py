@@ -56,9 +56,14 @@ def fit_mode(df: DataFrame, columns: list[str]) -> Imputer:
     return Imputer(fills)
 
 
+def present_text(df: DataFrame, column: str) -> Column:
+    """A cell as text; NaN is missing."""
+    return _present(df, column).cast("string")
+
+
 def unpivot_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) with one row per cell, values as text."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _present(df, c).cast("string").alias("value"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), present_text(df, c).alias("value"))
                       for c in columns])
     return df.select(F.explode(cells).alias("c")).select("c.column", "c.value")
 

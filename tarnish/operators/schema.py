@@ -14,9 +14,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tarnish.functions.rand import micros
-from tarnish.operators.clean import unpivot_text
+from tarnish.operators.clean import present_text, unpivot_text
 from tarnish.operators.corrupt import INTEGRAL
-from tarnish.operators.ranks import positions
+from tarnish.operators.distinct import capped_sets, heads
+from tarnish.operators.ranks import literal_rows, positions
 
 # Default of ``max_domain``: a string column with more distinct values has no closed domain.
 MAX_DOMAIN = 100
@@ -61,9 +62,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
     Numbers: count, missing, zeros, min, max, mean, standard deviation, quartiles.  Dates and
     timestamps: min and max in seconds since 1970, distinct values and the commonest.  Strings:
     distinct values, commonest value and its count, shortest, longest and mean length.  The
-    numeric side is one aggregate without any shuffle of rows; the string side is one
-    shuffle of (column, value) counts for all columns together.  Quartiles come from a few
-    more scans of one column each, or, without ``exact``, from a sketch of this ``accuracy``.
+    numeric side is one aggregate without any shuffle of rows; the string side shuffles
+    128-bit hashes of the values, whatever their length.  Quartiles come from two more scans
+    for all columns, or, without ``exact``, from a sketch of this ``accuracy``.
     """
     columns = columns or df.columns
     fields = {c: df.schema[c].dataType for c in columns}
@@ -111,13 +112,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_
     scalars = df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
     if not strings + times:
         return scalars.withColumns({"distinct": whole, "top_value": F.lit(None).cast("string"), "top_count": whole})
-    top = F.min(F.struct((-F.col("n")).alias("m"), F.col("value").alias("value")))
-    heads = (
-        value_histogram(df, strings + times).groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct"), top.alias("_top"))
-        .select("column", "distinct", F.col("_top.value").alias("top_value"), (-F.col("_top.m")).alias("top_count"))
-    )
-    return scalars.join(heads, "column", "left")
+    texts = {c: present_text(df, c) for c in strings + times}
+    return scalars.join(heads(df, texts), "column", "left")
 
 
 def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,25 +165,17 @@ def infer_schema(df: DataFrame, columns: list[str] | None = None, max_domain: in
     """Type, required presence and, for strings with few values, the closed domain.
 
     ``max_domain`` is the largest number of distinct values a closed domain may have, counted
-    exactly; a string column beyond it has none, and its ``note`` says so.  Only columns whose
-    estimated number is over twice the limit are not counted.
+    exactly; a string column beyond it has none, and its ``note`` says so.
     """
     columns = columns or df.columns
     fields = {c: df.schema[c].dataType for c in columns}
     strings = [c for c in columns if type_class(fields[c]) == "STRING"]
-    row = df.agg(
-        *[F.count_if(missing(fields[c], F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns) if c in strings],
-    ).first()
-    few = [c for i, c in enumerate(columns) if c in strings and row[f"d{i}"] <= 2 * max_domain]
-    domains: dict[str, tuple[str, ...]] = {}
-    if few:
-        for r in (value_histogram(df, few).groupBy("column").agg(F.collect_set("value").alias("v"))
-                  .where(F.size("v") <= max_domain).collect()):
-            domains[r["column"]] = tuple(sorted(r["v"]))
+    row = df.agg(*[F.count_if(missing(fields[c], F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    sets = capped_sets(df, strings, max_domain)
+    domains = {c: tuple(sorted(v)) for c, v in sets.items() if v}
     return Schema(tuple(
         Expectation(c, type_class(fields[c]), 1.0 if row[f"m{i}"] == 0 else 0.0, domains.get(c),
-                    note=f"no domain: over {max_domain} values" if c in strings and c not in domains and row[f"d{i}"] else None)
+                    note=f"no domain: over {max_domain} values" if c in sets and sets[c] is None else None)
         for i, c in enumerate(columns)))
 
 
@@ -240,7 +228,8 @@ def validate(df: DataFrame, schema: Schema) -> DataFrame:
     known = [e for e in schema.expectations if e.column in df.columns]
     static = [(e.column, "MISSING_COLUMN", 0.0, 1.0) for e in schema.expectations if e.column not in df.columns]
     static += [(c, "NEW_COLUMN", 1.0, 0.0) for c in df.columns if c not in schema]
-    fixed = df.sparkSession.createDataFrame(static, ANOMALY_DDL)
+    names = [part.split()[0] for part in ANOMALY_DDL.split(", ")]
+    fixed = literal_rows(df.sparkSession, [dict(zip(names, cells)) for cells in static], ANOMALY_DDL)
     if not known:
         return fixed
     parts = [F.count(F.lit(1)).alias("rows")]

@@ -11,6 +11,7 @@ from tarnish.operators.corrupt import is_number
 from tarnish.operators.metrics import METRICS, score_predictions, task_metric
 from tarnish.operators.sampling import KeyedTable, random_split
 from tarnish.operators.scoring import Scorer
+from tarnish.operators.distinct import capped_sets
 from tarnish.session import cut_lineage
 
 BINARY, MULTICLASS, REGRESSION = "binary", "multiclass", "regression"
@@ -143,10 +144,8 @@ def infer_roles(df: DataFrame, exclude: list[str] = (), max_categories: int = 10
     """
     fields = [f for f in df.schema.fields if f.name not in exclude]
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    distinct = {}
-    if strings:
-        distinct = df.agg(*[F.count_distinct(c).alias(c) for c in strings]).first().asDict()
-    categorical = [c for c in strings if distinct[c] <= max_categories]
+    sets = capped_sets(df, strings, max_categories)
+    categorical = [c for c in strings if sets[c] is not None]
     numerical = [f.name for f in fields if is_number(f.dataType)]
     return categorical, numerical, [c for c in strings if c not in categorical]
 
@@ -222,8 +221,8 @@ def image_style(df: DataFrame, key: list[str], class_column: str, zero: object,
 
 
 def labelled_table(df: DataFrame, key: list[str], label: str, task_type: str, *, train_size: float = 0.8,
-                   seed: int = 0) -> Task:
-    """Any labelled table, column roles taken from the types."""
-    categorical, numerical, text = infer_roles(df, [*key, label])
+                   max_categories: int = 100, seed: int = 0) -> Task:
+    """Any labelled table, column roles taken from the types; a string column of more values is text."""
+    categorical, numerical, text = infer_roles(df, [*key, label], max_categories)
     train, test = split(df, key, round(1 - train_size, 10), seed)
     return Task(train, test, key, label, task_type, categorical, numerical, text, seed=seed)
