@@ -79,3 +79,20 @@ def impute_conditional_mode(spark, sf):
     gaps = _gaps(spark, sf, "part", "p_type", 0.5)
     return clean.fit_conditional_mode(gaps, "p_type", ["p_brand", "p_size"]).transform(gaps).select(
         "p_partkey", "p_type")
+
+
+_COMBO = "CASE WHEN l_quantity <= 17 THEN 0 ELSE l_partkey END"
+
+
+@register("impute_conditional_skew", f"""
+WITH g AS (SELECT * REPLACE (CASE WHEN hit THEN NULL ELSE l_returnflag END AS l_returnflag), {_COMBO} AS combo
+           FROM ({sql.marked('lineitem', 0.5, 'CAR', SEED)}) g0),
+c AS (SELECT combo, l_returnflag, count(*) AS n FROM g WHERE l_returnflag IS NOT NULL GROUP BY ALL),
+m AS (SELECT combo, l_returnflag AS best FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY n DESC, l_returnflag) AS r FROM c) x WHERE r = 1)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, coalesce(l_returnflag, best, ({_mode_sql('g', 'l_returnflag')})) AS l_returnflag
+FROM g LEFT JOIN m USING (combo)""")
+def impute_conditional_skew(spark, sf):
+    """One combination holds a third of the rows; the table of modes is taken as too large to broadcast whole."""
+    gaps = _gaps(spark, sf, "lineitem", "l_returnflag", 0.5).withColumn("combo", F.expr(_COMBO))
+    imputer = clean.fit_conditional_mode(gaps, "l_returnflag", ["combo"], broadcast_bytes=0)
+    return imputer.transform(gaps).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")

@@ -12,10 +12,12 @@ from catalog.metrics import REVENUE, revenue_lines, sized_parts
 from catalog.samplers import LINE_LOGIT, LINE_SCORER, SEED
 from tarnish.operators import features
 from tarnish.operators.corrupt import MissingValues
+from tarnish.operators.clean import fit_mean
 from tarnish.operators.image import ImageCorruption
 from tarnish.operators.linear import design_of, fit_ridge
 from tarnish.operators.models import fit_baseline, fit_image_baseline, fit_learned_imputer, with_folds
 from tarnish.operators.ranks import literal_rows
+from tarnish.operators.scoring import ChainedScorer
 from tarnish.plans.evaluate import ImpactEvaluator
 from tarnish.plans.results import augment
 from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, image_style, split
@@ -51,6 +53,55 @@ def linear_scores(spark, sf):
     return LINE_SCORER.score(table(spark, sf, "lineitem")).select(*LINE_IDS, F.round("score", 9).alias("score"))
 
 
+@register("feature_columns", f"""
+SELECT {', '.join(LINE_IDS)}, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS quantity,
+       round((l_tax - avg(l_tax) OVER ()) / stddev_pop(l_tax) OVER (), 6) AS tax, (l_returnflag = 'A')::INT::DOUBLE AS flag_a,
+       (l_returnflag = 'N')::INT::DOUBLE AS flag_n, (l_returnflag = 'R')::INT::DOUBLE AS flag_r,
+       (l_linestatus = 'F')::INT::DOUBLE AS status_f, (l_linestatus = 'O')::INT::DOUBLE AS status_o FROM lineitem""")
+def feature_columns(spark, sf):
+    """Scaled numbers and one-hot categories side by side, as every fit sees them."""
+    lines = table(spark, sf, "lineitem")
+    vectors = features.feature_pipeline(["l_quantity", "l_tax"], ["l_returnflag", "l_linestatus"]).fit(lines).transform(lines)
+    cell = vector_to_array("features")
+    names = ["quantity", "tax", "flag_a", "flag_n", "flag_r", "status_f", "status_o"]
+    return vectors.select(*LINE_IDS, *[F.round(cell[i], 6).alias(n) for i, n in enumerate(names)])
+
+
+_GAPS = sql.marked("lineitem", 0.3, "CAR", SEED)
+
+
+@register("chained_scores", f"""
+WITH g AS (SELECT * REPLACE (CASE WHEN hit THEN NULL ELSE l_quantity END AS l_quantity) FROM ({_GAPS}) m)
+SELECT {', '.join(LINE_IDS)}, l_quantity, round({LINE_LOGIT.replace('coalesce(l_quantity, 25.0::DOUBLE)', 'coalesce(l_quantity, (SELECT avg(l_quantity) FROM g))')}, 6) AS score FROM g""")
+def chained_scores(spark, sf):
+    """A model behind an imputer scores filled rows and leaves the caller's cells as they were."""
+    gaps = MissingValues("l_quantity", 0.3).transform(table(spark, sf, "lineitem"), sql.KEYS["lineitem"], SEED)
+    scored = ChainedScorer(LINE_SCORER, (fit_mean(gaps, ["l_quantity"]),)).score(gaps)
+    return scored.select(*LINE_IDS, "l_quantity", F.round("score", 6).alias("score"))
+
+
+@register("task_checks", """
+SELECT * FROM (VALUES ('binary', 'binary', TRUE), ('binary', 'multiclass', FALSE), ('multiclass', 'multiclass', TRUE), ('multiclass', 'binary', FALSE),
+  ('quantity', 'regression', TRUE), ('binary', 'regression', FALSE), ('absent feature', 'binary', FALSE)) v(label, task_type, fits)
+WHERE (SELECT count(DISTINCT l_linestatus) FROM lineitem) = 2 AND (SELECT count(DISTINCT l_returnflag) FROM lineitem) = 3""")
+def task_checks(spark, sf):
+    """Which declared task types the labels of a table allow, and that every role column must exist."""
+    lines = table(spark, sf, "lineitem")
+    train, test = split(lines, sql.KEYS["lineitem"], 0.2, SEED)
+    labels = {"binary": "l_linestatus", "multiclass": "l_returnflag", "quantity": "l_extendedprice", "absent feature": "l_linestatus"}
+    rows = []
+    for name, kind in (("binary", BINARY), ("binary", MULTICLASS), ("multiclass", MULTICLASS), ("multiclass", BINARY), ("quantity", REGRESSION),
+                       ("binary", REGRESSION), ("absent feature", BINARY)):
+        numbers = ["l_quantity", "nowhere"] if name == "absent feature" else ["l_quantity"]
+        try:
+            Task(train, test, sql.KEYS["lineitem"], labels[name], kind, [], numbers, seed=SEED).check()
+            fits = True
+        except ValueError:
+            fits = False
+        rows.append({"label": name, "task_type": kind, "fits": fits})
+    return literal_rows(spark, rows, "label string, task_type string, fits boolean")
+
+
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{2,}')"
 
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tarnish.session import cut_lineage
+
 
 def _present(df: DataFrame, column: str) -> Column:
     col = F.col(column)
@@ -77,38 +81,71 @@ def repair_sentinel(df: DataFrame, column: str, broken: Column, value: object) -
     return df.withColumn(column, F.when(broken, F.lit(value)).otherwise(F.col(column)))
 
 
+# Bytes of a table of modes that may be broadcast whole; combinations of over a HEAVY_SHARE-th of the
+# training rows (and HEAVY_LEAST at least) are broadcast in any case; salts of the others.
+BROADCAST_BYTES = 8 << 20
+HEAVY_SHARE, HEAVY_LEAST = 2000, 64
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class ConditionalMode:
     """Fill a missing cell with the commonest value among rows that agree on other columns.
 
-    Combinations never seen in training fall back to the overall mode.
+    Combinations never seen in training fall back to the overall mode.  Rows whose target is
+    present take no part in a join.  A table of modes beyond the broadcast bound is split: its
+    fewer than 2,000 heaviest combinations are broadcast, the others are shuffled, each copied
+    per salt, so that no combination is one task's work, be it frequent in training or not.
     """
 
     target: str
     inputs: list[str]
     table: DataFrame = field(compare=False)
     fallback: object = None
+    whole: bool = True
+    heavy_rows: int = 0
 
     @property
     def columns(self) -> list[str]:
         return [self.target]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        known = self.table.select(*[F.col(c).alias(f"_in_{c}") for c in self.inputs], F.col("_mode"))
-        match = [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in self.inputs]
-        condition = _present(df, self.target).isNull()
-        for m in match:
-            condition = condition & m
-        filled = F.coalesce(_present(df, self.target), F.col("_mode"), F.lit(self.fallback))
-        return df.join(known, condition, "left").select(
-            *[filled.alias(c) if c == self.target else F.col(c) for c in df.columns])
+    def _known(self, table: DataFrame, tag: str) -> DataFrame:
+        return table.select(*[F.col(c).alias(f"{tag}{i}") for i, c in enumerate(self.inputs)], F.col("_mode").alias(f"{tag}mode"), F.lit(True).alias(f"{tag}met"))
 
+    def _joined(self, rows: DataFrame, known: DataFrame, tag: str, *more: Column) -> DataFrame:
+        match = [F.col(c).eqNullSafe(F.col(f"{tag}{i}")) for i, c in enumerate(self.inputs)]
+        return rows.join(known, reduce(and_, [*more, *match]), "left")
 
-def fit_conditional_mode(df: DataFrame, target: str, inputs: list[str]) -> ConditionalMode:
+    def transform(self, df: DataFrame) -> DataFrame:
+        present, tag = _present(df, self.target), "_m_"
+        while any(c.lower().startswith(tag) for c in df.columns):
+            tag = f"_{tag}"
+        near_tag, far_tag, lane, salt = f"{tag}near_", f"{tag}far_", f"{tag}lane", f"{tag}salt"
+
+        def filled(rows: DataFrame, mode: str) -> DataFrame:
+            value = F.coalesce(present, F.col(mode), F.lit(self.fallback))
+            return rows.select(*[value.alias(c) if c == self.target else F.col(c) for c in df.columns])
+
+        if self.whole:
+            return filled(self._joined(df, F.broadcast(self._known(self.table, near_tag)), near_tag, present.isNull()), f"{near_tag}mode")
+        heavy = F.col("_n") > self.heavy_rows
+        near = self._joined(df, F.broadcast(self._known(self.table.where(heavy), near_tag)), near_tag, present.isNull())
+        settled = present.isNotNull() | F.col(f"{near_tag}met").isNotNull()
+        rest = near.where(~settled).withColumn(lane, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int"))
+        light = self._known(self.table.where(~heavy), far_tag).withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        far = self._joined(rest, light, far_tag, F.col(lane) == F.col(salt))
+        return filled(near.where(settled), f"{near_tag}mode").unionByName(filled(far, f"{far_tag}mode"))
+
+
+def fit_conditional_mode(df: DataFrame, target: str, inputs: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> ConditionalMode:
     """Count (inputs, target) pairs, then keep the largest count and smallest value per inputs."""
     counts = (
         df.where(_present(df, target).isNotNull()).groupBy(*inputs, target).agg(F.count(F.lit(1)).alias("n"))
     )
     best = F.min(F.struct(-F.col("n"), F.col(target).alias("value")))
-    table = counts.groupBy(*inputs).agg(best.alias("_best")).select(*inputs, F.col("_best.value").alias("_mode"))
-    return ConditionalMode(target, list(inputs), table, fit_mode(df, [target]).fills[target])
+    table = cut_lineage(counts.groupBy(*inputs).agg(best.alias("_best"), F.sum("n").alias("_n")).select(
+        *inputs, F.col("_best.value").alias("_mode"), "_n"))
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in [*inputs, "_mode"]), F.lit(0))
+    rows, bytes_ = table.agg(F.sum("_n"), F.sum(size)).first()
+    return ConditionalMode(target, list(inputs), table, fit_mode(df, [target]).fills[target], (bytes_ or 0) <= broadcast_bytes,
+                           max(HEAVY_LEAST, (rows or 0) // HEAVY_SHARE))

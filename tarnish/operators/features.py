@@ -36,8 +36,9 @@ def one_hot_stages(columns: list[str], suffix: str = "_hot") -> list:
     """Unknown and missing values give the zero vector."""
     indexer = StringIndexer(inputCols=columns, outputCols=[f"{c}_idx" for c in columns], handleInvalid="keep",
                             stringOrderType="alphabetAsc")
+    # the indexer's last position stands for the unknown, and the encoder drops the last
     encoder = OneHotEncoder(inputCols=[f"{c}_idx" for c in columns], outputCols=[c + suffix for c in columns],
-                            handleInvalid="keep", dropLast=True)
+                            handleInvalid="error", dropLast=True)
     return [indexer, encoder]
 
 

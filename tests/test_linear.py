@@ -106,3 +106,10 @@ def test_numbers_are_scaled_by_the_population_deviation(spark):
     assert [tuple(r) for r in scaled.collect()] == [pytest.approx(w) for w in wanted]
     vectors = feature_pipeline(["x", "flat"], []).fit(df).transform(df).collect()
     assert [list(v.features) for v in vectors] == [pytest.approx(list(w)) for w in wanted]
+
+
+def test_unknown_and_missing_categories_are_the_zero_vector(spark):
+    train = spark.createDataFrame([("a",), ("b",), ("b",)], "c string")
+    model = feature_pipeline([], ["c"]).fit(train)
+    seen = model.transform(spark.createDataFrame([("a",), ("b",), ("new",), (None,)], "c string")).collect()
+    assert [r.features.toArray().tolist() for r in seen] == [[1, 0], [0, 1], [0, 0], [0, 0]]
