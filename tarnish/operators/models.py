@@ -18,6 +18,7 @@ from tarnish.operators.features import feature_pipeline
 from tarnish.operators.linear import Design, design_of, fit_ridge
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
+from tarnish.session import inherited
 
 # Strengths of the L2 penalty and the losses tried for regression.
 ALPHAS = (0.00001, 0.0001, 0.001, 0.01)
@@ -104,7 +105,7 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
             return _held_out_scores(*parts, task.task_type, rows.where(F.col("_fold") == fold))
 
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
-            by_fold = list(pool.map(one_fold, range(folds)))
+            by_fold = list(pool.map(inherited(one_fold), range(folds)))
         for i, (setting, learner) in enumerate(grid):
             score, absolute = (_mean([f[i][side] for f in by_fold]) for side in (0, 1))
             tried.append((setting, score, absolute, learner))

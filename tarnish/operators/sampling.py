@@ -14,6 +14,7 @@ from tarnish.functions.rand import (
 )
 from tarnish.operators.ranks import dense_positions, draw_bounds, json_literal, order_struct, positions
 from tarnish.operators.stabbing import PAIR, StabbingIndex
+from tarnish.session import inherited
 
 # Accepted mechanism names; the M names are synonyms.
 CAR, AR, NAR = "CAR", "AR", "NAR"
@@ -143,8 +144,8 @@ class RowRules:
         self.columns = list(self._by_rank)
         data, plain = table.df, table.source
         with ThreadPoolExecutor(max_workers=2) as pool:
-            ranked = pool.submit(positions, plain, {c: [r for s in spans for r in s[1:]] for c, spans in self._by_rank.items()})
-            drawn = pool.submit(draw_bounds, data.select("_k", "_v"), [
+            ranked = pool.submit(inherited(positions), plain, {c: [r for s in spans for r in s[1:]] for c, spans in self._by_rank.items()})
+            drawn = pool.submit(inherited(draw_bounds), data.select("_k", "_v"), [
                 {"salt": Salt.of(seed, "row"), "need": k, "rows": n} for _, seed, k in self._by_draw])
             for (i, seed, _), bound in zip(self._by_draw, drawn.result()):
                 self.rules[i] = Rule(DRAW, salt=Salt.of(seed, "row"), bound=bound)
@@ -173,7 +174,7 @@ class RowRules:
                 end["t"] = bound
 
         with ThreadPoolExecutor(max_workers=8) as pool:
-            list(pool.map(settle, cut))
+            list(pool.map(inherited(settle), cut))
 
     def paired(self, rows: DataFrame, into: str, only: set[int]) -> DataFrame:
         """Each row of the table once for every rule of ``only`` that hits it; ``into`` is the rule's number.

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,9 +53,75 @@ def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     Later scans prune columns and push filters down, and a lost executor costs a re-read
     instead of the work that made the rows.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lease = _LEASE.get() or _whole_session(spark)
+    lease.paths.append(path)  # before writing, so that a failed write goes as well
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+class Lease:
+    """The folders of stored steps, deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def release(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+_LEASE: ContextVar[Lease | None] = ContextVar("lease", default=None)
+_WHOLE: dict[str, Lease] = {}
+
+
+@contextmanager
+def stored_steps(spark: SparkSession) -> Iterator[Lease]:
+    """Steps stored inside are deleted at the end, also after a failure; results must be read or written by then.
+
+    Leases nest, and threads started through ``inherited`` count to the lease they come from.
+    Steps stored outside of any lease go when Python ends, if the session still runs then.
+    """
+    lease = Lease(spark)
+    token = _LEASE.set(lease)
+    try:
+        yield lease
+    finally:
+        _LEASE.reset(token)
+        lease.release()
+
+
+def inherited(function: Callable) -> Callable:
+    """``function`` for another thread, under the lease of this one."""
+    lease = _LEASE.get()
+
+    def run(*args: object) -> object:
+        token = _LEASE.set(lease)
+        try:
+            return function(*args)
+        finally:
+            _LEASE.reset(token)
+
+    return run
+
+
+def _whole_session(spark: SparkSession) -> Lease:
+    """The lease of what is stored outside of any other, ended with the process."""
+    name = spark.sparkContext.applicationId
+    if name not in _WHOLE:
+        _WHOLE[name] = Lease(spark)
+        atexit.register(_end, name)
+    return _WHOLE[name]
+
+
+def _end(name: str) -> None:
+    lease = _WHOLE.pop(name, None)
+    if lease is not None and lease.spark.sparkContext._jsc is not None:
+        with suppress(Py4JError, OSError):  # the session's process may have ended first
+            lease.release()
 
 
 def ship(spark: SparkSession) -> None:
