@@ -12,6 +12,8 @@ Each task packs its own input rows in one pass with a bounded pool of waiting do
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -26,8 +28,10 @@ from tarnish.session import ship
 
 #: Documents that wait for a place, per task.
 POOL = 256
-#: Pieces in the tokenizer's memory, per Python worker.
-MEMORY = 1_000_000
+#: Bytes of pieces and their ids that a Python worker keeps, about, and bytes of an entry beside these.
+MEMORY, ENTRY = 128 << 20, 220
+#: Pieces of a space and letters, and how many of them are encoded side by side.
+_WORD, JOINED = re.compile(r" [^\W\d_]+"), 2000
 #: Documents that are tokenized together.
 ROWS = 128
 ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -48,6 +52,10 @@ class Limits:
             raise ValueError("limits must be at least 1")
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tokens:
     """Ids of whole texts by a tokenizer file of the ``tokenizers`` library, as little-endian 32-bit bytes.
 
@@ -67,22 +75,54 @@ class Tokens:
         self.splitter = Splitter(PATTERN)
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.size = 0
+        vocabulary = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of a token: each is written as one character
+        for token, rank in vocabulary.items():
+            self.sizes[rank] = len(token)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; pieces new to the memory are encoded in one call."""
         texts = [t or "" for t in texts]
         plain = [not any(s in t for s in self.special) for t in texts]
-        split = [list(chain.from_iterable(self.splitter.split(t))) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > MEMORY:
+        split = [self._pieces(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        if self.size > MEMORY:
             self.known.clear()
-        new = list(set(chain.from_iterable(s for s in split if s)).difference(self.known))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.size = 0
+        known = self.known
+        self._learn(list(set().union(*[s for s in split if s]).difference(known)))
         for text, pieces in zip(texts, split, strict=True):
             if pieces is None:
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+                yield _bytes_of(self.library.encode(text, add_special_tokens=False).ids) + self.end
             else:
-                yield b"".join(map(self.known.__getitem__, pieces)) + self.end
+                yield b"".join(map(known.__getitem__, pieces)) + self.end
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces of a space and letters are encoded side by side: the library splits them again where they meet."""
+        words = [p for p in new if _WORD.fullmatch(p)]
+        for at in range(0, len(words), JOINED):
+            part = words[at:at + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in part])
+            stops = np.searchsorted(ends, wanted)
+            if len(ids) == 0 or ends[-1] != wanted[-1] or not np.array_equal(ends[stops], wanted):
+                raise ValueError("the tokenizer does not split words at spaces")
+            data, start = ids.astype("<u4").tobytes(), 0
+            for piece, stop in zip(part, (4 * (stops + 1)).tolist(), strict=True):
+                self._keep(piece, data[start:stop])
+                start = stop
+        rest = [p for p in new if not _WORD.fullmatch(p)]
+        for piece, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self._keep(piece, _bytes_of(found.ids))
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.known[piece] = ids
+        self.size += ENTRY + 2 * len(piece) + len(ids)
+
+    def _pieces(self, text: str) -> list[str]:
+        lists = list(self.splitter.split(text))
+        return lists[0] if len(lists) == 1 else list(chain.from_iterable(lists))
 
 
 class _Waiting:
