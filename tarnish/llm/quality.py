@@ -109,7 +109,9 @@ def keep_clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_cha
     """
     extra = fresh(docs, "q_words", "q_clean", "q_keep")
     judged = judge(docs.select(F.struct("*").alias("row"), F.col(text).alias(extra[0])), extra[0])
-    kept = judged.where("kept")
+    # an array of one row or none: a plain filter would be pushed down and the rules evaluated twice
+    one = F.filter(F.array(F.struct("row", "cleaned", "lost_chars", "kept")), lambda r: r["kept"])
+    kept = judged.select(one.alias("one")).select(F.explode_outer("one").alias("one")).where(F.col("one").isNotNull()).select("one.*")
     columns = []
     for name in docs.columns:
         old = F.col("row")[name]

@@ -59,3 +59,9 @@ def test_long_text(spark):
 
 def test_matches_sql(spark, folder):
     assert spark_rows(queries.op9_quality(spark, folder)) == duck_rows(folder, sql.QUALITY)
+
+
+def test_rules_are_evaluated_once(spark):
+    docs = spark.createDataFrame([(1, "x", 1)], "doc_id long, text string, n_chars long")
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count(quality.BOILERPLATE[:12])
+    assert count(quality.keep_clean(docs)) == count(quality.judge(docs)) > 0
