@@ -15,7 +15,7 @@ them; the table of moves is dropped when it grows too large, and built again as
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tarnish.llm.common import fresh
 from tarnish.session import ship
 
-#: Moves of the machine, and pieces with their ids, that a Python worker keeps.
-MOVES = 250_000
-PIECES = 1_000_000
+#: Moves of the machine, and bytes of pieces with their ids, that a Python worker keeps, about.
+MOVES = 300_000
+PIECES = 128 << 20
+#: Bytes that an entry of a dictionary of strings takes beside the characters.
+ENTRY = 220
 #: Rows of an output batch.
 ROWS = 256
 
@@ -57,6 +59,7 @@ class Transducer:
         self.states = [start]
         self.tails: list[tuple] = [()]
         self.moves: dict[int, tuple[int, tuple]] = {}
+        self.follows: dict[tuple[bytes, bytes], bool] = {}
 
     def split(self, token: bytes) -> tuple | None:
         """The two parts of the token's last merge; none for a byte; None if merges do not make the token."""
@@ -105,8 +108,13 @@ class Transducer:
             if rank == -1:
                 continue
             after.append((last, now, held))
-            if rank is not None and ended is None and self.may_follow(last, now):
-                ended = (now, b"", (*held, rank))
+            if rank is not None and ended is None:
+                pair = (last, now)
+                fits = self.follows.get(pair)
+                if fits is None:
+                    fits = self.follows[pair] = self.may_follow(last, now)
+                if fits:
+                    ended = (now, b"", (*held, rank))
         after.append(ended)
         outputs = [held for _, _, held in after]
         low, high = min(outputs), max(outputs)
@@ -139,12 +147,15 @@ class _Known(dict):
     """Pieces and their ids as decimal text; new pieces run through the transducer."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.size = transducer, 0
 
     def __missing__(self, piece: str) -> str:
-        if len(self) > PIECES:
+        text = " ".join(map(str, self.transducer.encode(piece.encode())))
+        self.size += ENTRY + 2 * len(piece) + len(text)
+        if self.size > PIECES:
             self.clear()
-        text = self[piece] = " ".join(map(str, self.transducer.encode(piece.encode())))
+            self.size = 0
+        self[piece] = text
         return text
 
 
@@ -185,6 +196,14 @@ def unfinished(data: bytes) -> int:
     return 0
 
 
+def _whole(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Decoder:
     """Ids to bytes, whole characters at a time.
 
@@ -194,23 +213,33 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {str(rank): token for token, rank in ranks.items()}
+        self.broken = {rank for rank, token in self.tokens.items() if not _whole(token)}
         self.states: dict[bytes, _Moves] = {}
 
-    def stream(self, ids: Iterator[str]) -> Iterator[bytes]:
-        """Chunks that end at characters; the last one may hold an unfinished character."""
-        pending, states = b"", self.states
-        moves = states.setdefault(b"", _Moves(b"", self.tokens))
-        for token in ids:
-            whole, after = moves[token]
-            if after != pending:
-                pending = after
+    def stream(self, ids: Iterable[str]) -> Iterator[bytes]:
+        """Chunks that end at characters; the last one may hold an unfinished character.
+
+        Between characters, tokens that are whole characters pass as they are, a run at a time;
+        the machine steps over the others, until it is between characters again.
+        """
+        ids = list(ids)
+        tokens, states, broken, at = self.tokens, self.states, self.broken, 0
+        for stop in [*[i for i, token in enumerate(ids) if token in broken], len(ids)]:
+            if stop < at:
+                continue  # the machine has gone over it
+            if stop > at:
+                yield b"".join(map(tokens.__getitem__, ids[at:stop]))
+            at, pending = stop, b""
+            while at < len(ids) and (at == stop or pending):
                 moves = states.get(pending)
                 if moves is None:
-                    moves = states[pending] = _Moves(pending, self.tokens)
-            if whole:
-                yield whole
-        if pending:
-            yield pending
+                    moves = states[pending] = _Moves(pending, tokens)
+                whole, pending = moves[ids[at]]
+                at += 1
+                if whole:
+                    yield whole
+            if pending:
+                yield pending
 
     def decode(self, ids: str | None) -> bytes:
         return b"".join(self.stream(ids.split(" "))) if ids else b""

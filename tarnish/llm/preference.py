@@ -76,7 +76,9 @@ def pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", whole: b
 def diverted(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rejected conversations for a table without any: each goes on, from its first assistant turn,
     with the turns of the conversation with the id one larger.  One without an assistant turn, or
-    without such a one that goes on, has none; ``diverted_all`` leaves none out."""
+    without such a one that goes on, has none; ``diverted_all`` leaves none out.  A turn without a
+    number, as one without a key, is left out; other columns may have any names."""
+    turns = turns.select(key, "turn", "role", "text")
     at = turns.where((F.col("role") == ASSISTANT) & F.col(key).isNotNull()).groupBy(key).agg(F.min("turn").alias("at"))
     begin = turns.join(at, key).where(F.col("turn") < F.col("at")).select(key, "turn", "role", "text")
     after = turns.withColumn(key, F.col(key) - 1).join(at, key).where(F.col("turn") >= F.col("at")).select(key, "turn", "role", "text")

@@ -99,3 +99,14 @@ def test_query_keeps_all_conversations(spark, folder):
     got = {r.conv_id: (r.prompt, r.chosen, r.rejected) for r in queries.op4_preference_all(spark, folder).collect()}
     want = {k: plain(talks[k], v) for k, v in plain_diverted(talks).items()}
     assert got == {k: (prompt, chosen, rejected) for k, (_, prompt, (chosen, _), (rejected, _)) in want.items()}
+
+
+def test_extra_columns_may_clash_and_turns_may_lack_a_number(spark):
+    rows = [(1, 0, "user", "q", 5, "c"), (1, 1, "assistant", "a", 5, "c"), (2, 0, "user", "r", 5, "c"), (2, 1, "assistant", "b", 5, "c"), (2, None, "user", "x", 5, "c"),
+            (None, 1, "assistant", "n", 5, "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, at int, place string")
+    plain = sorted(map(tuple, preference.diverted(turns.drop("at", "place")).collect()))
+    assert sorted(map(tuple, preference.diverted(turns).collect())) == plain == [(1, 0, "user", "q"), (1, 1, "assistant", "b")]
+    assert preference.pairs(turns, preference.diverted(turns), "conv_id").count() == 1
+    assert preference.pairs(turns, preference.diverted_all(turns), "conv_id", whole=True).count() == 2
+    assert preference.diverted(turns.limit(0)).count() == 0
