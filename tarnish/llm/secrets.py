@@ -7,20 +7,33 @@ independent and uniform over that alphabet, three p-values are computed: chi-squ
 symbol counts, runs above and below the middle of the alphabet, serial correlation of neighbours.
 Three times the least is the candidate's p-value.
 
-Ordinary strings are rejected.  How small a p-value must be for that depends on the length:
-within each encoding and class of lengths, a step-up rule over the p-values of the whole corpus
-keeps the expected share of truly random strings among the rejected at ``RATE``.  Candidates
-that are not rejected are reported.  Only built-in expressions run here.
+How small a p-value must be to say "not random" depends on the length: within each encoding and
+class of lengths, a step-up rule over the p-values of the whole corpus keeps the expected share of
+truly random strings among these at ``RATE``.
+
+Not being rejected is no evidence, least of all for short strings.  The share of false reports is
+bounded by a second rule, against the hypothesis that a candidate is an ordinary identifier.  Its
+model draws classes of characters (lower, upper, digit, mark) from fixed chances of change and
+letters from the pairs in the corpus's own words.  The probability of the string under uniformity
+over that under the model averages at most 1 for identifiers (an e-value); it is zero for
+candidates that the battery rejects.  Within each encoding and class of lengths the k largest are
+reported, for the largest k for which all of them are at least m / (k ``RATE``), out of m.  The
+expected share of identifiers that follow the model among the reports is then at most ``RATE``,
+whatever depends on what.  Only built-in expressions run here.
 """
 
 from __future__ import annotations
 
+from math import inf, log2
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnish.llm.common import fresh, let, sums_before
 
-#: Share of random strings among the rejected candidates.
+#: Share of random strings among the rejected candidates, and of identifiers among the reported.
 RATE = 0.05
+#: Odds of an identifier above this power of two count as this.
+BITS = 64
 MASK = "[SECRET]"
 #: p-values are binned by quarter powers of two, down to 2^-64.
 BINS = 256
@@ -44,6 +57,15 @@ ALPHABETS = {
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
     "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 20),
 }
+#: The characters of candidates by class (lower, upper, digit, mark), and an identifier's chances of the next class.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_")
+CHANGES = ((0.78, 0.10, 0.06, 0.06), (0.50, 0.35, 0.08, 0.07), (0.10, 0.10, 0.70, 0.10), (0.45, 0.25, 0.25, 0.05))
+SYMBOLS = "".join(CLASSES)
+#: Words as identifiers are made of: longer runs are cut.  Rarer ones may be pieces of secrets.
+WORD = r"[A-Z]{3,16}|[A-Z]?[a-z]{2,15}"
+LEAST_COUNT = 2
+#: Weight of equal chances in the letter pairs: as so many pairs, and as a share.
+PRIOR, MIXED = 20.0, 0.1
 #: Upper ends of the length classes.
 LENGTHS = (27, 35, 47, 71, 127)
 
@@ -132,16 +154,51 @@ def _encoding(body: Column) -> Column:
     return F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]"), out)
 
 
-def _battery(found: Column) -> Column:
-    """(start, stop, encoding, length class, p) of each candidate that has an encoding."""
+def letter_pairs(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
+    """How often a letter follows another, or starts a word (after ""), in all words that occur twice or more, case aside."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("w"))
+    often = words.groupBy(F.lower("w").alias("w")).count().where(F.col("count") >= LEAST_COUNT)
+    pairs = often.select("count", F.posexplode(F.split("w", "(?!$)")).alias("i", "letter"), "w")
+    before = F.when(F.col("i") > 0, F.expr("substring(w, i, 1)")).otherwise("")
+    return {(r.before, r.letter): r.n for r in pairs.groupBy(before.alias("before"), "letter").agg(F.sum("count").alias("n")).collect()}  # at most 27 x 26 rows
+
+
+def identifier_bits(pairs: dict[tuple[str, str], int]) -> list[float]:
+    """Bits of a symbol after another in an identifier: entry 66 a + b for symbols a, b; a = 66 at the start, which is as after a mark."""
+    totals = {a: sum(pairs.get((a, b), 0) for b in CLASSES[0]) for a in ["", *CLASSES[0]]}
+    sort = [k for k, chars in enumerate(CLASSES) for _ in chars]
+
+    def bits(a: int, b: int) -> float:
+        old, new = (3 if a == len(SYMBOLS) else sort[a]), sort[b]
+        chance = CHANGES[old][new]
+        if new > 1:
+            return -log2(chance / len(CLASSES[new]))
+        context = SYMBOLS[a].lower() if old < 2 and (old, new) != (0, 1) else ""  # a capital after a small letter starts a word
+        share = (pairs.get((context, SYMBOLS[b].lower()), 0) + PRIOR / 26) / (totals[context] + PRIOR)
+        return -log2(chance * ((1 - MIXED) * share + MIXED / 26))
+
+    return [bits(a, b) for a in range(len(SYMBOLS) + 1) for b in range(len(SYMBOLS))]
+
+
+def _battery(found: Column, table: list[float]) -> Column:
+    """(start, stop, encoding, length class, p, bits) of each candidate that has an encoding; bits are log2 of the e-value."""
     alphabets = F.array(*[F.lit(symbols) for symbols, _ in ALPHABETS.values()])
+    costs = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded into a constant
+
+    def bits(chars: Column, size: Column) -> Column:
+        def after(codes: Column) -> Column:
+            each = F.transform(codes, lambda b, i: F.get(costs, F.when(i > 0, F.get(codes, i - 1)).otherwise(len(SYMBOLS)) * len(SYMBOLS) + b))
+            return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) - F.size(codes) * F.log2(size.cast("double"))
+
+        return let(F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c) - 1), after)
 
     def tested(m: Column, body: Column, k: Column) -> Column:
-        symbols = F.get(alphabets, k)
-        values = F.transform(F.split(body, "(?!$)"), lambda c: F.instr(symbols, c) - 1)
+        symbols, chars = F.get(alphabets, k), F.split(body, "(?!$)")
+        values = F.transform(chars, lambda c: F.instr(symbols, c) - 1)
         length = sum(((F.length(body) > top).cast("int") for top in LENGTHS), F.lit(0))
+        size = F.length(symbols)
         return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), k.alias("encoding"), length.alias("length"),
-                        F.when(k.isNotNull(), p_value(values, F.length(symbols))).alias("p"))
+                        F.when(k.isNotNull(), p_value(values, size)).alias("p"), F.when(k.isNotNull(), bits(chars, size)).alias("bits"))
 
     each = F.transform(found, lambda m: let(F.regexp_replace(m["found"], "=+$", ""),
                                             lambda body: let(_encoding(body), lambda k: tested(m, body, k))))
@@ -161,28 +218,57 @@ def _pieces(found: Column) -> Column:
     return F.flatten(F.transform(found, lambda m: let(F.regexp_replace(m["found"], "=+$", ""), lambda body: split(m, body))))
 
 
-def candidates(text: Column) -> Column:
-    return let(_pieces(matches(text, CANDIDATE)), _battery)
+def candidates(text: Column, table: list[float]) -> Column:
+    return let(_pieces(matches(text, CANDIDATE)), lambda found: _battery(found, table))
+
+
+def _alone(found: Column, base: Column) -> Column:
+    """The candidates that no base span touches; only these are judged."""
+    return let(base, lambda spans: F.filter(found, lambda c: ~F.exists(spans, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))))
 
 
-def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[int, int], float]:
-    """For each (encoding, length class): candidates with a p-value up to this are not random.
+def thresholds(docs: DataFrame, table: list[float], text: str = "text", rate: float = RATE) -> dict[tuple[int, int], tuple[float, float]]:
+    """For each (encoding, length class) that can have reports: a p-value to exceed, and bits to reach.
 
-    The step-up rule runs on binned p-values: the largest grid value t with at least m t / rate
-    p-values up to t, out of m.  The binned counts are summed on the executors; the result has at
-    most one entry for each of the 8 encodings and 6 classes.
+    Both rules run on binned values, whose counts are summed on the executors; the result has at
+    most 8 encodings x 6 classes x 257 x 65 counts, mostly a few hundred.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    each = docs.select(F.explode(candidates(body)).alias("c")).select("c.encoding", "c.length", "c.p")
-    bins = each.groupBy("encoding", "length", F.least(F.floor(-4 * F.log2(F.greatest("p", F.lit(2.0**-70)))), F.lit(BINS)).alias("bin")).count()
-    found: dict[tuple[int, int], dict[int, int]] = {}
-    for r in bins.collect():  # at most 8 x 6 x 257 rows
-        found.setdefault((r.encoding, r.length), {})[r.bin] = r["count"]
-    return {key: step_up(counts, rate) for key, counts in found.items()}
+    judged = docs.select(F.col(text).alias("text")).where(F.col("text").rlike(CANDIDATE)).select(
+        candidates(F.col("text"), table).alias("found"), base_spans(F.col("text")).alias("base"))
+    found = judged.select(F.explode(_alone(F.col("found"), F.col("base"))).alias("c")).select("c.*")
+    bins = found.groupBy("encoding", "length", F.least(F.floor(-4 * F.log2(F.greatest("p", F.lit(2.0**-70)))), F.lit(BINS)).alias("bin"),
+                         F.greatest(F.least(F.floor("bits"), F.lit(BITS)), F.lit(0)).alias("bits")).count()
+    by_class: dict[tuple[int, int], list] = {}
+    for r in bins.collect():
+        by_class.setdefault((r.encoding, r.length), []).append((r.bin, r.bits, r["count"]))
+    out = {}
+    for key, counts in by_class.items():
+        low = step_up(_summed((b, n) for b, _, n in counts), rate)
+        least = reach(_summed((e, n) for b, e, n in counts if 2.0 ** (-b / 4) > low), sum(n for _, _, n in counts), rate)
+        if least < inf:
+            out[key] = (low, least)
+    return out
+
+
+def _summed(pairs) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, n in pairs:
+        out[k] = out.get(k, 0) + n
+    return out
+
+
+def reach(counts: dict[int, int], total: int, rate: float) -> float:
+    """The bits that reports need: ``counts`` by whole bits of those not rejected, out of ``total``; infinite if there are none."""
+    above, least = 0, inf
+    for e in sorted((e for e in counts if e > 0), reverse=True):
+        above += counts[e]
+        if above * 2.0**e >= total / rate:
+            least = float(e)
+    return least
 
 
 def step_up(counts: dict[int, int], rate: float) -> float:
-    """``counts`` by bin: bin b holds p in (2^-(b+1)/4, 2^-b/4]."""
+    """The largest edge t with at least m t / rate p-values up to t, out of m; ``counts`` by bin: bin b holds p in (2^-(b+1)/4, 2^-b/4]."""
     total, below, best = sum(counts.values()), 0, 0.0
     for b in sorted(counts, reverse=True):  # from the smallest p upwards
         below += counts[b]
@@ -196,18 +282,22 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, stop), kinds numbered as in ``KINDS``.
 
     ``spans`` holds the base spans and the candidates taken for random that no base span
-    touches, by start and kind; parts of one run may overlap.  A NULL text has none.  The thresholds need one pass over all
-    texts before.  Columns of ``docs`` with these names are replaced.
+    touches, by start and kind; parts of one run may overlap.  A NULL text has none.  The letter pairs
+    and the thresholds need a pass over all texts each before.  Columns of ``docs`` with these names are replaced.
     """
-    limits = thresholds(docs, text, rate)
+    table = identifier_bits(letter_pairs(docs, text))
+    limits = thresholds(docs, table, text, rate)
     body, = fresh(docs, "s_text")
     out = docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))).withColumn("base", base_spans(F.col(body)))
     if not limits:
         return out.withColumn("spans", F.col("base")).drop(body)
-    table = F.create_map(*[F.lit(x) for (e, n), t in sorted(limits.items()) for x in (e * 10 + n, t)])
-    alone = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    random = F.filter(candidates(F.col(body)), lambda c: (c["p"] > F.element_at(table, c["encoding"] * 10 + c["length"])) & alone(c))
-    return out.withColumn("spans", F.array_sort(F.concat("base", _spans(random, 3).cast(f"array<{SPAN}>")))).drop(body)
+    low, least = (F.create_map(*[F.lit(x) for (e, n), t in sorted(limits.items()) for x in (e * 10 + n, t[j])]) for j in (0, 1))
+    key = lambda c: c["encoding"] * 10 + c["length"]
+    found, = fresh(out, "s_found")
+    out = out.withColumn(found, candidates(F.col(body), table))
+    random = F.filter(_alone(F.col(found), F.col("base")),
+                      lambda c: (c["p"] > F.try_element_at(low, key(c))) & (c["bits"] >= F.try_element_at(least, key(c))))
+    return out.withColumn("spans", F.array_sort(F.concat("base", _spans(random, 3).cast(f"array<{SPAN}>")))).drop(body, found)
 
 
 def written(spans: Column) -> Column:

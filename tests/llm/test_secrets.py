@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tarnish.llm import queries, secrets
 
 KINDS = [("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[1]) >= 6),
@@ -76,6 +79,76 @@ def test_tokens_in_paths_and_beside_other_marks(spark):
     assert sum(bool(got[1000 + i]) for i in range(400)) <= 12
 
 
+WORDS = ["Get", "Query", "Report", "Field", "Index", "Value", "Customer", "Order", "Status", "Update", "Handler", "Response", "Count", "Total"]
+
+
+def identifier(rng, form):
+    words = rng.sample(WORDS, rng.randint(4, 6))
+    tail = str(rng.randint(1, 999))
+    return {"base62": "".join(words), "base64url": "_".join(words).lower() + rng.choice("-_"), "base64": "/".join(words).lower() + "/",
+            "base36": "".join(words).lower(), "base36_upper": "".join(words).upper(), "base32": "".join(words).upper()}[form] + \
+        (tail if form != "base32" else rng.choice("234567") * 2)
+
+
+def plain_bits(body, pairs, size):
+    """log2 of uniform chance over the chance as an identifier, symbol by symbol."""
+    from math import log2
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3
+    total, old = 0.0, None
+    for c in body:
+        before, now = 3 if old is None else kind(old), kind(c)
+        p = secrets.CHANGES[before][now]
+        if now > 1:
+            p /= (0, 0, 10, 4)[now]
+        else:
+            ctx = old.lower() if before < 2 and not (before == 0 and now == 1) else ""
+            seen = sum(n for (a, _), n in pairs.items() if a == ctx)
+            p *= 0.9 * (pairs.get((ctx, c.lower()), 0) + 20 / 26) / (seen + 20) + 0.1 / 26
+        total -= log2(p)
+        old = c
+    return total - len(body) * log2(size)
+
+
+@pytest.mark.parametrize("form", list(secrets.ALPHABETS))
+def test_share_of_false_reports(spark, form):
+    """2,000 identifiers beside 100 tokens of one encoding: few false reports, most tokens found; none without tokens."""
+    rng = random.Random(form)
+    forms = ["base62", "base64url", "base64", "base36", "base36_upper", "base32"]
+    rows = [(i, f"call {identifier(rng, forms[i % 6])} with the value") for i in range(2000)]
+    symbols, least = secrets.ALPHABETS[form]
+    clean = spark.createDataFrame(rows, "doc_id long, text string")
+    if form == "base62":
+        assert secrets.scan(clean).where("size(spans) > 0").count() == 0
+    tokens = [(5000 + i, f"call {''.join(rng.choices(symbols, k=rng.choice([24, 32, 40, 64])))} with the value") for i in range(100)]
+    hits = [r.doc_id for r in secrets.scan(clean.unionByName(spark.createDataFrame(tokens, clean.schema))).where("size(spans) > 0").select("doc_id").collect()]
+    found = sum(i >= 5000 for i in hits)
+    assert found >= 90 and len(hits) - found <= 0.05 * len(hits), (found, len(hits))
+
+
+def test_bits_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, f"see {identifier(rng, 'base62')} and {''.join(rng.choices(secrets.ALPHABETS['base64url'][0], k=44))}a1") for i in range(30)] * 2
+    docs = spark.createDataFrame(rows + [(None, None), (1, "")], "doc_id long, text string")
+    pairs = secrets.letter_pairs(docs)
+    plain = {}
+    words = [w.lower() for _, t in rows for w in re.findall(secrets.WORD, t)]
+    for w in words:
+        if words.count(w) > 1:
+            for a, b in zip(["", *w], w):
+                plain[a, b] = plain.get((a, b), 0) + 1
+    assert pairs == plain
+    got = docs.select("text", F.explode(secrets.candidates(F.col("text"), secrets.identifier_bits(pairs))).alias("c")).select("text", "c.*").collect()
+    assert len(got) >= 60
+    for r in got:
+        assert abs(r.bits - plain_bits(r.text[r.start:r.stop], pairs, len(list(secrets.ALPHABETS.values())[r.encoding][0]))) < 1e-3
+
+
+def test_reach_rule():
+    assert secrets.reach({0: 5, 10: 1}, 10, 0.05) == 10.0
+    assert secrets.reach({0: 5, 7: 1}, 10, 0.05) == float("inf")
+    assert secrets.reach({7: 1, 9: 1}, 10, 0.05) == 7.0 and secrets.reach({}, 0, 0.05) == float("inf")
+
+
 def test_step_up_rule():
     assert secrets.step_up({0: 90, 40: 10}, 0.05) == 2.0**-10
     assert secrets.step_up({0: 10}, 0.05) == 0.0
