@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its ``NEAREST`` nearest of ``PIVOTS`` reference points, in order of
-their distance.  Vectors at a cosine of 0.95 or more share at least ``SHARED`` of these with
+their distance.  Where vectors share a direction the same points are nearest to all, so a sample's
+mean is taken off first, for the description only.  That also spreads true pairs, so it goes no
+further than ``SPREAD`` allows, and the more it spreads the more points describe a vector.  Vectors at a cosine of 0.95 or more share at least ``SHARED`` of these with
 high probability; only such pairs are candidates, and these are verified in double precision.
 
 The inverted lists hold a vector under each of its pivots but the last SHARED - 1 (by pivot
@@ -30,6 +32,8 @@ SAMPLE = 2048
 APART = 0.7
 NEAREST = 8
 SHARED = 3
+#: Square of the length that the description leaves of any sampled vector, out of 1.
+SPREAD = 1 / 7
 #: Vectors of a list that a task compares at once.
 LIST = 2048
 
@@ -61,6 +65,37 @@ def reference_points(sample: list[list[float]], dim: int, count: int) -> np.ndar
     return np.vstack([kept, unit(more)]) if len(more) else kept
 
 
+class Description:
+    """What vectors of one length are described by: a centre, reference points, how many of them."""
+
+    def __init__(self, sample: list[list[float]], dim: int, count: int, k: int):
+        mine = [v for v in sample if len(v) == dim]
+        units = unit(np.array(mine, float)) if mine else np.zeros((0, dim))
+        mean = units.mean(axis=0) if len(units) > 1 else np.zeros(dim)
+        self.centre, left = mean * self._share(units, mean), 1.0
+        if len(units):
+            left = max(SPREAD, ((units - self.centre) ** 2).sum(axis=1).min())
+        lost = (1 - COSINE) * (1 / min(left, 1.0) - 1)  # how much lower the cosine of a pair at the border gets
+        self.k = k + round(30 * lost)
+        rest = units - self.centre
+        self.points = reference_points(rest[(rest != 0).any(axis=1)].tolist(), dim, count if self.k <= k + 2 else 2 * count)
+
+    @staticmethod
+    def _share(units: np.ndarray, mean: np.ndarray) -> float:
+        """The largest part of the mean that leaves SPREAD of each sampled vector: 1 - 2 x (v m) + x^2 (m m) >= SPREAD."""
+        square = float(mean @ mean)
+        if square == 0:
+            return 0.0
+        along = units @ mean
+        under = along**2 - square * (1 - SPREAD)
+        roots = (along[under > 0] - np.sqrt(under[under > 0])) / square
+        return float(min(1.0, roots[roots > 0].min(initial=1.0)))
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The pivots of unit vectors, the nearest first; lengths do not change the order."""
+        return nearest(self.points, vectors - self.centre, self.k)
+
+
 def nearest(points: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     """The numbers of the k nearest points of each vector, the nearest first."""
     near = vectors @ points.T
@@ -85,7 +120,7 @@ def _listed(key, path, c, n, vector, pivots, mine=-1, other=-1) -> pa.RecordBatc
 
 def _index(batches: Iterator[pa.RecordBatch], sample: list, count: int, k: int, shared: int) -> Iterator[pa.RecordBatch]:
     """Each class under its pivots but the last ``shared`` - 1 by number."""
-    points: dict[int, np.ndarray] = {}
+    described_by: dict[int, Description] = {}
     for batch in batches:
         c, n = (batch.column(x).to_numpy() for x in ("c", "n"))
         lists = batch.column("v")
@@ -95,9 +130,9 @@ def _index(batches: Iterator[pa.RecordBatch], sample: list, count: int, k: int,
         for dim in np.unique(sizes):
             rows = np.flatnonzero(sizes == dim)
             vectors = flat[(starts[rows][:, None] + np.arange(dim))]
-            if dim not in points:
-                points[dim] = reference_points(sample, int(dim), count)
-            pivots = nearest(points[dim], unit(vectors), k)
+            if dim not in described_by:
+                described_by[dim] = Description(sample, int(dim), count, k)
+            pivots = described_by[dim].of(unit(vectors))
             ordered = np.sort(pivots, axis=1)
             keep = max(1, ordered.shape[1] - shared + 1)
             start = int(_mixed(0, np.array([dim]))[0])  # lists of vectors of different length share no key

@@ -104,3 +104,46 @@ def test_vectors_of_several_lengths(spark):
     assert total >= 600 and np.mean([got[i] == expected[i] for i in expected]) >= 0.97
     keys = [embeddings._mixed(int(embeddings._mixed(0, np.array([dim]))[0]), np.arange(embeddings.PIVOTS)) for dim in (2, 3, 64, 128, 384, 768)]
     assert len(np.unique(np.concatenate(keys))) == 6 * embeddings.PIVOTS
+
+
+def _leaning(rng, n, dim, mean):
+    """Vectors with this mean cosine to each other, and a partner just over the border for each."""
+    unit = embeddings.unit
+    v = unit(math.sqrt(mean) * unit(rng.normal(size=(1, dim))) + math.sqrt(1 - mean) * unit(rng.normal(size=(n, dim))))
+    return v, unit(np.array([near(rng, x, rng.uniform(0.9505, 0.955)) for x in v]))
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.63, 0.83])
+@pytest.mark.parametrize("dim", [64, 768])
+def test_vectors_that_share_a_direction(mean, dim):
+    """Few pairs become candidates, and hardly a true one is lost."""
+    rng = np.random.default_rng(int(100 * mean) + dim)
+    v, w = _leaning(rng, 3000, dim, mean)
+    told = embeddings.Description(v[:2048].tolist(), dim, embeddings.PIVOTS, embeddings.NEAREST)
+    size = len(told.points)
+    a, b = (embeddings._bits(told.of(x).astype(np.int64), size) for x in (v, w))
+    same = np.bitwise_count(a & b).sum(axis=1) >= embeddings.SHARED
+    others = embeddings._common(a[:1000], a[1000:2000]) >= embeddings.SHARED
+    assert same.mean() >= 0.98 and others.mean() < 0.01, (same.mean(), others.mean(), told.k)
+
+
+@pytest.mark.parametrize("part", [0.34, 0.85, 1.0])
+def test_dense_cluster_takes_part_in_the_centre(part):
+    """The mean may lie in a cluster of pairs over the border: these must stay candidates."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    v = embeddings.unit(np.array([near(rng, centre, 0.976) if rng.random() < part else rng.normal(size=64) for _ in range(2000)]))
+    told = embeddings.Description(v.tolist(), 64, embeddings.PIVOTS, embeddings.NEAREST)
+    bits = embeddings._bits(told.of(v).astype(np.int64), len(told.points))
+    found = embeddings._common(bits, bits) >= embeddings.SHARED
+    linked = v @ v.T >= 0.95
+    assert found[linked].mean() >= 0.98
+
+
+def test_query_with_a_shared_direction(spark):
+    rng = np.random.default_rng(3)
+    v, w = _leaning(rng, 400, 64, 0.83)
+    rows = [(i, np.asarray(x, np.float32).tolist(), "l", 1) for i, x in enumerate(np.concatenate([v, w]))]
+    expected, _ = plain([(r[0], r[1]) for r in rows])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, DDL)).collect()}
+    assert sum(got[i] == expected[i] for i in got) >= 0.96 * len(rows) and all(got[i][0] <= expected[i][0] for i in got)
