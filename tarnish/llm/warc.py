@@ -1,7 +1,8 @@
 """A sharded WARC writer whose archives depend on the records alone, and a reader.
 
-Shards are ranges of the record id, cut by a histogram of payload bytes, so neither partitions
-nor retries move a record.  Within a shard records are sorted by id and written as gzip members
+Shards are ranges of the record id, cut by a histogram of payload bytes.  Its heavy ranges are
+counted again in finer ones, so outlying or clustered ids do no harm; records of one id, or of
+none, that exceed a shard are dealt by digest.  Neither partitions nor retries move a record.  Within a shard records are sorted by id and written as gzip members
 to files that roll over by compressed size.  Tasks write under temporary names; the list of
 finished files, the manifest, is stored, a second job gives the files their names, and only
 then is the manifest published.  What a lost task left behind is in no manifest.
@@ -20,16 +21,20 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnish.session import cut_lineage, shared_folder, ship
 
-#: Payload bytes of a shard, compressed bytes of a file, most shards; ids fall into so many histogram ranges.
-SHARD_BYTES = 32 << 20
-FILE_BYTES = 64 << 20
+#: Payload bytes of a shard, compressed bytes of a file.
+SHARD_BYTES = 64 << 20
+FILE_BYTES = 8 << 20
+#: First ranges of ids, and so many shards of equal weight at most; all heavy ones are cut into four times as many.
 RANGES = 1 << 16
+#: Weight of a record beside its payload.
+HEADER = 512
 REVISIT_BYTES = 0
 CHUNK = 1 << 20
 #: Records carry no time of their own; archives shall not depend on the clock.
@@ -146,26 +151,66 @@ def _commit(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         yield batch
 
 
-def _shards(keyed: DataFrame, shard_bytes: int) -> tuple[Callable[[Column], Column], int]:
-    """A shard number for each id, as a column function, and the number of shards."""
-    low, high = keyed.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return lambda c: F.lit(0), 1
-    width = max(1, -(-(high - low + 1) // RANGES))
-    per = keyed.where("page_id is not null").groupBy(F.floor((F.col("page_id") - low) / width).cast("int").alias("r")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"))
-    cost = {r.r: r.n + 512 * r.k for r in per.collect()}  # at most RANGES rows
-    share = max(shard_bytes, sum(cost.values()) // RANGES + 1)
-    number, before, dense = bytearray(), 0, {}
-    for r in range(max(cost) + 1):
-        number += b"%04x" % dense.setdefault(before // share, len(dense))
-        before += cost.get(r, 0)
+def _weights(keyed: DataFrame, starts: list[int]) -> dict[int, tuple[int, int]]:
+    """Weight and number of the records from each start up to the next."""
+    bounds = np.array(starts, np.int64)
 
-    def shard(c: Column) -> Column:
-        at = F.floor((c - low) / width).cast("int") * 4 + 1  # a slice of a binary constant takes the same time anywhere
-        return F.when(c.isNull(), 0).otherwise(F.conv(F.substring(F.lit(bytes(number)), at, F.lit(4)).cast("string"), 16, 10).cast("int"))
+    def place(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), side="right") - 1, pa.int32())
 
-    return shard, len(dense)
+    place.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    cell = F.arrow_udf(place, "int")(F.col("page_id"))
+    per = keyed.where("page_id is not null").select(cell.alias("cell"), "n").groupBy("cell").agg(F.sum(F.col("n") + HEADER).alias("w"), F.count("*").alias("k"))
+    return {r.cell: (r.w, r.k) for r in per.collect()}  # at most a row for each start
+
+
+def _ranges(keyed: DataFrame, low: int, high: int, share: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, weight, records) of ranges of ids that hold records, none above ``share`` but those of a single id."""
+    done: list[tuple[int, int, int, int]] = []
+    heavy, pieces = [(low, high + 1)], RANGES
+    while heavy:
+        cells = []
+        for start, end in heavy:
+            width = -(-(end - start) // pieces)
+            cells += [(x, min(x + width, end)) for x in range(start, end, width)]
+        inside = sorted([x[:2] for x in done] + cells)
+        found = _weights(keyed, [x[0] for x in inside])
+        now = [(a, b, *found[k]) for k, (a, b) in enumerate(inside) if k in found]
+        heavy = [(a, b) for a, b, w, _ in now if w > share and b - a > 1]
+        done = [x for x in now if x[2] <= share or x[1] - x[0] == 1]
+        pieces = max(2, 4 * RANGES // max(1, len(heavy)))
+    return done
+
+
+def _shards(keyed: DataFrame, shard_bytes: int) -> tuple[Callable[[Column, Column], Column], int]:
+    """A shard number for an id and a digest, as a column function, and the number of shards.
+
+    Shards ascend with the ids, NULL first.
+    """
+    weight = F.sum(F.col("n") + HEADER)
+    r = keyed.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.coalesce(weight, F.lit(0)).alias("all"),
+                  F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("n") + HEADER)), F.lit(0)).alias("none"),
+                  F.count_if(F.col("page_id").isNull()).alias("lacking")).first()
+    share = max(shard_bytes, r["all"] // RANGES + 1)
+    ranges = _ranges(keyed, r.low, r.high, share) if r.low is not None else []
+    number, held, first, parts = 0, 0, [], []
+    for w, k in [(r["none"], r["lacking"]), *(x[2:] for x in ranges)]:
+        if held and held + w > share:
+            number, held = number + 1, 0
+        first.append(number)
+        parts.append(max(1, min(k, -(-w // share))))  # one long record is no reason for more
+        number, held = (number, held + w) if w <= share else (number + parts[-1], 0)
+    shards = number + (held > 0 or number == 0)
+    bounds, firsts, counts = np.array([x[0] for x in ranges], np.int64), np.array(first, np.int64), np.array(parts, np.int64)
+
+    def deal(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        at[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.array(firsts[at] + hashes.to_numpy(zero_copy_only=False) % counts[at], pa.int32())
+
+    deal.__annotations__ = {"ids": pa.Array, "hashes": pa.Array, "return": pa.Array}
+    dealt = F.arrow_udf(deal, "int")
+    return lambda page_id, sha: dealt(page_id, F.xxhash64(sha)), shards
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -189,7 +234,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     known = keyed.join(equal, "sha").select("page_id", "sha", "target").distinct()
     plain = rows.select(F.lit(1).alias("kind"), "page_id", "sha", "url", "html", F.lit(None).cast("long").alias("target"))
     marks = known.select(F.lit(0).alias("kind"), "page_id", "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "target")
-    both = plain.unionByName(marks).withColumn("shard", shard(F.col("page_id"))).select("shard", "kind", "page_id", "sha", "url", "html", "target")
+    both = plain.unionByName(marks).withColumn("shard", shard(F.col("page_id"), F.col("sha"))).select("shard", "kind", "page_id", "sha", "url", "html", "target")
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
     manifest = cut_lineage(dealt.mapInArrow(partial(_write, folder=folder, size=file_bytes), MANIFEST_DDL))
     manifest.mapInArrow(partial(_commit, folder=folder), MANIFEST_DDL).drop("temporary").write.parquet(f"{folder}/_manifest")

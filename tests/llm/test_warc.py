@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog.compare import duck_rows, spark_rows
 from tarnish.llm import queries, sql, warc
@@ -44,6 +45,34 @@ def test_round_trip_and_edge_rows(spark):
         assert gzip.open(f"{folder.removeprefix('file://')}/{name}").read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+ONE_KEY = {"none": None, "one": 77}
+
+
+@pytest.mark.parametrize("case", ["outlier", "ends", "clusters", "none", "one"])
+def test_no_shard_holds_much_more_than_its_share(spark, case):
+    """An id far away, the ends of the range, dense clusters; a third of the rows without an id, or with the same."""
+    ids = list(range(250))
+    ids += {"outlier": [2**60], "ends": [-2**63, 2**63 - 1], "clusters": [k * 10**15 + i for k in range(5) for i in range(50)]}.get(case, [])
+    ids += [ONE_KEY.get(case)] * 120 if case in ONE_KEY else []
+    pages = spark.createDataFrame([(x, "u", f"{i:04d}" * 250) for i, x in enumerate(ids)], "page_id long, url string, html string").repartition(4)
+    folder = warc.new_folder(spark)
+    manifest = warc.write(pages, folder, shard_bytes=15_000, file_bytes=300).collect()
+    shards = {}
+    for r in manifest:
+        shards[r.name[:11]] = shards.get(r.name[:11], 0) + r.records
+    assert len(shards) >= len(ids) / 15 and max(shards.values()) <= 25
+    assert len(manifest) > 2 * len(shards)  # files roll
+    got = rows_of(spark, folder, False)
+    assert sorted((r[0] for r in got), key=str) == sorted(ids, key=str) and {r[2] for r in got} == {"response"}
+
+
+def test_shards_ascend_with_ids(spark):
+    keyed = spark.createDataFrame([(x, f"{x:040d}", 1000) for x in [-2**63, -5, *range(300), 10**12, 2**63 - 1]], "page_id long, sha string, n long")
+    shard, count = warc._shards(keyed, 15_000)
+    got = [r.s for r in keyed.select("page_id", shard(F.col("page_id"), F.col("sha")).alias("s")).orderBy("page_id").collect()]
+    assert got == sorted(got) and set(got) == set(range(count))
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long one"), (4, "d", "long one")], "page_id long, url string, html string")
     folder = warc.new_folder(spark)
