@@ -133,7 +133,8 @@ class ConditionalMode:
         settled = present.isNotNull() | F.col(f"{near_tag}met").isNotNull()
         rest = near.where(~settled).withColumn(lane, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int"))
         light = self._known(self.table.where(~heavy), far_tag).withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        far = self._joined(rest, light, far_tag, F.col(lane) == F.col(salt))
+        # a compressed file looks small beside the copies made of it, so the choice is not left to its size
+        far = self._joined(rest, light.hint("merge"), far_tag, F.col(lane) == F.col(salt))
         return filled(near.where(settled), f"{near_tag}mode").unionByName(filled(far, f"{far_tag}mode"))
 
 

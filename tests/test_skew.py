@@ -56,3 +56,10 @@ def test_heavy_combinations_and_present_targets_stay_where_they_are(spark):
     lane = F.pmod(F.xxhash64(*df.columns), F.lit(clean.SALTS))
     sizes = sorted(r["count"] for r in rest.where("x = 'unseen'").groupBy(lane).count().collect())
     assert len(sizes) == clean.SALTS and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_light_combinations_are_not_broadcast_however_small_their_file(spark):
+    _, df = table(spark)
+    filled = fit_conditional_mode(df, "target", ["x", "y"], broadcast_bytes=0).transform(df)
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
