@@ -118,11 +118,7 @@ def text_features(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
     stages = [s for s in features.hashed_text_stages("text", "vector") if not isinstance(s, (HashingTF, Normalizer))]
     terms = Pipeline(stages=stages).fit(documents).transform(documents)
-    counts = terms.select("doc_id", F.explode("text_terms").alias("term")).groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("doc_id").agg(
-        F.sum("n").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"), F.max("n").alias("commonest"),
-        F.sum(F.col("n") * F.length("term")).alias("letters"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return features.term_counts(terms, "doc_id", "text_terms")
 
 
 def _report(spark, task, scorer):

@@ -7,7 +7,9 @@ from pyspark.ml.feature import (
     HashingTF, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tarnish.session import cut_lineage
 
 # Size of the hashed text vector and the longest word sequence in it.
 TEXT_DIMENSIONS = 10_000
@@ -55,6 +57,42 @@ def hashed_text_stages(column: str, into: str, dimensions: int = TEXT_DIMENSIONS
     ]
 
 
+def term_counts(df: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, terms, distinct_terms, commonest, letters, first_term, last_term) of the arrays of terms of each key.
+
+    A row whose key no other has is counted where it lies, so its terms are not shuffled.  Rows that
+    share a key, or have none, are counted together by (key, term), however many they are.
+    """
+    shared = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(F.col(key).alias("_key")))
+    if shared.isEmpty():
+        return _counted_in_place(df, key, terms)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    many = df.join(shared, same, "left_semi").select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    together = many.groupBy(key).agg(
+        F.sum("n").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"), F.max("n").alias("commonest"),
+        F.sum(F.col("n") * F.length("term")).alias("letters"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return _counted_in_place(df.join(shared, same, "left_anti"), key, terms).unionByName(together)
+
+
+def _counted_in_place(df: DataFrame, key: str, terms: str) -> DataFrame:
+    """Runs of equal terms in the sorted array; rows without terms are left out."""
+    none = F.lit(0).cast("bigint")
+    start = F.struct(none.alias("terms"), none.alias("distinct_terms"), none.alias("commonest"), none.alias("letters"),
+                     F.lit(None).cast("string").alias("first_term"), F.lit(None).cast("string").alias("last_term"), none.alias("run"))
+
+    def step(seen: Column, term: Column) -> Column:
+        again = term.eqNullSafe(seen["last_term"])
+        run = F.when(again, seen["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct((seen["terms"] + 1).alias("terms"), (seen["distinct_terms"] + (~again).cast("bigint")).alias("distinct_terms"),
+                        F.greatest(seen["commonest"], run).alias("commonest"), (seen["letters"] + F.length(term)).alias("letters"),
+                        F.coalesce(seen["first_term"], term).alias("first_term"), term.alias("last_term"), run.alias("run"))
+
+    found = F.filter(F.array(F.aggregate(F.sort_array(terms), start, step)), lambda c: c["terms"] > 0)
+    # the outer form, and the test on what comes out of it: either way the optimizer would count twice
+    counted = df.select(key, F.explode_outer(found).alias("c")).where(F.col("c").isNotNull())
+    return counted.select(key, *[f"c.{n}" for n in ("terms", "distinct_terms", "commonest", "letters", "first_term", "last_term")])
+
+
 class PopulationScaler(Estimator):
     """Numbers minus their mean by their population deviation; fitted, it is one SQL projection."""
 
