@@ -31,7 +31,7 @@ from tarnish.operators.schema import (
 )
 from tarnish.operators.scoring import Scorer
 from tarnish.plans.task import Task
-from tarnish.session import cut_lineage
+from tarnish.session import cut_lineage, jit_sized
 
 INFO_DDL = ("idx int, scenario_id int, rep int, corruption string, kind string, `column` string, "
             "fraction double, sampling string, scorable boolean, mismatch array<string>")
@@ -103,6 +103,7 @@ class ImpactEvaluator:
 
     def __init__(self, task: Task, scorer: Scorer, schema: Schema | None = None):
         self.task, self.scorer, self.schema = task, scorer, schema
+        jit_sized(task.test.sparkSession)  # damaging, scoring and folding a row are one stage
 
     # -- public -----------------------------------------------------------------------
 

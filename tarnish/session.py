@@ -124,6 +124,20 @@ def _end(name: str) -> None:
             lease.release()
 
 
+# The JVM interprets methods of more bytecode than this for good, at a tenth of the speed or less.
+JIT_BYTES = 8000
+
+
+def jit_sized(spark: SparkSession) -> None:
+    """Let Spark generate one class per expression where a whole stage would be too long a method to be compiled.
+
+    Its own bound is what a class file can hold.  A lower one that the session sets stays.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, str(JIT_BYTES + 1))) > JIT_BYTES:
+        spark.conf.set(name, str(JIT_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the session was started.
 
