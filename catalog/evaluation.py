@@ -351,8 +351,9 @@ SELECT 0 AS scenario_id, rep, round((SELECT avg((y - {_GUESS.format(p='l_extende
        round(avg((y - {_GUESS.format(p='price')}) ^ 2), 1) AS corrupted_score FROM x GROUP BY rep""")
 def impact_regression(spark, sf):
     key = sql.KEYS["lineitem"]
-    train, test = split(revenue_lines(spark, sf), key, 0.2, SEED)
-    task = Task(train, test, key, "label", REGRESSION, [], ["l_extendedprice", "l_discount", "l_tax"], seed=SEED)
+    lines = revenue_lines(spark, sf).select(*key, "label", "l_extendedprice", "l_discount", "l_tax")
+    train, test = split(lines, key, 0.2, SEED)
+    task = Task(train, test, key, "label", REGRESSION, [], ["l_extendedprice", "l_discount", "l_tax"], seed=SEED).checkpointed(train=False)
     found = ImpactEvaluator(task, REVENUE_SCORER).evaluate([MissingValues("l_extendedprice", 0.1, "MNAR")], 3)
     return found.select("scenario_id", "rep", F.round("baseline_score", 1).alias("baseline_score"),
                         F.round("corrupted_score", 1).alias("corrupted_score"))
