@@ -86,8 +86,8 @@ SELECT * FROM (VALUES ('binary', 'binary', TRUE), ('binary', 'multiclass', FALSE
 WHERE (SELECT count(DISTINCT l_linestatus) FROM lineitem) = 2 AND (SELECT count(DISTINCT l_returnflag) FROM lineitem) = 3""")
 def task_checks(spark, sf):
     """Which declared task types the labels of a table allow, and that every role column must exist."""
-    lines = table(spark, sf, "lineitem")
-    train, test = split(lines, sql.KEYS["lineitem"], 0.2, SEED)
+    lines = table(spark, sf, "lineitem").select(*sql.KEYS["lineitem"], "l_linestatus", "l_returnflag", "l_extendedprice", "l_quantity")
+    train, test = split(lines, sql.KEYS["lineitem"], 0.2, SEED, stored=True)
     labels = {"binary": "l_linestatus", "multiclass": "l_returnflag", "quantity": "l_extendedprice", "absent feature": "l_linestatus"}
     rows = []
     for name, kind in (("binary", BINARY), ("binary", MULTICLASS), ("multiclass", MULTICLASS), ("multiclass", BINARY), ("quantity", REGRESSION),

@@ -182,9 +182,15 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="any")
 
 
-def split(df: DataFrame, key: list[str], test_size: float, seed: object) -> tuple[DataFrame, DataFrame]:
-    """Exact random split into (train, test)."""
+def split(df: DataFrame, key: list[str], test_size: float, seed: object, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact random split into (train, test).
+
+    With ``stored`` the marked rows are written once, where otherwise each scan of either side
+    reads the table and hashes every row key again.
+    """
     marked = random_split(df, key, test_size, seed, "_test")
+    if stored:
+        marked = cut_lineage(marked)
     return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
 
 
