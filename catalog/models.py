@@ -137,7 +137,8 @@ def fit_binary(spark, sf):
 @register("fit_multiclass")
 def fit_multiclass(spark, sf):
     key = ["p_partkey"]
-    train, test = split(sized_parts(spark, sf), key, 0.2, SEED)
+    parts = sized_parts(spark, sf).select(*key, "label", "p_type", "p_size", "p_retailprice")
+    train, test = split(parts, key, 0.2, SEED, stored=True)
     task = Task(train, test, key, "label", MULTICLASS, ["p_type"], ["p_size", "p_retailprice"], seed=SEED).check()
     return _report(spark, task, fit_baseline(task))
 
@@ -145,7 +146,8 @@ def fit_multiclass(spark, sf):
 @register("fit_regression")
 def fit_regression(spark, sf):
     key = sql.KEYS["lineitem"]
-    train, test = split(revenue_lines(spark, sf), key, 0.2, SEED)
+    lines = revenue_lines(spark, sf).select(*key, "label", "l_extendedprice", "l_discount", "l_tax")
+    train, test = split(lines, key, 0.2, SEED, stored=True)
     task = Task(train, test, key, "label", REGRESSION, [], ["l_extendedprice", "l_discount", "l_tax"], seed=SEED)
     return _report(spark, task, fit_baseline(task))
 
@@ -198,7 +200,7 @@ def fit_ridge_folds(spark, sf):
 def document_task(spark, sf) -> Task:
     both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     rows = both.select("doc_id", "n_chars", "lang", "source", "text", F.col("quality").alias("label"))
-    train, test = split(rows, ["doc_id"], 0.2, SEED)
+    train, test = split(rows, ["doc_id"], 0.2, SEED, stored=True)
     return Task(train, test, ["doc_id"], "label", BINARY, ["lang", "source"], ["n_chars"], ["text"], seed=SEED)
 
 

@@ -18,7 +18,7 @@ from tarnish.operators.features import feature_pipeline
 from tarnish.operators.linear import Design, design_of, fit_ridge
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
-from tarnish.session import inherited
+from tarnish.session import inherited, spread
 
 # Strengths of the L2 penalty and the losses tried for regression.
 ALPHAS = (0.00001, 0.0001, 0.001, 0.01)
@@ -89,6 +89,8 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         task.check()
     keep = [*task.key, *numerical, *categorical, *text, position.alias("_label")]
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed)
+    # not by the key alone, which may be missing in many rows, and not by long texts
+    rows = spread(rows, *dict.fromkeys([*task.key, *numerical, *categorical]))
     if text or not numerical + categorical:
         design = None
     else:
@@ -230,7 +232,10 @@ def fit_image_baseline(task, train: DataFrame | None = None, *, hidden: int = 32
         return task.baseline
     rows = task.train if own else train
     _, position = class_positions(rows, task.label, task.task_type, task.positive_class)
-    rows = rows.select(pixel_vector(task.images).alias("features"), position.alias("_label")).persist()
+    rows = rows.select(task.images, position.alias("_label"))
+    if not own:  # copies come in very many small parts, and in no fixed order; the task's own rows stay as read
+        rows = spread(rows)
+    rows = rows.select(pixel_vector(task.images).alias("features"), "_label").persist()
     try:
         width = rows.select(F.max(F.size(vector_to_array("features")))).first()[0]
         learner = MultilayerPerceptronClassifier(layers=[width, hidden, 2], labelCol="_label", maxIter=max_iter,

@@ -61,6 +61,17 @@ def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows written once, dealt over the whole cluster by ``columns`` (without any, evenly).
+
+    Compressed tables of few bytes are read by few tasks, however many rows they hold; a learner
+    that goes over its rows hundreds of times would leave the other cores idle.
+    """
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(rows.repartition(parts, *columns))
+
+
 class Lease:
     """The folders of stored steps, deleted together."""
 

@@ -57,3 +57,19 @@ def test_stored_split_gives_the_same_rows(spark):
     rows = spark.range(100).selectExpr("id", "nullif(id % 4, 0) AS x")
     for plain, stored in zip(split(rows, ["id"], 0.2, 7), split(rows, ["id"], 0.2, 7, stored=True)):
         assert plain.columns == stored.columns and sorted(plain.collect()) == sorted(stored.collect())
+
+
+def test_a_fit_uses_all_cores_however_few_files_its_rows_come_from(spark, monkeypatch):
+    from tarnish.operators import models
+
+    seen, plain = [], models._fit_all
+
+    def spied(train, *rest):
+        seen.append(train.rdd.getNumPartitions())
+        return plain(train, *rest)
+
+    monkeypatch.setattr(models, "_fit_all", spied)
+    rows = spark.range(0, 2000, 1, 1).selectExpr(
+        "if(id % 2 = 0, NULL, id) AS id", "CAST(id * 37 % 101 > 50 AS int) AS label", "id * 53 % 97 / 2D AS x", "id % 3 AS c")
+    models.fit_baseline(Task(rows, rows, ["id"], "label", BINARY, ["c"], ["x"], seed=3))
+    assert len(seen) == 6 and min(seen) > 1
