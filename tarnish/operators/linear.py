@@ -83,12 +83,16 @@ def _sums(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.Reco
                                           pa.array(total[i, j])], ["fold", "i", "j", "v"])
 
 
+def design_cells(rows: DataFrame, design: Design) -> DataFrame:
+    """What ``Design.rows`` reads, and the fold."""
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in design.numerical]
+    return rows.select("_fold", F.col("_label").cast("double").alias("_label"), *numbers, *[F.col(c).cast("string").alias(c) for c in design.levels])
+
+
 def fold_sums(rows: DataFrame, design: Design, folds: int) -> np.ndarray:
     """(folds, width, width): sums of products; one scan, and a row per fold and pair to the driver."""
     ship(rows.sparkSession)
-    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in design.numerical]
-    cells = rows.select("_fold", F.col("_label").cast("double").alias("_label"), *numbers, *[F.col(c).cast("string").alias(c) for c in design.levels])
-    summed = cells.mapInArrow(partial(_sums, design=design), "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
+    summed = design_cells(rows, design).mapInArrow(partial(_sums, design=design), "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((folds, design.width, design.width))
     found = summed.toPandas()
     fold, i, j, v = (found[c].to_numpy() for c in ("fold", "i", "j", "v"))
@@ -115,21 +119,19 @@ def design_of(rows: DataFrame, numerical: list[str], categorical: list[str], max
 
 
 @dataclass(frozen=True)
-class RidgeFit:
-    """Weights of the scaled numbers and of the categories, and what training rows they came from."""
+class Features:
+    """Features of some training rows as combinations of the design's columns, and what they came from."""
 
-    design: Design
-    weights: dict
-    intercept: float
+    names: list
+    columns: np.ndarray
     means: dict[str, float]
     deviations: dict[str, float]
     modes: dict[str, str | None]
-    residual: np.ndarray
 
     @staticmethod
-    def of(sums: np.ndarray, design: Design, alpha: float) -> "RidgeFit":
-        """Minimises mean squared error / 2 + alpha / 2 * squared weights, the intercept left out."""
-        n, label = sums[0, 0], design.width - 1
+    def of(sums: np.ndarray, design: Design) -> "Features":
+        """Numbers filled with their mean and scaled, categories filled with their mode, a feature each."""
+        n = sums[0, 0]
         names, columns = [], []
         means, deviations, modes = {}, {}, {}
         for c in design.numerical:
@@ -156,14 +158,36 @@ class RidgeFit:
                 names.append((c, value))
                 columns.append(a)
         a = np.stack(columns, axis=1) if columns else np.zeros((design.width, 0))
+        return Features(names, a, means, deviations, modes)
+
+
+@dataclass(frozen=True)
+class RidgeFit:
+    """Weights of the scaled numbers and of the categories, and what training rows they came from."""
+
+    design: Design
+    weights: dict
+    intercept: float
+    means: dict[str, float]
+    deviations: dict[str, float]
+    modes: dict[str, str | None]
+    residual: np.ndarray
+
+    @staticmethod
+    def of(sums: np.ndarray, design: Design, alpha: float) -> "RidgeFit":
+        """Minimises mean squared error / 2 + alpha / 2 * squared weights, the intercept left out."""
+        n, label = sums[0, 0], design.width - 1
+        features = Features.of(sums, design)
+        a = features.columns
         centre, target = a.T @ sums[:, 0] / n, sums[0, label] / n
         cov = a.T @ sums @ a / n - np.outer(centre, centre)
-        w = np.linalg.solve(cov + alpha * np.eye(len(names)), a.T @ sums[:, label] / n - centre * target)
+        w = np.linalg.solve(cov + alpha * np.eye(len(features.names)), a.T @ sums[:, label] / n - centre * target)
         residual = np.zeros(design.width)
         residual[label] = 1.0
         residual[0] -= target - centre @ w
         residual -= a @ w
-        return RidgeFit(design, dict(zip(names, w.tolist())), float(target - centre @ w + design.shift["_label"]), means, deviations, modes, residual)
+        return RidgeFit(design, dict(zip(features.names, w.tolist())), float(target - centre @ w + design.shift["_label"]), features.means,
+                        features.deviations, features.modes, residual)
 
     def squared_error(self, sums: np.ndarray) -> float | None:
         """Mean over the rows behind these sums."""

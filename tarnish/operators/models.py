@@ -16,6 +16,7 @@ from tarnish.functions.rand import Salt, key_string, row_base, uniform
 from tarnish.operators.clean import ConditionalMode, fill_constant, fit_conditional_mode, fit_mean, fit_mode
 from tarnish.operators.features import feature_pipeline
 from tarnish.operators.linear import Design, design_of, fit_ridge
+from tarnish.operators.logistic import fit_logistic
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
 from tarnish.session import inherited, spread
@@ -94,10 +95,13 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     if text or not numerical + categorical:
         design = None
     else:
-        design = design_of(rows, numerical, categorical) if task.task_type == "regression" else None
+        design = design_of(rows, numerical, categorical) if task.task_type in ("regression", "binary") else None
     grid = learners(task.task_type, max_iter)
     tried = []  # (setting, score, mean absolute error, how to get the model)
-    if design is not None:
+    if design is not None and task.task_type == "binary":
+        tried = _logits(rows, design, folds, max_iter)
+        grid = [] if tried else grid
+    elif design is not None:
         tried = _squares(rows, design, folds)
         grid = [(p, learner) for p, learner in grid if p["loss"] != "squaredError"]
     rows = rows.persist()
@@ -107,7 +111,7 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
             return _held_out_scores(*parts, task.task_type, rows.where(F.col("_fold") == fold))
 
         with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
-            by_fold = list(pool.map(inherited(one_fold), range(folds)))
+            by_fold = list(pool.map(inherited(one_fold), range(folds))) if grid else []
         for i, (setting, learner) in enumerate(grid):
             score, absolute = (_mean([f[i][side] for f in by_fold]) for side in (0, 1))
             tried.append((setting, score, absolute, learner))
@@ -147,6 +151,14 @@ def _squares(rows: DataFrame, design: Design, folds: int) -> list[tuple]:
             for i, a in enumerate(ALPHAS)]
 
 
+def _logits(rows: DataFrame, design: Design, folds: int, max_iter: int) -> list[tuple]:
+    """All settings of the logistic regression, fitted together; none where only the learner itself can tell what to do."""
+    found = fit_logistic(rows, design, folds, ALPHAS, max_iter)
+    if found is None:
+        return []
+    return [({"alpha": a}, _mean(scores), None, scorer) for a, scorer, scores in zip(ALPHAS, *found)]
+
+
 def class_positions(rows: DataFrame, label: str, task_type: str,
                     positive: object = None) -> tuple[tuple[str, ...] | None, Column]:
     """(classes, position of a row's class); numbers stand for themselves.
