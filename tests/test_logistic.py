@@ -5,6 +5,8 @@ import pytest
 
 from tarnish.operators import logistic, models
 from tarnish.operators.models import fit_baseline, learners, with_folds
+from tarnish.operators.corrupt import MissingValues
+from tarnish.plans.evaluate import ImpactEvaluator
 from tarnish.plans.task import BINARY, Task, split
 
 HARD = "pmod(xxhash64(id), 100) < 20 + id % 37"
@@ -64,3 +66,10 @@ def test_no_length_is_found_on_a_line_that_never_ends():
     with pytest.raises(StopIteration):
         for _ in range(50):
             point = run.send((-float(point[0]), np.array([-1.0])))
+
+
+def test_impact_on_a_fitted_model_fits_no_learner_alone(spark, monkeypatch):
+    monkeypatch.setattr(models, "_fit_all", lambda *_: pytest.fail("a learner was fitted alone"))
+    task = _task(spark, HARD)
+    rows = ImpactEvaluator(task, fit_baseline(task)).evaluate([MissingValues("x", 0.5, na_value=-999)], 1).collect()
+    assert [r["corrupted_score"] < r["baseline_score"] for r in rows] == [True]
