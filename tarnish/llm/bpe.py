@@ -15,7 +15,9 @@ them; the table of moves is dropped when it grows too large, and built again as
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -26,8 +28,8 @@ from tarnish.llm.common import fresh
 from tarnish.session import ship
 
 #: Moves of the machine, and bytes of pieces with their ids, that a Python worker keeps, about.
-MOVES = 300_000
-PIECES = 128 << 20
+MOVES = 200_000
+PIECES = 112 << 20
 #: Bytes that an entry of a dictionary of strings takes beside the characters.
 ENTRY = 220
 #: Rows of an output batch.
@@ -40,6 +42,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+class _Begun:
+    """Bytes that begin a token: what each further byte makes of them, and the rank if they are a token."""
+
+    __slots__ = ("then", "rank", "length")
+
+    def __init__(self, length: int):
+        self.then: dict[int, _Begun] = {}
+        self.rank, self.length = -1, length
+
+    def __len__(self) -> int:
+        return self.length
+
+
+class _Row(dict):
+    """A state of the deterministic machine and its moves: byte -> (next row, ranks emitted)."""
+
+    __slots__ = ("machine", "states", "tail")
+
+    def __init__(self, machine: "Transducer", states: tuple):
+        self.machine, self.states, self.tail = machine, states, states[-1][2]
+
+    def __missing__(self, byte: int) -> tuple["_Row", tuple]:
+        move = self[byte] = self.machine.move(self.states, byte)
+        return move
+
+
 class Transducer:
     """Encodes one piece, within which all merges may happen, byte by byte."""
 
@@ -48,18 +76,34 @@ class Transducer:
         if missing:
             raise ValueError(f"the ranks lack single bytes: {missing[:5]}")
         self.ranks = ranks
-        self.grown = {token[:n]: None for token in ranks for n in range(1, len(token))} | ranks
-        self.bytes = [bytes([b]) for b in range(256)]
-        self.halves: dict[bytes, tuple | None] = {b: () for b in self.bytes}
+        self.tokens = {rank: token for token, rank in ranks.items()} | {-1: b""}
+        self.pairs = max(ranks.values()) + 1
+        self.none = _Begun(0)
+        for token, rank in ranks.items():
+            at = self.none
+            for byte in token:
+                begun = at.then.get(byte)
+                if begun is None:
+                    begun = at.then[byte] = _Begun(at.length + 1)
+                at = begun
+            at.rank = rank
+        self.halves: dict[bytes, tuple | None] = {bytes([b]): () for b in range(256)}
+        self.rows: dict[tuple, _Row] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", b"", ()),)  # (last token, bytes of the next one, tokens not yet emitted)
-        self.number = {start: 0}
-        self.states = [start]
-        self.tails: list[tuple] = [()]
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        start = ((-1, self.none, ()),)  # (rank of the last token, bytes of the next one, tokens not yet emitted)
+        for row in self.rows.values():
+            row.clear()  # rows may lead back to themselves, which would keep them in memory
+        self.start = _Row(self, start)
+        self.rows = {start: self.start}
+        self.made = 0
+        self.follows: dict[int, bool] = {}
+
+    @property
+    def states(self) -> list[tuple]:
+        """The sets that have been reached."""
+        return list(self.rows)
 
     def split(self, token: bytes) -> tuple | None:
         """The two parts of the token's last merge; none for a byte; None if merges do not make the token."""
@@ -100,46 +144,50 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        after, ended, byte_ = [], None, self.bytes[byte]
-        for last, begun, held in self.states[state]:  # the longest beginning first; one of each length
-            now = begun + byte_
-            rank = self.grown.get(now, -1)
-            if rank == -1:
+    def move(self, states: tuple, byte: int) -> tuple[_Row, tuple]:
+        """The row of the states that the byte leads to, and what is emitted on the way."""
+        after, ended, common = [], None, True
+        for last, begun, held in states:  # the longest beginning first; one of each length
+            now = begun.then.get(byte)
+            if now is None:
                 continue
             after.append((last, now, held))
-            if rank is not None and ended is None:
-                pair = (last, now)
+            if not held:
+                common = False
+            if now.rank >= 0 and ended is None:
+                pair = last * self.pairs + now.rank
                 fits = self.follows.get(pair)
                 if fits is None:
-                    fits = self.follows[pair] = self.may_follow(last, now)
+                    fits = self.follows[pair] = self.may_follow(self.tokens[last], self.tokens[now.rank])
                 if fits:
-                    ended = (now, b"", (*held, rank))
+                    ended = (now.rank, self.none, (*held, now.rank))
         after.append(ended)
-        outputs = [held for _, _, held in after]
-        low, high = min(outputs), max(outputs)
-        n = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-        target = tuple([(last, begun, held[n:]) for last, begun, held in after]) if n else tuple(after)
-        number = self.number.get(target)
-        if number is None:
-            number = self.number[target] = len(self.states)
-            self.states.append(target)
-            self.tails.append(target[-1][2])
-        found = self.moves[state << 8 | byte] = (number, low[:n])
-        return found
+        emitted = ()
+        if common:  # all of them hold something back
+            outputs = [held for _, _, held in after]
+            low, high = min(outputs), max(outputs)
+            if low[0] == high[0]:
+                n = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+                after, emitted = [(last, begun, held[n:]) for last, begun, held in after], low[:n]
+        target = tuple(after)
+        row = self.rows.get(target)
+        if row is None:
+            row = self.rows[target] = _Row(self, target)
+        self.made += 1
+        return row, emitted
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece; one that is a token is that token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.moves) > MOVES:
+        if self.made > MOVES:
             self._reset()
-        out, state, moves = [], 0, self.moves
+        out, row = [], self.start
         for byte in piece:
-            state, emitted = moves.get(state << 8 | byte) or self._move(state, byte)
+            row, emitted = row[byte]
             if emitted:
                 out.extend(emitted)
-        out.extend(self.tails[state])
+        out.extend(row.tail)
         return out
 
 
@@ -213,7 +261,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {str(rank): token for token, rank in ranks.items()}
-        self.broken = {rank for rank, token in self.tokens.items() if not _whole(token)}
+        self.broken = frozenset(rank for rank, token in self.tokens.items() if not _whole(token))
         self.states: dict[bytes, _Moves] = {}
 
     def stream(self, ids: Iterable[str]) -> Iterator[bytes]:
@@ -224,6 +272,9 @@ class Decoder:
         """
         ids = list(ids)
         tokens, states, broken, at = self.tokens, self.states, self.broken, 0
+        if broken.isdisjoint(ids):
+            yield b"".join(map(tokens.__getitem__, ids))
+            return
         for stop in [*[i for i, token in enumerate(ids) if token in broken], len(ids)]:
             if stop < at:
                 continue  # the machine has gone over it
@@ -262,13 +313,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: it would go over all that a coder remembers, again and again, and find none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     coder = _ready(Encoder, path, pattern)
-    for batch in _rows(batches):
-        ids = [coder.encode(t.as_py()) for t in batch.column(text)]
-        counts = np.array([x.count(" ") + 1 if x else 0 for x in ids], np.int64)
-        rest = [batch.column(c) for c in names]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.string()), pa.array(counts)], [*names, "ids", "n_tokens"])
+    with _uncollected():
+        for batch in _rows(batches):
+            ids = [coder.encode(t.as_py()) for t in batch.column(text)]
+            counts = np.array([x.count(" ") + 1 if x else 0 for x in ids], np.int64)
+            rest = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.string()), pa.array(counts)], [*names, "ids", "n_tokens"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, names: list[str]) -> Iterator[pa.RecordBatch]:

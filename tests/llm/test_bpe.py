@@ -92,3 +92,23 @@ def test_edge_rows(spark):
     got = {(r.doc_id, r.B_TEXT): (r.n_tokens, bytes(r.decoded).decode()) for r in back.collect()}
     assert got[1, 1] == (0, "") and got[None, 2] == (0, "") and got[2, None] == (2, "x y") and got[3, 0][1] == "lo ng " * 300000
     assert bpe.encode(docs.limit(0), queries.RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_no_collector_runs_over_what_a_worker_remembers():
+    import gc
+
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    found = bpe._encode(iter([rows]), queries.RANKS, public_tokenizers.PATTERN, "text", [])
+    assert gc.isenabled() and next(found).num_rows == 2 and not gc.isenabled()
+    assert list(found) == [] and gc.isenabled()
+
+
+def test_a_full_machine_lets_go_of_its_rows(monkeypatch):
+    machine = bpe.Transducer(RANKS)
+    machine.encode(b"a" * 4000)
+    old = list(machine.rows.values())
+    monkeypatch.setattr(bpe, "MOVES", 0)
+    machine.encode(b"xqzj" * 9)
+    assert not any(old)
