@@ -26,8 +26,8 @@ from tarnish.plans.task import BINARY, MULTICLASS, REGRESSION, Task, image_style
 def bulk_task(spark, sf, store_train: bool = False) -> Task:
     key = sql.KEYS["lineitem"]
     lines = bulk_lines(spark, sf).select(*key, "label", *g.FEATURES)
-    train, test = split(lines, key, 0.2, SEED)
-    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED).checkpointed(store_train)
+    train, test = split(lines, key, 0.2, SEED, stored=store_train)
+    return Task(train, test, key, "label", BINARY, g.CATEGORICAL, g.NUMERICAL, seed=SEED).checkpointed(False)
 
 
 def rounded(df, *keys):

@@ -27,6 +27,7 @@ from tarnish.session import ship
 MAX_WIDTH = 512
 #: Rows that are spread out at once.
 ROWS = 4096
+SUMS_DDL = "fold int, i int, j int, v double"
 
 
 @dataclass(frozen=True)
@@ -53,20 +54,38 @@ class Design:
             at += len(values) + 1
         raise KeyError(c)
 
-    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((batch.num_rows, self.width))
-        out[:, 0] = 1.0
-        for c in self.numerical:
-            x = batch.column(c).to_numpy(zero_copy_only=False)
-            gone = np.isnan(x)
-            out[:, self.number(c)] = np.where(gone, 0.0, x - self.shift[c])
-            out[:, self.number(c) + 1] = gone
-        for c, values in self.levels.items():
+    @property
+    def place_type(self) -> type:
+        return np.uint16 if self.width < 1 << 16 else np.uint32
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shifted numbers (NaN: a gap) and places of the levels, a row of each array per column, and the shifted labels."""
+        numbers = np.empty((len(self.numerical), batch.num_rows))
+        for i, c in enumerate(self.numerical):
+            numbers[i] = batch.column(c).to_numpy(zero_copy_only=False) - self.shift[c]
+        places = np.empty((len(self.levels), batch.num_rows), self.place_type)
+        for i, (c, values) in enumerate(self.levels.items()):
             at = pc.fill_null(pc.index_in(batch.column(c), value_set=pa.array(values, pa.string())), len(values))
-            out[np.arange(batch.num_rows), self.category(c) + at.to_numpy(zero_copy_only=False)] = 1.0
-        out[:, -1] = batch.column("_label").to_numpy(zero_copy_only=False) - self.shift["_label"]
+            places[i] = self.category(c) + at.to_numpy(zero_copy_only=False)
+        return numbers, places, batch.column("_label").to_numpy(zero_copy_only=False) - self.shift["_label"]
+
+    def columns(self, numbers: np.ndarray, places: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """What was read spread out, a row of the result per column."""
+        out = np.zeros((self.width, len(label)))
+        out[0] = 1.0
+        for i, x in enumerate(numbers):
+            gone = np.isnan(x)
+            out[1 + 2 * i] = np.where(gone, 0.0, x)
+            out[2 + 2 * i] = gone
+        each = np.arange(len(label))
+        for at in places:
+            out[at, each] = 1.0
+        out[-1] = label
         return out
 
+    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.ascontiguousarray(self.columns(*self.read(batch)).T)
+
 
 def _sums(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
@@ -77,6 +96,11 @@ def _sums(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.Reco
             for fold in np.unique(folds).tolist():
                 z = rows[folds == fold]
                 totals[fold] = totals.get(fold, 0.0) + z.T @ z
+    yield from sum_rows(totals)
+
+
+def sum_rows(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row per fold and pair of columns whose products do not add up to nothing."""
     for fold, total in totals.items():
         i, j = np.nonzero(np.triu(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), fold), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
@@ -92,9 +116,13 @@ def design_cells(rows: DataFrame, design: Design) -> DataFrame:
 def fold_sums(rows: DataFrame, design: Design, folds: int) -> np.ndarray:
     """(folds, width, width): sums of products; one scan, and a row per fold and pair to the driver."""
     ship(rows.sparkSession)
-    summed = design_cells(rows, design).mapInArrow(partial(_sums, design=design), "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
+    return added_up(design_cells(rows, design).mapInArrow(partial(_sums, design=design), SUMS_DDL), design, folds)
+
+
+def added_up(sums: DataFrame, design: Design, folds: int) -> np.ndarray:
+    """(folds, width, width) of the sums that each task has of its own rows."""
     out = np.zeros((folds, design.width, design.width))
-    found = summed.toPandas()
+    found = sums.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     fold, i, j, v = (found[c].to_numpy() for c in ("fold", "i", "j", "v"))
     out[fold, i, j] = v
     out[fold, j, i] = v

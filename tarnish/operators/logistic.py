@@ -4,7 +4,8 @@ A fold's features (gaps filled, numbers scaled, categories encoded) are linear i
 of a ``Design``, as in ``linear``.  So one scan of the plain rows gives the loss and gradient
 of every fit at its own point, and all fits go through their steps together: the number of
 scans is that of the longest fit, however many folds and penalties there are, and no vector
-of features is stored.  Each fit takes the steps and the stopping rules of MLlib's learner,
+of features is stored.  The plain rows are stored as blocks of bytes, numbers beside the places
+of their categories, so a scan costs what the arithmetic costs.  Each fit takes the steps and the stopping rules of MLlib's learner,
 so its weights, also of a fit that ends early, are the same up to rounding.
 """
 
@@ -19,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnish.operators.clean import Imputer
-from tarnish.operators.linear import ROWS, Design, Features, design_cells, fold_sums
+from tarnish.operators.linear import SUMS_DDL, Design, Features, added_up, design_cells, sum_rows
 from tarnish.operators.metrics import task_metric
 from tarnish.operators.scoring import ChainedScorer, LinearScorer
+from tarnish.session import ship
 
 # Stopping and searching as MLlib's learners do: tolerance, remembered steps, values looked back on, tries of a search.
 TOLERANCE, MEMORY, LOOK_BACK, TRIES = 1e-6, 10, 20, 10
 DECREASE, CURVATURE = 1e-4, 0.9
+#: Rows that are packed together, and those of a fold that are spread out at once (under 1,024: see ``_losses``).
+PACK, BLOCK = 10_000, 1_000
 
 Steps = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
@@ -188,18 +192,61 @@ class LogisticFit:
         return ChainedScorer(ProbabilityScorer(float(by_place[0] - moved), numeric, categories, "probability"), tuple(imputers))
 
 
+def _packed(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
+    """The rows as blocks of one fold each, in bytes; ``fits`` says that all labels are 0 or 1."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACK):
+            part = batch.slice(at, PACK)
+            numbers, places, label = design.read(part)
+            folds, ones, blocks = part.column("_fold").to_numpy(zero_copy_only=False), (label == 1).astype(np.uint8), []
+            fits = bool(((label == 0) | (label == 1)).all())
+            for fold in np.unique(folds).tolist():
+                own = np.flatnonzero(folds == fold)
+                blocks.append((fold, len(own), fits, b"".join(np.ascontiguousarray(x[..., own]).tobytes() for x in (numbers, places, ones))))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
+                                             ["fold", "n", "fits", "block"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """Fold, whether the labels fit, and the design's columns, a few rows at a time."""
+    for batch in batches:
+        for fold, n, fits, block in zip(*(batch.column(c) for c in ("fold", "n", "fits", "block"))):
+            n, data = n.as_py(), block.as_buffer()
+            numbers = np.frombuffer(data, np.float64, n * len(design.numerical)).reshape(len(design.numerical), n)
+            places = np.frombuffer(data, design.place_type, n * len(design.levels), numbers.nbytes).reshape(len(design.levels), n)
+            label = np.frombuffer(data, np.uint8, n, numbers.nbytes + places.nbytes)
+            for at in range(0, n, BLOCK):
+                few = slice(at, at + BLOCK)
+                yield fold.as_py(), fits.as_py(), design.columns(numbers[:, few], places[:, few], label[few])
+
+
+def _packed_sums(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
+    """As ``linear`` sums them; a label that does not fit makes the sums no numbers."""
+    totals: dict[int, np.ndarray] = {}
+    for fold, fits, x in _blocks(batches, design):
+        totals[fold] = totals.get(fold, 0.0) + (x @ x.T if fits else np.full((design.width, design.width), np.nan))
+    yield from sum_rows(totals)
+
+
 def _losses(batches: Iterator[pa.RecordBatch], design: Design, weights: np.ndarray, left_out: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of the gradients and losses of all fits, each over the rows that it does not leave out.
+
+    With a row's sign turned by its label, z are the log odds of the other class, and the loss is log(1 + exp(z)).
+    """
     totals = np.zeros((design.width + 1, len(left_out)))
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            rows, folds = design.rows(part), part.column("_fold").to_numpy(zero_copy_only=False)
-            label, used = rows[:, -1:], folds[:, None] != left_out
-            margin = rows @ weights
-            small = np.exp(-np.abs(margin))
-            over = np.where(margin >= 0, 1.0, small) / (1 + small) - label
-            totals[:-1] += rows.T @ (over * used)
-            totals[-1] += ((np.log1p(small) + np.maximum(margin, 0.0) - label * margin) * used).sum(axis=0)
+    for fold, _, x in _blocks(batches, design):
+        used = np.flatnonzero(left_out != fold)
+        if not len(used):
+            continue
+        x *= 1.0 - 2.0 * x[-1]
+        z = weights[:, used].T @ x
+        over = np.exp(-np.abs(z))
+        under = over + 1.0
+        np.copyto(over, 1.0, where=z >= 0)
+        over /= under
+        totals[:-1, used] += x @ over.T
+        # a product of BLOCK numbers of at most 2 is a number still, and needs one logarithm
+        totals[-1, used] += np.log(np.multiply.reduce(under, axis=1)) + np.maximum(z, 0.0, out=z).sum(axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size), pa.int32()), pa.array(totals.ravel())], ["k", "v"])
 
 
@@ -209,18 +256,15 @@ def _margins(batches: Iterator[pa.RecordBatch], design: Design, weights: np.ndar
     Column by column, since a matrix product may round equal rows differently, which would part ties.
     """
     names = ["_fold", "_label", *[f"_m{i}" for i in range(weights.shape[2])]]
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            rows, folds = design.rows(part), part.column("_fold").to_numpy(zero_copy_only=False)
-            margins = np.zeros((weights.shape[2], len(rows)))
-            for column, own in zip(rows.T, weights.transpose(1, 2, 0)):
-                if column.any() and own.any():
-                    margins += column * own[:, folds]
-            yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), pa.array(rows[:, -1]), *[pa.array(m) for m in margins]], names)
+    for fold, _, x in _blocks(batches, design):
+        margins = np.zeros((weights.shape[2], x.shape[1]))
+        for column, own in zip(x, weights[fold]):
+            if column.any() and own.any():
+                margins += column * own[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], fold), pa.int32()), pa.array(x[-1]), *[pa.array(m) for m in margins]], names)
 
 
-def _fitted(cells: DataFrame, design: Design, fits: list[LogisticFit], max_iter: int) -> list[np.ndarray]:
+def _fitted(packed: DataFrame, design: Design, fits: list[LogisticFit], max_iter: int) -> list[np.ndarray]:
     """The weights of all fits; every scan serves all that have not ended."""
     runs = [minimise(f.start, max_iter) for f in fits]
     points, found, going = [next(r) for r in runs], {}, list(range(len(fits)))
@@ -228,7 +272,7 @@ def _fitted(cells: DataFrame, design: Design, fits: list[LogisticFit], max_iter:
         weights = np.stack([fits[i].places @ points[i] for i in going], axis=1)
         weights[-1] = 0.0
         scan = partial(_losses, design=design, weights=weights, left_out=np.array([fits[i].fold for i in going]))
-        summed = cells.mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        summed = packed.mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         totals = np.zeros((design.width + 1) * len(going))
         totals[summed["k"].to_numpy()] = summed["v"].to_numpy()
         totals = totals.reshape(design.width + 1, len(going))
@@ -251,24 +295,25 @@ def fit_logistic(rows: DataFrame, design: Design, folds: int, alphas: tuple[floa
     none that differ by more than rounding.
     """
     design = replace(design, shift=design.shift | {"_label": 0.0})
-    cells = design_cells(rows, design).persist()
+    ship(rows.sparkSession)
+    packed = design_cells(rows, design).mapInArrow(partial(_packed, design=design), "fold int, n int, fits boolean, block binary").persist()
     try:
-        if not cells.where(~F.col("_label").isin(0.0, 1.0)).isEmpty():
+        sums = added_up(packed.mapInArrow(partial(_packed_sums, design=design), SUMS_DDL), design, folds)
+        if np.isnan(sums).any():
             return None
-        sums = fold_sums(cells, design, folds)
         whole = sums.sum(axis=0)
         fits = [LogisticFit.of(whole if fold < 0 else whole - sums[fold], design, fold, a) for fold in (-1, *range(folds)) for a in alphas]
         if any(f is None for f in fits):
             return None
-        weights = _fitted(cells, design, fits, max_iter)
+        weights = _fitted(packed, design, fits, max_iter)
         by_fold = np.stack([f.places @ w for f, w in zip(fits, weights)]).reshape(folds + 1, len(alphas), design.width)[1:]
         by_fold[:, :, -1] = 0.0
         ddl = "_fold int, _label double, " + ", ".join(f"_m{i} double" for i in range(len(alphas)))
-        scored = cells.mapInArrow(partial(_margins, design=design, weights=by_fold.transpose(0, 2, 1)), ddl)
+        scored = packed.mapInArrow(partial(_margins, design=design, weights=by_fold.transpose(0, 2, 1)), ddl)
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), probability(F.col(f"_m{i}")).alias("score")) for i in range(len(alphas))]))
         long = scored.select("_fold", "_label", each.alias("c")).select("_fold", "_label", "c.setting", "c.score")
         found = {(r["_fold"], r["setting"]): r["value"] for r in task_metric(long, "binary", "score", "_label", ["_fold", "setting"]).collect()}
     finally:
-        cells.unpersist()
+        packed.unpersist()
     scorers = [f.scorer(design, w) for f, w in zip(fits[:len(alphas)], weights)]
     return scorers, [[found.get((fold, i)) for fold in range(folds)] for i in range(len(alphas))]

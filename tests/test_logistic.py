@@ -1,11 +1,15 @@
 """Logistic regressions fitted side by side against MLlib's learner, one fit at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from catalog.evaluation import bulk_task
 from tarnish.operators import logistic, models
+from tarnish.operators.linear import Design
 from tarnish.operators.models import fit_baseline, learners, with_folds
 from tarnish.operators.corrupt import MissingValues
+from tarnish.plans import task as plans
 from tarnish.plans.evaluate import ImpactEvaluator
 from tarnish.plans.task import BINARY, Task, split
 
@@ -73,3 +77,72 @@ def test_impact_on_a_fitted_model_fits_no_learner_alone(spark, monkeypatch):
     task = _task(spark, HARD)
     rows = ImpactEvaluator(task, fit_baseline(task)).evaluate([MissingValues("x", 0.5, na_value=-999)], 1).collect()
     assert [r["corrupted_score"] < r["baseline_score"] for r in rows] == [True]
+
+
+def test_a_scan_reads_blocks_of_rows(spark, monkeypatch):
+    """A block for each fold of a batch, whatever its rows, goes from the JVM to Python, not a row at a time."""
+    seen, fitted = [], logistic._fitted
+    monkeypatch.setattr(logistic, "_fitted", lambda rows, design, fits, max_iter: seen.append(rows.count()) or fitted(rows, design, fits, 1))
+    task = _task(spark, HARD)
+    parts = spark.sparkContext.defaultParallelism
+    fit_baseline(task)
+    assert seen and seen[0] <= 5 * parts < task.train.count() / 10
+
+
+@pytest.mark.parametrize("numerical, levels", [(("x", "y"), {"c": ("a", "b"), "d": ()}), (("x",), {}), ((), {"c": ("a", "b")})])
+def test_blocks_hold_all_rows_by_fold(monkeypatch, numerical, levels):
+    monkeypatch.setattr(logistic, "PACK", 3)
+    monkeypatch.setattr(logistic, "BLOCK", 2)
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_pydict({
+        "x": pa.array([1.5, None, float("inf"), -0.0, 7.0, None, 2.0, 3.0], pa.float64()), "y": pa.array(rng.normal(size=8)),
+        "c": pa.array(["a", None, "b", "?", "a", "b", "a", "b"]), "d": pa.array([None] * 8, pa.string()),
+        "_label": pa.array([0.0, 1, 1, 0, 1, 0, 0, 1]), "_fold": pa.array([0, 1, 1, 0, 4, 4, 1, 1], pa.int32())})
+    design = Design(numerical, levels, {"x": 0.5, "y": 1.0, "_label": 0.0})
+    found = {}
+    for fold, fits, x in logistic._blocks(logistic._packed(iter([batch]), design), design):
+        assert fits and x.shape[1] <= 2
+        found.setdefault(fold, []).append(x)
+    rows, folds = design.rows(batch), batch.column("_fold").to_numpy()
+    assert sorted(found) == [0, 1, 4]
+    for fold, parts in found.items():
+        assert np.array_equal(np.concatenate(parts, axis=1).T, rows[folds == fold])
+
+
+def test_losses_and_gradients_of_all_fits_at_once():
+    rng = np.random.default_rng(2)
+    n = 2500
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(rng.normal(size=n) * 300), "_label": pa.array(rng.integers(0, 2, n).astype(float)),
+                                        "_fold": pa.array(rng.integers(0, 2, n), pa.int32())})
+    design = Design(("x",), {}, {"x": 0.0, "_label": 0.0})
+    weights, left_out = np.append(rng.normal(size=(design.width - 1, 3)) * 3, np.zeros((1, 3)), axis=0), np.array([-1, 0, 1])
+    found, = logistic._losses(logistic._packed(iter([batch]), design), design, weights, left_out)
+    totals = found.column("v").to_numpy().reshape(design.width + 1, 3)
+    rows, folds = design.rows(batch), batch.column("_fold").to_numpy()
+    for i, fold in enumerate(left_out):
+        used = rows[folds != fold]
+        z, y = used @ weights[:, i], used[:, -1]
+        assert totals[-1, i] == pytest.approx((np.logaddexp(0, z) - y * z).sum(), rel=1e-12)
+        with np.errstate(over="ignore"):
+            assert np.allclose(totals[:-2, i], used[:, :-1].T @ (1 / (1 + np.exp(-z)) - y), rtol=1e-10)
+
+
+def test_a_label_that_is_no_class_is_seen(spark):
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([1.0, 2.0]), "_label": pa.array([1.0, 0.5]), "_fold": pa.array([0, 1], pa.int32())})
+    design = Design(("x",), {}, {"x": 0.0, "_label": 0.0})
+    sums = list(logistic._packed_sums(logistic._packed(iter([batch]), design), design))
+    assert all(np.isnan(s.column("v").to_numpy()).all() for s in sums)
+
+
+def test_the_table_is_read_and_marked_once_for_both_sides(spark, tmp_path, monkeypatch):
+    lines = spark.range(300).selectExpr("id AS l_orderkey", "id % 7 AS l_partkey", "id % 3 AS l_suppkey", "1 AS l_linenumber", "timestamp '2000-01-01' AS l_shipdate",
+                                        "cast(id % 50 AS double) AS l_quantity", "0.1D AS l_discount", "0.2D AS l_tax", "'A' AS l_returnflag",
+                                        "if(id = 5, null, 'F') AS l_linestatus", "cast(l_quantity * (1 - l_discount) > 24 AS int) AS label")
+    lines.drop("label").write.parquet(f"{tmp_path}/lineitem.parquet")
+    written, cut = [], plans.cut_lineage
+    monkeypatch.setattr(plans, "cut_lineage", lambda df: written.append(any("lineitem" in f for f in df.inputFiles())) or cut(df))
+    task = bulk_task(spark, str(tmp_path), store_train=True)
+    assert written == [True, False]
+    assert (task.train.count(), task.test.count()) == (240, 60)
+    both = task.train.unionByName(task.test.select(task.train.columns))
+    assert both.exceptAll(lines.select(both.columns)).isEmpty()
