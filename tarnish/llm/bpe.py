@@ -28,8 +28,10 @@ from tarnish.llm.common import fresh
 from tarnish.session import ship
 
 #: Moves of the machine, and bytes of pieces with their ids, that a Python worker keeps, about.
-MOVES = 200_000
+MOVES = 260_000
 PIECES = 112 << 20
+#: Keys of a row from here on are bytes that end a piece; such an entry takes this part of a move's memory, about.
+END, ENDS = 256, 0.2
 #: Bytes that an entry of a dictionary of strings takes beside the characters.
 ENTRY = 220
 #: Rows of an output batch.
@@ -56,18 +58,38 @@ class _Begun:
 
 
 class _Row(dict):
-    """A state of the deterministic machine and its moves: byte -> (next row, ranks emitted)."""
+    """A state of the deterministic machine and its moves: byte -> (next row, ranks emitted).
 
-    __slots__ = ("machine", "states", "tail")
+    Under ``END`` + byte: all that is emitted if no byte follows, for which no row is needed.
+    ``states`` holds (rank of the last token, bytes of the next one, tokens not yet emitted) of
+    each, one after the other in one tuple.
+    """
+
+    __slots__ = ("machine", "states")
 
     def __init__(self, machine: "Transducer", states: tuple):
-        self.machine, self.states, self.tail = machine, states, states[-1][2]
+        self.machine, self.states = machine, states
 
     def __missing__(self, byte: int) -> tuple["_Row", tuple]:
         move = self[byte] = self.machine.move(self.states, byte)
         return move
 
 
+class _Follows(dict):
+    """Whether a token may follow another: (rank of the first * ``pairs`` + rank of the second) -> answer."""
+
+    __slots__ = ("machine",)
+
+    def __init__(self, machine: "Transducer"):
+        self.machine = machine
+
+    def __missing__(self, pair: int) -> bool:
+        tokens = self.machine.tokens
+        last, rank = divmod(pair, self.machine.pairs)
+        fits = self[pair] = self.machine.may_follow(tokens[last], tokens[rank])
+        return fits
+
+
 class Transducer:
     """Encodes one piece, within which all merges may happen, byte by byte."""
 
@@ -92,18 +114,18 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, self.none, ()),)  # (rank of the last token, bytes of the next one, tokens not yet emitted)
+        start = (-1, self.none, ())
         for row in self.rows.values():
             row.clear()  # rows may lead back to themselves, which would keep them in memory
         self.start = _Row(self, start)
         self.rows = {start: self.start}
         self.made = 0
-        self.follows: dict[int, bool] = {}
+        self.follows = _Follows(self)
 
     @property
     def states(self) -> list[tuple]:
         """The sets that have been reached."""
-        return list(self.rows)
+        return [tuple(zip(*[iter(states)] * 3)) for states in self.rows]
 
     def split(self, token: bytes) -> tuple | None:
         """The two parts of the token's last merge; none for a byte; None if merges do not make the token."""
@@ -134,9 +156,11 @@ class Transducer:
             joined = ranks.get(left + right)
             if joined is not None and joined < left_ends and joined <= right_ends:
                 return False
-            a, b = halves.get(left, left), halves.get(right, right)
-            a = self.split(left) if a is left else a
-            b = self.split(right) if b is right else b
+            a, b = halves.get(left), halves.get(right)
+            if a is None:
+                a = self.split(left)
+            if b is None:
+                b = self.split(right)
             if a and (not b or ranks[left] > ranks[right]):
                 left_ends, left = ranks[left], a[1]
             elif b:
@@ -146,29 +170,27 @@ class Transducer:
 
     def move(self, states: tuple, byte: int) -> tuple[_Row, tuple]:
         """The row of the states that the byte leads to, and what is emitted on the way."""
-        after, ended, common = [], None, True
-        for last, begun, held in states:  # the longest beginning first; one of each length
+        after, ended, common, pairs, follows = [], None, True, self.pairs, self.follows
+        each = iter(states)
+        for last, begun, held in zip(each, each, each):  # the longest beginning first; one of each length
             now = begun.then.get(byte)
             if now is None:
                 continue
-            after.append((last, now, held))
+            after += (last, now, held)
             if not held:
                 common = False
-            if now.rank >= 0 and ended is None:
-                pair = last * self.pairs + now.rank
-                fits = self.follows.get(pair)
-                if fits is None:
-                    fits = self.follows[pair] = self.may_follow(self.tokens[last], self.tokens[now.rank])
-                if fits:
-                    ended = (now.rank, self.none, (*held, now.rank))
-        after.append(ended)
+            if ended is None and now.rank >= 0 and follows[last * pairs + now.rank]:
+                ended = (*held, now.rank)
+        after += (ended[-1], self.none, ended)
         emitted = ()
         if common:  # all of them hold something back
-            outputs = [held for _, _, held in after]
+            outputs = after[2::3]
             low, high = min(outputs), max(outputs)
             if low[0] == high[0]:
-                n = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-                after, emitted = [(last, begun, held[n:]) for last, begun, held in after], low[:n]
+                n, most = 1, min(len(low), len(high))
+                while n < most and low[n] == high[n]:
+                    n += 1
+                after[2::3], emitted = [held[n:] for held in outputs], low[:n]
         target = tuple(after)
         row = self.rows.get(target)
         if row is None:
@@ -176,6 +198,20 @@ class Transducer:
         self.made += 1
         return row, emitted
 
+    def end(self, row: _Row, byte: int) -> tuple:
+        """What is emitted if the byte is the last: by the one state that ends a token there."""
+        move = row.get(byte)
+        if move is not None:
+            return (*move[1], *move[0].states[-1])
+        each = iter(row.states)
+        for last, begun, held in zip(each, each, each):
+            now = begun.then.get(byte)
+            if now is not None and now.rank >= 0 and self.follows[last * self.pairs + now.rank]:
+                break
+        out = row[END + byte] = (*held, now.rank)
+        self.made += ENDS
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece; one that is a token is that token."""
         if piece in self.ranks:
@@ -183,11 +219,11 @@ class Transducer:
         if self.made > MOVES:
             self._reset()
         out, row = [], self.start
-        for byte in piece:
+        for byte in piece[:-1]:
             row, emitted = row[byte]
             if emitted:
                 out.extend(emitted)
-        out.extend(row.tail)
+        out.extend(row.get(END + piece[-1]) or self.end(row, piece[-1]))
         return out
 
 

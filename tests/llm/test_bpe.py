@@ -112,3 +112,26 @@ def test_a_full_machine_lets_go_of_its_rows(monkeypatch):
     monkeypatch.setattr(bpe, "MOVES", 0)
     machine.encode(b"xqzj" * 9)
     assert not any(old)
+
+
+def test_the_last_byte_of_a_piece_makes_no_row():
+    machine = bpe.Transducer(RANKS)
+    assert machine.encode(b"qzx") == LIBRARY.encode_ordinary("qzx")
+    assert [states for states in machine.states if len(states) > 1] and len(machine.rows) == 3
+    rows = len(machine.rows)
+    for last in range(256):
+        piece = b"qz" + bytes([last])
+        assert b"".join(machine.tokens[rank] for rank in machine.encode(piece)) == piece
+    assert len(machine.rows) == rows
+    assert machine.encode(b"qzxqzx") == LIBRARY.encode_ordinary("qzxqzx") and machine.encode(b"qzx") == LIBRARY.encode_ordinary("qzx")
+
+
+def test_ends_count_towards_a_full_machine(monkeypatch):
+    machine = bpe.Transducer(RANKS)
+    machine.encode(b"qzx")
+    made = machine.made
+    machine.encode(b"qzv")
+    assert made < machine.made < made + 1
+    monkeypatch.setattr(bpe, "MOVES", made)
+    machine.encode(b"qzw")
+    assert machine.made <= made and len(machine.rows) == 3
