@@ -228,15 +228,23 @@ class Transducer:
 
 
 class _Known(dict):
-    """Pieces and their ids as decimal text; new pieces run through the transducer."""
+    """Pieces and their ids as decimal text; new pieces run through the transducer.
+
+    Two generations, each of half the memory: a full one becomes the older, from which pieces
+    that are met again come back, so frequent ones are never encoded twice.
+    """
 
     def __init__(self, transducer: Transducer):
-        self.transducer, self.size = transducer, 0
+        self.transducer, self.size, self.older = transducer, 0, {}
 
     def __missing__(self, piece: str) -> str:
-        text = " ".join(map(str, self.transducer.encode(piece.encode())))
+        text = self.older.get(piece)
+        if text is None:
+            text = " ".join(map(str, self.transducer.encode(piece.encode())))
         self.size += ENTRY + 2 * len(piece) + len(text)
-        if self.size > PIECES:
+        if 2 * self.size > PIECES:
+            self.older.clear()
+            self.older = dict(self)
             self.clear()
             self.size = 0
         self[piece] = text
@@ -297,7 +305,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {str(rank): token for token, rank in ranks.items()}
-        self.broken = frozenset(rank for rank, token in self.tokens.items() if not _whole(token))
+        self.whole = {rank: token for rank, token in self.tokens.items() if _whole(token)}
         self.states: dict[bytes, _Moves] = {}
 
     def stream(self, ids: Iterable[str]) -> Iterator[bytes]:
@@ -307,11 +315,15 @@ class Decoder:
         the machine steps over the others, until it is between characters again.
         """
         ids = list(ids)
-        tokens, states, broken, at = self.tokens, self.states, self.broken, 0
-        if broken.isdisjoint(ids):
-            yield b"".join(map(tokens.__getitem__, ids))
+        tokens, states, whole_tokens, at = self.tokens, self.states, self.whole, 0
+        try:
+            chunk = b"".join(map(whole_tokens.__getitem__, ids))
+        except KeyError:  # a part of a character among them
+            chunk = None
+        if chunk is not None:
+            yield chunk
             return
-        for stop in [*[i for i, token in enumerate(ids) if token in broken], len(ids)]:
+        for stop in [*[i for i, token in enumerate(ids) if token not in whole_tokens], len(ids)]:
             if stop < at:
                 continue  # the machine has gone over it
             if stop > at:

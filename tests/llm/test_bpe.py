@@ -135,3 +135,21 @@ def test_ends_count_towards_a_full_machine(monkeypatch):
     monkeypatch.setattr(bpe, "MOVES", made)
     machine.encode(b"qzw")
     assert machine.made <= made and len(machine.rows) == 3
+
+
+def test_frequent_pieces_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 40 * (bpe.ENTRY + 20))
+    encoder, made = bpe.Encoder(RANKS, public_tokenizers.PATTERN), []
+    encode = encoder.known.transducer.encode
+    monkeypatch.setattr(encoder.known.transducer, "encode", lambda piece: made.append(piece) or encode(piece))
+    for i in range(400):
+        text = f"frequent x{i}qz"
+        assert encoder.encode(text) == " ".join(map(str, LIBRARY.encode_ordinary(text)))
+        assert len(encoder.known) + len(encoder.known.older) <= 42
+    assert made.count(b"frequent") == 1
+
+
+def test_an_id_without_a_token_raises():
+    for ids in ("5 999999", f"{RANKS[bytes([0xE6])]} 999999"):
+        with pytest.raises(KeyError):
+            DECODER.decode(ids)
