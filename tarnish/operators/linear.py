@@ -75,8 +75,11 @@ class Design:
         out[0] = 1.0
         for i, x in enumerate(numbers):
             gone = np.isnan(x)
-            out[1 + 2 * i] = np.where(gone, 0.0, x)
-            out[2 + 2 * i] = gone
+            if gone.any():
+                out[1 + 2 * i] = np.where(gone, 0.0, x)
+                out[2 + 2 * i] = gone
+            else:
+                out[1 + 2 * i] = x
         each = np.arange(len(label))
         for at in places:
             out[at, each] = 1.0
@@ -229,9 +232,10 @@ class RidgeFit:
         return ChainedScorer(LinearScorer(self.intercept - moved, numeric, categories), (Imputer(dict(self.modes)),) if self.modes else ())
 
 
-def fit_ridge(rows: DataFrame, design: Design, folds: int, alphas: tuple[float, ...]) -> tuple[list[list[RidgeFit]], list[RidgeFit], list[list[float | None]]]:
-    """Fits without each fold, fits on all rows, and held-out squared errors, each by penalty."""
-    sums = fold_sums(rows, design, folds)
+def fit_ridge(rows: DataFrame, design: Design, folds: int, alphas: tuple[float, ...],
+              sums: np.ndarray | None = None) -> tuple[list[list[RidgeFit]], list[RidgeFit], list[list[float | None]]]:
+    """Fits without each fold, fits on all rows, and held-out squared errors, each by penalty; without ``sums`` the rows are scanned."""
+    sums = fold_sums(rows, design, folds) if sums is None else sums
     whole = sums.sum(axis=0)
     without = [[RidgeFit.of(whole - own, design, a) for a in alphas] if (whole - own)[0, 0] > 0 else [] for own in sums]
     errors = [[fit.squared_error(own) for fit in fits] or [None] * len(alphas) for fits, own in zip(without, sums)]

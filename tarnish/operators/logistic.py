@@ -11,7 +11,7 @@ so its weights, also of a fit that ends early, are the same up to rounding.
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, replace
 from functools import partial
 
@@ -30,6 +30,7 @@ TOLERANCE, MEMORY, LOOK_BACK, TRIES = 1e-6, 10, 20, 10
 DECREASE, CURVATURE = 1e-4, 0.9
 #: Rows that are packed together, and those of a fold that are spread out at once (under 1,024: see ``_losses``).
 PACK, BLOCK = 10_000, 1_000
+PACKED_DDL = "fold int, n int, fits boolean, block binary"
 
 Steps = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
@@ -74,22 +75,23 @@ def _between(left: tuple, right: tuple) -> float:
     return min(max(t, t0 + 0.1 * (t1 - t0)), t0 + 0.9 * (t1 - t0))
 
 
-def _search(x: np.ndarray, value: float, grad: np.ndarray, direction: np.ndarray, length: float) -> Generator:
-    """A length along the direction with enough decrease and curvature (strong Wolfe conditions).
+def search(x: np.ndarray, value: float, grad: np.ndarray, direction: np.ndarray, length: float, *, tries: int = TRIES,
+           longest: float = np.inf, lower: np.ndarray | float = -np.inf) -> Generator:
+    """A length along the direction with enough decrease and curvature (strong Wolfe conditions), or the longest one.
 
-    Yields points, is sent (value, gradient), returns (length, point, value, gradient).
+    Yields points, none below ``lower``, is sent (value, gradient), returns (length, point, value, gradient).
     """
     slope = grad @ direction
     low, high, zooms = (0.0, slope, value), None, 0
     if slope > 0:
         raise ArithmeticError("the direction leads uphill")
-    for tried in range(2 * TRIES):
+    for tried in range(2 * tries):
         if high is not None:
             zooms += 1
             length = _between(*sorted((low, high), key=lambda e: e[0]))
-        elif tried == TRIES:
+        elif tried == tries:
             break
-        point = x + direction * length
+        point = np.maximum(x + direction * length, lower)
         v, g = yield point
         if high is None and not np.isfinite(v):
             length /= 2
@@ -107,10 +109,12 @@ def _search(x: np.ndarray, value: float, grad: np.ndarray, direction: np.ndarray
             high = now
         elif now[1] >= 0:
             low, high = now, low
+        elif length == longest:
+            return length, point, v, g
         else:
             low = now
-            length *= 1.5
-        if zooms == TRIES:
+            length = min(length * 1.5, longest)
+        if zooms == tries:
             break
     raise ArithmeticError("no such length found")
 
@@ -124,7 +128,7 @@ def minimise(x: np.ndarray, max_iter: int) -> Steps:
             break
         try:
             direction = _direction(steps, grad)
-            length, point, new_value, new_grad = yield from _search(
+            length, point, new_value, new_grad = yield from search(
                 x, value, grad, direction, 1 / np.linalg.norm(direction) if done == 0 else 1.0)
             if length * np.linalg.norm(grad) < 1e-10:
                 raise ArithmeticError("the step is too small")
@@ -140,6 +144,31 @@ def minimise(x: np.ndarray, max_iter: int) -> Steps:
     return x
 
 
+def standardised(sums: np.ndarray, design: Design) -> tuple[Features, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(features, places of the standardised ones and of 1, their means and deviations) as MLlib's learners see training rows.
+
+    None if a column has no value at all, infinite ones, or none that differ by more than rounding.
+    """
+    n = sums[0, 0]
+    if n < 2 or not np.isfinite(sums).all():
+        return None
+    features = Features.of(sums, design)
+    if any(sums[0, design.number(c) + 1] == n for c in design.numerical) or None in features.modes.values():
+        return None
+    if any(features.deviations[c] == 1.0 and 0 < sums[x, x] < 1e-12 * n for c in design.numerical for x in [design.number(c)]):
+        return None
+    a = features.columns
+    centre = a.T @ sums[:, 0] / n
+    spread = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", a, sums, a) / n - centre ** 2, 0.0) * n / (n - 1))
+    spread = np.where(spread > 1e-9, spread, 0.0)
+    scale = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
+    places = np.zeros((design.width, a.shape[1] + 1))
+    places[:, :-1] = a * scale
+    places[0, :-1] -= centre * scale
+    places[0, -1] = 1.0
+    return features, places, centre * scale, spread
+
+
 @dataclass(frozen=True)
 class LogisticFit:
     """What one fit needs of its training rows, and its weights: of the standardised features, then the intercept."""
@@ -155,22 +184,11 @@ class LogisticFit:
     def of(sums: np.ndarray, design: Design, fold: int, alpha: float) -> "LogisticFit | None":
         """None without both classes, or if a column has no value at all."""
         n, positives = sums[0, 0], sums[0, -1]
-        if not 0 < positives < n or not np.isfinite(sums).all():
-            return None
-        features = Features.of(sums, design)
-        if any(sums[0, design.number(c) + 1] == n for c in design.numerical) or None in features.modes.values():
+        found = standardised(sums, design) if 0 < positives < n else None
+        if found is None:
             return None
-        if any(features.deviations[c] == 1.0 and 0 < sums[x, x] < 1e-12 * n for c in design.numerical for x in [design.number(c)]):
-            return None
-        a = features.columns
-        centre = a.T @ sums[:, 0] / n
-        spread = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", a, sums, a) / n - centre ** 2, 0.0) * n / (n - 1))
-        scale = np.where(spread > 1e-9, 1 / np.where(spread > 1e-9, spread, 1.0), 0.0)
-        places = np.zeros((design.width, a.shape[1] + 1))
-        places[:, :-1] = a * scale
-        places[0, :-1] -= centre * scale
-        places[0, -1] = 1.0
-        start = np.zeros(a.shape[1] + 1)
+        features, places, _, _ = found
+        start = np.zeros(places.shape[1])
         start[-1] = np.log(positives / (n - positives))
         return LogisticFit(features, fold, alpha, n, places, start)
 
@@ -181,49 +199,55 @@ class LogisticFit:
 
     def scorer(self, design: Design, weights: np.ndarray) -> ChainedScorer:
         """The fit as column expressions over raw rows, gaps filled as in training."""
-        f, by_place = self.features, self.places @ weights
-        numeric = {c: (float(by_place[design.number(c)]), f.means[c]) for c in design.numerical}
-        categories = {}
-        for c, values in design.levels.items():
-            first = design.category(c)
-            categories[c] = {v: float(by_place[first + k]) for k, v in enumerate(values)}
-        moved = sum(w * design.shift[c] for c, (w, _) in numeric.items())
-        imputers = [Imputer(d) for d in (dict(f.means), dict(f.modes)) if d]
-        return ChainedScorer(ProbabilityScorer(float(by_place[0] - moved), numeric, categories, "probability"), tuple(imputers))
-
-
-def _packed(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
-    """The rows as blocks of one fold each, in bytes; ``fits`` says that all labels are 0 or 1."""
+        return raw_scorer(self.features, design, self.places @ weights, ProbabilityScorer, "probability")
+
+
+def raw_scorer(features: Features, design: Design, by_place: np.ndarray, kind: type[LinearScorer], link: str = "logit") -> ChainedScorer:
+    """Weights of the design's columns as column expressions over raw rows, gaps filled as in training."""
+    numeric = {c: (float(by_place[design.number(c)]), features.means[c]) for c in design.numerical}
+    categories = {}
+    for c, values in design.levels.items():
+        first = design.category(c)
+        categories[c] = {v: float(by_place[first + k]) for k, v in enumerate(values)}
+    moved = sum(w * design.shift[c] for c, (w, _) in numeric.items())
+    imputers = [Imputer(d) for d in (dict(features.means), dict(features.modes)) if d]
+    return ChainedScorer(kind(float(by_place[0] - moved), numeric, categories, link), tuple(imputers))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], design: Design, classes: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows as blocks of one fold each, in bytes; ``fits`` says that all labels are 0 or 1, if they are ``classes``."""
     for batch in batches:
         for at in range(0, batch.num_rows, PACK):
             part = batch.slice(at, PACK)
             numbers, places, label = design.read(part)
-            folds, ones, blocks = part.column("_fold").to_numpy(zero_copy_only=False), (label == 1).astype(np.uint8), []
-            fits = bool(((label == 0) | (label == 1)).all())
+            folds, blocks = part.column("_fold").to_numpy(zero_copy_only=False), []
+            fits = not classes or bool(((label == 0) | (label == 1)).all())
+            label = (label == 1).astype(np.uint8) if classes else label
             for fold in np.unique(folds).tolist():
                 own = np.flatnonzero(folds == fold)
-                blocks.append((fold, len(own), fits, b"".join(np.ascontiguousarray(x[..., own]).tobytes() for x in (numbers, places, ones))))
+                blocks.append((fold, len(own), fits, b"".join(np.ascontiguousarray(x[..., own]).tobytes() for x in (numbers, places, label))))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
                                              ["fold", "n", "fits", "block"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[tuple[int, bool, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], design: Design, label_type: type = np.uint8,
+            most: int | None = None) -> Iterator[tuple[int, bool, np.ndarray]]:
     """Fold, whether the labels fit, and the design's columns, a few rows at a time."""
     for batch in batches:
         for fold, n, fits, block in zip(*(batch.column(c) for c in ("fold", "n", "fits", "block"))):
             n, data = n.as_py(), block.as_buffer()
             numbers = np.frombuffer(data, np.float64, n * len(design.numerical)).reshape(len(design.numerical), n)
             places = np.frombuffer(data, design.place_type, n * len(design.levels), numbers.nbytes).reshape(len(design.levels), n)
-            label = np.frombuffer(data, np.uint8, n, numbers.nbytes + places.nbytes)
-            for at in range(0, n, BLOCK):
-                few = slice(at, at + BLOCK)
+            label = np.frombuffer(data, label_type, n, numbers.nbytes + places.nbytes)
+            for at in range(0, n, most or BLOCK):
+                few = slice(at, at + (most or BLOCK))
                 yield fold.as_py(), fits.as_py(), design.columns(numbers[:, few], places[:, few], label[few])
 
 
-def _packed_sums(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
+def _packed_sums(batches: Iterator[pa.RecordBatch], design: Design, label_type: type = np.uint8) -> Iterator[pa.RecordBatch]:
     """As ``linear`` sums them; a label that does not fit makes the sums no numbers."""
     totals: dict[int, np.ndarray] = {}
-    for fold, fits, x in _blocks(batches, design):
+    for fold, fits, x in _blocks(batches, design, label_type):
         totals[fold] = totals.get(fold, 0.0) + (x @ x.T if fits else np.full((design.width, design.width), np.nan))
     yield from sum_rows(totals)
 
@@ -247,7 +271,7 @@ def _losses(batches: Iterator[pa.RecordBatch], design: Design, weights: np.ndarr
         totals[:-1, used] += x @ over.T
         # a product of BLOCK numbers of at most 2 is a number still, and needs one logarithm
         totals[-1, used] += np.log(np.multiply.reduce(under, axis=1)) + np.maximum(z, 0.0, out=z).sum(axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size), pa.int32()), pa.array(totals.ravel())], ["k", "v"])
+    yield as_sums(totals)
 
 
 def _margins(batches: Iterator[pa.RecordBatch], design: Design, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -264,27 +288,42 @@ def _margins(batches: Iterator[pa.RecordBatch], design: Design, weights: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.full(x.shape[1], fold), pa.int32()), pa.array(x[-1]), *[pa.array(m) for m in margins]], names)
 
 
-def _fitted(packed: DataFrame, design: Design, fits: list[LogisticFit], max_iter: int) -> list[np.ndarray]:
-    """The weights of all fits; every scan serves all that have not ended."""
-    runs = [minimise(f.start, max_iter) for f in fits]
-    points, found, going = [next(r) for r in runs], {}, list(range(len(fits)))
+def scanned(packed: DataFrame, scan: Callable, shape: tuple[int, ...]) -> np.ndarray:
+    """The sums over all tasks of what ``scan`` gives by place (k, v) in an array of this shape."""
+    summed = packed.mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    totals = np.zeros(shape)
+    totals.ravel()[summed["k"].to_numpy()] = summed["v"].to_numpy()
+    return totals
+
+
+def as_sums(totals: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size), pa.int32()), pa.array(totals.ravel())], ["k", "v"])
+
+
+def side_by_side(runs: list[Steps], losses: Callable[[list[int], list[np.ndarray]], list[tuple[float, np.ndarray]]]) -> list[np.ndarray]:
+    """Where all runs end; ``losses`` gives (value, gradient) of all that have not ended, by one scan."""
+    points, found, going = [next(r) for r in runs], {}, list(range(len(runs)))
     while going:
-        weights = np.stack([fits[i].places @ points[i] for i in going], axis=1)
-        weights[-1] = 0.0
-        scan = partial(_losses, design=design, weights=weights, left_out=np.array([fits[i].fold for i in going]))
-        summed = packed.mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-        totals = np.zeros((design.width + 1) * len(going))
-        totals[summed["k"].to_numpy()] = summed["v"].to_numpy()
-        totals = totals.reshape(design.width + 1, len(going))
-        for column, i in enumerate(going):
-            sent = fits[i].objective(points[i], totals[-1, column], totals[:-1, column])
+        for i, sent in zip(going, losses(going, [points[i] for i in going])):
             try:
                 with np.errstate(all="ignore"):
                     points[i] = runs[i].send(sent)
             except StopIteration as end:
                 found[i] = end.value
         going = [i for i in going if i not in found]
-    return [found[i] for i in range(len(fits))]
+    return [found[i] for i in range(len(runs))]
+
+
+def _fitted(packed: DataFrame, design: Design, fits: list[LogisticFit], max_iter: int) -> list[np.ndarray]:
+    """The weights of all fits."""
+    def losses(going: list[int], points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        weights = np.stack([fits[i].places @ p for i, p in zip(going, points)], axis=1)
+        weights[-1] = 0.0
+        scan = partial(_losses, design=design, weights=weights, left_out=np.array([fits[i].fold for i in going]))
+        totals = scanned(packed, scan, (design.width + 1, len(going)))
+        return [fits[i].objective(p, total[-1], total[:-1]) for i, p, total in zip(going, points, totals.T)]
+
+    return side_by_side([minimise(f.start, max_iter) for f in fits], losses)
 
 
 def fit_logistic(rows: DataFrame, design: Design, folds: int, alphas: tuple[float, ...],
@@ -296,7 +335,7 @@ def fit_logistic(rows: DataFrame, design: Design, folds: int, alphas: tuple[floa
     """
     design = replace(design, shift=design.shift | {"_label": 0.0})
     ship(rows.sparkSession)
-    packed = design_cells(rows, design).mapInArrow(partial(_packed, design=design), "fold int, n int, fits boolean, block binary").persist()
+    packed = design_cells(rows, design).mapInArrow(partial(_packed, design=design), PACKED_DDL).persist()
     try:
         sums = added_up(packed.mapInArrow(partial(_packed_sums, design=design), SUMS_DDL), design, folds)
         if np.isnan(sums).any():

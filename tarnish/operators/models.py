@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,11 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tarnish.functions.rand import Salt, key_string, row_base, uniform
 from tarnish.operators.clean import ConditionalMode, fill_constant, fit_conditional_mode, fit_mean, fit_mode
 from tarnish.operators.features import feature_pipeline
-from tarnish.operators.linear import Design, design_of, fit_ridge
-from tarnish.operators.logistic import fit_logistic
+from tarnish.operators.huber import fit_huber, held_out_errors
+from tarnish.operators.linear import SUMS_DDL, Design, added_up, design_cells, design_of, fit_ridge
+from tarnish.operators.logistic import PACKED_DDL, _packed, _packed_sums, fit_logistic
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
-from tarnish.session import inherited, spread
+from tarnish.session import inherited, ship, spread
 
 # Strengths of the L2 penalty and the losses tried for regression.
 ALPHAS = (0.00001, 0.0001, 0.001, 0.01)
@@ -102,9 +104,10 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         tried = _logits(rows, design, folds, max_iter)
         grid = [] if tried else grid
     elif design is not None:
-        tried = _squares(rows, design, folds)
-        grid = [(p, learner) for p, learner in grid if p["loss"] != "squaredError"]
-    rows = rows.persist()
+        tried = _regressions(rows, design, folds, max_iter)
+        grid = grid[len(tried):]
+    if grid:
+        rows = rows.persist()
     try:
         def one_fold(fold: int) -> list[tuple]:
             parts = _fit_all(rows.where(F.col("_fold") != fold), numerical, categorical, text, grid)
@@ -135,9 +138,36 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     return baseline
 
 
-def _squares(rows: DataFrame, design: Design, folds: int) -> list[tuple]:
-    """The squared-error settings from sums alone; one more scan measures absolute errors of all folds."""
-    without, whole, errors = fit_ridge(rows, design, folds, ALPHAS)
+def _regressions(rows: DataFrame, design: Design, folds: int, max_iter: int) -> list[tuple]:
+    """The settings of both losses, in the order of the grid; those of the Huber loss are left out where only the learner
+    itself can tell what to do.
+
+    The squared-error ones come from sums alone, the others are fitted together; one more scan measures the errors of all folds.
+    """
+    ship(rows.sparkSession)
+    packed = design_cells(rows, design).mapInArrow(partial(_packed, design=design, classes=False), PACKED_DDL).persist()
+    try:
+        sums = added_up(packed.mapInArrow(partial(_packed_sums, design=design, label_type=np.float64), SUMS_DDL), design, folds)
+        ridge = fit_ridge(rows, design, folds, ALPHAS, sums)
+        huber = fit_huber(packed, design, sums, ALPHAS, max_iter)
+        if huber is None:
+            return _squares(rows, ridge)
+        without, whole, squared = ridge
+        scorers, residuals = huber
+        residuals = np.concatenate([np.stack([[fit.residual for fit in fits] for fits in without]).transpose(0, 2, 1), residuals], axis=2)
+        errors = held_out_errors(packed, design, residuals)
+    finally:
+        packed.unpersist()
+    # a fold without rows has no error
+    square, absolute = ([[e / n if n else None for e, n in zip(column, sums[:, 0, 0])] for column in side.T.tolist()] for side in errors)
+    n = len(ALPHAS)
+    found = [({"loss": "squaredError", "alpha": a}, _mean([e[i] for e in squared]), _mean(absolute[i]), whole[i].scorer()) for i, a in enumerate(ALPHAS)]
+    return found + [({"loss": "huber", "alpha": a}, _mean(square[n + i]), _mean(absolute[n + i]), scorers[i]) for i, a in enumerate(ALPHAS)]
+
+
+def _squares(rows: DataFrame, ridge: tuple[list, list, list]) -> list[tuple]:
+    """The squared-error settings alone; one more scan measures absolute errors of all folds."""
+    without, whole, errors = ridge
     parts = []
     for fold, fits in enumerate(without):
         held = rows.where(F.col("_fold") == fold)
