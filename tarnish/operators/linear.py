@@ -110,10 +110,10 @@ def sum_rows(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
                                           pa.array(total[i, j])], ["fold", "i", "j", "v"])
 
 
-def design_cells(rows: DataFrame, design: Design) -> DataFrame:
-    """What ``Design.rows`` reads, and the fold."""
+def design_cells(rows: DataFrame, design: Design, also: list[str] = ()) -> DataFrame:
+    """What ``Design.rows`` reads, the fold, and other columns as they are."""
     numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in design.numerical]
-    return rows.select("_fold", F.col("_label").cast("double").alias("_label"), *numbers, *[F.col(c).cast("string").alias(c) for c in design.levels])
+    return rows.select("_fold", F.col("_label").cast("double").alias("_label"), *numbers, *[F.col(c).cast("string").alias(c) for c in design.levels], *also)
 
 
 def fold_sums(rows: DataFrame, design: Design, folds: int) -> np.ndarray:

@@ -21,6 +21,7 @@ from tarnish.operators.linear import SUMS_DDL, Design, added_up, design_cells, d
 from tarnish.operators.logistic import PACKED_DDL, _packed, _packed_sums, fit_logistic
 from tarnish.operators.metrics import METRICS, absolute_error, squared_error, task_metric
 from tarnish.operators.scoring import ChainedScorer, ModelScorer, Scorer
+from tarnish.operators.texts import fit_texts
 from tarnish.session import inherited, ship, spread
 
 # Strengths of the L2 penalty and the losses tried for regression.
@@ -94,13 +95,14 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
     rows = with_folds(rows.select(*keep).where(F.col("_label").isNotNull()), task.key, folds, task.seed)
     # not by the key alone, which may be missing in many rows, and not by long texts
     rows = spread(rows, *dict.fromkeys([*task.key, *numerical, *categorical]))
-    if text or not numerical + categorical:
-        design = None
-    else:
-        design = design_of(rows, numerical, categorical) if task.task_type in ("regression", "binary") else None
+    some = task.task_type == "binary" or task.task_type == "regression" and not text
+    design = design_of(rows, numerical, categorical) if some and numerical + categorical + text else None
     grid = learners(task.task_type, max_iter)
     tried = []  # (setting, score, mean absolute error, how to get the model)
-    if design is not None and task.task_type == "binary":
+    if design is not None and text:
+        tried = _text_logits(rows, design, text, folds, max_iter)
+        grid = [] if tried else grid
+    elif design is not None and task.task_type == "binary":
         tried = _logits(rows, design, folds, max_iter)
         grid = [] if tried else grid
     elif design is not None:
@@ -125,6 +127,9 @@ def fit_baseline(task, train: DataFrame | None = None, *, folds: int = FOLDS, ma
         best = order(scored, key=lambda t: t[1])
         if isinstance(best[3], ChainedScorer):
             scorer, imputers = best[3].scorer, best[3].imputers
+        elif not grid:
+            imputers, features, models = _fit_all(rows, numerical, categorical, text, [])
+            scorer = ModelScorer(PipelineModel([features, best[3](features, numerical, categorical)]), task.task_type, classes)
         else:
             imputers, features, models = _fit_all(rows, numerical, categorical, text, [(best[0], best[3])])
             scorer = ModelScorer(PipelineModel([features, models[0]]), task.task_type, classes)
@@ -189,6 +194,15 @@ def _logits(rows: DataFrame, design: Design, folds: int, max_iter: int) -> list[
     return [({"alpha": a}, _mean(scores), None, scorer) for a, scorer, scores in zip(ALPHAS, *found)]
 
 
+def _text_logits(rows: DataFrame, design: Design, text: list[str], folds: int, max_iter: int) -> list[tuple]:
+    """As ``_logits`` with texts; the model comes from the features' pipeline."""
+    found = fit_texts(rows, design, text, folds, ALPHAS, max_iter)
+    if found is None:
+        return []
+    return [({"alpha": a}, _mean(scores), None, partial(fit.model, weights))
+            for a, fit, weights, scores in zip(ALPHAS, found.fits, found.weights, found.scores)]
+
+
 def class_positions(rows: DataFrame, label: str, task_type: str,
                     positive: object = None) -> tuple[tuple[str, ...] | None, Column]:
     """(classes, position of a row's class); numbers stand for themselves.
@@ -216,6 +230,8 @@ def _fit_all(train: DataFrame, numerical: list[str], categorical: list[str], tex
     imputers = _imputers(train, numerical, categorical, text)
     filled = _filled(train, imputers)
     features = feature_pipeline(numerical, categorical, text).fit(filled)
+    if not grid:
+        return imputers, features, []
     vectors = features.transform(filled).select("features", "_label").persist()
     try:
         return imputers, features, [learner.fit(vectors) for _, learner in grid]
