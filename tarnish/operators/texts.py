@@ -39,14 +39,17 @@ TOTALS_DDL = "k int, total binary"
 
 @contextmanager
 def _few_at_once(spark: SparkSession, records: int) -> Iterator[None]:
-    """What is planned and run inside hands at most so many rows to Python at once, as they are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(records))
+    """What is planned and run inside hands at most so many rows to Python at once, as they are long, and leaves no shuffled
+    totals behind on the disks."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def counted(rows: DataFrame, design: Design, text: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from catalog import load_all
 from tarnish.operators.scoring import LinearScorer
 from tarnish.plans import task as tasks
 from tarnish.plans.evaluate import ImpactEvaluator
-from tarnish.plans.task import BINARY, Task, split
+from tarnish.plans.task import BINARY, MULTICLASS, Task, split
 from tarnish.session import JIT_BYTES
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
@@ -73,3 +73,19 @@ def test_a_fit_uses_all_cores_however_few_files_its_rows_come_from(spark, monkey
         "if(id % 2 = 0, NULL, id) AS id", "CAST(id * 37 % 101 > 50 AS int) AS label", "id * 53 % 97 / 2D AS x", "id % 3 AS c")
     models.fit_baseline(Task(rows, rows, ["id"], "label", BINARY, ["c"], ["x"], seed=3))
     assert len(seen) == 6 and min(seen) > 1
+
+
+def test_a_fit_of_three_classes_uses_all_cores_however_few_files_its_rows_come_from(spark, monkeypatch):
+    from tarnish.operators import models
+
+    seen, plain = [], models._fit_all
+
+    def spied(train, *rest):
+        seen.append(train.rdd.getNumPartitions())
+        return plain(train, *rest)
+
+    monkeypatch.setattr(models, "_fit_all", spied)
+    rows = spark.range(0, 2000, 1, 1).selectExpr(
+        "if(id % 2 = 0, NULL, id) AS id", "CAST(id * 37 % 101 % 3 AS int) AS label", "id * 53 % 97 / 2D AS x", "id % 3 AS c")
+    models.fit_baseline(Task(rows, rows, ["id"], "label", MULTICLASS, ["c"], ["x"], seed=3), max_iter=2)
+    assert len(seen) == 6 and min(seen) > 1
